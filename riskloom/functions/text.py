@@ -189,4 +189,8 @@ def keyword_columns(tokens: Column, keywords: list[str] | None = None) -> list[C
     """
     keywords = JAVA_KEYWORDS if keywords is None else keywords
     hits = F.filter(tokens, lambda t: t.isin(*keywords))
-    return [F.size(F.filter(hits, lambda t, k=k: t == k)).alias(f"kw_{k}") for k in keywords]
+
+    def count(keyword: str) -> Column:
+        return F.size(F.filter(hits, lambda t: t == keyword))
+
+    return [count(k).alias(f"kw_{k}") for k in keywords]

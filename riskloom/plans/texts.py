@@ -41,6 +41,7 @@ from riskloom.operators.vocab import (
 from riskloom.plans.forecast import rounded
 from riskloom.plans.registry import query, table
 from riskloom.plans.views import part_sql
+from riskloom.session import spread
 
 
 def q(text: str) -> str:
@@ -52,6 +53,10 @@ CODE = q(code_pattern())
 WORDS = q(f"[^{SPACE}]+")
 
 
+def documents(spark, sf):
+    return spread(table(spark, sf, "documents"))
+
+
 def change_pairs(spark, sf):
     """User turns as text before, the turn after as text after; no next turn gives NULL."""
     c = table(spark, sf, "conversations")
@@ -78,7 +83,7 @@ PAIRS_SQL = """pairs AS (
 )
 def _clean(spark, sf):
     marked = F.concat(F.lit("\n"), F.replace("text", F.lit(". "), F.lit(".##<END>##\n")))
-    return table(spark, sf, "documents").select("doc_id", F.md5(clean_changes(marked)).alias("cleaned"))
+    return documents(spark, sf).select("doc_id", F.md5(clean_changes(marked)).alias("cleaned"))
 
 
 @query(
@@ -87,7 +92,7 @@ def _clean(spark, sf):
     FROM (SELECT doc_id, regexp_extract_all(text, {CODE}) AS t FROM documents)""",
 )
 def _code_tokens(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", code_tokens("text").alias("t"))
+    d = documents(spark, sf).select("doc_id", code_tokens("text").alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.concat_ws(" ", "t")).alias("tokens"))
 
 
@@ -118,7 +123,7 @@ DOC_TEXTS = "SELECT coalesce(text, '') AS x FROM documents"
 
 @query("vocab_words", f"WITH {word_vocab_sql('v', DOC_TEXTS, WORDS, 5000, 2)} SELECT * FROM v")
 def _vocab_words(spark, sf):
-    return vocab_words(table(spark, sf, "documents"), min_n=1, max_n=2, max_vocab=5000)
+    return vocab_words(documents(spark, sf), min_n=1, max_n=2, max_vocab=5000)
 
 
 @query(
@@ -132,7 +137,7 @@ def _vocab_words(spark, sf):
 )
 def _vocab_share(spark, sf):
     return vocab_words(
-        table(spark, sf, "documents"), tokenizer=code_tokens, min_df=0.01, max_df=0.6, oov="<oov>"
+        documents(spark, sf), tokenizer=code_tokens, min_df=0.01, max_df=0.6, oov="<oov>"
     )
 
 
@@ -156,7 +161,7 @@ CHAR_GRAMS_SQL = (
 )
 def _vocab_chars(spark, sf):
     return vocab_chars(
-        table(spark, sf, "documents"), word_bound=True, whole_word=True, max_vocab=5000
+        documents(spark, sf), word_bound=True, whole_word=True, max_vocab=5000
     )
 
 
@@ -182,7 +187,7 @@ def _vocab_chars_across(spark, sf):
 )
 def _vocab_merge(spark, sf):
     sides = [
-        doc_frequency(table(spark, sf, n).select(code_tokens("text").alias("t")), F.col("t"))
+        doc_frequency(spread(table(spark, sf, n)).select(code_tokens("text").alias("t")), F.col("t"))
         for n in ("documents", "conversations")
     ]
     return with_ids(merge_counts(*sides), "doc_freq", 2000)
@@ -194,7 +199,7 @@ def _vocab_merge(spark, sf):
     FROM (SELECT unnest(regexp_extract_all(text, {CODE})) AS token FROM documents) GROUP BY token""",
 )
 def _vocab_report(spark, sf):
-    d = table(spark, sf, "documents").select(code_tokens("text").alias("t"))
+    d = documents(spark, sf).select(code_tokens("text").alias("t"))
     return vocab_report(term_frequency(d, F.col("t")), "term_freq")
 
 
@@ -215,7 +220,7 @@ def _pad_sql(ids: str, maxlen: int, padding: str) -> str:
     SELECT doc_id, {_pad_sql('ids', 512, 'pre')} AS text_ids, CAST(len(ids) AS INTEGER) AS text_len FROM a""",
 )
 def _encode_words(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     vocab = vocab_words(d, tokenizer=code_tokens, max_n=2, max_vocab=2000)
     return encode_words(d, vocab, ["text"], ["doc_id"], max_n=2).drop("text")
 
@@ -241,7 +246,7 @@ char_ids AS (
     FROM (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN char_ids USING (doc_id))""",
 )
 def _encode_chars(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     vocab = vocab_chars(d, min_n=1, max_n=1, word_bound=True, max_vocab=10_000)
     return encode_chars(d, vocab, ["text"], ["doc_id"], min_n=1, max_n=1, word_bound=True, padding="post").drop("text")
 
@@ -260,7 +265,7 @@ def _encode_chars(spark, sf):
            CAST(len(wi) AS INTEGER) AS text_word_len, CAST(len(ci) AS INTEGER) AS text_char_len FROM a""",
 )
 def _encode_both(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     w = vocab_words(d, tokenizer=code_tokens, max_vocab=2000, oov="<oov>")
     c = vocab_chars(d, min_n=1, max_n=1, word_bound=True, max_vocab=10_000)
     return encode_both(
@@ -301,7 +306,7 @@ def _encode_pairs(spark, sf):
     FROM (SELECT lang, len(regexp_extract_all(text, {CODE})) AS l FROM documents) WHERE l > 0 GROUP BY lang""",
 )
 def _length_stats(spark, sf):
-    d = table(spark, sf, "documents").select("lang", F.size(code_tokens("text")).alias("l"))
+    d = documents(spark, sf).select("lang", F.size(code_tokens("text")).alias("l"))
     return rounded(length_stats(d, "l", ["lang"]))
 
 
@@ -318,13 +323,13 @@ def _length_stats(spark, sf):
     + " FROM t",
 )
 def _keywords(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", code_tokens("text").alias("t"))
+    d = documents(spark, sf).select("doc_id", code_tokens("text").alias("t"))
     return d.select("doc_id", *keyword_columns(F.col("t")))
 
 
 def docs_with_parts(spark, sf):
     """Documents in id order, cut into 12 parts."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     parts = time_folds(time_order(d.withColumn("date", F.col("doc_id")), "doc_id", "date"))
     return d.join(parts.select("doc_id", "time_partition"), "doc_id")
 
@@ -357,21 +362,21 @@ bag AS (
 
 @query("bow_fit", f"WITH {BAG_SQL} SELECT * FROM bag")
 def _bow_fit(spark, sf):
-    return bow_fit(table(spark, sf, "documents"), ["text"])
+    return bow_fit(documents(spark, sf), ["text"])
 
 
 @query("bow_counts", f"WITH {BAG_SQL} SELECT doc_id, id, count(*) AS n FROM terms JOIN bag USING (token) GROUP BY ALL")
 def _bow_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     return bow_counts(d, bow_fit(d, ["text"]), "text", ["doc_id"])
 
 
 @query("bow_transform", f"WITH {BAG_SQL} SELECT id, CAST(term_freq AS DOUBLE) AS total FROM bag")
 def _bow_transform(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = documents(spark, sf).select("doc_id", "text")
     bags = bow_transform(d, bow_fit(d, ["text"]), ["text"])
     sums = bags.agg(vector_to_array(Summarizer.sum(F.col("text_bow"))).alias("s"))
-    return sums.select(F.posexplode("s").alias("id", "total"))
+    return rounded(sums.select(F.posexplode("s").alias("id", "total")))
 
 
 def _tfidf_sql(tokens: str, min_df: float, idf: bool) -> str:
@@ -390,12 +395,12 @@ TERMS_T = f"list_filter(regexp_extract_all(lower(text), {q(TERM_PATTERN)}), lamb
 
 @query("tfidf_counts", _tfidf_sql(f"SELECT doc_id, unnest({CLEAN_CODE}) AS token FROM documents", 0.01, False))
 def _tfidf_counts(spark, sf):
-    return rounded(tfidf(table(spark, sf, "documents"), "text", "doc_id", variant=1))
+    return rounded(tfidf(documents(spark, sf), "text", "doc_id", variant=1))
 
 
 @query("tfidf", _tfidf_sql(f"SELECT doc_id, unnest({TERMS_T}) AS token FROM documents", 0.001, True))
 def _tfidf(spark, sf):
-    return rounded(tfidf(table(spark, sf, "documents"), "text", "doc_id", variant=2))
+    return rounded(tfidf(documents(spark, sf), "text", "doc_id", variant=2))
 
 
 @query(
@@ -408,4 +413,4 @@ def _tfidf(spark, sf):
     ),
 )
 def _tfidf_ngrams(spark, sf):
-    return rounded(tfidf(table(spark, sf, "documents"), "text", "doc_id", variant=6, min_n=1, max_n=2))
+    return rounded(tfidf(documents(spark, sf), "text", "doc_id", variant=6, min_n=1, max_n=2))

@@ -50,3 +50,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer partitions than the cluster has slots.
+
+    A small file read as one partition would leave heavy per-row work to one task. A large scan
+    has partitions enough and is returned as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
