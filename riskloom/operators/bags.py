@@ -29,10 +29,8 @@ def bow_transform(df: DataFrame, vocab: DataFrame, columns: Sequence[str]) -> Da
     The vocabulary holds at most the fitted number of tokens and goes into the Spark ML model.
     """
     tokens = [r["token"] for r in vocab.orderBy("id").select("token").collect()]
-    spark = df.sparkSession
     with_tokens = df.select("*", *[change_tokens(c).alias(f"_t_{c}") for c in columns])
     model = CountVectorizerModel.from_vocabulary(tokens, inputCol="_", outputCol="_")
-    assert spark is not None
     for c in columns:
         model = model.setInputCol(f"_t_{c}").setOutputCol(f"{c}_bow")
         with_tokens = model.transform(with_tokens)
