@@ -18,6 +18,7 @@ from riskloom.functions.text import (
     token_lookup,
     word_grams,
 )
+from riskloom.session import broadcast_if_small
 
 # Sequence lengths of word and character ids.
 WORD_LENGTH = 512
@@ -61,12 +62,17 @@ def add_ids(
 
 
 def _joined_ids(df, name, tokens, vocab, key, unknown) -> DataFrame:
-    placed = df.select(*key, F.posexplode(tokens).alias("_pos", "token"))
-    found = placed.join(vocab.select("token", "id"), "token", "inner" if unknown is None else "left")
+    """Ids by join: the vocabulary is broadcast up to a checked size, else shuffled by token.
+
+    Tokens of a document never exceed its own text, so regrouping by key stays bounded.
+    """
+    placed = df.select(*key, F.posexplode(tokens).alias("_pos", "_token"))
+    ids = broadcast_if_small(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
+    found = placed.join(ids, "_token", "inner" if unknown is None else "left")
     if unknown is not None:
-        found = found.withColumn("id", F.coalesce("id", F.lit(unknown)))
-    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_s"))
-    rows = rows.select(*key, F.transform("_s", lambda s: s["id"]).alias(name))
+        found = found.withColumn("_id", F.coalesce("_id", F.lit(unknown)))
+    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
+    rows = rows.select(*key, F.transform("_s", lambda s: s["_id"]).alias(name))
     out = df.join(rows, list(key), "left")
     return out.withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
 

@@ -46,8 +46,9 @@ PARAMETERS = {
     "lgbm": [(n, m) for n in ("100", "300", "500") for m in ("100", "200", "300")],
 }
 
-# Fixed value: cluster counts of the k-means baseline.
+# Cluster counts of the k-means baseline, and runs of the uniform baseline.
 CLUSTERS = [*range(2, 11), *range(15, 51, 5)]
+BASELINES = {"kmeans": [(str(n),) for n in CLUSTERS], "uniform": [(str(r),) for r in range(10)]}
 
 SEED = 42
 
@@ -196,6 +197,11 @@ def fit_predict(
         # One row: the commonest training label.
         top = most_common(train.withColumn(label, F.col(label).cast("string")), [], label).first()[0]
         return test.select(id, F.col(label).cast("string").alias("truth"), F.lit(top).alias("pred"))
+    if alg == "kmeans":
+        return majority_kmeans(train, test, int(parameters[0]), id, features, label)
+    if alg == "uniform":
+        run = int(parameters[0])
+        return uniform_baseline(train, test, label, id, run + 1).filter(F.col("run") == run).drop("run")
     return batch_predict(fit(alg, parameters, train, features, label), test, id, features, label)
 
 

@@ -70,15 +70,12 @@ def _select_split(spark, sf):
     )
 
 
-RANDOM_SQL = (
-    CHANGES_SQL
-    + f""",
-keyed AS (
+RANDOM_PARTS_SQL = f"""keyed AS (
   SELECT commit, row_number() OVER (ORDER BY md5(commit || '|42'), commit) - 1 AS position,
          count(*) OVER () AS n
   FROM (SELECT DISTINCT commit FROM changes)),
 random_parts AS (SELECT commit, {part_sql(10)} AS "partition" FROM keyed)"""
-)
+RANDOM_SQL = f"{CHANGES_SQL}, {RANDOM_PARTS_SQL}"
 
 
 @query("random_folds", f'WITH {RANDOM_SQL} SELECT commit, "partition" FROM random_parts')

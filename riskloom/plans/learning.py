@@ -239,6 +239,13 @@ def _validate(spark, sf):
     return rounded(out.drop("train_time", "pred_time"))
 
 
+@query("baseline_grid")
+def _baselines(spark, sf):
+    rows = experiment_rows(spark, sf, (9,))
+    grid = {"kmeans": [("2",), ("10",)], "uniform": [("0",), ("1",)]}
+    return rounded(validate_grid(rows, ["label"], "id", "x", grid, ("none", "over")).drop("train_time", "pred_time"))
+
+
 @query("select_then_test")
 def _select(spark, sf):
     rows = experiment_rows(spark, sf, (9,))

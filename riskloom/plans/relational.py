@@ -303,11 +303,11 @@ def _manual(spark, sf):
 
 @query(
     "left_join",
-    f"WITH {CHANGES_SQL} SELECT commit, priority, c_mktsegment FROM changes LEFT JOIN (SELECT c_custkey AS id, c_mktsegment FROM customer WHERE c_nationkey < 12) USING (id)",
+    f"WITH {CHANGES_SQL} SELECT commit, priority, s_name FROM changes LEFT JOIN supplier ON s_suppkey = id",
 )
 def _left(spark, sf):
-    adv = table(spark, sf, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    return left_join(change_stream(spark, sf), adv, ["id"]).select("commit", "priority", "c_mktsegment")
+    adv = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    return left_join(change_stream(spark, sf), adv, ["id"]).select("commit", "priority", "s_name")
 
 
 @query(
