@@ -66,7 +66,10 @@ def _weight(vector: Column, name: str) -> Column:
 
 def base_score(vector: Column | str) -> Column:
     """Base score (one decimal, half up) in exact decimal arithmetic; NULL for a broken vector."""
-    vector = _c(vector)
+    return _bind(_c(vector), _score)
+
+
+def _score(vector: Column) -> Column:
     w = {m: _weight(vector, m) for m in WEIGHTS}
     one = _dec("1.000")
     kept = ((one - w["C"]) * (one - w["I"])).cast("decimal(12,6)") * (one - w["A"])
@@ -94,10 +97,13 @@ def severity_band(score: Column | str) -> Column:
 
 def vector_parts(vector: Column | str) -> Column:
     """Array of (task, part): the six vector parts in order, then the severity band."""
-    vector = _c(vector)
-    values = F.concat(F.split(vector, "/"), F.array(severity_band(base_score(vector))))
     names = F.array(*[F.lit(t) for t in VECTOR_TASKS])
-    return F.zip_with(names, values, lambda t, v: F.struct(t.alias("task"), v.alias("part")))
+
+    def parts(v: Column) -> Column:
+        values = F.concat(F.split(v, "/"), F.array(severity_band(base_score(v))))
+        return F.zip_with(names, values, lambda t, part: F.struct(t.alias("task"), part.alias("part")))
+
+    return _bind(_c(vector), parts)
 
 
 def _partial(truth: Column, pred: Column, scale: Sequence[str]) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The operator tokens of code text, tried in this order before words.
@@ -71,14 +71,28 @@ def code_tokens(col: Column | str) -> Column:
     return find_all(col, code_pattern())
 
 
+def _ascii_first(pattern: str) -> str:
+    """The same pattern for Java, where one range test settles printable ASCII characters."""
+    return pattern.replace(f"[^{SPACE}]", f"[!-~[^{SPACE}]]")
+
+
 def words(col: Column | str) -> Column:
     """Runs of non-space characters."""
-    return find_all(col, f"[^{SPACE}]+")
+    return find_all(col, _ascii_first(f"[^{SPACE}]+"))
 
 
 def terms(col: Column | str) -> Column:
     """Lower-case tokens of the weighted term variants."""
-    return find_all(F.lower(_c(col)), TERM_PATTERN)
+    return find_all(F.lower(_c(col)), _ascii_first(TERM_PATTERN))
+
+
+def explode_tokens(df: DataFrame, tokens: Column, keys: Sequence[str] = (), name: str = "token") -> DataFrame:
+    """One row per token.
+
+    The outer form keeps the optimizer from adding a filter on the array's size, which would cut
+    every text into tokens a second time below the projection. Empty texts give no row.
+    """
+    return df.select(*keys, F.explode_outer(tokens).alias(name)).filter(F.col(name).isNotNull())
 
 
 def _empty() -> Column:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import terms, text_or_empty, token_ngrams
+from riskloom.functions.text import explode_tokens, terms, text_or_empty, token_ngrams
 from riskloom.operators.vocab import change_tokens, stack_texts, term_frequency, with_ids
 from riskloom.session import broadcast_if_small, materialise
 
@@ -41,7 +41,7 @@ def bow_counts(df: DataFrame, vocab: DataFrame, column: str, key: Sequence[str])
     """Long form of the bag: key, id, n. Rows of one document never leave their task early:
     counts are merged per (key, token) before the shuffle."""
     counts = (
-        df.select(*key, F.explode(change_tokens(column)).alias("token"))
+        explode_tokens(df, change_tokens(column), key)
         .groupBy(*key, "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -93,7 +93,7 @@ def tfidf(
     grams = [token_ngrams(F.col("_t"), n) for n in range(lo, hi + 1)]
     grams = grams[0] if len(grams) == 1 else F.concat(*grams)
     counts = materialise(
-        tokens.select(key, F.explode(grams).alias("token"))
+        explode_tokens(tokens, grams, [key])
         .groupBy(key, "token")
         .agg(F.count(F.lit(1)).alias("n")),
         "terms",

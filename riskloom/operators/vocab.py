@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import Tokenizer, char_grams, clean_changes, code_tokens, text_or_empty, word_grams, words
+from riskloom.functions.text import (
+    Tokenizer,
+    char_grams,
+    clean_changes,
+    code_tokens,
+    explode_tokens,
+    text_or_empty,
+    word_grams,
+    words,
+)
 from riskloom.operators.ranks import global_position, keyed_position
 from riskloom.session import materialise
 
@@ -22,7 +31,7 @@ def stack_texts(df: DataFrame, columns: Sequence[str], name: str = "text", keep:
 def doc_frequency(docs: DataFrame, grams: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Number of documents per token. Partial counts are made before the shuffle."""
     return (
-        docs.select(*keys, F.explode(F.array_distinct(grams)).alias("token"))
+        explode_tokens(docs, F.array_distinct(grams), keys)
         .groupBy(*keys, "token")
         .agg(F.count(F.lit(1)).alias("doc_freq"))
     )
@@ -31,7 +40,7 @@ def doc_frequency(docs: DataFrame, grams: Column, keys: Sequence[str] = ()) -> D
 def term_frequency(docs: DataFrame, grams: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Number of occurrences per token."""
     return (
-        docs.select(*keys, F.explode(grams).alias("token"))
+        explode_tokens(docs, grams, keys)
         .groupBy(*keys, "token")
         .agg(F.count(F.lit(1)).alias("term_freq"))
     )
@@ -162,9 +171,24 @@ def fold_vocab(
     folds: Sequence[int] = tuple(range(10)),
     max_vocab: int = 10_000,
 ) -> DataFrame:
-    """The ``max_vocab`` commonest tokens per fold with ids from 1: (fold, token, id, doc_freq)."""
-    counts = fold_counts(docs, grams, part, folds).withColumn("_neg", -F.col("doc_freq"))
-    ranked = keyed_position(counts, ["_neg", "token"], ["fold"], "_p")
+    """The ``max_vocab`` commonest tokens per fold with ids from 1: (fold, token, id, doc_freq).
+
+    A histogram of the counts gives, per fold, the count below which no token can make it. Only
+    tokens from that count on are put in order.
+    """
+    counts = materialise(fold_counts(docs, grams, part, folds), "foldcounts")
+    histogram = counts.groupBy("fold", "doc_freq").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per fold and distinct count.
+    above = F.sum("_n").over(W.partitionBy("fold").orderBy(F.desc("doc_freq")).rowsBetween(W.unboundedPreceding, -1))
+    least = (
+        histogram.withColumn("_above", F.coalesce(above, F.lit(0)))
+        .filter(F.col("_above") < max_vocab)
+        .groupBy("fold")
+        .agg(F.min("doc_freq").alias("_least"))
+    )
+    # One row per fold, as many as the list of folds.
+    likely = counts.join(F.broadcast(least), "fold").filter(F.col("doc_freq") >= F.col("_least")).drop("_least")
+    ranked = keyed_position(likely.withColumn("_neg", -F.col("doc_freq")), ["_neg", "token"], ["fold"], "_p")
     kept = ranked.filter(F.col("_p") < max_vocab)
     return kept.select("fold", "token", (F.col("_p") + 1).cast("int").alias("id"), "doc_freq")
 
