@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import explode_tokens, terms, text_or_empty, token_ngrams
@@ -109,5 +110,6 @@ def tfidf(
     weighted = weighted.select(key, "token", weight.alias("weight"))
     if not rule["norm"]:
         return weighted
-    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l"))
-    return weighted.join(length, key).select(key, "token", (F.col("weight") / F.col("_l")).alias("weight"))
+    # A window holds the distinct tokens of one document, never more than its text.
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(key)))
+    return weighted.select(key, "token", (F.col("weight") / length).alias("weight"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.draws import draw_key
 from riskloom.operators.ranks import average_ranks, keyed_position
+from riskloom.session import materialise
 
 # Exact distributions are used up to these sizes when nothing is tied, as usual for both tests.
 EXACT_RANK_SUM = 8
@@ -127,8 +128,12 @@ def mann_whitney(
 
 def _paired(runs, keys, side, value, order, seed) -> DataFrame:
     """Rows of A and B paired by place; the larger side is first drawn down to the smaller."""
-    sizes = runs.groupBy(*keys).agg(
-        F.count(F.when(F.col(side) == "A", 1)).alias("_na"), F.count(F.when(F.col(side) == "B", 1)).alias("_nb")
+    # One row per keys; written out, so Spark knows its size and broadcasts it when it is small.
+    sizes = materialise(
+        runs.groupBy(*keys).agg(
+            F.count(F.when(F.col(side) == "A", 1)).alias("_na"), F.count(F.when(F.col(side) == "B", 1)).alias("_nb")
+        ),
+        "sizes",
     )
     work = runs.select(*keys, side, value, *order).join(sizes, list(keys))
     mine = F.when(F.col(side) == "A", F.col("_na")).otherwise(F.col("_nb"))

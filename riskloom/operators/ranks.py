@@ -20,13 +20,6 @@ from riskloom.session import materialise
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def _same(left: str, right: str, cols: Sequence[str]):
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return cond
-
-
 def global_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add the 0-based position of each row in the total order ``order``."""
     ranged = materialise(
@@ -62,30 +55,30 @@ def running_totals(
     ``order`` should be unique within a key; rows equal in it count one after the other in an
     unspecified order.
     """
-    keys = list(keys)
     ranged = materialise(
         df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()),
         "running",
     )
-    chunk_sums = ranged.groupBy(*keys, "_chunk").agg(
+    # Keys packed in a struct compare equal when both are NULL, so a plain equality join serves, on
+    # the same columns as the window: one shuffle feeds both.
+    ranged = ranged.withColumn("_key", F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0)))
+    chunk_sums = ranged.groupBy("_key", "_chunk").agg(
         *[F.sum(src).alias(f"_s_{dst}") for dst, src in sums.items()]
     )
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_key").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = chunk_sums.select(
-        *keys,
+        "_key",
         "_chunk",
         *[F.coalesce(F.sum(f"_s_{dst}").over(before), F.lit(0)).alias(f"_o_{dst}") for dst in sums],
     )
     inside = (
-        W.partitionBy("_chunk", *keys)
+        W.partitionBy("_chunk", "_key")
         .orderBy(*order)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_l_{dst}") for dst, src in sums.items()])
-    joined = local.alias("l").join(offsets.alias("o"), _same("l", "o", ["_chunk", *keys]))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        *[(F.col(f"l._l_{dst}") + F.col(f"o._o_{dst}")).alias(dst) for dst in sums],
+    return local.join(offsets, ["_chunk", "_key"]).select(
+        *df.columns, *[(F.col(f"_l_{dst}") + F.col(f"_o_{dst}")).alias(dst) for dst in sums]
     )
 
 

@@ -11,15 +11,15 @@ from riskloom.functions.cvss import vector_parts
 from riskloom.operators.aggregates import best_per_group, worst_per_group
 from riskloom.operators.metrics import score
 from riskloom.operators.reshape import melt_results
+from riskloom.session import materialise
 
 # Columns of the result table.
 CONFIG = ["feature_type", "feature_scope", "token"]
 DIMENSIONS = ["problem", *CONFIG, "resampling", "classifier"]
 MEASURES = ["accuracy", "precision", "recall", "gmean", "auc", "f1", "mcc", "train_time", "pred_time"]
 
-# Classifier columns of the combined report by family.
+# Classical classifier columns of the combined report; the others are networks.
 ML_CLASSIFIERS = ["LR", "KNN", "SVM", "RF", "LGBM", "XGB"]
-DL_CLASSIFIERS = ["MLP (Triet)", "Sequential CNN", "Sequential RNN", "Siamese CNN", "Siamese (MLP)"]
 
 
 def _mean(column: str):
@@ -94,7 +94,7 @@ def transfer_folds(
     """
     folds = results.filter(F.col("partition") != "holdout")
     by = ["problem", *CONFIG, "classifier", "parameters"]
-    means = average_folds(folds, measures, by, levels=False)
+    means = materialise(average_folds(folds, measures, by, levels=False), "means")
     level = F.explode(F.array(F.col("classifier"), F.lit("all"))).alias("group")
     means = means.select("*", level)
     keys = [*CONFIG, "group"]
@@ -131,36 +131,36 @@ def transfer_folds(
     )
 
 
-def _families(families: dict[str, Sequence[str]] | None) -> dict[str, Sequence[str] | None]:
-    given = families or {"ml": ML_CLASSIFIERS, "dl": DL_CLASSIFIERS}
-    return {**given, "all": None}
+Families = dict[str, Sequence[str] | None]
 
 
-def _by_family(long: DataFrame, families) -> DataFrame:
-    """Each row under every family it belongs to."""
-    names = F.array(
-        *[
-            F.lit(f) if members is None else F.when(F.col("classifier").isin(*members), F.lit(f))
-            for f, members in families.items()
-        ]
-    )
-    return long.select("*", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("family"))
+def _by_family(long: DataFrame, families: Families) -> DataFrame:
+    """Each row under its family and under ``all``. A family without members holds the rest."""
+    named = [m for members in families.values() if members for m in members]
+    classifier = F.col("classifier")
+    names = [
+        F.when(classifier.isin(*members) if members else ~classifier.isin(*named), F.lit(f))
+        for f, members in families.items()
+    ]
+    labels = F.filter(F.array(*names, F.lit("all")), lambda n: n.isNotNull())
+    return long.select("*", F.explode(labels).alias("family"))
 
 
 def optimal_classifiers(
     wide: DataFrame, ids: Sequence[str] = ("task", "feature_type", "feature_scope", "token"),
-    families: dict[str, Sequence[str]] | None = None,
+    families: Families | None = None,
 ) -> DataFrame:
     """Best classifier per configuration and family, and whether the other task has the same best."""
-    fams = _families(families)
-    long = _by_family(melt_results(wide, ids), fams)
+    families = families or {"ml": ML_CLASSIFIERS, "dl": None}
+    long = _by_family(melt_results(wide, ids), families)
     best = best_per_group(long, [*ids, "family"], ["classifier"])
     config = [c for c in ids if c != ids[0]]
+    fams = [*families, "all"]
     # One row per configuration: a column pair per family.
     cols = [
         F.max(F.when(F.col("family") == f, F.col(c))).alias(f"{c}_{f}") for f in fams for c in ("classifier", "mcc")
     ]
-    merged = best.groupBy(*ids).agg(*cols)
+    merged = materialise(best.groupBy(*ids).agg(*cols), "best")
     other = merged.select(
         *config, F.col(ids[0]).alias("_task"), *[F.col(f"classifier_{f}").alias(f"_o_{f}") for f in fams]
     )
@@ -174,11 +174,11 @@ def optimal_classifiers(
 def transfer_table(
     wide: DataFrame, source: str = "Binary", target: str = "Multiclass",
     ids: Sequence[str] = ("task", "feature_type", "feature_scope", "token"),
-    families: dict[str, Sequence[str]] | None = None,
+    families: Families | None = None,
 ) -> DataFrame:
     """Per configuration and family: the target's best MCC and its MCC with the source's best classifier."""
-    fams = _families(families)
-    long = _by_family(melt_results(wide, ids), fams)
+    families = families or {"ml": ML_CLASSIFIERS, "dl": None}
+    long = materialise(_by_family(melt_results(wide, ids), families), "families")
     keys = [*[c for c in ids if c != ids[0]], "family"]
     first = best_per_group(long.filter(F.col(ids[0]) == source), keys, ["classifier"])
     goal = long.filter(F.col(ids[0]) == target)

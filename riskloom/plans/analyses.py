@@ -187,7 +187,7 @@ def _transfer(spark, sf):
 
 
 # A wide report: one row per task and feature set, one text column per classifier.
-FAMILIES = {"ml": ["LR", "SVM"], "dl": ["CNN", "RNN"]}
+FAMILIES = {"ml": ["LR", "SVM"], "dl": None}
 WIDE_COLUMNS = {"LR": 0, "SVM": 1, "CNN": 2, "RNN": 3}
 WIDE_SQL = (
     """wide AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'Binary' ELSE 'Multiclass' END AS task,

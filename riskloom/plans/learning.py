@@ -166,7 +166,7 @@ def _forest(spark, sf):
 
 def toxic_rows(spark, sf):
     """Labelled documents with keyword and length measures; the label is rare."""
-    d = spread(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id"))
+    d = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id")
     t = d.select("doc_id", "toxic", "quality", "lang", "n_chars", code_tokens("text").alias("t"), F.col("text"))
     rare = F.array_distinct("t")
     return t.select(

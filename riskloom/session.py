@@ -53,7 +53,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer partitions than the cluster has slots.
+    """Even out a file scan that has fewer partitions than the cluster has slots.
 
     A small file read as one partition would leave heavy per-row work to one task. A large scan
     has partitions enough and is returned as it is, without a shuffle.
