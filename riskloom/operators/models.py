@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -119,7 +119,7 @@ def _depth(leaves: str) -> int:
 
 
 def classifier(
-    alg: str, parameters: Sequence[str], rows: int, classes: int, gamma: float = 1.0, layers: int = 0,
+    alg: str, parameters: Sequence[str], rows: int, classes: int, layers: int = 0,
     features: str = "features", label: str = "_y",
 ) -> Estimator:
     """Spark ML estimator of a named algorithm; several classes are fitted one against the rest."""
@@ -128,7 +128,7 @@ def classifier(
         # C weighs the summed loss; Spark weighs the penalty of the mean loss.
         one = LogisticRegression(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, maxIter=1000, **columns)
     elif alg == "svm":
-        one = LinearSVC(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, **{**columns, "featuresCol": "_rff"})
+        one = LinearSVC(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, **columns)
     elif alg == "rf":
         return RandomForestClassifier(numTrees=int(parameters[0]), maxDepth=_depth(parameters[1]), seed=SEED, **columns)
     elif alg in ("xgb", "lgbm"):
@@ -140,9 +140,7 @@ def classifier(
     else:
         raise ValueError(f"unknown algorithm: {alg}")
     if classes > 2:
-        one = OneVsRest(classifier=one, parallelism=4, **{**columns, "featuresCol": one.getFeaturesCol()})
-    if alg == "svm":
-        return Pipeline(stages=[FourierFeatures(inputCol=features, outputCol="_rff", gamma=gamma), one])
+        one = OneVsRest(classifier=one, parallelism=4, **columns)
     return one
 
 
@@ -153,11 +151,16 @@ def fit(alg: str, parameters: Sequence[str], train: DataFrame, features: str = "
     head = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array(features))).alias("d")).first()
     if len(index.labels) < 2:
         raise ValueError("training rows hold fewer than two classes")
-    gamma = scale_gamma(data, features) if alg == "svm" else 1.0
-    one = classifier(alg, parameters, head["n"], len(index.labels), gamma, head["d"], features)
-    model = one.fit(index.transform(data).select(features, "_y"))
+    indexed = index.transform(data).select(features, "_y")
+    stages = []
+    if alg == "svm":
+        stages = [FourierFeatures(inputCol=features, outputCol="_rff", gamma=scale_gamma(data, features))]
+        # Projected once; the solver reads the table in every iteration.
+        indexed = materialise(stages[0].transform(indexed), "projected")
+        features = "_rff"
+    one = classifier(alg, parameters, head["n"], len(index.labels), head["d"], features)
     names = IndexToString(inputCol="prediction", outputCol="pred", labels=index.labels)
-    return PipelineModel(stages=[model, names])
+    return PipelineModel(stages=[*stages, one.fit(indexed.select(features, "_y")), names])
 
 
 def batch_predict(model: Transformer, df: DataFrame, id: str, features: str = "features", label: str = "label") -> DataFrame:
