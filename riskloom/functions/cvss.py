@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions.binding import bind
+
 # Metric weights of the published version 2 equations.
 WEIGHTS = {
     "AV": {"L": "0.395", "A": "0.646", "N": "1.000"},
@@ -54,11 +56,6 @@ def metric_of(vector: Column | str, name: str) -> Column:
     return F.nullif(F.regexp_extract(_c(vector), f"(?:^|/|\\(){name}:([A-Z])", 1), F.lit(""))
 
 
-def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def _weight(vector: Column, name: str) -> Column:
     pairs = [x for letter, w in WEIGHTS[name].items() for x in (F.lit(letter), _dec(w))]
     return F.element_at(F.create_map(*pairs), metric_of(vector, name)).cast("decimal(4,3)")
@@ -66,7 +63,7 @@ def _weight(vector: Column, name: str) -> Column:
 
 def base_score(vector: Column | str) -> Column:
     """Base score (one decimal, half up) in exact decimal arithmetic; NULL for a broken vector."""
-    return _bind(_c(vector), _score)
+    return bind(_c(vector), _score)
 
 
 def _score(vector: Column) -> Column:
@@ -81,12 +78,12 @@ def _score(vector: Column) -> Column:
         factor = F.when(i == 0, _dec("0.000")).otherwise(_dec("1.176"))
         return F.round((_dec("0.6") * i + rest).cast("decimal(18,12)") * factor, 1).cast("double")
 
-    return _bind(impact, score)
+    return bind(impact, score)
 
 
 def severity_band(score: Column | str) -> Column:
     """LOW below 4, MEDIUM below 7, HIGH up to 10, else UNKNOWN."""
-    return _bind(
+    return bind(
         _c(score),
         lambda s: F.when((s >= 0) & (s < 4), "LOW")
         .when((s >= 4) & (s < 7), "MEDIUM")
@@ -103,7 +100,7 @@ def vector_parts(vector: Column | str) -> Column:
         values = F.concat(F.split(v, "/"), F.array(severity_band(base_score(v))))
         return F.zip_with(names, values, lambda t, part: F.struct(t.alias("task"), part.alias("part")))
 
-    return _bind(_c(vector), parts)
+    return bind(_c(vector), parts)
 
 
 def _partial(truth: Column, pred: Column, scale: Sequence[str]) -> Column:

@@ -58,8 +58,16 @@ def suffix_join(
 
 
 def pair_tasks(df: DataFrame, task: str, on: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Each row with the row of the same configuration in the other task, as ``<value>_other``."""
-    other = df.select(
-        *on, F.col(task).alias("_task"), *[F.col(v).alias(f"{v}_other") for v in values]
+    """Each row with the row of the same configuration in the other task, as ``<value>_other``.
+
+    A task has one row per configuration; the job fails if it has several, so a row meets as many
+    others as there are tasks and never all rows of a large group.
+    """
+    n = F.count(F.lit(1))
+    several = F.raise_error(F.lit("several rows for one task and configuration"))
+    single = df.groupBy(*on, F.col(task).alias("_task")).agg(
+        F.when(n == 1, True).otherwise(several.cast("boolean")).alias("_ok"),
+        *[F.max(v).alias(f"{v}_other") for v in values],
     )
+    other = single.filter("_ok").drop("_ok")
     return df.join(other, list(on)).filter(F.col(task) != F.col("_task")).drop("_task")

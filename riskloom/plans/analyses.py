@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.cvss import TASKS, base_score, cvss_error, severity_band, vector_parts
@@ -31,6 +30,7 @@ from riskloom.operators.results import (
 )
 from riskloom.plans.forecast import metrics_sql, rounded
 from riskloom.plans.registry import query, table
+from riskloom.session import materialise
 from riskloom.sources.logs import log_rejects, log_times
 
 # --- experiment results -------------------------------------------------------------------------
@@ -764,10 +764,10 @@ def log_lines(spark, sf):
         F.col("event_type").alias("file"), (F.col("user_id") % PARTITIONS).alias("p"),
         (F.floor(F.col("user_id") / PARTITIONS) % RUNS).alias("r"), "event_id", "value",
     )
-    w = W.partitionBy("file", "p", "r").orderBy("event_id")
-    seen = F.max("value").over(w.rowsBetween(W.unboundedPreceding, -1))
-    whole = F.count(F.lit(1)).over(W.partitionBy("file", "p", "r"))
-    e = e.select("*", F.row_number().over(w).alias("e"), whole.alias("n"), (seen.isNull() | (F.col("value") > seen)).alias("best"))
+    run = ["file", "p", "r"]
+    sizes = materialise(e.groupBy(*run).agg(F.count(F.lit(1)).alias("n")), "runs")
+    e = keyed_position(e, ["event_id"], run, "e").withColumn("e", F.col("e") + 1).join(sizes, run)
+    e = e.withColumn("best", (F.col("e") == 1) | (F.floor("value") % 5 == 0))
     epoch = F.array(
         F.concat(F.lit("Epoch "), F.col("e").cast("string"), F.lit("/"), F.col("n").cast("string")),
         F.concat(F.lit("32/32 - "), (F.floor("value") + 1).cast("string"), F.lit("s - loss: 0.5 - acc: 0.25")),
@@ -792,7 +792,7 @@ def log_lines(spark, sf):
 
 LOG_SQL = f"""ev AS (SELECT event_type AS file, CAST(user_id % {PARTITIONS} AS INTEGER) AS "partition", CAST(user_id // {PARTITIONS} % {RUNS} AS INTEGER) AS run,
   event_id, value, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY event_type, user_id % {PARTITIONS}, user_id // {PARTITIONS} % {RUNS} ORDER BY event_id) AS e FROM events),
-top AS (SELECT file, "partition", run, CAST(arg_min(e, (-cents, e)) AS INTEGER) AS b, CAST(count(*) AS INTEGER) AS n FROM ev GROUP BY ALL),
+top AS (SELECT file, "partition", run, CAST(max(e) FILTER (e = 1 OR floor(value) % 5 = 0) AS INTEGER) AS b, CAST(count(*) AS INTEGER) AS n FROM ev GROUP BY ALL),
 times AS (SELECT file, "partition", run, avg(floor(value) + 1) AS avg_time_per_epoch, b AS number_of_epoch_at_best_model, n AS number_of_epoch_at_finish,
   CAST(sum(floor(value) + 1) FILTER (e <= b) AS BIGINT) AS total_train_time_at_best_model, CAST(sum(floor(value) + 1) AS BIGINT) AS total_train_time_at_finish,
   sum(cents) FILTER (e <= b) / 100 AS total_val_time_at_best_model, sum(cents) / 100 AS total_val_time_at_finish, n + 0.5::DOUBLE AS final_evaluation_time

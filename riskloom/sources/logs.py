@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import running_totals
+from riskloom.operators.ranks import keyed_position, running_totals
 from riskloom.session import materialise
 
 # Texts that mark the structure of a log.
@@ -20,11 +20,17 @@ NUMBER = r"[-+]?\d*\.\d+|\d+"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files with their number; one training log is one row of input."""
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).select(
-        "file", F.col("line_no").cast("bigint").alias("line_no"), "line"
+    """Lines of log files with their number within the file.
+
+    Large logs are read in splits; the order of a line is its split's start and its place in it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"),
     )
+    return keyed_position(lines, ["_start", "_at"], ["file"], "line_no").select("file", "line_no", "line")
 
 
 def _segments(lines: DataFrame) -> DataFrame:

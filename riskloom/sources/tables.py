@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.binding import bind
 from riskloom.operators.reshape import lower_names, union_all
 
 
@@ -66,27 +67,24 @@ def dims_from_path(path: Column | str) -> Column:
     rest; the scenario is then ``cvss2_<task>``.
     """
     path = F.col(path) if isinstance(path, str) else path
-    parts = F.split(file_name(path), "_")
 
-    def at(i: int) -> Column:
-        return F.get(parts, F.lit(i))
+    def dims(parts: Column) -> Column:
+        def at(i: int) -> Column:
+            return F.get(parts, F.lit(i))
 
-    five = F.struct(
-        F.lit("multitask").alias("scenario"), at(0).alias("feature_type"), at(1).alias("feature_scope"),
-        at(2).alias("token"), at(3).alias("fold"),
-    )
-    seven = F.struct(
-        F.concat_ws("_", at(3), at(4)).alias("scenario"), at(0).alias("feature_type"),
-        at(1).alias("feature_scope"), at(2).alias("token"), at(5).alias("fold"),
-    )
-    wrong = F.raise_error(F.concat(F.lit("fourth part is not cvss2: "), path)).cast(
-        "struct<scenario:string,feature_type:string,feature_scope:string,token:string,fold:string>"
-    )
-    return (
-        F.when(F.size(parts) == 5, five)
-        .when((F.size(parts) == 7) & (at(3) == "cvss2"), seven)
-        .when(F.size(parts) == 7, wrong)
-    )
+        def shared(scenario: Column, fold: Column) -> Column:
+            return F.struct(
+                scenario.alias("scenario"), at(0).alias("feature_type"), at(1).alias("feature_scope"),
+                at(2).alias("token"), fold.alias("fold"),
+            )
+
+        wrong = F.raise_error(F.concat(F.lit("fourth part is not cvss2: "), F.concat_ws("_", parts)))
+        kind = F.when((F.size(parts) == 7) & (at(3) != "cvss2"), wrong.cast("int")).otherwise(F.size(parts))
+        return F.when(kind == 5, shared(F.lit("multitask"), at(3))).when(
+            kind == 7, shared(F.concat_ws("_", at(3), at(4)), at(5))
+        )
+
+    return bind(F.split(file_name(path), "_"), dims)
 
 
 def feature_dims(path: Column | str) -> Column:
@@ -95,18 +93,20 @@ def feature_dims(path: Column | str) -> Column:
     Files of manual features hold only the type and the fold.
     """
     path = F.col(path) if isinstance(path, str) else path
-    parts = F.split(F.get(F.split(file_name(path), "\\."), F.lit(0)), "_")
 
-    def at(i: int) -> Column:
-        return F.get(parts, F.lit(i))
+    def dims(parts: Column) -> Column:
+        def at(i: int) -> Column:
+            return F.get(parts, F.lit(i))
 
-    manual = at(0) == "manual"
-    return F.struct(
-        at(0).alias("feature_type"),
-        F.when(manual, at(0)).otherwise(at(1)).alias("feature_scope"),
-        F.when(manual, at(0)).otherwise(at(2)).alias("token"),
-        (F.when(manual, at(1)).otherwise(at(4)).cast("int") + 1).cast("string").alias("partition"),
-    )
+        manual = at(0) == "manual"
+        return F.struct(
+            at(0).alias("feature_type"),
+            F.when(manual, at(0)).otherwise(at(1)).alias("feature_scope"),
+            F.when(manual, at(0)).otherwise(at(2)).alias("token"),
+            (F.when(manual, at(1)).otherwise(at(4)).cast("int") + 1).cast("string").alias("partition"),
+        )
+
+    return bind(F.split(F.get(F.split(file_name(path), "\\."), F.lit(0)), "_"), dims)
 
 
 def read_result_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:

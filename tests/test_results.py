@@ -102,6 +102,8 @@ def test_joins_of_results(spark):
     assert suffix_join(a, a.filter("k = 'x'"), ["k"]).orderBy("k").collect()[1]["v_r"] is None
     t = spark.createDataFrame([("bin", "c", 1), ("mc", "c", 2), ("mc", "d", 3)], "task string, cfg string, m int")
     assert {(r["task"], r["m_other"]) for r in pair_tasks(t, "task", ["cfg"], ["m"]).collect()} == {("bin", 2), ("mc", 1)}
+    with pytest.raises(Exception, match="several rows"):
+        pair_tasks(t.unionByName(t), "task", ["cfg"], ["m"]).collect()
 
 
 def test_small_projections(spark):
