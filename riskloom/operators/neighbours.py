@@ -97,18 +97,20 @@ def _top_of_block(k: int, norm: int, payload: Sequence[str], skip_same: bool):
     columns = ["_qid", "_id", "distance", *payload]
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(t):
-            t = t.sort_values("_id", kind="stable").reset_index(drop=True)
-            rows, ids = _stack(t["_x"]), t["_id"].to_numpy()
-            for qid, x in zip(q["_qid"], q["_x"]):
-                d = _distances(rows, np.asarray(x, dtype="float64"), norm)
-                keep = np.flatnonzero(ids != qid) if skip_same else np.arange(len(d))
-                best = keep[np.argsort(d[keep], kind="stable")[:k]]
-                out.append(t.iloc[best].assign(_qid=qid, distance=d[best])[columns])
-        if not out:
+        if not len(q) or not len(t):
             return pd.DataFrame(columns=columns)
-        return pd.concat(out, ignore_index=True)
+        t = t.sort_values("_id", kind="stable").reset_index(drop=True)
+        rows, ids = _stack(t["_x"]), t["_id"].to_numpy()
+        picked, far = [], []
+        for qid, x in zip(q["_qid"], _stack(q["_x"])):
+            d = _distances(rows, x, norm)
+            keep = np.flatnonzero(ids != qid) if skip_same else np.arange(len(d))
+            best = keep[np.argsort(d[keep], kind="stable")[:k]]
+            picked.append(best)
+            far.append(d[best])
+        asked = np.repeat(q["_qid"].to_numpy(), [len(p) for p in picked])
+        found = t.iloc[np.concatenate(picked)].reset_index(drop=True)
+        return found.assign(_qid=asked, distance=np.concatenate(far))[columns]
 
     return run
 

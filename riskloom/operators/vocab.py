@@ -149,19 +149,34 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return out.groupBy("token").agg(F.sum("doc_freq").alias("doc_freq"))
 
 
+def _count_by_fold(
+    docs: DataFrame, tokens: Column, part: str, folds: Sequence[int]
+) -> DataFrame:
+    """One row per token with a count column per fold: rows of its training parts (<= fold).
+
+    Text is tokenised once and counted in one shuffle; folds are columns and multiply no rows.
+    """
+    counts = [F.count(F.when(F.col(part) <= f, 1)).alias(f"f{f}") for f in folds]
+    return explode_tokens(docs, tokens, [part]).groupBy("token").agg(*counts)
+
+
+def _by_fold(wide: DataFrame, folds: Sequence[int], name: str) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(int(f)).alias("fold"), F.col(f"f{f}").alias(name)) for f in folds])
+    return wide.select("token", F.inline(cells)).filter(F.col(name) > 0).select("fold", "token", name)
+
+
 def fold_counts(
     docs: DataFrame, grams: Column, part: str = "time_partition", folds: Sequence[int] = tuple(range(10))
 ) -> DataFrame:
-    """Document frequency of every token in the training text (parts <= fold) of every fold.
+    """Document frequency of every token in the training text (parts <= fold) of every fold."""
+    return _by_fold(_count_by_fold(docs, F.array_distinct(grams), part, folds), folds, "doc_freq")
 
-    Text is tokenised and counted once per (part, token); only counts are added up per fold.
-    """
-    per_part = doc_frequency(docs, grams, [part])
-    wanted = F.array(*[F.lit(int(f)) for f in folds])
-    spread = per_part.select(
-        "token", "doc_freq", F.explode(F.filter(wanted, lambda f: f >= F.col(part))).alias("fold")
-    )
-    return spread.groupBy("fold", "token").agg(F.sum("doc_freq").alias("doc_freq"))
+
+def fold_term_counts(
+    docs: DataFrame, grams: Column, part: str = "time_partition", folds: Sequence[int] = tuple(range(10))
+) -> DataFrame:
+    """Occurrences of every token in the training text of every fold."""
+    return _by_fold(_count_by_fold(docs, grams, part, folds), folds, "term_freq")
 
 
 def fold_vocab(
@@ -176,7 +191,8 @@ def fold_vocab(
     A histogram of the counts gives, per fold, the count below which no token can make it. Only
     tokens from that count on are put in order.
     """
-    counts = materialise(fold_counts(docs, grams, part, folds), "foldcounts")
+    wide = materialise(_count_by_fold(docs, F.array_distinct(grams), part, folds), "foldcounts")
+    counts = _by_fold(wide, folds, "doc_freq")
     histogram = counts.groupBy("fold", "doc_freq").agg(F.count(F.lit(1)).alias("_n"))
     # One row per fold and distinct count.
     above = F.sum("_n").over(W.partitionBy("fold").orderBy(F.desc("doc_freq")).rowsBetween(W.unboundedPreceding, -1))

@@ -15,7 +15,7 @@ from riskloom.operators.embeddings import VECTOR_SIZE, w2v_fit, w2v_mean
 from riskloom.operators.encode import CHAR_LENGTH, WORD_LENGTH, add_ids
 from riskloom.operators.folds import holdout_split, random_folds, time_folds, time_order
 from riskloom.operators.joins import left_join
-from riskloom.operators.vocab import change_tokens, fold_vocab, stack_texts, term_frequency
+from riskloom.operators.vocab import change_tokens, fold_term_counts, fold_vocab, stack_texts
 from riskloom.plans.forecast import RANDOM_PARTS_SQL
 from riskloom.plans.registry import query, table
 from riskloom.plans.texts import CODE, PAIRS_SQL, _pad_sql, change_pairs
@@ -88,10 +88,10 @@ def fold_bags(
 ) -> DataFrame:
     """Count vectors of every change for every fold, by the commonest tokens of its training files."""
     corpus = _fold_table(parts, files, file_columns).select("time_partition", change_tokens("text").alias("_t"))
-    counts = materialise(term_frequency(corpus, F.col("_t"), ["time_partition"]), "partcounts")
+    counts = materialise(fold_term_counts(corpus, F.col("_t"), folds=folds), "foldcounts")
     out = None
     for fold in folds:
-        upto = counts.filter(F.col("time_partition") <= fold).groupBy("token").agg(F.sum("term_freq").alias("term_freq"))
+        upto = counts.filter(F.col("fold") == fold)
         top = upto.orderBy(F.desc("term_freq"), "token").limit(size)
         vocab = top.select("token", F.struct(-F.col("term_freq"), "token").alias("id"))
         rows = bow_transform(changes.select("commit", *columns), vocab, columns).select(
