@@ -26,12 +26,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.draws import draw_long
+from riskloom.functions.vectors import as_vector
 from riskloom.operators.aggregates import most_common
 from riskloom.operators.neighbours import knn_vote, nearest
 from riskloom.session import broadcast_if_small, materialise
@@ -53,18 +55,6 @@ BASELINES = {"kmeans": [(str(n),) for n in CLUSTERS], "uniform": [(str(r),) for
 SEED = 42
 
 
-def _vector_of(df: DataFrame, column: str) -> DataFrame:
-    if isinstance(df.schema[column].dataType, VectorUDT):
-        return df
-    return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
-
-
-def _array_of(df: DataFrame, column: str) -> DataFrame:
-    if isinstance(df.schema[column].dataType, VectorUDT):
-        return df.withColumn(column, vector_to_array(column))
-    return df
-
-
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Random Fourier features of the RBF kernel ``exp(-gamma |x - y|^2)``.
 
@@ -103,14 +93,13 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
 
 def scale_gamma(train: DataFrame, features: str) -> float:
     """One over (width times variance of all feature values)."""
-    arrays = _array_of(train.select(features), features)
-    parts = arrays.select(
-        F.size(features).alias("n"),
-        F.aggregate(features, F.lit(0.0), lambda a, v: a + v).alias("s"),
-        F.aggregate(features, F.lit(0.0), lambda a, v: a + v * v).alias("q"),
-    ).agg(F.sum("n").alias("n"), F.max("n").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
-    variance = parts["q"] / parts["n"] - (parts["s"] / parts["n"]) ** 2
-    return 1.0 / (parts["d"] * variance) if variance > 0 else 1.0
+    vectors = as_vector(train.select(features), features)
+    # Sums and squared sums per feature; sparse vectors stay sparse.
+    got = vectors.agg(Summarizer.metrics("count", "sum", "normL2").summary(F.col(features)).alias("s")).first()["s"]
+    values = got["count"] * got["sum"].size
+    mean = got["sum"].toArray().sum() / values
+    variance = (got["normL2"].toArray() ** 2).sum() / values - mean**2
+    return float(1.0 / (got["sum"].size * variance)) if variance > 0 else 1.0
 
 
 def _depth(leaves: str) -> int:
@@ -146,11 +135,11 @@ def classifier(
 
 def fit(alg: str, parameters: Sequence[str], train: DataFrame, features: str = "features", label: str = "label") -> PipelineModel:
     """Fit label index, classifier and label names as one pipeline. Classes are the training labels."""
-    data = _vector_of(train.withColumn(label, F.col(label).cast("string")), features)
+    data = as_vector(train.withColumn(label, F.col(label).cast("string")), features)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(data)
-    head = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array(features))).alias("d")).first()
     if len(index.labels) < 2:
         raise ValueError("training rows hold fewer than two classes")
+    rows, width = data.count(), data.select(features).first()[0].size
     indexed = index.transform(data).select(features, "_y")
     stages = []
     if alg == "svm":
@@ -158,23 +147,23 @@ def fit(alg: str, parameters: Sequence[str], train: DataFrame, features: str = "
         # Projected once; the solver reads the table in every iteration.
         indexed = materialise(stages[0].transform(indexed), "projected")
         features = "_rff"
-    one = classifier(alg, parameters, head["n"], len(index.labels), head["d"], features)
+    one = classifier(alg, parameters, rows, len(index.labels), width, features)
     names = IndexToString(inputCol="prediction", outputCol="pred", labels=index.labels)
     return PipelineModel(stages=[*stages, one.fit(indexed.select(features, "_y")), names])
 
 
 def batch_predict(model: Transformer, df: DataFrame, id: str, features: str = "features", label: str = "label") -> DataFrame:
     """Predictions of a fitted model: id, truth, pred."""
-    data = _vector_of(df.select(id, features, F.col(label).cast("string").alias("truth")), features)
+    data = as_vector(df.select(id, features, F.col(label).cast("string").alias("truth")), features)
     return model.transform(data).select(id, "truth", "pred")
 
 
 def external_predict(
-    df: DataFrame, make: Callable, column: str, width: int, batch_size: int = 256, output: str = "scores"
+    df: DataFrame, make: Callable, column: str, batch_size: int = 256, output: str = "scores"
 ) -> DataFrame:
     """Class scores of an outside model, loaded once per Python worker and called in batches.
 
-    ``make()`` returns a function from a (rows, features) array to a (rows, ``width``) array.
+    ``make()`` returns a function from a (rows, features) array to a (rows, classes) array.
     """
     from pyspark.ml.functions import predict_batch_udf
 
@@ -190,10 +179,8 @@ def fit_predict(
     """Train on one table and predict another, for any algorithm: id, truth, pred."""
     if alg == "knn":
         k, weights, norm = parameters
-        near = nearest(
-            _array_of(test, features), _array_of(train, features).withColumn("_label", F.col(label).cast("string")),
-            int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"],
-        )
+        labelled = train.withColumn("_label", F.col(label).cast("string"))
+        near = nearest(test, labelled, int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"])
         voted = knn_vote(near, id, "_label", weights)
         return test.select(id, F.col(label).cast("string").alias("truth")).join(voted, id)
     if alg == "majority":
@@ -231,12 +218,12 @@ def majority_kmeans(
 
     A cluster without training rows falls back to the commonest label of all.
     """
-    data = _vector_of(train.withColumn(label, F.col(label).cast("string")), features)
+    data = as_vector(train.withColumn(label, F.col(label).cast("string")), features)
     model = KMeans(k=clusters, seed=0, featuresCol=features, predictionCol="_cluster").fit(data)
     # One row per cluster, so bounded by the argument.
     named = F.broadcast(most_common(model.transform(data), ["_cluster"], label).withColumnRenamed(label, "pred"))
     everywhere = most_common(data, [], label).first()[0]
-    held = _vector_of(test.select(id, features, F.col(label).cast("string").alias("truth")), features)
+    held = as_vector(test.select(id, features, F.col(label).cast("string").alias("truth")), features)
     found = model.transform(held).join(named, "_cluster", "left")
     return found.select(id, "truth", F.coalesce("pred", F.lit(everywhere)).alias("pred"))
 
@@ -250,8 +237,8 @@ def multitask_fit(
     Result: id and ``<task>``, ``<task>_pred`` per task. Two classes give a binary model, more a
     multiclass one; a task with one training class predicts it.
     """
-    shared = materialise(_vector_of(train.select(id, features, *tasks), features), "shared")
-    held = materialise(_vector_of(test.select(id, features, *tasks), features), "held")
+    shared = materialise(as_vector(train.select(id, features, *tasks), features), "shared")
+    held = materialise(as_vector(test.select(id, features, *tasks), features), "held")
     out = held.select(id, *[F.col(t).cast("string").alias(t) for t in tasks])
     for task in tasks:
         rows = shared.filter(F.col(task).isNotNull())

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.draws import draw_key
+from riskloom.functions.vectors import as_array
 from riskloom.session import materialise
 
 MAX_PIVOTS = 1024
@@ -136,13 +137,11 @@ def nearest(
     norm = NORMS[metric]
     spark = train.sparkSession
     group_col = F.col(group).cast("string") if group else F.lit("")
-    t = materialise(
-        train.select(
-            F.col(id).alias("_id"), F.col(vector).cast("array<double>").alias("_x"), group_col.alias("_group"), *payload
-        ),
-        "train",
+    t = train.select(F.col(id).alias("_id"), F.col(vector).alias("_x"), group_col.alias("_group"), *payload)
+    t = materialise(as_array(t, "_x"), "train")
+    q = as_array(
+        queries.select(F.col(id).alias("_qid"), F.col(vector).alias("_x"), group_col.alias("_group")), "_x"
     )
-    q = queries.select(F.col(id).alias("_qid"), F.col(vector).cast("array<double>").alias("_x"), group_col.alias("_group"))
     first = t.select(F.size("_x").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.draws import draw_long, draw_unit
+from riskloom.functions.vectors import as_array
 from riskloom.operators.aggregates import smallest_class
 from riskloom.operators.neighbours import nearest
 from riskloom.operators.ranks import keyed_position
@@ -89,7 +90,7 @@ def oversample_smote(
     copies = materialise(_copies(sizes, label, seed), "copies").withColumns(
         {"_place": F.expr(f"_slot div {k}"), "rank": (F.col("_slot") % k + 1).cast("int")}
     )
-    rows = df.withColumn(vector, F.col(vector).cast("array<double>"))
+    rows = as_array(df, vector)
     lacking = rows.join(broadcast_if_small(sizes.filter("_missing > 0").select(label)), label, "left_semi")
     train = lacking.withColumn("_nx", F.col(vector))
     pairs = nearest(lacking, train, k, id=id, vector=vector, metric=metric, group=label, payload=["_nx"], skip_same=True)
@@ -97,7 +98,7 @@ def oversample_smote(
     drawn = placed.join(copies, [label, "_place"]).join(pairs.select(id, "rank", "neighbour", "_nx"), [id, "rank"])
     made = _repeat(drawn, "_n", [id, "rank"], "copy")
     u = draw_unit(label, "_slot", "copy", seed=seed)
-    mixed = F.zip_with(vector, F.transform("_nx", lambda n: n), lambda a, b: a + F.col("_u") * (b - a))
+    mixed = F.zip_with(vector, "_nx", lambda a, b: a + F.col("_u") * (b - a))
     made = made.withColumn("_u", u).withColumn(vector, mixed)
     old = rows.withColumns({"neighbour": F.lit(None).cast(dict(pairs.dtypes)["neighbour"]), "copy": F.lit(0).cast("bigint")})
     return old.unionByName(made.select(*rows.columns, "neighbour", "copy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.cvss import TASKS, base_score, cvss_error, severity_band, vector_parts
-from riskloom.operators.aggregates import best_per_group, spread, worst_per_group
+from riskloom.operators.aggregates import spread, worst_per_group
 from riskloom.operators.compare import cohen_d, compare_runs, mann_whitney, wilcoxon
 from riskloom.operators.metrics import (
     METRICS,

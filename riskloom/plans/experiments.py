@@ -75,9 +75,9 @@ def _run(
 def validate_grid(
     data: DataFrame, problems: Sequence[str], id: str, features: str = "features",
     grid: dict[str, Sequence[Sequence[str]]] | None = None, resampling: Sequence[str] = ("none", "over", "over+"),
-    threads: int = 4,
+    threads: int = 4, role: str = "val",
 ) -> DataFrame:
-    """Score every parameter set, algorithm and sampling on the validation role of every fold.
+    """Score every parameter set, algorithm and sampling on one role of every fold.
 
     ``data`` holds id, features, one label column per problem, ``fold`` and ``role``. Predictions
     are the durable result; one metrics job over them scores the whole grid.
@@ -94,7 +94,7 @@ def validate_grid(
                         {"problem": problem, "fold": fold, "classifier": alg, "parameters": "-".join(p), "resampling": method}
                         for p in sets
                     ]
-    return _run(jobs, data, "validated", id, features, "val", threads)
+    return _run(jobs, data, "validated", id, features, role, threads)
 
 
 def select_then_test(

@@ -10,13 +10,14 @@ from riskloom.operators.bags import assemble, zero_fill
 from riskloom.operators.embeddings import w2v_fit, w2v_mean
 from riskloom.operators.folds import expanding_split, time_folds, time_order
 from riskloom.operators.metrics import score, score_tasks
-from riskloom.operators.models import fit_predict, majority_kmeans, multitask_fit, uniform_baseline
+from riskloom.operators.models import batch_predict, external_predict, fit, fit_predict, majority_kmeans, multitask_fit, uniform_baseline
 from riskloom.operators.neighbours import knn_vote, nearest
 from riskloom.operators.resample import oversample_random, oversample_smote, smote_ladder
 from riskloom.plans.experiments import evaluate_one_task, metric_record, select_then_test, validate_grid
 from riskloom.plans.forecast import rounded
 from riskloom.plans.registry import query, table
-from riskloom.session import materialise, spread
+from riskloom.session import materialise, scratch_path, spread
+from riskloom.sources.models import load_pipeline, save_model
 
 
 def vectors(spark, sf):
@@ -260,6 +261,36 @@ def _one_task(spark, sf):
     return rounded(evaluate_one_task(marked, "label", "id", {"lr": ("1",), "knn": ("11", "uniform", "2")}, "x"))
 
 
+@query(
+    "external_predict",
+    """SELECT p_partkey AS id, CAST(2 * p_size + 1 AS DOUBLE) AS first, CAST(p_size AS DOUBLE) AS second FROM part""",
+)
+def _external(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.lit(1.0)).alias("x"))
+
+    def make():
+        import numpy as np
+
+        weights = np.array([[2.0, 1.0], [1.0, 0.0]])
+        return lambda x: (x @ weights).astype("float32")
+
+    scores = external_predict(p, make, "x")
+    return scores.select("id", F.col("scores")[0].cast("double").alias("first"), F.col("scores")[1].cast("double").alias("second"))
+
+
+@query(
+    "model_storage",
+    "SELECT doc_id AS id, lang AS truth, true AS same FROM documents JOIN labels USING (doc_id)",
+)
+def _storage(spark, sf):
+    rows = toxic_rows(spark, sf)
+    model = fit("rf", ("5", "8"), rows, "x", "lang")
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    a, b = (batch_predict(m, rows, "id", "x", "lang") for m in (model, load_pipeline(path)))
+    return a.join(b.select("id", F.col("pred").alias("_p")), "id").select("id", "truth", (F.col("pred") == F.col("_p")).alias("same"))
+
+
 @query("metric_record")
 def _record(spark, sf):
     train, test = train_test(spark, sf)

@@ -10,12 +10,10 @@ from riskloom.functions.text import (
     JAVA_KEYWORDS,
     SPACE,
     TERM_PATTERN,
-    WORD_TOKEN,
     clean_changes,
     code_pattern,
     code_tokens,
     keyword_columns,
-    words,
 )
 from riskloom.operators.bags import bow_counts, bow_fit, bow_transform, tfidf
 from riskloom.operators.encode import (
@@ -27,7 +25,6 @@ from riskloom.operators.encode import (
 )
 from riskloom.operators.folds import time_folds, time_order
 from riskloom.operators.vocab import (
-    change_tokens,
     doc_frequency,
     fold_vocab,
     merge_counts,

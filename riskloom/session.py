@@ -31,6 +31,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has written; results read from them are then gone."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the scratch folder and read it back.
 
@@ -38,6 +51,7 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     between two evaluations (range boundaries, generated ids).
     """
     path = scratch_path(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,6 +16,7 @@ from riskloom.operators.models import (
     fit_predict,
     majority_kmeans,
     multitask_fit,
+    scale_gamma,
     uniform_baseline,
 )
 from riskloom.operators.neighbours import knn_vote, nearest
@@ -118,6 +119,9 @@ def test_smote_fills_classes_between_neighbours(uneven):
         span = b - a
         at = (np.array(r["x"]) - a)[0] / span[0]
         assert 0 <= at < 1 and np.allclose(a + at * span, r["x"])
+    as_vectors = two.withColumn("x", array_to_vector("x"))
+    again = oversample_smote(as_vectors, "label", "id", "x", 5).collect()
+    assert sorted((r["id"], r["copy"], r["x"]) for r in again) == sorted((r["id"], r["copy"], r["x"]) for r in rows)
     with pytest.raises(ValueError, match="too few"):
         oversample_smote(uneven, "label", "id", "x", 5)
 
@@ -159,6 +163,13 @@ def test_models_beat_the_majority(blobs, alg, params):
     assert got["accuracy"] > 0.85 > base["accuracy"]
 
 
+def test_kernel_width_is_scaled_by_variance(blobs):
+    x = np.array([r["features"] for r in blobs.select("features").collect()])
+    assert scale_gamma(blobs, "features") == pytest.approx(1 / (4 * x.var()))
+    sparse = blobs.withColumn("features", array_to_vector("features"))
+    assert scale_gamma(sparse, "features") == pytest.approx(1 / (4 * x.var()))
+
+
 def test_two_classes_and_unseen_label(blobs):
     train = blobs.filter("role = 'train' and label <> 'c'")
     test = blobs.filter("role = 'test'")
@@ -213,7 +224,7 @@ def test_external_model(spark):
 
         return predict
 
-    rows = external_predict(df, make, "x", 2).collect()
+    rows = external_predict(df, make, "x").collect()
     assert all(list(r["scores"]) == [r["id"] * 2.0, 1.0] for r in rows)
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom import session
 from riskloom.session import broadcast_if_small, materialise, scratch_dir
 from riskloom.sources.logs import log_rejects, log_times, read_logs
 from riskloom.sources.schemas import ADVISORIES, CHANGES, COMMIT_MAP, COMMITS, RESULTS
@@ -46,6 +47,16 @@ def test_materialise_pins_rows(spark):
     assert pinned.collect() == pinned.collect() and pinned.count() == 100
 
 
+def test_drop_scratch_deletes_own_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    monkeypatch.setattr(session, "scratch_dir", lambda s: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    materialise(spark.range(3), "mine")
+    assert len(list(tmp_path.iterdir())) == 2
+    assert session.drop_scratch(spark) == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
 def test_broadcast_only_below_the_limit(spark):
     def hinted(df):
         return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators import encode
-from riskloom.operators.encode import encode_both, encode_chars, encode_pairs, encode_words, length_stats
+from riskloom.operators.encode import encode_both, encode_pairs, encode_words, length_stats
 from riskloom.operators.vocab import doc_frequency, fold_counts, fold_vocab, merge_counts, stack_texts, vocab_chars, vocab_words
 
 
@@ -154,7 +154,7 @@ def test_encode_pairs_binds_by_name_and_fills_null(spark):
     r = encode_pairs(df, vocab).first()
     assert r["cur_features"][-2:] == [1, 2] and len(r["cur_features"]) == 512
     assert r["prev_features"] == [0] * 512
-    assert r["prev_context_ids" if "prev_context_ids" in r else "prev_context"][-1] == 3
+    assert r["prev_context"][-1] == 3
     chars = encode_pairs(df, spark.createDataFrame([("x", 1)], "token string, id int"), token="char").first()
     assert len(chars["cur_features"]) == 1024 and chars["cur_features"][-1] == 1
 
