@@ -103,8 +103,8 @@ def token_ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by a space."""
     if n == 1:
         return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    grams = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
+    starts = F.sequence(F.lit(0), F.size(tokens) - n)
+    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]))
     return F.when(F.size(tokens) >= n, grams).otherwise(_empty())
 
 
@@ -196,15 +196,17 @@ def map_tokens(tokens: Column, find: Callable[[Column], Column], unknown: int |
     return F.transform(ids, lambda i: F.coalesce(i, F.lit(unknown)))
 
 
-def keyword_columns(tokens: Column, keywords: list[str] | None = None) -> list[Column]:
-    """One count column per keyword.
+def keyword_counts(
+    df: DataFrame, tokens: Column, keep: Sequence[str], keywords: Sequence[str] = tuple(JAVA_KEYWORDS)
+) -> DataFrame:
+    """Columns ``keep`` and one count column ``kw_<keyword>`` per keyword.
 
-    Tokens are cut down to the keywords first, so each count reads a short array.
+    Tokens are cut down to the keywords in a projection of their own, so the text is read once and
+    each count goes over a short array.
     """
-    keywords = JAVA_KEYWORDS if keywords is None else keywords
-    hits = F.filter(tokens, lambda t: t.isin(*keywords))
+    hits = df.select(*keep, F.filter(tokens, lambda t: t.isin(*keywords)).alias("_hits"))
 
     def count(keyword: str) -> Column:
-        return F.size(F.filter(hits, lambda t: t == keyword))
+        return F.size(F.filter("_hits", lambda t: t == keyword))
 
-    return [count(k).alias(f"kw_{k}") for k in keywords]
+    return hits.select(*keep, *[count(k).alias(f"kw_{k}") for k in keywords])

@@ -13,7 +13,7 @@ from riskloom.functions.text import (
     clean_changes,
     code_pattern,
     code_tokens,
-    keyword_columns,
+    keyword_counts,
 )
 from riskloom.operators.bags import bow_counts, bow_fit, bow_transform, tfidf
 from riskloom.operators.encode import (
@@ -320,8 +320,7 @@ def _length_stats(spark, sf):
     + " FROM t",
 )
 def _keywords(spark, sf):
-    d = documents(spark, sf).select("doc_id", code_tokens("text").alias("t"))
-    return d.select("doc_id", *keyword_columns(F.col("t")))
+    return keyword_counts(documents(spark, sf), code_tokens("text"), ["doc_id"])
 
 
 def docs_with_parts(spark, sf):

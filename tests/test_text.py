@@ -184,9 +184,10 @@ def test_fold_counts_equal_direct_counts(spark):
     assert [r["id"] for r in top] == [1, 2] and top[0]["token"] == "all"
 
 
-def test_keyword_columns(spark):
-    r = spark.createDataFrame([(["if", "for", "if", "x"],)], "t array<string>").select(*tx.keyword_columns(F.col("t"))).first()
-    assert (r["kw_if"], r["kw_for"], r["kw_while"]) == (2, 1, 0) and len(r) == 57
+def test_keyword_counts(spark):
+    df = spark.createDataFrame([(1, ["if", "for", "if", "x"])], "id int, t array<string>")
+    r = tx.keyword_counts(df, F.col("t"), ["id"]).first()
+    assert (r["kw_if"], r["kw_for"], r["kw_while"]) == (2, 1, 0) and len(r) == 58
 
 
 def test_stack_texts(spark):
