@@ -123,34 +123,39 @@ def substrings(col: Column, n: int) -> Column:
     return find_all(col, f"(?s)(?=(.{{{n}}})).", 1)
 
 
-def char_grams(
-    col: Column | str, min_n: int = 3, max_n: int = 6, word_bound: bool = False, whole_word: bool = False
-) -> Column:
-    """Character n-grams in reading order of the encoder.
+def _marked(word: Column) -> Column:
+    return F.concat(F.lit("<"), word, F.lit(">"))
 
-    Within words (``word_bound``), word by word: the marked whole word if asked for, then n-grams
-    by length; a word shorter than ``min_n`` counts once as itself. Across the text: single
-    characters, marked whole words, then longer n-grams by length.
+
+def word_char_grams(word_list: Column, min_n: int = 3, max_n: int = 6, whole_word: bool = False) -> Column:
+    """Character n-grams within each word of an array, word by word.
+
+    Per word: the marked whole word if asked for, then n-grams by length; a word shorter than
+    ``min_n`` counts once as itself.
     """
-    text = _c(col)
 
-    def marked(w: Column) -> Column:
-        return F.concat(F.lit("<"), w, F.lit(">"))
+    def of_word(w: Column) -> Column:
+        parts = [F.array(_marked(w))] if whole_word else []
+        parts += [substrings(w, n) for n in range(min_n, max_n + 1)]
+        if min_n > 1:
+            parts.append(F.when(F.char_length(w) < min_n, F.array(w)).otherwise(_empty()))
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    sizes = range(min_n, max_n + 1)
+    return F.flatten(F.transform(word_list, of_word))
+
+
+def char_grams(
+    col: Column | str, min_n: int = 3, max_n: int = 6, word_bound: bool = False, whole_word: bool = False
+) -> Column:
+    """Character n-grams in reading order of the encoder: within words (``word_bound``) or across
+    the text, there single characters, marked whole words, then longer n-grams by length."""
+    text = _c(col)
     if word_bound:
-        def of_word(w: Column) -> Column:
-            parts = [F.array(marked(w))] if whole_word else []
-            parts += [substrings(w, n) for n in sizes]
-            if min_n > 1:
-                parts.append(F.when(F.char_length(w) < min_n, F.array(w)).otherwise(_empty()))
-            return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-        return F.flatten(F.transform(words(text), of_word))
+        return word_char_grams(words(text), min_n, max_n, whole_word)
     parts = [substrings(text, 1)] if min_n == 1 else []
     if whole_word:
-        parts.append(F.transform(words(text), marked))
-    parts += [substrings(text, n) for n in sizes if n > 1]
+        parts.append(F.transform(words(text), _marked))
+    parts += [substrings(text, n) for n in range(max(min_n, 2), max_n + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +116,11 @@ def _top_of_block(k: int, norm: int, payload: Sequence[str], skip_same: bool):
     return run
 
 
+def _each(count: str) -> Column:
+    """One row per number below ``count``."""
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -169,18 +174,17 @@ def nearest(
         "_cell int, _group string, _pivot int, _chunks int, _slices int",
     )
     plan = F.broadcast(plan)  # at most MAX_CELLS short rows
-    seq = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     blocks = (
         celled.join(plan, ["_group", "_pivot"])
         .filter(F.col("_slices") > 0)
         .withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
-        .withColumn("_slice", seq("_slices"))
+        .withColumn("_slice", _each("_slices"))
         .select("_cell", "_chunk", "_slice", "_id", "_x", *payload)
     )
     asked = (
         visits.join(plan, "_cell")
         .withColumn("_slice", F.pmod(F.xxhash64("_qid"), F.col("_slices")).cast("int"))
-        .withColumn("_chunk", seq("_chunks"))
+        .withColumn("_chunk", _each("_chunks"))
         .select("_cell", "_chunk", "_slice", "_qid", "_x")
     )
     keys = ["_cell", "_chunk", "_slice"]

@@ -15,6 +15,7 @@ from riskloom.functions.text import (
     code_tokens,
     explode_tokens,
     text_or_empty,
+    word_char_grams,
     word_grams,
     words,
 )
@@ -133,12 +134,12 @@ def vocab_chars(
 
     Within words, each distinct word of a document is cut once.
     """
-    body = F.col("_t")
-    cut = docs.select(text_or_empty(text).alias("_t"))
+    body = text_or_empty(text)
     if word_bound:
-        cut = cut.select(F.concat_ws(" ", F.array_distinct(words(body))).alias("_t"))
-    counts = doc_frequency(cut, char_grams(body, min_n, max_n, word_bound, whole_word))
-    return select_vocab(counts, docs.count, **select)
+        grams = word_char_grams(F.array_distinct(words(body)), min_n, max_n, whole_word)
+    else:
+        grams = char_grams(body, min_n, max_n, False, whole_word)
+    return select_vocab(doc_frequency(docs, grams), docs.count, **select)
 
 
 def merge_counts(*counts: DataFrame) -> DataFrame:

@@ -288,7 +288,7 @@ def wide_runs(spark, sf):
 
 @query("unpivot_results", _unpivot_sql())
 def _unpivot(spark, sf):
-    return unpivot_results(wide_runs(spark, sf).withColumnRenamed("pred_time", "predtime")).withColumnRenamed("predtime", "pred_time")
+    return unpivot_results(wide_runs(spark, sf))
 
 
 @query(
@@ -642,9 +642,8 @@ def _compare(spark, sf):
 
 @query(
     "align_stats",
-    """SELECT scenario, avg(value) AS mean_a, NULL::DOUBLE AS skip FROM (SELECT event_type AS scenario, CAST(event_id AS DOUBLE) AS value FROM events) GROUP BY 1""".replace(
-        "NULL::DOUBLE AS skip", "count(*) AS n, max(value) AS top"
-    ),
+    """SELECT scenario, avg(value) AS mean_a, count(*) AS n, max(value) AS top
+    FROM (SELECT event_type AS scenario, CAST(event_id AS DOUBLE) AS value FROM events) GROUP BY 1""",
 )
 def _align(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("scenario"), F.col("event_id").cast("double").alias("value"))
@@ -686,9 +685,8 @@ VECTOR_ORDER = [*CODES, "cvss2_severity"]
     "vector_parts",
     f"""WITH v AS (SELECT o_orderstatus, string_split({_vector_sql('o_orderkey')}, '/') || [{_band_sql('s')}] AS p
                    FROM (SELECT *, {_score_sql('o_orderkey')} AS s FROM orders))
-    SELECT o_orderstatus, unnest({VECTOR_ORDER!r}) AS task, unnest(p) AS part, count(*) AS n FROM v GROUP BY ALL""".replace(
-        "SELECT o_orderstatus, unnest", "SELECT o_orderstatus, task, part, count(*) AS n FROM (SELECT o_orderstatus, unnest"
-    ).replace("AS part, count(*) AS n FROM v GROUP BY ALL", "AS part FROM v) GROUP BY ALL"),
+    SELECT o_orderstatus, task, part, count(*) AS n
+    FROM (SELECT o_orderstatus, unnest({VECTOR_ORDER!r}) AS task, unnest(p) AS part FROM v) GROUP BY ALL""",
 )
 def _parts(spark, sf):
     v = table(spark, sf, "orders").select("o_orderstatus", F.inline(vector_parts(_vector("o_orderkey"))))
@@ -731,15 +729,12 @@ def _compare_vector_sql() -> str:
     parts AS (SELECT classifier, unnest({VECTOR_ORDER!r}) AS task, unnest(t) AS truth, unnest(p) AS pred FROM vec),"""
     base = _task_labels_sql()
     return f"""WITH {base}, {parts} {metrics_sql('parts', 'classifier, task')},
-    lone AS (SELECT l_linestatus AS classifier, 'cvss2_auth' AS task, 0 AS z FROM lineitem WHERE false),
     whole AS (SELECT o_orderstatus AS classifier, CAST(count(*) AS DOUBLE) AS f1, CAST(min(o_custkey) AS DOUBLE) AS mcc FROM orders GROUP BY 1),
     single AS (SELECT o_orderstatus AS classifier, {VECTOR_ORDER!r}[CAST(o_custkey % 5 + 1 AS INTEGER)] AS task,
       CAST(count(*) AS DOUBLE) AS f1, CAST(max(o_custkey) AS DOUBLE) AS mcc FROM orders GROUP BY ALL)
     SELECT s.classifier, s.task, round(s.f1, 8) AS f1_individual, round(s.mcc, 8) AS mcc_individual, w.f1, w.mcc,
       coalesce(g.f1, 0) AS f1_task, coalesce(g.mcc, 0) AS mcc_task
-    FROM scored s JOIN whole w USING (classifier) LEFT JOIN single g USING (classifier, task)""".replace(
-        "lone AS (SELECT l_linestatus AS classifier, 'cvss2_auth' AS task, 0 AS z FROM lineitem WHERE false),\n    ", ""
-    )
+    FROM scored s JOIN whole w USING (classifier) LEFT JOIN single g USING (classifier, task)"""
 
 
 @query("compare_vector", _compare_vector_sql())
