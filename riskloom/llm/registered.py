@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from riskloom.llm import toxicity
+from riskloom.llm import decontamination, simhash, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op8_simhash": simhash.op8_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_decontamination": decontamination.OP2_SQL}
