@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,29 +31,32 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, per_class: int, train: Column | None = None
-) -> DataFrame:
-    """(text, label) of at most ``per_class`` labelled documents of each class, the same on every run.
+def sample_of_classes(docs: DataFrame, labels: DataFrame, classes: Iterable[int], per_class: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` documents of each class, the same on every run.
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and ``label`` (0 or 1). ``train`` restricts the
-    documents by a condition on doc_id. Ids are drawn in the order of their hash, before any text is
-    read; rows without an id or a label teach nothing, an id labelled twice counts by its larger label,
-    an id with several texts gives its smallest. The ids drawn are at most 2 * ``per_class`` rows, so
-    they may be broadcast.
+    ``docs`` has doc_id and text, ``labels`` doc_id and _y, the class. Ids are drawn in the order of their
+    hash, before any text is read; rows without an id or a class teach nothing, an id with several classes
+    counts by the largest, an id with several texts gives its smallest. The ids drawn are at most
+    ``per_class`` for each class, so they are broadcast.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("_y")).dropna()
-    ids = ids.where(train) if train is not None else ids
-    ids = ids.groupBy("doc_id").agg(F.max("_y").alias("_y"))
+    ids = labels.select("doc_id", "_y").dropna().groupBy("doc_id").agg(F.max("_y").alias("_y"))
     known = ids.join(docs.select("doc_id").dropna().distinct(), "doc_id")
-    parts = [
-        known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)
-    ]
-    drawn = F.broadcast(parts[0].unionByName(parts[1]))
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
+    drawn = None
+    for y in classes:
+        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("label"))
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, train: Column | None = None
+) -> DataFrame:
+    """``sample_of_classes`` for a 0/1 ``label``, of the documents for which ``train`` (on doc_id) holds."""
+    ids = labels.select("doc_id", F.col(label).cast("int").alias("_y"))
+    return sample_of_classes(docs, ids.where(train) if train is not None else ids, (0, 1), per_class)
+
+
 def class_counts(labels: DataFrame, label: str, train: Column | None = None) -> tuple[int, int]:
     """How many ids of ``labels`` have class 0 and class 1."""
     ids = labels.select("doc_id", F.col(label).cast("int").alias("_y")).dropna()

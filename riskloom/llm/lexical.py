@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside the word itself.
@@ -77,25 +79,44 @@ class SparseModel:
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and values of ragged rows."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    values = np.concatenate(rows).astype(np.int64) if len(rows) and lengths.sum() else np.zeros(0, np.int64)
+    values = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
     return np.repeat(np.arange(len(rows)), lengths), values
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray, k: int, least_df: int, chi2: float) -> np.ndarray:
-    """Features that at least ``least_df`` rows hold and whose chi-square against some class reaches ``chi2``."""
-    r, f = _flat(rows)
-    ids, at = np.unique(f, return_inverse=True)
-    n, keep = len(rows), np.zeros(len(ids), bool)
-    df = np.bincount(at, minlength=len(ids)).astype(float)
+def telling(sample: DataFrame, k: int, least_df: int, chi2: float) -> np.ndarray:
+    """Features that at least ``least_df`` rows hold and whose chi-square against some class reaches ``chi2``.
+
+    ``sample`` has label (0 to k - 1) and features (distinct within a row). Counting is a Spark aggregation;
+    only the chosen features come to the driver.
+    """
+    size = dict(sample.groupBy("label").count().collect())
+    n = sum(size.values())
+    held = sample.select("label", F.explode("features").alias("f")).groupBy("f")
+    counts = held.agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in range(k)])
+    df = sum((F.col(f"n{c}") for c in range(1, k)), F.col("n0"))
+    told = F.lit(False)
     for c in range(k):
-        inside = y == c
-        a = np.bincount(at[inside[r]], minlength=len(ids)).astype(float)
-        n1 = inside.sum()
-        b, c0, d = df - a, n1 - a, n - n1 - (df - a)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = n * (a * d - b * c0) ** 2 / (n1 * (n - n1) * df * (n - df))
-        keep |= np.nan_to_num(stat) >= chi2
-    return ids[keep & (df >= least_df)]
+        n1, a = float(size.get(c, 0)), F.col(f"n{c}").cast("double")
+        if 0 < n1 < n:
+            off = a * (n - n1 - df + a) - (df - a) * (n1 - a)
+            told = told | (off * off * n >= chi2 * n1 * (n - n1) * df * (n - df))
+    chosen = counts.where((df >= least_df) & (df < n) & told).select("f").collect()
+    return np.array(sorted(r.f for r in chosen), dtype=np.int64)
+
+
+def restricted(sample: DataFrame, ids: np.ndarray, names: list[str]) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
+    """Labels, and per column of ``names`` the rows' features that are among ``ids``, on the driver."""
+
+    def cut(batches):
+        for pdf in batches:
+            for name in names:
+                pdf[name] = [np.asarray(x, np.int64)[np.isin(x, ids)].tobytes() for x in pdf[name]]
+            yield pdf
+
+    blobs = ", ".join(f"{n} binary" for n in names)
+    got = sample.select("label", *names).mapInPandas(cut, f"label int, {blobs}").collect()
+    rows = {n: [np.frombuffer(bytes(r[n]), np.int64) for r in got] for n in names}
+    return np.array([r.label for r in got], dtype=np.int64), rows
 
 
 def columns(rows: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

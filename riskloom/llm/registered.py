@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, simhash, toxicity
+from riskloom.llm import decontamination, mixing, simhash, token_store, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op4_token_store": token_store.op4_token_store,
+    "op6_mixing": mixing.op6_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
