@@ -21,7 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import class_counts, fold_of, labelled_sample, table
-from riskloom.llm.lexical import SparseModel, columns, fit_softmax, telling, text_features, words_of
+from riskloom.llm.lexical import (
+    SparseModel,
+    columns,
+    fit_softmax,
+    restricted,
+    telling,
+    text_features,
+    words_of,
+)
+from riskloom.session import materialise
 
 #: Identity terms by kind; a swap takes the next term of the kind.
 IDENTITY_TERMS = (
@@ -73,8 +82,7 @@ def _featurise(terms):
                             b = set(text_features(swapped(before, terms)).tolist())
                             lost |= a - b
                             won |= b - a
-                blobs = [text_features(words_of(text)), sorted(lost - won), sorted(won - lost)]
-                out.append((int(y), *(np.array(x, dtype=np.uint32).tobytes() for x in blobs)))
+                out.append((int(y), text_features(words_of(text)), sorted(lost - won), sorted(won - lost)))
             yield pd.DataFrame(out, columns=["label", "features", "lost", "won"])
 
     return rows
@@ -91,21 +99,16 @@ def fit(
 ) -> ToxicityModel:
     """Learn from at most ``per_class`` labelled documents of each class for which ``train`` holds."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, label, per_class, train)
-    got = (
-        sample.select("text", "label")
-        .mapInPandas(_featurise(terms), "label int, features binary, lost binary, won binary")
-        .collect()
-    )
-    y = np.array([r.label for r in got], dtype=np.int64)
-    unpack = lambda name: [np.frombuffer(bytes(r[name]), np.uint32).astype(np.int64) for r in got]
+    kind = "label int, features array<bigint>, lost array<bigint>, won array<bigint>"
+    sample = materialise(sample.select("text", "label").mapInPandas(_featurise(terms), kind), "sample")
     n0, n1 = class_counts(labels, label, train)
     true = np.log((n1 + 0.5) / (n0 + 0.5 if n0 + n1 else 1.5))
+    ids = telling(sample, 2, least_df=6, chi2=20.0)
+    y, rows = restricted(sample, ids, ["features", "lost", "won"])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(SparseModel(np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(2)), float(true))
-    x = unpack("features")
-    ids = telling(x, y, 2, least_df=6, chi2=20.0)
-    lost, won = unpack("lost"), unpack("won")
-    with_pair = [i for i in range(len(got)) if len(lost[i]) or len(won[i])]
+    x, lost, won = rows["features"], rows["lost"], rows["won"]
+    with_pair = [i for i in range(len(y)) if len(lost[i]) or len(won[i])]
     (p0, c0), (p1, c1) = (columns([side[i] for i in with_pair], ids) for side in (lost, won))
     sign = np.concatenate([-np.ones(len(c0)), np.ones(len(c1))])
     pairs = (np.concatenate([p0, p1]), np.concatenate([c0, c1]), sign, len(with_pair))
