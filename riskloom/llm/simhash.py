@@ -17,8 +17,14 @@ other, those with two flips within 3 of the first. Links are verified by their b
 Copies cost nothing: equal fingerprints are merged before the search, so a variant is shared by at most
 2,081 of them, whatever a group of copies holds.
 
+``drop_near_duplicates`` also finds copies that differ in more bits: fingerprints of a text's distinct
+words, under several hash functions, change less with an edit than those of shingles. The same search over
+them gives candidates, and a candidate counts if the five-word shingles of the two texts have a similarity
+(Jaccard) of ``similarity`` or more.
+
 NULL and empty texts have no words and the fingerprint zero, linked like any other. The documents of a
-component whose ids are all NULL have a NULL component id.
+component whose ids are all NULL have a NULL component id. Further columns are carried by the dropping
+operator and ignored by the others.
 """
 
 from __future__ import annotations
@@ -84,10 +90,24 @@ def majority_bits(lists: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = pa.array(majority_bits(batch.column("hashes")), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("whole"), fp], ["doc_id", "whole", "fp"])
+def _mixed(lists: pa.Array, seed: int) -> pa.Array:
+    """The hashes under another hash function (a finaliser of 64-bit integers, as in SplitMix)."""
+    h = lists.values.to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return pa.ListArray.from_arrays(lists.offsets, pa.array((h ^ (h >> np.uint64(31))).view(np.int64)))
+
+
+def _fingerprint_batches(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(n) for n in ("doc_id", "whole", "node")}
+            cols["fp"] = pa.array(majority_bits(batch.column("hashes")), pa.int64())
+            for i in range(tables):
+                cols[f"f{i}"] = pa.array(majority_bits(_mixed(batch.column("words"), i)), pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return run
 
 
 def _spots(fp: Column) -> Column:
@@ -191,12 +211,27 @@ def classes(fingerprints: DataFrame) -> DataFrame:
     return components(links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """Pinned table (doc_id, whole, fp): whole is a hash of all columns of the row."""
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c, _ in docs.dtypes])
-    table_ = docs.select("doc_id", whole.alias("whole"), shingle_hashes(F.col("text"), shingle).alias("hashes"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return materialise(table_.mapInArrow(_fingerprint_batches, f"doc_id {id_type}, whole bigint, fp bigint"), "simhash")
+def whole_row(docs: DataFrame) -> Column:
+    """Hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, _ in docs.dtypes])
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def with_fingerprints(docs: DataFrame, shingle: int, tables: int = 0) -> DataFrame:
+    """Pinned table (doc_id, whole, node, fp, f0, ...): whole is a hash of the row, node one of the text, fp
+    the fingerprint of its shingles, f0 and on those of its distinct words under ``tables`` hash functions."""
+    words = F.array_distinct(split_words(ascii_lower(F.col("text"))))
+    words = F.transform(words, lambda w: F.xxhash64(w)) if tables else F.array().cast("array<bigint>")
+    found = docs.select(
+        "doc_id", whole_row(docs).alias("whole"), text_key(F.col("text")).alias("node"),
+        shingle_hashes(F.col("text"), shingle).alias("hashes"), words.alias("words"),
+    )
+    spec = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole bigint, node string, fp bigint"
+    spec += "".join(f", f{i} bigint" for i in range(tables))
+    return materialise(found.mapInArrow(_fingerprint_batches(tables), spec), "simhash")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -210,27 +245,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", "whole", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each component of ``docs``, unchanged: that with the smallest id.
+def candidates(texts: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) of texts (column node) that may be near by the fingerprints in ``column``.
 
-    Ids come first in order, NULL last; rows with the same id go by a hash of the whole row, and of
-    entirely equal rows one stays.
+    Texts with one fingerprint are paired with the first of them, and the firsts of linked fingerprints with
+    each other: as many pairs as texts and links, however large a group is.
     """
-    rows = with_fingerprints(docs, shingle)
-    rooted = rows.join(classes(rows), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = materialise(texts.groupBy(F.col(column).alias("fp")).agg(F.min("node").alias("head")), "heads")
+    same = texts.select("node", F.col(column).alias("fp")).join(heads, "fp").where("node <> head")
+    pairs = links(heads.select("fp"))
+    for end in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), end)
+    return same.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
+        pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    )
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """The ``pairs`` (a, b) of texts whose ``shingle``-word shingles have at least that Jaccard similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(text_key(F.col("text")).alias("node"), "text").join(ends, "node", "left_semi")
+    sets = texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("set"))
+    sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    near = common >= similarity * (F.size("x") + F.size("y") - common)
+    return both.where(near).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 4, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies in ``docs``, unchanged: that with the smallest id.
+
+    Texts are near if their ``shingle``-word fingerprints link as in ``near_duplicates``, or if they are
+    candidates by one of ``tables`` fingerprints of their words and have ``similarity``. Ids come first in
+    order, NULL last; rows with the same id go by a hash of the whole row, and of entirely equal rows one
+    stays.
+    """
+    rows = with_fingerprints(docs, shingle, tables)
+    names = ["fp", *(f"f{i}" for i in range(tables))]
+    texts = materialise(rows.groupBy("node").agg(*[F.first(n).alias(n) for n in names]), "texts")
+    rooted = texts.join(classes(texts), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("node").alias("head"))
+    edges = rooted.join(first, "root").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    if tables:
+        pairs = candidates(texts, "f0")
+        for i in range(1, tables):
+            pairs = pairs.unionByName(candidates(texts, f"f{i}"))
+        pairs = materialise(pairs.distinct(), "candidates")
+        edges = edges.unionByName(verified(docs.select("text"), pairs, similarity))
+    group = components(edges)
+    placed = rows.select("doc_id", "whole", "node").join(group, "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
-    kept = rooted.groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.whole", F.lit(True).alias("kept"))
+    kept = placed.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(order).alias("o"))
+    kept = kept.select("o.doc_id", "o.whole", F.lit(True).alias("kept"))
     times = rows.groupBy("doc_id", "whole").agg(F.count("*").alias("times"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["whole"] == b["whole"])
-    lost = materialise(
-        times.join(kept, on(times, kept), "left").where(F.col("kept").isNull() | (F.col("times") > 1))
-        .select(times["doc_id"], times["whole"], F.col("kept").isNotNull().alias("kept")),
-        "lost",
-    )
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c, _ in docs.dtypes]).alias("whole"))
+    lost = times.join(kept, on(times, kept), "left").where(F.col("kept").isNull() | (F.col("times") > 1))
+    lost = materialise(lost.select(times["doc_id"], times["whole"], F.col("kept").isNotNull().alias("kept")), "lost")
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", whole_row(docs).alias("whole"))
     single = keyed.join(lost, on(keyed, lost), "left_anti").select("row.*")
-    repeated = lost.where("kept")
-    some = keyed.join(repeated, on(keyed, repeated), "left_semi").dropDuplicates(["doc_id", "whole"]).select("row.*")
+    again = lost.where("kept")
+    some = keyed.join(again, on(keyed, again), "left_semi").dropDuplicates(["doc_id", "whole"]).select("row.*")
     return single.unionByName(some)
 
 
