@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, mixing, simhash, token_store, toxicity
+from riskloom.llm import decontamination, mixing, quality_rules, simhash, token_store, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
     "op4_token_store": token_store.op4_token_store,
     "op6_mixing": mixing.op6_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op2_decontamination": decontamination.OP2_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}
