@@ -1,13 +1,14 @@
 """Quality rules that vote: weak supervision without labels, in DataFrame operations only.
 
 Each rule votes for a document (1), against it (0) or abstains (NULL). Expectation-maximisation estimates
-the share of good documents and, for each rule, how often it is right about good and about bad ones. The
-posterior probability that a document is good replaces an all-must-pass filter: it is kept from 0.5 on.
+the share of good documents and each rule's accuracy: how often its votes are right. The posterior
+probability that a document is good replaces an all-must-pass filter: it is kept from 0.5 on.
 
 Documents with equal votes have equal posteriors, so the iterations run over the table of vote patterns (at
 most 3 to the number of rules, whatever the corpus holds) with their counts, which come from all documents.
-An iteration is one aggregation to a few sums. Accuracies carry a weak prior and stay above one half, so no
-rule can turn into its opposite; without documents they stay where they began.
+An iteration is one aggregation to a few sums. Share and accuracies have a prior that weighs as much as the
+data, since without labels a rule that mostly votes alone could not be told from a wrong one; accuracies
+stay above one half, so no rule turns into its opposite. Without documents they stay where they began.
 
 A text without words (NULL and empty ones too) fails the base rules and is not kept. Repeated rows count
 each.
@@ -27,19 +28,25 @@ from riskloom.session import materialise
 
 #: name: (against it if, for it if), in SQL over the counts of ``statistics``; neither is an abstention.
 RULES = {
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0 AND n_words >= 20"),
-    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words AND n_words >= 20"),
-    "capitals": ("100 * n_upper > 30 * word_chars", "100 * n_upper <= 10 * word_chars AND n_words >= 20"),
-    "word_length": ("2 * word_chars < 5 * n_words OR word_chars > 14 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
-    "sentences": ("80 * n_marks < n_words OR n_marks > n_words", "40 * n_marks >= n_words AND 2 * n_marks <= n_words"),
-    "vocabulary": ("100 * n_distinct < 20 * n_words", "100 * n_distinct >= 35 * n_words AND n_words >= 20"),
-    "lines": ("3 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines >= 2"),
-    "length": ("n_words < 20", "n_words >= 50"),
-    "bars": ("20 * n_bars > n_words", "n_bars = 0 AND n_words >= 50"),
-}
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "FALSE"),
+    "symbols": ("10 * n_symbols > n_words", "FALSE"),
+    "endings": ("5 * n_odd > n_words", "FALSE"),
+    "bars": ("20 * n_bars > n_words", "FALSE"),
+    "capitals": ("100 * n_upper > 30 * word_chars", "FALSE"),
+    "marks": ("2 * n_marks > n_words", "FALSE"),
+    "sentences": ("n_words >= 20 AND 100 * n_marks < n_words", "FALSE"),
+    "vocabulary": ("n_words >= 20 AND 100 * n_distinct < (CASE WHEN n_words < 1000 THEN 35 ELSE 15 END) * n_words", "FALSE"),
+    "lines": ("3 * n_dup_lines > n_lines", "FALSE"),
+    "word_length": ("2 * word_chars < 5 * n_words OR word_chars > 14 * n_words", "FALSE"),
+    "prose": (
+        "FALSE",
+        "40 * n_marks >= n_words AND 4 * n_marks <= n_words AND 50 * n_symbols <= n_words "
+        "AND 100 * n_upper <= 15 * word_chars AND 20 * n_repeat_words <= n_words",
+    ),
+}
 ROUNDS = 20
-#: Where share and accuracies begin, and how many votes the prior of an accuracy counts for.
-START_SHARE, START_RIGHT, PRIOR_VOTES = 0.8, 0.8, 10.0
+#: Where share and accuracies begin. The prior counts as many rows or votes as there are, and SURE more.
+START_SHARE, START_RIGHT, SURE = 0.85, 0.9, 10.0
 LOWEST, HIGHEST = 0.55, 0.999
 
 Estimate = dict[str, float]
@@ -52,17 +59,15 @@ def votes(counts: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataF
 
 
 def start(names: Sequence[str]) -> Estimate:
-    right = {f"{side}_{n}": START_RIGHT for n in names for side in ("good", "bad")}
-    return {"share": START_SHARE, **right}
+    return {"share": START_SHARE, **{f"right_{n}": START_RIGHT for n in names}}
 
 
 def posterior(names: Sequence[str], e: Estimate) -> Column:
     """Probability of being good, given the votes and an estimate."""
     z = F.lit(math.log(e["share"] / (1 - e["share"])))
     for n in names:
-        pro = math.log(e[f"good_{n}"] / (1 - e[f"bad_{n}"]))
-        con = math.log((1 - e[f"good_{n}"]) / e[f"bad_{n}"])
-        z = z + F.when(F.col(f"v_{n}") == 1, pro).when(F.col(f"v_{n}") == 0, con).otherwise(0.0)
+        weight = math.log(e[f"right_{n}"] / (1 - e[f"right_{n}"]))
+        z = z + F.when(F.col(f"v_{n}") == 1, weight).when(F.col(f"v_{n}") == 0, -weight).otherwise(0.0)
     return 1.0 / (1.0 + F.exp(-z))
 
 
@@ -70,23 +75,21 @@ def estimate(voted: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> Es
     """Expectation-maximisation over the vote patterns of ``voted``."""
     patterns = materialise(voted.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").alias("n")), "patterns")
     e = start(names)
+    q = F.col("q")
     for _ in range(rounds):
-        good = F.col("n") * F.col("q")
-        bad = F.col("n") * (1.0 - F.col("q"))
-        sums = [F.sum(good).alias("good"), F.sum("n").alias("n")]
+        sums = [F.sum(F.col("n") * q).alias("good"), F.sum("n").alias("n")]
         for n in names:
             v = F.col(f"v_{n}")
-            sums += [
-                F.sum(F.when(v == 1, good)).alias(f"good_right_{n}"), F.sum(F.when(v.isNotNull(), good)).alias(f"good_{n}"),
-                F.sum(F.when(v == 0, bad)).alias(f"bad_right_{n}"), F.sum(F.when(v.isNotNull(), bad)).alias(f"bad_{n}"),
-            ]
+            agreed = F.when(v == 1, F.col("n") * q).when(v == 0, F.col("n") * (1.0 - q))
+            sums += [F.sum(agreed).alias(f"right_{n}"), F.sum(F.when(v.isNotNull(), F.col("n"))).alias(f"cast_{n}")]
         got = patterns.withColumn("q", posterior(names, e)).agg(*sums).first()
-        right = lambda hits, all_: min(max(((hits or 0.0) + PRIOR_VOTES * START_RIGHT) / ((all_ or 0.0) + PRIOR_VOTES), LOWEST), HIGHEST)
-        share = ((got.good or 0.0) + PRIOR_VOTES * START_SHARE) / ((got.n or 0) + PRIOR_VOTES)
-        e = {"share": min(max(share, 0.01), 0.99)}
+
+        def blend(hits: float | None, count: int | None, prior: float) -> float:
+            return ((hits or 0.0) + ((count or 0) + SURE) * prior) / (2 * (count or 0) + SURE)
+
+        e = {"share": min(max(blend(got.good, got.n, START_SHARE), 0.01), 0.99)}
         for n in names:
-            for side in ("good", "bad"):
-                e[f"{side}_{n}"] = right(got[f"{side}_right_{n}"], got[f"{side}_{n}"])
+            e[f"right_{n}"] = min(max(blend(got[f"right_{n}"], got[f"cast_{n}"], START_RIGHT), LOWEST), HIGHEST)
     return e
 
 
@@ -106,31 +109,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _score_sql(names: Sequence[str]) -> str:
+    """Log-odds of being good, given the votes and an estimate."""
+    weights = [f"CASE v_{n} WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END * ln(right_{n} / (1 - right_{n}))" for n in names]
+    return " + ".join(["ln(share / (1 - share))", *weights])
+
+
 def _round_sql(i: int, names: Sequence[str]) -> str:
     """One iteration: posteriors from the estimate e{i}, then e{i + 1}."""
-    z = " + ".join(
-        ["ln(share / (1 - share))"]
-        + [f"CASE v_{n} WHEN 1 THEN ln(good_{n} / (1 - bad_{n})) WHEN 0 THEN ln((1 - good_{n}) / bad_{n}) ELSE 0 END" for n in names]
-    )
-    right = lambda hits, all_: f"least(greatest((coalesce({hits}, 0) + {PRIOR_VOTES * START_RIGHT}) / (coalesce({all_}, 0) + {PRIOR_VOTES}), {LOWEST}), {HIGHEST})"
-    cols = [f"least(greatest((coalesce(sum(n * q), 0) + {PRIOR_VOTES * START_SHARE}) / (coalesce(sum(n), 0) + {PRIOR_VOTES}), 0.01), 0.99) AS share"]
+
+    def blend(hits: str, count: str, prior: float, low: float, high: float) -> str:
+        value = f"(coalesce({hits}, 0) + (coalesce({count}, 0) + {SURE}) * {prior}) / (2 * coalesce({count}, 0) + {SURE})"
+        return f"least(greatest({value}, {low}), {high})"
+
+    cols = [blend("sum(n * q)", "sum(n)", START_SHARE, 0.01, 0.99) + " AS share"]
     for n in names:
-        cols.append(right(f"sum(n * q) FILTER (v_{n} = 1)", f"sum(n * q) FILTER (v_{n} IS NOT NULL)") + f" AS good_{n}")
-        cols.append(right(f"sum(n * (1 - q)) FILTER (v_{n} = 0)", f"sum(n * (1 - q)) FILTER (v_{n} IS NOT NULL)") + f" AS bad_{n}")
+        agreed = f"sum(n * CASE v_{n} WHEN 1 THEN q WHEN 0 THEN 1 - q END)"
+        cast = f"sum(n) FILTER (v_{n} IS NOT NULL)"
+        cols.append(blend(agreed, cast, START_RIGHT, LOWEST, HIGHEST) + f" AS right_{n}")
     votes_ = ", ".join(f"v_{n}" for n in names)
-    return f"""q{i} AS MATERIALIZED (SELECT {votes_}, n, 1 / (1 + exp(-({z}))) AS q FROM patterns, e{i}),
+    return f"""q{i} AS MATERIALIZED (SELECT {votes_}, n, 1 / (1 + exp(-({_score_sql(names)}))) AS q FROM patterns, e{i}),
 e{i + 1} AS MATERIALIZED (SELECT {", ".join(cols)} FROM q{i})"""
 
 
 def _op1_sql() -> str:
     names = list(RULES)
     votes_ = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 END AS v_{n}" for n, (bad, good) in RULES.items())
-    begin = ", ".join([f"{START_SHARE} :: DOUBLE AS share"] + [f"{START_RIGHT} :: DOUBLE AS {side}_{n}" for n in names for side in ("good", "bad")])
+    begin = ", ".join([f"{START_SHARE} :: DOUBLE AS share"] + [f"{START_RIGHT} :: DOUBLE AS right_{n}" for n in names])
     rounds = ",\n".join(_round_sql(i, names) for i in range(ROUNDS))
-    z = " + ".join(
-        ["ln(share / (1 - share))"]
-        + [f"CASE v_{n} WHEN 1 THEN ln(good_{n} / (1 - bad_{n})) WHEN 0 THEN ln((1 - good_{n}) / bad_{n}) ELSE 0 END" for n in names]
-    )
+    z = _score_sql(names)
     lost = lambda chars: f"length(t) - length(regexp_replace(t, '{chars}', '', 'g'))"
     return f"""
 WITH texts AS (
@@ -147,7 +154,8 @@ counts AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
          {lost("[#*$%&|<>]")} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
-         {lost("[A-Z]")} AS n_upper, {lost("[.!?]")} AS n_marks, len(list_filter(w, lambda x: x = '|')) AS n_bars
+         {lost("[A-Z]")} AS n_upper, {lost("[.!?]")} AS n_marks, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) AS n_odd,
+         len(list_filter(w, lambda x: x = '|')) AS n_bars
   FROM texts LEFT JOIN repeated USING (r)),
 voted AS MATERIALIZED (SELECT *, {votes_} FROM counts),
 patterns AS MATERIALIZED (SELECT {", ".join(f"v_{n}" for n in names)}, count(*) AS n FROM voted GROUP BY ALL),

@@ -14,7 +14,7 @@ REPEAT_WINDOW = 8
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_chars_all", "longest", "n_bars",
+    "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_chars_all", "longest", "n_bars", "n_odd",
 )
 
 
@@ -74,4 +74,5 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(t).cast("bigint").alias("n_chars_all"),
         F.coalesce(F.array_max(F.transform("_w", lambda w: F.length(w))), F.lit(0)).cast("bigint").alias("longest"),
         size(F.filter("_w", lambda w: w == "|")).alias("n_bars"),
+        size(F.filter("_w", lambda w: F.instr(F.lit(SYMBOLS), F.right(w, F.lit(1))) > 0)).alias("n_odd"),
     )
