@@ -83,8 +83,9 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), lengths), values
 
 
-def telling(sample: DataFrame, k: int, least_df: int, chi2: float) -> np.ndarray:
-    """Features that at least ``least_df`` rows hold and whose chi-square against some class reaches ``chi2``.
+def telling(sample: DataFrame, k: int, least_df: int, chi2: float, most: int = 20_000) -> np.ndarray:
+    """Features that at least ``least_df`` rows hold and whose chi-square against some class reaches ``chi2``;
+    of more than ``most`` those with the largest.
 
     ``sample`` has label (0 to k - 1) and features (distinct within a row). Counting is a Spark aggregation;
     only the chosen features come to the driver.
@@ -94,13 +95,14 @@ def telling(sample: DataFrame, k: int, least_df: int, chi2: float) -> np.ndarray
     held = sample.select("label", F.explode("features").alias("f")).groupBy("f")
     counts = held.agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in range(k)])
     df = sum((F.col(f"n{c}") for c in range(1, k)), F.col("n0"))
-    told = F.lit(False)
+    stats = [F.lit(0.0)]
     for c in range(k):
         n1, a = float(size.get(c, 0)), F.col(f"n{c}").cast("double")
         if 0 < n1 < n:
             off = a * (n - n1 - df + a) - (df - a) * (n1 - a)
-            told = told | (off * off * n >= chi2 * n1 * (n - n1) * df * (n - df))
-    chosen = counts.where((df >= least_df) & (df < n) & told).select("f").collect()
+            stats.append(off * off * n / (n1 * (n - n1) * df * (n - df)))
+    held = counts.where((df >= least_df) & (df < n)).select("f", F.greatest(*stats, F.lit(0.0)).alias("stat"))
+    chosen = held.where(F.col("stat") >= chi2).orderBy(F.desc("stat"), "f").limit(most).select("f").collect()
     return np.array(sorted(r.f for r in chosen), dtype=np.int64)
 
 

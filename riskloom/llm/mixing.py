@@ -31,6 +31,8 @@ from riskloom.llm.lexical import SparseModel, fit_softmax, restricted, softmax,
 from riskloom.session import materialise
 
 MAX_DOMAINS = 64
+#: Features of the domain classifier.
+FEATURES = 400
 #: Shares of the tokens that each language should have.
 TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
@@ -69,7 +71,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str, per_domain: int
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label).cast("string")).cast("int") - 1
     sample = sample_of_classes(docs, labels.select("doc_id", at.alias("_y")), range(len(names)), per_domain)
     sample = materialise(sample.select("text", "label").mapInPandas(_featurise, "label int, features array<bigint>"), "sample")
-    ids = telling(sample, len(names), least_df=40, chi2=150.0)
+    ids = telling(sample, len(names), least_df=20, chi2=50.0, most=FEATURES)
     y, rows = restricted(sample, ids, ["features"])
     if not len(y):
         return DomainModel(["all"], none)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, mixing, quality_rules, simhash, token_store, toxicity
+from riskloom.llm import decontamination, mixing, quality_rules, quality_trees, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_store": token_store.op4_token_store,
     "op6_mixing": mixing.op6_mixing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality_trees": quality_trees.op9_quality_trees,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}

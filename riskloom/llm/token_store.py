@@ -26,9 +26,11 @@ id alone. A text of any length lies in one shard. An empty table is an empty sto
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -74,35 +77,39 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        """Empty the memory: words by number, and where each number's ids lie in the pool."""
         self.at: dict[str, int] = {"": 0}
-        self.start, self.length = [0], [0]
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _add(self, words: list[str]) -> None:
-        # A word's closing punctuation is a piece of its own: letters and other signs never share one.
-        stems = [w.rstrip(_MARKS) for w in words]
-        parts = [(s, w[len(s) :]) if s and s[-1].isalpha() else (w, "") for s, w in zip(stems, words, strict=True)]
-        new = list(dict.fromkeys(x for pair in parts for x in pair if x not in self.at))
-        for piece, got in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self._put(piece, got.ids)
-        for word, (a, b) in zip(words, parts, strict=True):
-            if word not in self.at:
-                self._put(word, np.concatenate([self._ids(a), self._ids(b)]))
-
-    def _ids(self, word: str) -> np.ndarray:
-        i = self.at[word]
-        return self.pool[self.start[i] : self.start[i] + self.length[i]]
-
-    def _put(self, word: str, ids) -> None:
+    def _put(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        n, m = len(self.at), len(words)
+        while n + m > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.at[word] = len(self.start)
-        self.start.append(self.used)
-        self.length.append(len(ids))
+        self.start[n : n + m] = self.used + np.cumsum(length) - length
+        self.length[n : n + m] = length
+        self.at.update(zip(words, range(n, n + m), strict=True))
         self.used += len(ids)
 
+    def _add(self, words: list[str]) -> None:
+        # A word's closing punctuation is a piece of its own: letters and other signs never share one.
+        stems = [w.rstrip(_MARKS) for w in words]
+        stems = [s if s and s[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
+        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        new = [x for x in dict.fromkeys(stems + tails) if x not in self.at]
+        got = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        self._put(new, np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length)
+        both = [(w, self.at[s], self.at[t]) for w, s, t in zip(words, stems, tails, strict=True) if t]
+        if both:
+            ends = np.array([x[1:] for x in both], np.int64)
+            length = self.length[ends]
+            ids = self.pool[ragged(self.start[ends].ravel(), length.ravel())]
+            self._put([x[0] for x in both], ids, length.sum(axis=1))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and the number of each text's ids."""
         if len(self.at) > REMEMBERED:
@@ -117,7 +124,7 @@ class Encoder:
             self._add(missing)
             at = list(map(self.at.__getitem__, flat))
         index = np.array(at, dtype=np.int64)
-        length, start = np.array(self.length)[index], np.array(self.start)[index]
+        length, start = self.length[index], self.start[index]
         ids = self.pool[ragged(start, length)]
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
         sizes = np.bincount(owner, length, minlength=len(texts)).astype(np.int64)
@@ -159,34 +166,42 @@ def repair(symbols: np.ndarray, first: int, rounds: int = MAX_ROUNDS, least: int
     """(symbols, rules): nonterminals from ``first`` on for pairs that occur at least ``least`` times."""
     rules = np.zeros((0, 2), np.uint32)
     for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        base = np.uint64(first + len(rules))
-        left, right = symbols[:-1].astype(np.uint64), symbols[1:].astype(np.uint64)
-        pair = left * base + right
-        open_ = (left != END_ID) & (right != END_ID) & (left != right)
+        base = first + len(rules)
+        # Two ids side by side as one number; of 32 bits as long as ids have 16.
+        bits, kind = (16, np.uint32) if base <= 1 << 16 else (32, np.uint64)
+        wide = symbols.astype(kind)
+        pair = (wide[:-1] << kind(bits)) | wide[1:]
+        open_ = (symbols[:-1] != END_ID) & (symbols[1:] != END_ID) & (symbols[:-1] != symbols[1:])
+        # A count per hash bucket bounds the count of each pair in it, which spares sorting most pairs.
+        bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        open_ &= np.bincount(bucket[open_], minlength=1 << 20)[bucket] >= least
         values, counts = np.unique(pair[open_], return_counts=True)
         often = counts >= least
         values, counts = values[often], counts[often]
-        order = np.lexsort((values, -counts))
+        left, right = values >> kind(bits), values & kind((1 << bits) - 1)
         side: dict[int, int] = {}
         chosen = []
-        for v in values[order].tolist():
-            a, b = divmod(v, int(base))
+        order = np.lexsort((values, -counts))
+        for i, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
             if side.get(a, 0) == 0 and side.get(b, 1) == 1:
                 side[a], side[b] = 0, 1
-                chosen.append(v)
+                chosen.append(i)
         if not chosen:
             break
-        keys = np.array(sorted(chosen), np.uint64)
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        hit = np.flatnonzero((keys[at] == pair) & open_)
+        chosen = np.sort(np.array(chosen))
+        keys = values[chosen]
+        begins, closes = np.zeros(base, bool), np.zeros(base, bool)
+        begins[left[chosen]], closes[right[chosen]] = True, True
+        may = np.flatnonzero(open_ & begins[symbols[:-1]] & closes[symbols[1:]])
+        at = np.minimum(np.searchsorted(keys, pair[may]), len(keys) - 1)
+        same = keys[at] == pair[may]
+        hit = may[same]
         out = symbols.copy()
-        out[hit] = first + len(rules) + at[hit]
+        out[hit] = base + at[same]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         symbols = out[keep]
-        rules = np.concatenate([rules, np.stack([keys // base, keys % base], axis=1).astype(np.uint32)])
+        rules = np.concatenate([rules, np.stack([left[chosen], right[chosen]], axis=1).astype(np.uint32)])
     return symbols, rules
 
 
