@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, mixing, quality_rules, quality_trees, simhash, token_store, toxicity, url_filter
+from riskloom.llm import decontamination, mixing, quality_rules, quality_trees, sharding, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_store": token_store.op4_token_store,
     "op6_mixing": mixing.op6_mixing,
+    "op7_hash_tree": sharding.op7_hash_tree,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_trees": quality_trees.op9_quality_trees,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}
+ORACLES = {"op7_hash_tree": sharding.OP7_SQL, "op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}
