@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, mixing, quality_rules, quality_trees, sharding, simhash, token_store, toxicity, url_filter
+from riskloom.llm import decontamination, licences, mixing, quality_rules, quality_trees, sharding, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_store": token_store.op4_token_store,
+    "op5_licences": licences.op5_licences,
     "op6_mixing": mixing.op6_mixing,
     "op7_hash_tree": sharding.op7_hash_tree,
     "op8_simhash": simhash.op8_simhash,
