@@ -274,7 +274,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     return both.where(near).select("a", "b")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 4, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 6, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies in ``docs``, unchanged: that with the smallest id.
 
     Texts are near if their ``shingle``-word fingerprints link as in ``near_duplicates``, or if they are

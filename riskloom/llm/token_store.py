@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,12 +46,12 @@ from riskloom.llm.common import table
 from riskloom.session import scratch_path
 
 END_ID = 1
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 MAX_ROUNDS = 8
 #: A pair is frequent if it occurs at least so often in its shard.
 LEAST = 16
-#: Characters that are encoded at a time, and words whose ids a worker remembers.
-BATCH_CHARS, REMEMBERED = 1 << 20, 1_000_000
+#: Bytes of text that are encoded at a time, and words whose ids a worker remembers.
+BATCH_CHARS, REMEMBERED = 1 << 20, 400_000
 
 _MAGIC, _HEAD = b"RPS1", struct.Struct("<4s6I")
 # A-Z to a-z and line feeds to spaces; the bytes of other characters stay.
@@ -279,19 +280,17 @@ def _encode_partition(path: str, shard_ids: int, schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = batch.column("doc_id").to_pylist()
-            size = np.cumsum([len(t) for t in texts])
-            cuts = np.unique(np.searchsorted(size, np.arange(BATCH_CHARS, (size[-1] if len(size) else 0) + BATCH_CHARS, BATCH_CHARS)) + 1)
+            texts, keys = batch.column("text"), batch.column("doc_id")
+            chars = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
-            for to in [*np.minimum(cuts, len(texts)).tolist(), len(texts)]:
-                if to > at:
-                    got, n = encoder.encode(texts[at:to])
-                    ids.append(got)
-                    sizes.append(n)
-                    docs.extend(keys[at:to])
-                    held += len(got)
-                    at = to
+            while at < batch.num_rows:
+                to = int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BATCH_CHARS)) + 1
+                piece = texts[at:to].to_pylist()
+                got, n = encoder.encode([t or "" for t in piece])
+                ids.append(got)
+                sizes.append(n)
+                docs.extend(keys[at:to].to_pylist())
+                held, at = held + len(got), at + len(piece)
                 if held >= shard_ids:
                     yield shard()
                     number, docs, ids, sizes, held = number + 1, [], [], [], 0
