@@ -3,12 +3,14 @@
 A classifier trained on labelled documents gives each document a posterior over domains: a document may
 belong partly to several. A document's rate is how often it is taken on average. Rates r minimise the
 squared distance between the expected domain totals, sum of tokens * rate * posterior, and the targets,
-with r >= ``at_least`` (0 or more), by projected gradient steps from r = 1. Distances are measured in the
-metric of the domains' own second moments, in which a unit step is safe; without an active bound the first
-step is exact.
+with r >= ``at_least`` (0 or more), by projected gradient steps from r = 1. The projection is lazy: steps
+add up in one vector of K numbers, and a rate is the projection of 1 minus the vector's product with the
+document's posterior. A step is scaled by the second moments of the rows whose rate is not at the bound, so
+without an active bound the first step is exact and otherwise a few suffice. A domain that cannot shrink
+any further stays at the bound.
 
-A step sums K numbers over the table of (tokens, posterior), which is pinned without the texts. A rate
-follows from the posterior and the few step vectors, so no rate has to be stored between steps or joined.
+A step sums K and K * K numbers over the table of (tokens, posterior), which is pinned without the texts. A
+rate follows from the posterior and the vector, so no rate has to be stored between steps or joined.
 
 With ``budget`` None the targets are set to the smallest total at which no domain has to shrink.
 Documents without words have no tokens; they get the rate of their posterior, which then is the share of
@@ -80,19 +82,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str, per_domain: int
 
 @dataclass
 class Rates:
-    """How a posterior becomes a rate: the step vectors, the bound, and the totals reached."""
+    """How a posterior becomes a rate: the summed steps, the bound, and the totals reached."""
 
-    steps: list[np.ndarray]
+    steps: np.ndarray
     at_least: float
     totals: np.ndarray
     targets: np.ndarray
 
     def of(self, posterior: Column) -> Column:
-        rate = F.lit(1.0)
-        for g in self.steps:
-            change = sum((posterior[k] * float(v) for k, v in enumerate(g)), F.lit(0.0))
-            rate = F.greatest(F.lit(float(self.at_least)), rate - change)
-        return rate
+        change = sum((posterior[k] * float(v) for k, v in enumerate(self.steps)), F.lit(0.0))
+        return F.greatest(F.lit(float(self.at_least)), 1.0 - change)
 
 
 def shares_of(names: list[str], weights: dict[str, float], totals: np.ndarray) -> np.ndarray:
@@ -114,30 +113,36 @@ def fit_rates(
     rounds: int = 25,
     tolerance: float = 1e-6,
 ) -> Rates:
-    """Rates for the rows of ``mass`` (n_tokens, posterior). Each round is one aggregation to K numbers."""
+    """Rates for the rows of ``mass`` (n_tokens, posterior). Each round is one aggregation to K + K * K numbers."""
     k = len(names)
-    t, p = F.col("n_tokens").cast("double"), F.col("posterior")
     cells = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(t * p[i]) for i in range(k)] + [F.sum(t * p[i] * p[j]) for i, j in cells]
-    got = [x or 0.0 for x in mass.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]
-    totals, second = np.array(got[:k]), np.zeros((k, k))
-    for (i, j), v in zip(cells, got[k:], strict=True):
-        second[i, j] = second[j, i] = v
+
+    def sums(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals at ``rates``, and second moments of the rows above the bound."""
+        p, t, r = F.col("p"), F.col("t"), F.col("r")
+        rows = mass.select(F.col("n_tokens").cast("double").alias("t"), F.col("posterior").alias("p"), rates.of(F.col("posterior")).alias("r"))
+        free = F.when(r > rates.at_least, t).otherwise(0.0)
+        wanted = [F.sum(t * r * p[i]) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i, j in cells]
+        got = [x or 0.0 for x in rows.agg(*[w.alias(f"s{n}") for n, w in enumerate(wanted)]).first()]
+        second = np.zeros((k, k))
+        for (i, j), v in zip(cells, got[k:], strict=True):
+            second[i, j] = second[j, i] = v
+        return np.array(got[:k]), second
+
+    rates = Rates(np.zeros(k), min(at_least, 1.0) - 1e-12, np.zeros(k), np.zeros(k))
+    totals, second = sums(rates)
     share = shares_of(names, weights, totals)
     if budget is None:
         there = (share > 0) & (totals > 0)
         budget = float((totals[there] / share[there]).max()) if there.any() else float(totals.sum())
-    rates = Rates([], at_least, totals, share * budget)
-    inverse = np.linalg.pinv(second, rcond=1e-9, hermitian=True)
+    rates = Rates(np.zeros(k), at_least, totals, share * budget)
     for _ in range(rounds):
         gap = rates.totals - rates.targets
-        step = inverse @ gap
+        step = np.linalg.pinv(second, rcond=1e-9, hermitian=True) @ gap
         if np.abs(gap).max(initial=0.0) <= tolerance * max(budget, 1.0) or np.abs(step).max(initial=0.0) <= tolerance:
             break
-        rates.steps.append(step)
-        r = mass.select(t.alias("t"), p.alias("p"), rates.of(p).alias("r"))
-        got = r.agg(*[F.sum(F.col("t") * F.col("r") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-        rates.totals = np.array([x or 0.0 for x in got])
+        rates.steps = rates.steps + step
+        rates.totals, second = sums(rates)
     return rates
 
 
