@@ -16,7 +16,7 @@ from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_simhash import fingerprint, groups, shingles
 from tests.llm.test_token_store import expected
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
