@@ -33,8 +33,9 @@ def _rank_sum_tail(u: float, n1: int, n2: int) -> float:
         step = n2 + i
         if step <= n1 * n2:
             ways[step:] -= ways[:-step].copy()
-        for j in range(i, n1 * n2 + 1):
-            ways[j] += ways[j - i]
+        # Dividing by 1 - x^i adds up every i-th coefficient.
+        lanes = np.concatenate([ways, np.zeros(-len(ways) % i)]).reshape(-1, i)
+        ways = lanes.cumsum(axis=0).ravel()[: n1 * n2 + 1]
     return float(ways[math.ceil(u - 1e-9) :].sum() / ways.sum())
 
 
@@ -47,33 +48,54 @@ def _signed_p(w: float, n: int) -> float:
     return float(min(1.0, 2.0 * ways[: int(w) + 1].sum() / 2.0**n))
 
 
+def _exact(method: str, fits, untied):
+    """Whether the exact distribution is used: ``auto`` where it is usual, else as told."""
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method: {method}")
+    return method == "exact" or (method == "auto" and fits and untied)
+
+
 # The two functions below see one row per group.
-@F.pandas_udf(T.DoubleType())
-def _mann_whitney_p(u: pd.Series, z: pd.Series, na: pd.Series, nb: pd.Series, ties: pd.Series, alt: pd.Series) -> pd.Series:
-    out = []
-    for ui, zi, a, b, t, side in zip(u, z, na, nb, ties, alt):
-        exact = min(a, b) <= EXACT_RANK_SUM and max(a, b) <= 1000 and t == 0
-        p = _rank_sum_tail(ui, int(a), int(b)) if exact else (_tail(zi) if zi == zi else float("nan"))
-        out.append(min(1.0, 2 * p) if side == "two-sided" else p)
-    return pd.Series(out, dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def _wilcoxon_p(w: pd.Series, z: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
-    out = []
-    for wi, zi, m, zero, t in zip(w, z, n, zeros, ties):
-        if m <= EXACT_SIGNED and zero == 0 and t == 0:
-            out.append(_signed_p(wi, int(m)))
-        else:
-            out.append(min(1.0, 2 * _tail(abs(zi))) if zi is not None and zi == zi else float("nan"))
-    return pd.Series(out, dtype="float64")
+def _mann_whitney_p(method: str):
+    @F.pandas_udf(T.DoubleType())
+    def of(u: pd.Series, z: pd.Series, na: pd.Series, nb: pd.Series, ties: pd.Series, alt: pd.Series) -> pd.Series:
+        out = []
+        for ui, zi, a, b, t, side in zip(u, z, na, nb, ties, alt):
+            if not min(a, b):
+                out.append(None)
+                continue
+            exact = _exact(method, min(a, b) <= EXACT_RANK_SUM, t == 0)
+            p = _rank_sum_tail(ui, *sorted((int(a), int(b)))) if exact else (_tail(zi) if zi == zi else float("nan"))
+            out.append(min(1.0, 2 * p) if side == "two-sided" else p)
+        return pd.Series(out, dtype="float64")
+
+    return of
+
+
+def _wilcoxon_p(method: str):
+    @F.pandas_udf(T.DoubleType())
+    def of(w: pd.Series, z: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
+        out = []
+        for wi, zi, m, zero, t in zip(w, z, n, zeros, ties):
+            if m and _exact(method, m <= EXACT_SIGNED, zero == 0 and t == 0):
+                out.append(_signed_p(wi, int(m)))
+            else:
+                out.append(min(1.0, 2 * _tail(abs(zi))) if zi is not None and zi == zi else float("nan"))
+        return pd.Series(out, dtype="float64")
+
+    return of
 
 
 def mann_whitney(
-    runs: DataFrame, keys: Sequence[str], side: str = "side", value: str = "value", alternative: str | None = None
+    runs: DataFrame, keys: Sequence[str], side: str = "side", value: str = "value", alternative: str | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """Rank-sum test of side A against side B per keys, with continuity and tie correction.
 
+    ``method`` chooses p: ``auto`` takes the exact distribution if nothing is tied and one side has at most
+    EXACT_RANK_SUM values, however many the other has; ``exact`` and ``asymptotic`` always take theirs.
+    A side without values gives NULL for z and p.
+
     Without ``alternative``, the test asks for "greater" where the mean of A is below that of B,
     and for "less" otherwise.
     """
@@ -99,11 +121,11 @@ def mann_whitney(
         *keys,
         "n_a",
         "n_b",
-        (F.col("sa") / a).alias("mean_a"),
-        (F.col("sb") / b).alias("mean_b"),
+        F.try_divide(F.col("sa"), a).alias("mean_a"),
+        F.try_divide(F.col("sb"), b).alias("mean_b"),
         (F.col("ra") - a * (a + 1) / 2).alias("u"),
         "tie_sum",
-        F.sqrt(a * b / 12 * (n + 1 - F.col("tie_sum") / (n * (n - 1)))).alias("_s"),
+        F.sqrt(a * b / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("tie_sum"), n * (n - 1)), F.lit(0.0)))).alias("_s"),
     )
     if alternative is None:
         alt = F.when(F.col("mean_a") < F.col("mean_b"), "greater").otherwise("less")
@@ -122,7 +144,7 @@ def mann_whitney(
     sums = sums.withColumn("_used", used).withColumn(
         "z", F.when(F.col("_s") > 0, (F.col("_used") - half - 0.5) / F.col("_s"))
     )
-    p = _mann_whitney_p("_used", "z", "n_a", "n_b", "tie_sum", "alternative")
+    p = _mann_whitney_p(method)("_used", "z", "n_a", "n_b", "tie_sum", "alternative")
     return sums.select(*keys, "n_a", "n_b", "mean_a", "mean_b", "alternative", "u", "z", p.alias("p"))
 
 
@@ -155,8 +177,13 @@ def wilcoxon(
     side: str = "side",
     value: str = "value",
     seed: int = 42,
+    method: str = "auto",
 ) -> DataFrame:
-    """Signed-rank test per keys. Equal sides pair by ``order``; a larger side is sampled first."""
+    """Signed-rank test per keys. Equal sides pair by ``order``; a larger side is sampled first.
+
+    ``method`` chooses p: ``auto`` takes the exact distribution up to EXACT_SIGNED pairs without ties and
+    zeros, as usual; ``exact`` and ``asymptotic`` always take theirs.
+    """
     pair = _paired(runs, keys, side, value, order, seed)
     diff = pair.withColumn("_d", F.col("a") - F.col("b")).select(
         *keys,
@@ -182,10 +209,10 @@ def wilcoxon(
         F.coalesce("n", F.lit(0)).alias("n"),
         "zeros",
         w.alias("w"),
-        ((w - n * (n + 1) / 4) / spread).alias("z"),
+        F.try_divide(w - n * (n + 1) / 4, spread).alias("z"),
         "tie_sum",
     )
-    p = _wilcoxon_p("w", "z", "n", "zeros", "tie_sum")
+    p = _wilcoxon_p(method)("w", "z", "n", "zeros", "tie_sum")
     return out.select(*keys, "n", "zeros", "w", "z", p.alias("p"))
 
 
@@ -197,8 +224,8 @@ def cohen_d(runs: DataFrame, keys: Sequence[str], side: str = "side", value: str
         F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"),
     )
     na, nb = F.col("n_a"), F.col("n_b")
-    pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / (na + nb - 2))
-    d = F.abs(F.col("mean_a") - F.col("mean_b")) / pooled
+    pooled = F.sqrt(F.try_divide((na - 1) * F.col("va") + (nb - 1) * F.col("vb"), na + nb - 2))
+    d = F.try_divide(F.abs(F.col("mean_a") - F.col("mean_b")), pooled)
     return agg.select(*keys, "n_a", "n_b", "mean_a", "mean_b", F.when(pooled > 0, d).alias("cohen_d"))
 
 
@@ -248,8 +275,8 @@ def compare_runs(
     signed = wilcoxon(runs, keys, ["_own", *order])
     size = cohen_d(runs, keys)
     out = (
-        size.join(ranks.select(*keys, "alternative", "u", F.col("z").alias("mw_z"), F.col("p").alias("mw_p")), keys)
-        .join(signed.select(*keys, "w", F.col("z").alias("wilcoxon_z"), F.col("p").alias("wilcoxon_p")), keys)
+        size.join(ranks.select(*keys, "alternative", "u", F.col("z").alias("mw_z"), F.col("p").alias("mw_p")), keys, "left")
+        .join(signed.select(*keys, "w", F.col("z").alias("wilcoxon_z"), F.col("p").alias("wilcoxon_p")), keys, "left")
         .withColumns({"a": F.lit(names[0]), "b": F.lit(names[1])})
     )
     return out

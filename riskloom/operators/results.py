@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ CONFIG = ["feature_type", "feature_scope", "token"]
 DIMENSIONS = ["problem", *CONFIG, "resampling", "classifier"]
 MEASURES = ["accuracy", "precision", "recall", "gmean", "auc", "f1", "mcc", "train_time", "pred_time"]
 
-# Classical classifier columns of the combined report; the others are networks.
+# Classical classifier columns of the combined report.
 ML_CLASSIFIERS = ["LR", "KNN", "SVM", "RF", "LGBM", "XGB"]
+# Network columns of the combined report.
+DL_CLASSIFIERS = ["MLP (Triet)", "Sequential CNN", "Sequential RNN", "Siamese CNN", "Siamese (MLP)"]
 
 
 def _mean(column: str):
@@ -55,19 +58,27 @@ def fold_means(results: DataFrame, by: Sequence[str], measures: Sequence[str]) -
 
 
 def umbrella_levels(results: DataFrame, measure: str = "mcc") -> DataFrame:
-    """Mean by classifier and sampling with totals: all classifiers, all samplings, both."""
-    shown = umbrella(results)
-    classifier = F.when(F.grouping("classifier") == 1, "all").otherwise(F.col("classifier"))
+    """Mean by problem, classifier and sampling, with totals over each of them.
+
+    A row counts once in every mean: under its own sampling, under ``over+`` if it was sampled with any k,
+    and under ``all``; problems and classifiers are totalled within a sampling level.
+    """
+    s = F.col("resampling")
+    levels = F.when(s.rlike(r"^over\+_"), F.array(s, F.lit("over+"), F.lit("all"))).otherwise(F.array(s, F.lit("all")))
+    shown = results.select("problem", "classifier", measure, F.explode(levels).alias("_level"))
     return (
-        shown.cube("problem", "classifier")
+        shown.cube("problem", "classifier", "_level")
         .agg(
             _mean(measure).alias(measure),
             F.count(F.lit(1)).alias("n"),
-            classifier.alias("classifier_level"),
+            F.when(F.grouping("classifier") == 1, "all").otherwise(F.col("classifier")).alias("classifier_level"),
             F.when(F.grouping("problem") == 1, "overall").otherwise(F.col("problem")).alias("problem_level"),
+            F.grouping("_level").alias("_total"),
         )
+        .where(F.col("_total") == 0)
         .select(
-            F.col("problem_level").alias("problem"), F.col("classifier_level").alias("classifier"), measure, "n"
+            F.col("problem_level").alias("problem"), F.col("classifier_level").alias("classifier"),
+            F.col("_level").alias("resampling"), measure, "n",
         )
     )
 
@@ -151,7 +162,7 @@ def optimal_classifiers(
     families: Families | None = None,
 ) -> DataFrame:
     """Best classifier per configuration and family, and whether the other task has the same best."""
-    families = families or {"ml": ML_CLASSIFIERS, "dl": None}
+    families = families or {"ml": ML_CLASSIFIERS, "dl": DL_CLASSIFIERS}
     long = _by_family(melt_results(wide, ids), families)
     best = best_per_group(long, [*ids, "family"], ["classifier"])
     config = [c for c in ids if c != ids[0]]
@@ -162,9 +173,12 @@ def optimal_classifiers(
     ]
     merged = materialise(best.groupBy(*ids).agg(*cols), "best")
     other = merged.select(
-        *config, F.col(ids[0]).alias("_task"), *[F.col(f"classifier_{f}").alias(f"_o_{f}") for f in fams]
+        *[F.col(c).alias(f"_c_{c}") for c in config], F.col(ids[0]).alias("_task"),
+        *[F.col(f"classifier_{f}").alias(f"_o_{f}") for f in fams],
     )
-    paired = merged.join(other, config).filter(F.col(ids[0]) != F.col("_task"))
+    # Every configuration stays; one that the other task lacks has no best in common with it.
+    alike = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in config]
+    paired = merged.join(other, reduce(lambda x, y: x & y, alike, F.col(ids[0]) != F.col("_task")), "left")
     same = [
         F.when(F.col(f"classifier_{f}") == F.col(f"_o_{f}"), "Yes").otherwise("No").alias(f"{f}_same") for f in fams
     ]
@@ -177,14 +191,15 @@ def transfer_table(
     families: Families | None = None,
 ) -> DataFrame:
     """Per configuration and family: the target's best MCC and its MCC with the source's best classifier."""
-    families = families or {"ml": ML_CLASSIFIERS, "dl": None}
+    families = families or {"ml": ML_CLASSIFIERS, "dl": DL_CLASSIFIERS}
     long = materialise(_by_family(melt_results(wide, ids), families), "families")
     keys = [*[c for c in ids if c != ids[0]], "family"]
     first = best_per_group(long.filter(F.col(ids[0]) == source), keys, ["classifier"])
     goal = long.filter(F.col(ids[0]) == target)
     top = goal.groupBy(*keys).agg(F.max("mcc").alias("max_mcc"))
-    moved = first.select(*keys, "classifier").join(goal.select(*keys, "classifier", "mcc"), [*keys, "classifier"])
-    return top.join(moved, keys).select(*keys, "classifier", "max_mcc", F.col("mcc").alias("transfer_mcc"))
+    # A configuration that the source or the target lacks keeps its row, with NULL for what is not there.
+    moved = first.select(*keys, "classifier").join(goal.select(*keys, "classifier", "mcc"), [*keys, "classifier"], "left")
+    return top.join(moved, keys, "left").select(*keys, "classifier", "max_mcc", F.col("mcc").alias("transfer_mcc"))
 
 
 def compare_vector(

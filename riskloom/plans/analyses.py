@@ -99,11 +99,19 @@ def _average(spark, sf):
 
 @query(
     "umbrella_levels",
-    f"""WITH {RESULTS_SQL}, {LEVELS_SQL}
-    SELECT CASE WHEN grouping(problem) = 1 THEN 'overall' ELSE problem END AS problem,
-           CASE WHEN grouping(classifier) = 1 THEN 'all' ELSE classifier END AS classifier,
-           round(avg(mcc) FILTER (NOT isnan(mcc)), 8) AS mcc, count(*) AS n
-    FROM levels GROUP BY CUBE (problem, classifier)""",
+    f"""WITH {RESULTS_SQL},
+    own AS (SELECT problem, classifier, resampling, round(avg(mcc) FILTER (NOT isnan(mcc)), 8) AS mcc, count(*) AS n,
+                   grouping(problem) AS gp, grouping(classifier) AS gc
+            FROM results GROUP BY GROUPING SETS ((problem, classifier, resampling), (problem, resampling), (classifier, resampling), (resampling))),
+    any_k AS (SELECT problem, classifier, 'over+' AS resampling, round(avg(mcc) FILTER (NOT isnan(mcc)), 8) AS mcc, count(*) AS n,
+                     grouping(problem) AS gp, grouping(classifier) AS gc
+              FROM results WHERE starts_with(resampling, 'over+_') GROUP BY CUBE (problem, classifier)),
+    whole AS (SELECT problem, classifier, 'all' AS resampling, round(avg(mcc) FILTER (NOT isnan(mcc)), 8) AS mcc, count(*) AS n,
+                     grouping(problem) AS gp, grouping(classifier) AS gc
+              FROM results GROUP BY CUBE (problem, classifier))
+    SELECT CASE WHEN gp = 1 THEN 'overall' ELSE problem END AS problem, CASE WHEN gc = 1 THEN 'all' ELSE classifier END AS classifier,
+           resampling, mcc, n
+    FROM (SELECT * FROM own UNION ALL SELECT * FROM any_k UNION ALL SELECT * FROM whole)""",
 )
 def _umbrella(spark, sf):
     return rounded(umbrella_levels(results(spark, sf)))
@@ -233,7 +241,7 @@ def _melt(spark, sf):
     + ", ".join(f"max(classifier) FILTER (family = '{f}') AS classifier_{f}, max(mcc) FILTER (family = '{f}') AS mcc_{f}" for f in ("ml", "dl", "all"))
     + " FROM best GROUP BY ALL) SELECT a.*, "
     + ", ".join(f"CASE WHEN a.classifier_{f} = b.classifier_{f} THEN 'Yes' ELSE 'No' END AS {f}_same" for f in ("ml", "dl", "all"))
-    + " FROM m a JOIN m b USING (feature_type, feature_scope, token) WHERE a.task <> b.task",
+    + " FROM m a LEFT JOIN m b ON a.task <> b.task AND (a.feature_type, a.feature_scope, a.token) IS NOT DISTINCT FROM (b.feature_type, b.feature_scope, b.token)",
 )
 def _optimal(spark, sf):
     return optimal_classifiers(wide_results(spark, sf), IDS, FAMILIES)
@@ -244,8 +252,8 @@ def _optimal(spark, sf):
     f"""WITH {WIDE_SQL}, {LONG_SQL}, {FAMILY_SQL},
     b AS (SELECT * FROM fam WHERE task = 'Binary' QUALIFY row_number() OVER (PARTITION BY feature_type, feature_scope, token, family ORDER BY mcc DESC, classifier) = 1),
     t AS (SELECT feature_type, feature_scope, token, family, max(mcc) AS max_mcc FROM fam WHERE task = 'Multiclass' GROUP BY ALL)
-    SELECT t.*, b.classifier, f.mcc AS transfer_mcc FROM t JOIN b USING (feature_type, feature_scope, token, family)
-    JOIN fam f ON f.task = 'Multiclass' AND f.feature_type = t.feature_type AND f.feature_scope = t.feature_scope AND f.token = t.token
+    SELECT t.*, b.classifier, f.mcc AS transfer_mcc FROM t LEFT JOIN b USING (feature_type, feature_scope, token, family)
+    LEFT JOIN fam f ON f.task = 'Multiclass' AND f.feature_type = t.feature_type AND f.feature_scope = t.feature_scope AND f.token = t.token
       AND f.family = t.family AND f.classifier = b.classifier""",
 )
 def _transfer_table(spark, sf):

@@ -114,6 +114,8 @@ def _run_stats(numbered: DataFrame) -> DataFrame:
         F.max("step").alias("_steps"),
         F.min(F.when(training, F.col("epoch"))).alias("_first"),
         F.max(F.when(training, F.col("epoch"))).alias("_last"),
+        # Epochs in order run along with the number of their block.
+        F.count_distinct(F.when(training, F.col("epoch") - F.col("e"))).alias("_paces"),
         F.count_distinct(F.when(training, F.col("epochs"))).alias("_denominators"),
         F.count(F.when(training & ((F.col("n_loss") != 1) | F.col("epoch_time").isNull()), 1)).alias("_bad_loss"),
         F.count(F.when(training & ((F.col("n_time") != 1) | F.col("val_time").isNull()), 1)).alias("_bad_time"),
@@ -124,7 +126,7 @@ def _run_stats(numbered: DataFrame) -> DataFrame:
 def _problem():
     return (
         F.when(F.col("_steps") != 2, "best model evaluation")
-        .when(F.col("_first") + F.col("number_of_epoch_at_finish") - 1 != F.col("_last"), "epoch order")
+        .when((F.col("_first") + F.col("number_of_epoch_at_finish") - 1 != F.col("_last")) | (F.col("_paces") > 1), "epoch order")
         .when(F.col("_denominators") != 1, "epoch count")
         .when(F.col("_bad_loss") > 0, "epoch time")
         .when(F.col("_bad_time") > 0, "validation time")

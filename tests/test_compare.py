@@ -86,3 +86,22 @@ def test_compare_runs_reports_scenarios_and_overall(spark):
     only = compare_runs(a, b, ["fold"], scenarios=["x"], metrics=["mcc"])
     assert {r["scenario"] for r in only.collect()} == {"x", "overall"}
     assert stack_runs(a, b, ["mcc"], ["fold"]).count() == 80
+
+
+def test_rank_sum_p_has_no_jump_in_size(spark):
+    small = mann_whitney(runs(spark, [1, 2, 3], range(10, 1010)), ["scenario"], alternative="greater").first()
+    large = mann_whitney(runs(spark, [1, 2, 3], range(10, 1011)), ["scenario"], alternative="greater").first()
+    assert small["p"] == pytest.approx(large["p"], rel=1e-6)
+    normal = mann_whitney(runs(spark, [1, 2, 3], range(10, 1010)), ["scenario"], alternative="less", method="asymptotic").first()
+    exact = mann_whitney(runs(spark, [1, 2, 3], range(10, 1010)), ["scenario"], alternative="less").first()
+    ways = 1003 * 1002 * 1001 / 6
+    assert exact["p"] == pytest.approx(1 / ways) and normal["p"] != pytest.approx(exact["p"])
+
+
+def test_empty_and_tiny_sides_give_null(spark):
+    for a, b in (([1, 2], []), ([], [3.0]), ([1], [2]), ([5], [])):
+        r = mann_whitney(runs(spark, a, b), ["scenario"]).first()
+        assert (r["p"] is None) == (not a or not b) and r["n_a"] == len(a)
+    one = runs(spark, [1.0], [2.0]).drop("side").withColumnRenamed("value", "mcc")
+    out = compare_runs(one.where("mcc = 1"), one.where("mcc = 3"), ["i"], metrics=["mcc"]).collect()
+    assert {r["scenario"] for r in out} == {"s", "overall"} and all(r["mw_p"] is None for r in out)

@@ -13,7 +13,7 @@ from riskloom.operators.reshape import (
     union_all,
     unpivot_results,
 )
-from riskloom.operators.results import average_folds, best_iteration, compare_vector, transfer_folds, umbrella_levels
+from riskloom.operators.results import average_folds, best_iteration, compare_vector, optimal_classifiers, transfer_folds, transfer_table, umbrella_levels
 
 NAN = float("nan")
 
@@ -59,8 +59,25 @@ def test_average_folds_leaves_out_holdout_and_adds_the_umbrella(spark):
 
 
 def test_umbrella_levels(spark):
-    got = {(r["problem"], r["classifier"]) for r in umbrella_levels(results_frame(spark)).collect()}
-    assert got == {(p, c) for p in ("binary", "multiclass", "overall") for c in ("lr", "rf", "all")}
+    found = umbrella_levels(results_frame(spark)).collect()
+    assert {(r["problem"], r["classifier"]) for r in found} == {(p, c) for p in ("binary", "multiclass", "overall") for c in ("lr", "rf", "all")}
+    two = spark.createDataFrame([("binary", "lr", "none", 0.2), ("binary", "lr", "over+_1", 0.8)], "problem string, classifier string, resampling string, mcc double")
+    got = {r["resampling"]: (round(r["mcc"], 6), r["n"]) for r in umbrella_levels(two).where("problem = 'overall' AND classifier = 'all'").collect()}
+    assert got == {"none": (0.2, 1), "over+_1": (0.8, 1), "over+": (0.8, 1), "all": (0.5, 2)}
+
+
+def test_configurations_without_a_partner_stay(spark):
+    wide = spark.createDataFrame(
+        [("Binary", "a", "s", "w", "0.5", "0.4"), ("Multiclass", "a", "s", "w", "0.2", "0.3"), ("Multiclass", "b", "s", "w", "0.1", "0.6")],
+        "task string, feature_type string, feature_scope string, token string, LR string, `Siamese CNN` string",
+    )
+    found = {(r["task"], r["feature_type"]): (r["classifier_ml"], r["classifier_dl"], r["ml_same"], r["all_same"]) for r in optimal_classifiers(wide).collect()}
+    assert found == {
+        ("Binary", "a"): ("LR", "Siamese CNN", "Yes", "No"), ("Multiclass", "a"): ("LR", "Siamese CNN", "Yes", "No"),
+        ("Multiclass", "b"): ("LR", "Siamese CNN", "No", "No"),
+    }
+    moved = {(r["feature_type"], r["family"]): (r["classifier"], r["max_mcc"], r["transfer_mcc"]) for r in transfer_table(wide).collect()}
+    assert moved["a", "all"] == ("LR", 0.3, 0.2) and moved["b", "all"] == (None, 0.6, None) and len(moved) == 6
 
 
 def test_transfer(spark):
