@@ -1,9 +1,10 @@
-"""Exact nearest neighbours at scale: pivot cells, bounded blocks, partial top-k.
+"""Exact nearest neighbours at scale: square blocks, matrix distances, partial top-k.
 
-Training rows go to the cell of their nearest pivot; a cell is cut into chunks of bounded size. By
-the triangle inequality a query needs only the cells whose ball can hold one of its k nearest rows.
-Queries are copied to those chunks only, compared in blocks with NumPy inside tasks, and each
-block gives back at most k rows per query. No row is left out: the bound is exact for L1 and L2.
+Training rows and queries of a group are dealt by hash to tiles of bounded size, and every tile of queries
+meets every tile of its group's training rows once, so a row is copied as often as the other side has
+tiles. A block compares by one matrix product, keeps what can be among the k nearest within rounding,
+measures that exactly and gives back at most k rows per query. No row is left out and nothing is collected:
+the numbers of tiles stay a table with a row per group.
 """
 
 from __future__ import annotations
@@ -17,14 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.draws import draw_key
 from riskloom.functions.vectors import as_array
 from riskloom.session import materialise
 
-MAX_PIVOTS = 1024
-MAX_CELLS = 200_000
-BLOCK_VALUES = 4_000_000  # numbers in one block of training rows
-QUERY_BLOCK = 256  # queries compared with one block at a time
+BLOCK_VALUES = 2_000_000  # numbers in the rows of one tile
+ROWS = 16_384  # rows in one tile at most
+QUERY_STEP = 256  # queries whose distances are held at a time
 
 NORMS = {"l1": 1, "l2": 2}
 
@@ -38,60 +37,19 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in column])
 
 
-def _pivots(train: DataFrame, count: int, block: int) -> list[list[float]]:
-    """About one pivot per block of rows, drawn repeatably."""
-    wanted = max(1, min(MAX_PIVOTS, -(-count // block)))
-    drawn = train.select("_x", "_id", draw_key("_id", seed=0).alias("_d"))
-    return [list(r["_x"]) for r in drawn.orderBy("_d", "_id").limit(wanted).collect()]
-
-
-def _assign_cells(train: DataFrame, pivots: np.ndarray, norm: int) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-    schema = T.StructType([*train.schema.fields, T.StructField("_pivot", T.IntegerType()), T.StructField("_far", T.DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = np.stack([_distances(pivots, x, norm) for x in _stack(pdf["_x"])])
-                at = d.argmin(axis=1)
-                yield pdf.assign(_pivot=at.astype("int32"), _far=d[np.arange(len(at)), at])
-
-    return train.mapInPandas(run, schema)
-
-
-def _visits(queries: DataFrame, pivots: np.ndarray, cells: list, k: int, norm: int) -> DataFrame:
-    """One row per query and cell that may hold one of its k nearest rows."""
-    by_group: dict = {}
-    for c in cells:
-        by_group.setdefault(c["_group"], []).append(c)
-    tables = {
-        g: tuple(np.array([c[n] for c in rows]) for n in ("_pivot", "_n", "_radius", "_cell"))
-        for g, rows in by_group.items()
-    }
-    schema = T.StructType([*queries.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
-
-    def cells_of(group, x) -> list[int]:
-        table = tables.get(group)
-        if table is None:
-            return []
-        pivot, n, radius, cell = table
-        d = _distances(pivots[pivot], x, norm)
-        # Every row of a cell is within d + radius, so the k nearest rows are within this bound.
-        reach = d + radius
-        order = np.argsort(reach, kind="stable")
-        enough = np.searchsorted(np.cumsum(n[order]), k)
-        if enough >= len(order):
-            return cell.tolist()
-        bound = reach[order[enough]]
-        return cell[d - radius <= bound * (1 + 1e-9) + 1e-12].tolist()
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(_cells=[cells_of(g, np.asarray(x, dtype="float64")) for g, x in zip(pdf["_group"], pdf["_x"])])
-
-    found = queries.mapInPandas(run, schema)
-    return found.select("_qid", "_x", F.explode("_cells").alias("_cell"))
+def _candidates(asked: np.ndarray, rows: np.ndarray, k: int, norm: int) -> np.ndarray:
+    """For each query which rows can be among its k nearest (a boolean matrix, true for at least k rows)."""
+    if norm == 1:
+        far = np.stack([_distances(rows, x, 1) for x in asked])
+        slack = 1e-9
+    else:
+        own, theirs = (asked * asked).sum(axis=1)[:, None], (rows * rows).sum(axis=1)[None, :]
+        far = own + theirs - 2.0 * (asked @ rows.T)
+        slack = 1e-9 * (own + theirs.max(initial=0.0))  # rounding of the product
+    if far.shape[1] <= k:
+        return np.ones(far.shape, bool)
+    bound = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+    return far <= bound + 2 * slack
 
 
 def _top_of_block(k: int, norm: int, payload: Sequence[str], skip_same: bool):
@@ -102,16 +60,22 @@ def _top_of_block(k: int, norm: int, payload: Sequence[str], skip_same: bool):
             return pd.DataFrame(columns=columns)
         t = t.sort_values("_id", kind="stable").reset_index(drop=True)
         rows, ids = _stack(t["_x"]), t["_id"].to_numpy()
+        points, asked = _stack(q["_x"]), q["_qid"].to_numpy()
         picked, far = [], []
-        for qid, x in zip(q["_qid"], _stack(q["_x"])):
-            d = _distances(rows, x, norm)
-            keep = np.flatnonzero(ids != qid) if skip_same else np.arange(len(d))
-            best = keep[np.argsort(d[keep], kind="stable")[:k]]
-            picked.append(best)
-            far.append(d[best])
-        asked = np.repeat(q["_qid"].to_numpy(), [len(p) for p in picked])
+        for start in range(0, len(points), QUERY_STEP):
+            part = points[start : start + QUERY_STEP]
+            may = _candidates(part, rows, k + skip_same, norm)
+            for i, x in enumerate(part):
+                keep = np.flatnonzero(may[i])
+                if skip_same:
+                    keep = keep[ids[keep] != asked[start + i]]
+                d = _distances(rows[keep], x, norm)
+                best = np.argsort(d, kind="stable")[:k]
+                picked.append(keep[best])
+                far.append(d[best])
         found = t.iloc[np.concatenate(picked)].reset_index(drop=True)
-        return found.assign(_qid=asked, distance=np.concatenate(far))[columns]
+        again = np.repeat(asked, [len(p) for p in picked])
+        return found.assign(_qid=again, distance=np.concatenate(far))[columns]
 
     return run
 
@@ -141,7 +105,8 @@ def nearest(
     """
     norm = NORMS[metric]
     spark = train.sparkSession
-    group_col = F.col(group).cast("string") if group else F.lit("")
+    # NULL groups are a group of their own.
+    group_col = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
     t = train.select(F.col(id).alias("_id"), F.col(vector).alias("_x"), group_col.alias("_group"), *payload)
     t = materialise(as_array(t, "_x"), "train")
     q = as_array(
@@ -151,43 +116,26 @@ def nearest(
     if first is None:
         raise ValueError("no training rows")
     if block is None:
-        block = min(4096, max(32, BLOCK_VALUES // max(1, first["n"])))
-    pivots = np.array(_pivots(t, t.count(), block), dtype="float64")
-    celled = materialise(_assign_cells(t, pivots, norm), "cells")
-
-    # Cells are groups times pivots; their number is checked before they come to the driver.
-    summary = celled.groupBy("_group", "_pivot").agg(F.count(F.lit(1)).alias("_n"), F.max("_far").alias("_radius"))
-    rows = summary.orderBy("_group", "_pivot").limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; use fewer groups per call")
-    cells = [{**r.asDict(), "_cell": i} for i, r in enumerate(rows)]
-    need = k + 1 if skip_same else k
-    visits = materialise(_visits(q, pivots, cells, need, norm), "visits")
-    visited = {r["_cell"]: r["n"] for r in visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    # Chunks bound the training rows of a block, slices bound its queries.
-    plan = spark.createDataFrame(
-        [
-            (c["_cell"], c["_group"], c["_pivot"], -(-c["_n"] // block), -(-visited.get(c["_cell"], 0) // QUERY_BLOCK))
-            for c in cells
-        ],
-        "_cell int, _group string, _pivot int, _chunks int, _slices int",
-    )
-    plan = F.broadcast(plan)  # at most MAX_CELLS short rows
+        block = min(ROWS, max(32, BLOCK_VALUES // max(1, first["n"])))
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    # A row per group; Spark broadcasts it as long as it is small and joins by group beyond.
+    plan = materialise(tiles(t, "_tiles").join(tiles(q, "_slices"), "_group"), "tiles")
     blocks = (
-        celled.join(plan, ["_group", "_pivot"])
-        .filter(F.col("_slices") > 0)
-        .withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
+        t.join(plan, "_group")
+        .withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int"))
         .withColumn("_slice", _each("_slices"))
-        .select("_cell", "_chunk", "_slice", "_id", "_x", *payload)
+        .select("_group", "_tile", "_slice", "_id", "_x", *payload)
     )
     asked = (
-        visits.join(plan, "_cell")
+        q.join(plan, "_group")
         .withColumn("_slice", F.pmod(F.xxhash64("_qid"), F.col("_slices")).cast("int"))
-        .withColumn("_chunk", _each("_chunks"))
-        .select("_cell", "_chunk", "_slice", "_qid", "_x")
+        .withColumn("_tile", _each("_tiles"))
+        .select("_group", "_tile", "_slice", "_qid", "_x")
     )
-    keys = ["_cell", "_chunk", "_slice"]
+    keys = ["_group", "_tile", "_slice"]
     schema = T.StructType(
         [
             T.StructField("_qid", q.schema["_qid"].dataType),
