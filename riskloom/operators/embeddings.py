@@ -18,22 +18,48 @@ VECTOR_SIZE = 300
 MAX_WORDS = 10_000
 WINDOW = 5
 SEED = 42
+#: Sentences that one part of the training holds.
+SENTENCES = 50_000
 
 
-def _known(column: str, words: dict[str, int]):
-    find = token_lookup(words)
-    return F.filter(F.col(column), lambda t: find(t).isNotNull())
+def _known(df: DataFrame, columns: Sequence[str], vocab: DataFrame) -> DataFrame:
+    """``df`` with each token column cut down to the words of ``vocab`` (column token), in their order.
+
+    A small vocabulary is a literal in the plan; a larger one is joined by the row's own number.
+    """
+    words = small_vocab(vocab.select("token", F.lit(0).alias("id")))
+    if words is not None:
+        find = token_lookup(words)
+        return df.select(
+            *[F.filter(F.col(c), lambda t: find(t).isNotNull()).alias(c) if c in columns else F.col(c) for c in df.columns]
+        )
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    out, known = rows.drop(*columns), vocab.select(F.col("token").alias("_token")).distinct()
+    for c in columns:
+        placed = rows.select("_row", F.posexplode(c).alias("_pos", "_token")).join(known, "_token", "left_semi")
+        kept = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_s"))
+        kept = kept.select("_row", F.transform("_s", lambda s: s["_token"]).alias(c))
+        out = out.join(kept, "_row", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.select(*df.columns)
 
 
 def w2v_fit(
-    df: DataFrame, columns: Sequence[str], size: int = VECTOR_SIZE, max_words: int = MAX_WORDS, iterations: int = 1
+    df: DataFrame, columns: Sequence[str], size: int = VECTOR_SIZE, max_words: int = MAX_WORDS, iterations: int = 1,
+    partitions: int | None = None,
 ) -> Word2VecModel:
-    """Skip-gram vectors of the ``max_words`` commonest tokens of all text columns."""
+    """Skip-gram vectors of the ``max_words`` commonest tokens of all text columns.
+
+    The sentences are trained on ``partitions`` parts side by side, by default one for each
+    ``SENTENCES`` of them. The parts' vectors are averaged after every iteration, so there are at least
+    as many iterations as parts.
+    """
     corpus = materialise(stack_texts(df, columns).select(change_tokens("text").alias("_t")), "sentences")
-    vocab = with_ids(term_frequency(corpus, F.col("_t")), "term_freq", max_words)
-    sentences = corpus.select(_known("_t", small_vocab(vocab)).alias("_s")).filter(F.size("_s") > 0)
+    vocab = materialise(with_ids(term_frequency(corpus, F.col("_t")), "term_freq", max_words), "vocabulary")
+    sentences = _known(corpus, ["_t"], vocab).select(F.col("_t").alias("_s")).filter(F.size("_s") > 0)
+    parts = partitions or max(1, -(-corpus.count() // SENTENCES))
     return Word2Vec(
-        vectorSize=size, windowSize=WINDOW, minCount=0, seed=SEED, maxIter=iterations, inputCol="_s", outputCol="_v"
+        vectorSize=size, windowSize=WINDOW, minCount=0, seed=SEED, maxIter=max(iterations, parts), numPartitions=parts,
+        inputCol="_s", outputCol="_v",
     ).fit(sentences)
 
 
@@ -41,11 +67,10 @@ def w2v_mean(df: DataFrame, model: Word2VecModel, columns: Sequence[str]) -> Dat
     """Add ``<column>_w2v``: the mean vector of the known words of each text, zeros for none.
 
     The model's own transform divides by all words of the sentence, so unknown words are taken
-    out first; what is left is divided by the known words only. No shuffle is needed.
+    out first; what is left is divided by the known words only.
     """
-    words = {r["word"]: 0 for r in model.getVectors().select("word").collect()}
-    out = df.select("*", *[change_tokens(c).alias(f"_t_{c}") for c in columns])
+    out = df.select("*", *[change_tokens(c).alias(f"_k_{c}") for c in columns])
+    out = _known(out, [f"_k_{c}" for c in columns], model.getVectors().select(F.col("word").alias("token")))
     for c in columns:
-        out = out.withColumn(f"_k_{c}", _known(f"_t_{c}", words))
         out = model.setInputCol(f"_k_{c}").setOutputCol(f"{c}_w2v").transform(out)
-    return out.drop(*[f"{p}{c}" for c in columns for p in ("_t_", "_k_")])
+    return out.drop(*[f"_k_{c}" for c in columns])

@@ -18,7 +18,7 @@ from riskloom.functions.text import (
     token_lookup,
     word_grams,
 )
-from riskloom.session import broadcast_if_small
+from riskloom.session import materialise
 
 # Sequence lengths of word and character ids.
 WORD_LENGTH = 512
@@ -46,7 +46,8 @@ def add_ids(
     """Add one id-array column per entry of ``grams`` (name -> token array column).
 
     A small vocabulary becomes a literal in the plan: no shuffle, no Python. A larger one is
-    joined: tokens are exploded with their place and put together again by ``key``.
+    joined: tokens are exploded with their place and put together again by the row's own number, so
+    rows that share a key, or have none, keep their own ids. Both ways give the same.
     """
     unknown = _unknown_id(vocab, oov)
     ids = small_vocab(vocab)
@@ -56,25 +57,27 @@ def add_ids(
         return work.select(
             *df.columns, *[map_tokens(F.col(f"_g_{n}"), find, unknown).alias(n) for n in grams]
         )
-    for name, tokens in grams.items():
-        df = _joined_ids(df, name, tokens, vocab, key, unknown)
-    return df
+    work = df.select("*", *[g.alias(f"_g_{n}") for n, g in grams.items()])
+    work = materialise(work.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    out = work
+    for name in grams:
+        out = _joined_ids(out, work, name, vocab, unknown)
+    return out.select(*df.columns, *grams)
 
 
-def _joined_ids(df, name, tokens, vocab, key, unknown) -> DataFrame:
-    """Ids by join: the vocabulary is broadcast up to a checked size, else shuffled by token.
+def _joined_ids(out, work, name, vocab, unknown) -> DataFrame:
+    """Ids by join; Spark broadcasts the vocabulary if it is small and shuffles by token beyond.
 
-    Tokens of a document never exceed its own text, so regrouping by key stays bounded.
+    Tokens of a document never exceed its own text, so regrouping by row stays bounded.
     """
-    placed = df.select(*key, F.posexplode(tokens).alias("_pos", "_token"))
-    ids = broadcast_if_small(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
+    placed = work.select("_row", F.posexplode(f"_g_{name}").alias("_pos", "_token"))
+    ids = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     found = placed.join(ids, "_token", "inner" if unknown is None else "left")
     if unknown is not None:
         found = found.withColumn("_id", F.coalesce("_id", F.lit(unknown)))
-    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    rows = rows.select(*key, F.transform("_s", lambda s: s["_id"]).alias(name))
-    out = df.join(rows, list(key), "left")
-    return out.withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+    rows = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
+    rows = rows.select("_row", F.transform("_s", lambda s: s["_id"]).alias(name))
+    return out.join(rows, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
 
 
 def encode_words(

@@ -54,6 +54,11 @@ BASELINES = {"kmeans": [(str(n),) for n in CLUSTERS], "uniform": [(str(r),) for
 
 SEED = 42
 
+# No limit in practice: solvers stop by their tolerance.
+UNLIMITED = 10_000
+# Fixed value: iterations of one k-means run.
+KMEANS_ITERATIONS = 300
+
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Random Fourier features of the RBF kernel ``exp(-gamma |x - y|^2)``.
@@ -109,23 +114,28 @@ def _depth(leaves: str) -> int:
 
 def classifier(
     alg: str, parameters: Sequence[str], rows: int, classes: int, layers: int = 0,
-    features: str = "features", label: str = "_y",
+    features: str = "features", label: str = "_y", iterations: int | None = None,
 ) -> Estimator:
-    """Spark ML estimator of a named algorithm; several classes are fitted one against the rest."""
+    """Spark ML estimator of a named algorithm.
+
+    Logistic regression is multinomial for several classes; SVM and boosted trees are fitted one class
+    against the rest. ``iterations`` limits the solvers; by default they run until they have converged
+    (``UNLIMITED`` is only a guard), the perceptron 100 times.
+    """
     columns = {"featuresCol": features, "labelCol": label}
     if alg == "lr":
         # C weighs the summed loss; Spark weighs the penalty of the mean loss.
-        one = LogisticRegression(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, maxIter=1000, **columns)
+        return LogisticRegression(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, maxIter=iterations or UNLIMITED, family="auto", **columns)
     elif alg == "svm":
-        one = LinearSVC(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, **columns)
+        one = LinearSVC(regParam=1.0 / (float(parameters[0]) * rows), standardization=False, tol=1e-3, maxIter=iterations or UNLIMITED, **columns)
     elif alg == "rf":
         return RandomForestClassifier(numTrees=int(parameters[0]), maxDepth=_depth(parameters[1]), seed=SEED, **columns)
     elif alg in ("xgb", "lgbm"):
         step = 0.3 if alg == "xgb" else 0.1
-        one = GBTClassifier(maxIter=int(parameters[0]), maxDepth=min(_depth(parameters[1]), 10), stepSize=step, seed=SEED, **columns)
+        one = GBTClassifier(maxIter=int(parameters[0]), maxDepth=_depth(parameters[1]), stepSize=step, seed=SEED, **columns)
     elif alg == "mlp":
         width = [int(p) for p in parameters]
-        return MultilayerPerceptronClassifier(layers=[layers, *width, classes], seed=SEED, maxIter=100, **columns)
+        return MultilayerPerceptronClassifier(layers=[layers, *width, classes], seed=SEED, maxIter=iterations or 100, **columns)
     else:
         raise ValueError(f"unknown algorithm: {alg}")
     if classes > 2:
@@ -212,14 +222,15 @@ def uniform_baseline(
 
 
 def majority_kmeans(
-    train: DataFrame, test: DataFrame, clusters: int, id: str, features: str = "features", label: str = "label"
+    train: DataFrame, test: DataFrame, clusters: int, id: str, features: str = "features", label: str = "label",
+    iterations: int = KMEANS_ITERATIONS,
 ) -> DataFrame:
     """Cluster the training rows; predict the commonest training label of the nearest cluster.
 
     A cluster without training rows falls back to the commonest label of all.
     """
     data = as_vector(train.withColumn(label, F.col(label).cast("string")), features)
-    model = KMeans(k=clusters, seed=0, featuresCol=features, predictionCol="_cluster").fit(data)
+    model = KMeans(k=clusters, seed=0, maxIter=iterations, featuresCol=features, predictionCol="_cluster").fit(data)
     # One row per cluster, so bounded by the argument.
     named = F.broadcast(most_common(model.transform(data), ["_cluster"], label).withColumnRenamed(label, "pred"))
     everywhere = most_common(data, [], label).first()[0]

@@ -193,3 +193,21 @@ def test_keyword_counts(spark):
 def test_stack_texts(spark):
     d = spark.createDataFrame([("c", "a", None)], "commit string, p string, q string")
     assert sorted(r["text"] for r in stack_texts(d, ["p", "q"]).collect()) == ["", "a"]
+
+
+def test_joined_vocabulary_equals_the_literal_one(spark, monkeypatch):
+    """Repeated and NULL keys keep their own ids whichever way the vocabulary is looked up."""
+    from riskloom.operators import embeddings, encode
+
+    df = spark.createDataFrame([("a", "x y"), ("a", "z"), (None, "x"), (None, None), ("b", "y q y")], "k string, text string")
+    vocab = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "token string, id int")
+    grams = {"ids": F.split(F.coalesce("text", F.lit("")), " ")}
+    for oov in (None, "z"):
+        literal = sorted(map(repr, encode.add_ids(df, grams, vocab, ["k"], oov).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(encode, "LOOKUP_LIMIT", 1)
+            assert sorted(map(repr, encode.add_ids(df, grams, vocab, ["k"], oov).collect())) == literal
+    tokens = df.select("k", grams["ids"].alias("t"))
+    literal = sorted(map(repr, embeddings._known(tokens, ["t"], vocab).collect()))
+    monkeypatch.setattr(encode, "LOOKUP_LIMIT", 1)
+    assert sorted(map(repr, embeddings._known(tokens, ["t"], vocab).collect())) == literal
