@@ -816,12 +816,17 @@ def _log_times(spark, sf):
 
 @query(
     "log_summary",
-    f"""WITH {LOG_SQL} SELECT file, CAST(sum(number_of_epoch_at_finish) AS BIGINT) AS number_of_epoch_at_finish, CAST(sum(total_train_time_at_finish) AS BIGINT) AS total_train_time_at_finish,
-    round(sum(total_val_time_at_finish), 6) AS total_val_time_at_finish FROM times GROUP BY file""",
+    f"""WITH {LOG_SQL} SELECT file, CAST(sum("partition") AS BIGINT) AS "partition", CAST(sum(run) AS BIGINT) AS run,
+    round(sum(avg_time_per_epoch), 6) AS avg_time_per_epoch,
+    CAST(sum(number_of_epoch_at_best_model) AS BIGINT) AS number_of_epoch_at_best_model, CAST(sum(number_of_epoch_at_finish) AS BIGINT) AS number_of_epoch_at_finish,
+    CAST(sum(total_train_time_at_best_model) AS BIGINT) AS total_train_time_at_best_model, CAST(sum(total_train_time_at_finish) AS BIGINT) AS total_train_time_at_finish,
+    round(sum(total_val_time_at_best_model), 6) AS total_val_time_at_best_model, round(sum(total_val_time_at_finish), 6) AS total_val_time_at_finish,
+    sum(final_evaluation_time) AS final_evaluation_time,
+    round(sum(total_train_time_at_best_model + total_val_time_at_best_model), 6) AS total_time_at_best_model,
+    round(sum(total_train_time_at_finish + total_val_time_at_finish), 6) AS total_time_at_finish FROM times GROUP BY file""",
 )
 def _log_summary(spark, sf):
-    s = log_times(log_lines(spark, sf), PARTITIONS, RUNS, summary="sum")
-    return rounded(s.select("file", "number_of_epoch_at_finish", "total_train_time_at_finish", "total_val_time_at_finish"), 6)
+    return rounded(log_times(log_lines(spark, sf), PARTITIONS, RUNS, summary="sum"), 6)
 
 
 @query(

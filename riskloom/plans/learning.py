@@ -120,12 +120,12 @@ def _random(spark, sf):
              FROM copies c JOIN placed p ON p.label = c.label AND p.place = c.slot // 5 JOIN pairs r ON r.id = p.id AND r.rank = c.slot % 5 + 1
              JOIN v t ON t.id = r.neighbour),
     share AS (SELECT *, CAST('0x' || substring(md5(label || '|' || slot || '|' || copy || '|42'), 1, 15) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE) AS u FROM made)
-    SELECT id, label, neighbour, copy, round(a[1] + u * (b[1] - a[1]), 8) AS first, round(a[64] + u * (b[64] - a[64]), 8) AS last FROM share
-    UNION ALL SELECT id, label, NULL, 0, round(x[1], 8), round(x[64], 8) FROM v""",
+    SELECT id, label, neighbour, copy, list_transform(range(1, 65), lambda i: round(a[i] + u * (b[i] - a[i]), 8)) AS x FROM share
+    UNION ALL SELECT id, label, NULL, 0, list_transform(x, lambda e: round(e, 8)) FROM v""",
 )
 def _smote(spark, sf):
     rows = oversample_smote(skewed(vectors(spark, sf)), "label", "id", "x", 5)
-    return rounded(rows.select("id", "label", "neighbour", "copy", F.element_at("x", 1).alias("first"), F.element_at("x", -1).alias("last")))
+    return rows.select("id", "label", "neighbour", "copy", F.transform("x", lambda v: F.round(v, 8)).alias("x"))
 
 
 # --- models -------------------------------------------------------------------------------------
@@ -214,8 +214,8 @@ def _multitask(spark, sf):
 @query("multitask_mlp")
 def _multitask_mlp(spark, sf):
     train, test = text_split(spark, sf)
-    out = multitask_fit(train, test, ["quality", "lang"], "id", "x", alg="mlp", parameters=("8",))
-    return rounded(score_tasks(out, ["quality", "lang"]))
+    tasks = ["quality", "toxic", "lang"]
+    return rounded(score_tasks(multitask_fit(train, test, tasks, "id", "x", alg="mlp", parameters=("8",)), tasks))
 
 
 @query(
@@ -302,7 +302,7 @@ def _w2v(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     model = w2v_fit(d, ["text"], size=50)
     mean = w2v_mean(d, model, ["text"])
-    return mean.select("doc_id", F.round(F.element_at(vector_to_array("text_w2v"), 1), 4).alias("first"))
+    return mean.select("doc_id", F.transform(vector_to_array("text_w2v"), lambda v: F.round(v, 4)).alias("vector"))
 
 
 @query(

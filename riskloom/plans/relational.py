@@ -104,15 +104,14 @@ def _read_many(spark, sf):
 
 @query(
     "read_features",
-    "SELECT vec_id AS commit, CAST(embedding AS DOUBLE[]) AS prev_features, label FROM embeddings WHERE label <= 4",
+    "SELECT vec_id AS commit, CAST(embedding AS DOUBLE[]) AS prev_features, label FROM embeddings",
 )
 def _features(spark, sf):
     path = scratch_path(spark, "features")
     e = table(spark, sf, "embeddings")
     wide = e.select(F.col("vec_id").alias("Commit"), F.col("embedding").cast("array<double>").alias("Prev_Features"), F.col("label").alias("Label"))
     write_parquet(wide, path, ["Label"])
-    # The folder column prunes files.
-    return read_features(spark, path).filter("label <= 4")
+    return read_features(spark, path)
 
 
 @query(
