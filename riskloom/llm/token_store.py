@@ -51,7 +51,7 @@ MAX_ROUNDS = 8
 #: A pair is frequent if it occurs at least so often in its shard.
 LEAST = 16
 #: Bytes of text that are encoded at a time, and words whose ids a worker remembers.
-BATCH_CHARS, REMEMBERED = 1 << 20, 400_000
+BATCH_CHARS, REMEMBERED = 1 << 20, 800_000
 
 _MAGIC, _HEAD = b"RPS1", struct.Struct("<4s6I")
 # A-Z to a-z and line feeds to spaces; the bytes of other characters stay.
@@ -59,6 +59,19 @@ _FOLD = bytes(0x20 if b == 0x0A else b + 32 if 0x41 <= b <= 0x5A else b for b in
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
+class _Numbers(dict):
+    """Word -> number; an unknown word gets the next number and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, word by word.
 
@@ -75,41 +88,59 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
         self.by_words = same_by_words(self.library)
+        self.closing = np.zeros(max(self.library.get_vocab().values(), default=0) + 1, bool)
+        self.closing[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         """Empty the memory: words by number, and where each number's ids lie in the pool."""
-        self.at: dict[str, int] = {"": 0}
+        self.at = _Numbers()
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _put(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
-        n, m = len(self.at), len(words)
-        while n + m > len(self.start):
+    def _put(self, numbers: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        while len(self.at) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m] = self.used + np.cumsum(length) - length
-        self.length[n : n + m] = length
-        self.at.update(zip(words, range(n, n + m), strict=True))
+        self.start[numbers] = self.used + np.cumsum(length) - length
+        self.length[numbers] = length
         self.used += len(ids)
 
-    def _add(self, words: list[str]) -> None:
-        # A word's closing punctuation is a piece of its own: letters and other signs never share one.
-        stems = [w.rstrip(_MARKS) for w in words]
-        stems = [s if s and s[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
-        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
-        new = [x for x in dict.fromkeys(stems + tails) if x not in self.at]
-        got = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has."""
+        plain = [p for p in pieces if p.isalpha()]
+        if len(plain) == len(pieces):
+            # Words of letters in one text: each ends with an id that closes a word.
+            ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(pieces):
+                return ids, np.diff(ends, prepend=0)
+        got = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
         length = np.fromiter(map(len, got), np.int64, len(got))
-        self._put(new, np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length)
-        both = [(w, self.at[s], self.at[t]) for w, s, t in zip(words, stems, tails, strict=True) if t]
-        if both:
-            ends = np.array([x[1:] for x in both], np.int64)
-            length = self.length[ends]
-            ids = self.pool[ragged(self.start[ends].ravel(), length.ravel())]
-            self._put([x[0] for x in both], ids, length.sum(axis=1))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length
+
+    def _learn(self) -> None:
+        """Encode the new words. A word's closing punctuation is a piece of its own: letters and other signs
+        never share one."""
+        words, at = self.at.new, self.at
+        at.new = []
+        stems = [w.rstrip(_MARKS) for w in words]
+        split = [(w, s) for w, s in zip(words, stems, strict=True) if len(s) < len(w) and s and s[-1].isalpha()]
+        parts = np.array([(at[w], at[s], at[w[len(s) :]]) for w, s in split], np.int64).reshape(-1, 3)
+        divided = {w for w, _ in split}
+        alone = [w for w in words + at.new if w not in divided]
+        at.new = []
+        for kind in (True, False):
+            some = [w for w in alone if w.isalpha() is kind]
+            for i in range(0, len(some), 4096):
+                block = some[i : i + 4096]
+                self._put(np.fromiter(map(at.__getitem__, block), np.int64, len(block)), *self._pieces(block))
+        if len(parts):
+            ends = parts[:, 1:]
+            ids = self.pool[ragged(self.start[ends].ravel(), self.length[ends].ravel())]
+            self._put(parts[:, 0], ids, self.length[ends].sum(axis=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and the number of each text's ids."""
@@ -119,12 +150,9 @@ class Encoder:
         whole = [not self.by_words or any(s in t for s in self.special) for t in folded]
         words = [[] if odd else t.split(" ") for t, odd in zip(folded, whole, strict=True)]
         flat = [w for ws in words for w in ws]
-        at = list(map(self.at.get, flat))
-        missing = list(dict.fromkeys(w for w, i in zip(flat, at, strict=True) if i is None))
-        if missing:
-            self._add(missing)
-            at = list(map(self.at.__getitem__, flat))
-        index = np.array(at, dtype=np.int64)
+        index = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        if self.at.new:
+            self._learn()
         length, start = self.length[index], self.start[index]
         ids = self.pool[ragged(start, length)]
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
@@ -215,17 +243,19 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids behind ``symbols``; all nonterminals are replaced by their pairs until none is left."""
-    symbols = symbols.astype(np.uint32)
-    while len(rules) and (deep := symbols >= first).any():
-        width = 1 + deep.astype(np.int64)
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[at[~deep]] = symbols[~deep]
-        pair = rules[symbols[deep] - first]
-        out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+    """The ids behind ``symbols``: every rule is expanded once, then the runs are strung together."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    lengths = expansion_lengths(rules, first)
+    ends = first + np.cumsum(lengths)
+    pool = np.concatenate([np.arange(first, dtype=np.uint32), np.zeros(int(lengths.sum()), np.uint32)])
+    start = np.concatenate([np.arange(first), ends - lengths])
+    length = np.concatenate([np.ones(first, np.int64), lengths])
+    for i, (a, b) in enumerate(rules.tolist()):
+        to, mid = first + i, start[first + i] + length[a]
+        pool[start[to] : mid] = pool[start[a] : start[a] + length[a]]
+        pool[mid : mid + length[b]] = pool[start[b] : start[b] + length[b]]
+    return pool[ragged(start[symbols], length[symbols])]
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, first: int) -> bytes:
