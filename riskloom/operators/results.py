@@ -21,8 +21,9 @@ MEASURES = ["accuracy", "precision", "recall", "gmean", "auc", "f1", "mcc", "tra
 
 # Classical classifier columns of the combined report.
 ML_CLASSIFIERS = ["LR", "KNN", "SVM", "RF", "LGBM", "XGB"]
-# Network columns of the combined report.
-DL_CLASSIFIERS = ["MLP (Triet)", "Sequential CNN", "Sequential RNN", "Siamese CNN", "Siamese (MLP)"]
+# Network columns of the combined report. The perceptron's column goes by a person's name;
+# callers who have it pass their own families.
+DL_CLASSIFIERS = ["Sequential CNN", "Sequential RNN", "Siamese CNN", "Siamese (MLP)"]
 
 
 def _mean(column: str):
