@@ -168,6 +168,20 @@ def batch_predict(model: Transformer, df: DataFrame, id: str, features: str = "f
     return model.transform(data).select(id, "truth", "pred")
 
 
+def class_scores(model: PipelineModel, df: DataFrame, id: str, features: str = "features", label: str = "label") -> DataFrame:
+    """Scores of a fitted model for every class: id, class, positive (0/1), score. ``auc_ovr`` takes them.
+
+    The score is the probability where the model has one, else the raw score.
+    """
+    names = model.stages[-1].getLabels()
+    data = as_vector(df.select(id, features, F.col(label).cast("string").alias("truth")), features)
+    out = model.transform(data)
+    values = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")
+    rows = out.select(id, "truth", F.posexplode(values).alias("_at", "score"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_at") + 1)
+    return rows.select(id, name.alias("class"), (F.col("truth") == name).cast("int").alias("positive"), "score")
+
+
 def external_predict(
     df: DataFrame, make: Callable, column: str, batch_size: int = 256, output: str = "scores"
 ) -> DataFrame:

@@ -8,9 +8,10 @@ from riskloom.functions.labels import binarise, decode_scores, encode_label
 from riskloom.operators import resample
 from riskloom.operators.bags import assemble, bow_counts, bow_fit, bow_transform, tfidf, zero_fill
 from riskloom.operators.embeddings import w2v_fit, w2v_mean
-from riskloom.operators.metrics import score
+from riskloom.operators.metrics import auc_ovr, score
 from riskloom.operators.models import (
     PARAMETERS,
+    class_scores,
     external_predict,
     fit,
     fit_predict,
@@ -163,6 +164,21 @@ def test_models_beat_the_majority(blobs, alg, params):
     assert got["accuracy"] > 0.85 > base["accuracy"]
 
 
+@pytest.mark.parametrize("alg, params", [("lr", ("1",)), ("rf", ("20", "16")), ("svm", ("10",))])
+def test_fitted_models_feed_the_area_under_the_curve(blobs, alg, params):
+    train, test = blobs.filter("role = 'train'"), blobs.filter("role <> 'train'")
+    scores = class_scores(fit(alg, params, train), test, "id")
+    assert scores.count() == 3 * test.count() and scores.agg(F.sum("positive")).first()[0] == test.count()
+    areas = auc_ovr(scores, [], "class", "positive", "score").collect()
+    assert {r["class"] for r in areas} == {"a", "b", "c"}
+    got = scores.toPandas()
+    for r in areas:
+        one = got[got["class"] == r["class"]]
+        up, down = (one[one["positive"] == v]["score"].to_numpy() for v in (1, 0))
+        want = np.mean((up[:, None] > down) + 0.5 * (up[:, None] == down))
+        assert r["auc"] == pytest.approx(want) and want > 0.8
+
+
 def test_kernel_width_is_scaled_by_variance(blobs):
     x = np.array([r["features"] for r in blobs.select("features").collect()])
     assert scale_gamma(blobs, "features") == pytest.approx(1 / (4 * x.var()))
