@@ -64,3 +64,14 @@ def class_counts(labels: DataFrame, label: str, train: Column | None = None) ->
     ids = ids.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     got = ids.agg(F.count_if(F.col("_y") == 0), F.count_if(F.col("_y") == 1)).first()
     return got[0], got[1]
+
+
+#: Size up to which a measured table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_below(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` (a pinned table) with a broadcast hint if its rows, of ``size`` bytes each, take up less than
+    ``BROADCAST_BYTES``; beyond it the join is left to Spark, with the same result."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total < BROADCAST_BYTES else df

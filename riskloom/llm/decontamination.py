@@ -9,7 +9,7 @@ windows of m words around them and compared as text, so the result is exact. k =
 
 Each fingerprint carries the few words around it, so no document is shuffled and none is read twice for its
 hits. The benchmark's fingerprints and windows are broadcast where their measured size is below
-``BROADCAST_BYTES``; beyond it the joins shuffle, with the same result.
+``common.BROADCAST_BYTES``; beyond it the joins shuffle, with the same result.
 
 NULL and empty texts have no words and no hits. Rows that repeat an id or a text each get their row. Items
 without an id hit words but are not named. Further columns are ignored.
@@ -22,11 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.binding import bind
-from riskloom.llm.common import LOWER, UPPER, ascii_lower, split_words, table
+from riskloom.llm.common import LOWER, UPPER, ascii_lower, broadcast_below, split_words, table
 from riskloom.session import materialise
 
 WINDOW = 13
-BROADCAST_BYTES = 64 << 20
 # What separates words, in text with A-Z in lower case and in any text.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAPS_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,12 +73,6 @@ def _fingerprints(words: Column, m: int, around: bool) -> Column:
     return F.transform(_smallest(words, m), as_row)
 
 
-def _broadcast_below(df: DataFrame, size: Column) -> DataFrame:
-    """``df`` (a pinned table) with a broadcast hint if its rows take up less than ``BROADCAST_BYTES``."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if total < BROADCAST_BYTES else df
-
-
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
 
@@ -104,7 +97,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     marks = known[0]
     for more in known[1:]:
         marks = marks.unionByName(more)
-    marks = _broadcast_below(materialise(marks.distinct(), "marks"), F.lit(24))
+    marks = broadcast_below(materialise(marks.distinct(), "marks"), F.lit(24))
     words = split_words(ascii_lower(F.col("text")), GAPS)
     found = docs.select("doc_id", F.xxhash64("text").alias("digest"), words.alias("words"))
     rows = F.concat(*[_fingerprints(F.col("words"), n, True) for n in lengths])
@@ -116,7 +109,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     )
     around = hits.select("doc_id", "digest", "m", "first", F.split("piece", " ").alias("part"))
     around = around.where(F.size("part") >= F.col("m")).select("doc_id", "digest", "m", F.explode(spread).alias("w"))
-    wanted = _broadcast_below(windows.select("m", "window").distinct(), F.octet_length("window") + 32)
+    wanted = broadcast_below(windows.select("m", "window").distinct(), F.octet_length("window") + 32)
     exact = around.select("doc_id", "digest", "m", "w.*").join(wanted, ["m", "window"], "left_semi").distinct()
     return materialise(exact, "occurrences"), windows.select("window", "item_id").distinct()
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.binding import bind
-from riskloom.llm.common import ascii_lower, split_words, table
+from riskloom.llm.common import ascii_lower, broadcast_below, split_words, table
 from riskloom.llm.graph import components
 from riskloom.session import materialise
 
@@ -111,7 +111,8 @@ def _fingerprint_batches(tables: int):
 
 
 def _spots(fp: Column) -> Column:
-    """Where a fingerprint goes in the shuffle: (half << 32 | key) << 1 | near, one BIGINT each.
+    """Where a fingerprint goes in the shuffle: (half << 32 | key) << 1 | near, one BIGINT each. ``links`` puts
+    the number of the fingerprint's table above that.
 
     near is 0 if the key is the fingerprint's own half, 1 if one bit of it is flipped. Half 0 (the key is
     the high half) gets every fingerprint, half 1 only what pairs at distance 3 need.
@@ -126,23 +127,25 @@ def _spots(fp: Column) -> Column:
     return F.explode(F.concat(F.array(high * 2), flipped(high), second))
 
 
-def _meet(spot: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints that share a variant; rows are sorted by ``spot``."""
+def _meet(spot: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Links (rows: fingerprint, fingerprint, table) between fingerprints of a table that share a variant; the
+    input is sorted by ``spot``."""
     none = np.zeros(0, np.uint64)
     key = spot >> 1
     group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
     crowd = np.bincount(group)[group] > 1  # a key of one row links nothing
     if not crowd.any():
-        return none, none
+        return np.stack([none] * 3)
+    table_of = (key[np.flatnonzero(np.r_[True, key[1:] != key[:-1]])] >> (_HALF + 1)).astype(np.uint64)
     key, near, fp, group = key[crowd], (spot[crowd] & 1) == 1, fp[crowd], group[crowd]
-    high = (key >> _HALF) == 0  # the key is the high half
+    high = (key >> _HALF) & 1 == 0  # the key is the high half
     free = np.where(high, fp & _LOW, fp >> np.uint64(_HALF))  # the half that is not the key
     odd = np.bitwise_count(fp) % 2 == 1
     one, two = ~near & (high | ~odd), ~near & odd
     # Keys are dealt to lots of bounded size; variants of different keys never meet.
     cost = 1 + _HALF * one + len(_DOUBLE) * two
     lot = (np.cumsum(np.bincount(group, cost)) // VARIANTS)[group]
-    found = [(none, none)]
+    found = [(none, none, none)]
     for b in np.unique(lot):
         at = np.flatnonzero(lot == b)
         first_group = group[at[0]]
@@ -172,19 +175,20 @@ def _meet(spot: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             first = np.r_[True, variant[1:] != variant[:-1]]
             head = np.flatnonzero(first)[np.cumsum(first) - 1]  # the one with the fewest flips
             link = ~first & ((code[head] & np.uint64(3)) <= 1) & (owner[head] != owner)
-            found.append((owner[head][link], owner[link]))
-    a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+            place = (code[link] >> np.uint64(34)).astype(np.int64) + first_group
+            found.append((owner[head][link], owner[link], table_of[place]))
+    a, b, t = (np.concatenate([x[i] for x in found]) for i in range(3))
     ok = np.bitwise_count(a ^ b) <= RADIUS  # follows from the flips; verified nevertheless
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, ok], axis=1)
-    return pairs[0], pairs[1]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), t])[:, ok], axis=1)
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by spot -> links. A key's rows are kept together across batches."""
     spot, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def out(pair: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"a": pair[0].view(np.int64), "b": pair[1].view(np.int64)})
+    def out(found: np.ndarray) -> pd.DataFrame:
+        a, b, t = found.view(np.int64)
+        return pd.DataFrame({"a": a, "b": b, "t": t})
 
     for pdf in batches:
         spot = np.concatenate([spot, pdf["spot"].to_numpy(np.int64)])
@@ -199,16 +203,18 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints (column fp, BIGINT) that keep all components."""
-    spots = fingerprints.select("fp", _spots(F.col("fp")).alias("spot"))
+    """Links (a, b, t) between the distinct fingerprints (t: number of their table, fp: BIGINT) of each table
+    that keep all its components."""
+    spots = fingerprints.select("t", "fp", _spots(F.col("fp")).alias("spot"))
+    spots = spots.select("fp", (F.shiftleft(F.col("t").cast("bigint"), _HALF + 2) + F.col("spot")).alias("spot"))
     dealt = spots.repartition(F.shiftright("spot", 1)).sortWithinPartitions("spot")
-    return dealt.select("spot", "fp").mapInPandas(_search, "a bigint, b bigint").distinct()
+    return dealt.select("spot", "fp").mapInPandas(_search, "a bigint, b bigint, t bigint").distinct()
 
 
 def classes(fingerprints: DataFrame) -> DataFrame:
     """(fp, root): for distinct fingerprints that link to others the smallest one reachable."""
     distinct = materialise(fingerprints.select("fp").distinct(), "fingerprints")
-    return components(links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return components(links(distinct.select(F.lit(0).alias("t"), "fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def whole_row(docs: DataFrame) -> Column:
@@ -245,25 +251,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", "whole", "fp", "component_id")
 
 
-def candidates(texts: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) of texts (column node) that may be near by the fingerprints in ``column``.
+def candidates(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) of texts (column node) that may be near by the fingerprints in any of ``columns``.
 
     Texts with one fingerprint are paired with the first of them, and the firsts of linked fingerprints with
     each other: as many pairs as texts and links, however large a group is.
     """
-    heads = materialise(texts.groupBy(F.col(column).alias("fp")).agg(F.min("node").alias("head")), "heads")
-    same = texts.select("node", F.col(column).alias("fp")).join(heads, "fp").where("node <> head")
-    pairs = links(heads.select("fp"))
+    each = F.posexplode(F.array(*columns)).alias("t", "fp")
+    heads = materialise(texts.select("node", each).groupBy("t", "fp").agg(F.min("node").alias("head")), "heads")
+    same = texts.select("node", each).join(heads, ["t", "fp"]).where("node <> head")
+    pairs = links(heads)
     for end in ("a", "b"):
-        pairs = pairs.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), end)
-    return same.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
+        pairs = pairs.join(heads.select("t", F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), ["t", end])
+    found = same.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
         pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     )
+    return found.distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
     """The ``pairs`` (a, b) of texts whose ``shingle``-word shingles have at least that Jaccard similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    ends = broadcast_below(ends, F.lit(64))
     texts = docs.select(text_key(F.col("text")).alias("node"), "text").join(ends, "node", "left_semi")
     sets = texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("set"))
     sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
@@ -289,10 +298,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 6, sim
     first = rooted.groupBy("root").agg(F.min("node").alias("head"))
     edges = rooted.join(first, "root").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     if tables:
-        pairs = candidates(texts, "f0")
-        for i in range(1, tables):
-            pairs = pairs.unionByName(candidates(texts, f"f{i}"))
-        pairs = materialise(pairs.distinct(), "candidates")
+        # Texts that the shingle fingerprints link already need no second proof.
+        root = materialise(rooted.join(first, "root").select("node", "head"), "roots")
+        pairs = candidates(texts, names[1:])
+        for end in ("a", "b"):
+            pairs = pairs.join(root.select(F.col("node").alias(end), F.col("head").alias(f"{end}_head")), end)
+        pairs = materialise(pairs.where("a_head <> b_head").select("a", "b"), "candidates")
         edges = edges.unionByName(verified(docs.select("text"), pairs, similarity))
     group = components(edges)
     placed = rows.select("doc_id", "whole", "node").join(group, "node", "left")
@@ -303,6 +314,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 6, sim
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["whole"] == b["whole"])
     lost = times.join(kept, on(times, kept), "left").where(F.col("kept").isNull() | (F.col("times") > 1))
     lost = materialise(lost.select(times["doc_id"], times["whole"], F.col("kept").isNotNull().alias("kept")), "lost")
+    lost = broadcast_below(lost, F.lit(48))
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", whole_row(docs).alias("whole"))
     single = keyed.join(lost, on(keyed, lost), "left_anti").select("row.*")
     again = lost.where("kept")

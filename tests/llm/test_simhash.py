@@ -57,7 +57,10 @@ def test_every_distance_up_to_three_links(spark):
             pairs.append((x, y, d))
             values |= {x, y}
     df = spark.createDataFrame([(signed(v),) for v in values], "fp bigint")
-    found = {frozenset((r.a, r.b)) for r in S.links(df).collect()}
+    both = df.select(S.F.lit(0).alias("t"), "fp").unionByName(df.where("fp % 2 = 0").select(S.F.lit(1).alias("t"), "fp"))
+    got = S.links(both).collect()
+    found = {frozenset((r.a, r.b)) for r in got if r.t == 0}
+    assert {frozenset((r.a, r.b)) for r in got if r.t == 1} == {f for f in found if all(v % 2 == 0 for v in f)}
     assert {frozenset((signed(x), signed(y))) for x, y, d in pairs if d <= 3} == found
 
 
@@ -77,7 +80,7 @@ def test_crowded_ball_keeps_components(spark, monkeypatch):
     got = {r.fp: r.root for r in S.classes(df).collect()}
     monkeypatch.setattr(S, "VARIANTS", 2000)
     spots = df.select("fp", S._spots(S.F.col("fp")).alias("spot")).toPandas().sort_values("spot")
-    a, b = S._meet(spots["spot"].to_numpy(np.int64), spots["fp"].to_numpy(np.int64).view(np.uint64))
+    a, b, _ = S._meet(spots["spot"].to_numpy(np.int64), spots["fp"].to_numpy(np.int64).view(np.uint64))
     split = set(zip(a.tolist(), b.tolist(), strict=True))
     assert all((x ^ y).bit_count() <= 3 for x, y in split)
     assert groups(values, lambda x, y: (min(x, y), max(x, y)) in split) == want
