@@ -17,10 +17,8 @@ other, those with two flips within 3 of the first. Links are verified by their b
 Copies cost nothing: equal fingerprints are merged before the search, so a variant is shared by at most
 2,081 of them, whatever a group of copies holds.
 
-``drop_near_duplicates`` also finds copies that differ in more bits: fingerprints of a text's distinct
-words, under several hash functions, change less with an edit than those of shingles. The same search over
-them gives candidates, and a candidate counts if the five-word shingles of the two texts have a similarity
-(Jaccard) of ``similarity`` or more.
+``drop_near_duplicates`` does not go by fingerprints but by ``riskloom.llm.overlap``, which finds all pairs
+of texts whose five-word shingles have a similarity (Jaccard) of 0.8 or more.
 
 NULL and empty texts have no words and the fingerprint zero, linked like any other. The documents of a
 component whose ids are all NULL have a NULL component id. Further columns are carried by the dropping
@@ -38,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.binding import bind
+from riskloom.llm import overlap
 from riskloom.llm.common import ascii_lower, broadcast_below, split_words, table
 from riskloom.llm.graph import components
 from riskloom.session import materialise
@@ -90,24 +89,11 @@ def majority_bits(lists: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _mixed(lists: pa.Array, seed: int) -> pa.Array:
-    """The hashes under another hash function (a finaliser of 64-bit integers, as in SplitMix)."""
-    h = lists.values.to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return pa.ListArray.from_arrays(lists.offsets, pa.array((h ^ (h >> np.uint64(31))).view(np.int64)))
-
-
-def _fingerprint_batches(tables: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {n: batch.column(n) for n in ("doc_id", "whole", "node")}
-            cols["fp"] = pa.array(majority_bits(batch.column("hashes")), pa.int64())
-            for i in range(tables):
-                cols[f"f{i}"] = pa.array(majority_bits(_mixed(batch.column("words"), i)), pa.int64())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return run
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = {n: batch.column(n) for n in ("doc_id", "whole", "node")}
+        cols["fp"] = pa.array(majority_bits(batch.column("hashes")), pa.int64())
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def _spots(fp: Column) -> Column:
@@ -226,18 +212,20 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, tables: int = 0) -> DataFrame:
-    """Pinned table (doc_id, whole, node, fp, f0, ...): whole is a hash of the row, node one of the text, fp
-    the fingerprint of its shingles, f0 and on those of its distinct words under ``tables`` hash functions."""
-    words = F.array_distinct(split_words(ascii_lower(F.col("text"))))
-    words = F.transform(words, lambda w: F.xxhash64(w)) if tables else F.array().cast("array<bigint>")
-    found = docs.select(
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, whole, node, hashes) of each row of ``docs``."""
+    return docs.select(
         "doc_id", whole_row(docs).alias("whole"), text_key(F.col("text")).alias("node"),
-        shingle_hashes(F.col("text"), shingle).alias("hashes"), words.alias("words"),
+        shingle_hashes(F.col("text"), shingle).alias("hashes"),
     )
+
+
+def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """Pinned table (doc_id, whole, node, fp): whole is a hash of the row, node one of the text, fp the
+    fingerprint of its shingles."""
+    found = shingled(docs, shingle)
     spec = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole bigint, node string, fp bigint"
-    spec += "".join(f", f{i} bigint" for i in range(tables))
-    return materialise(found.mapInArrow(_fingerprint_batches(tables), spec), "simhash")
+    return materialise(found.mapInArrow(_fingerprint_batches, spec), "simhash")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -251,60 +239,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", "whole", "fp", "component_id")
 
 
-def candidates(texts: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) of texts (column node) that may be near by the fingerprints in any of ``columns``.
-
-    Texts with one fingerprint are paired with the first of them, and the firsts of linked fingerprints with
-    each other: as many pairs as texts and links, however large a group is.
-    """
-    each = F.posexplode(F.array(*columns)).alias("t", "fp")
-    heads = materialise(texts.select("node", each).groupBy("t", "fp").agg(F.min("node").alias("head")), "heads")
-    same = texts.select("node", each).join(heads, ["t", "fp"]).where("node <> head")
-    pairs = links(heads)
-    for end in ("a", "b"):
-        pairs = pairs.join(heads.select("t", F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), ["t", end])
-    found = same.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
-        pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    )
-    return found.distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
-    """The ``pairs`` (a, b) of texts whose ``shingle``-word shingles have at least that Jaccard similarity."""
-    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    ends = broadcast_below(ends, F.lit(64))
-    texts = docs.select(text_key(F.col("text")).alias("node"), "text").join(ends, "node", "left_semi")
-    sets = texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("set"))
-    sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    near = common >= similarity * (F.size("x") + F.size("y") - common)
-    return both.where(near).select("a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 6, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies in ``docs``, unchanged: that with the smallest id.
 
-    Texts are near if their ``shingle``-word fingerprints link as in ``near_duplicates``, or if they are
-    candidates by one of ``tables`` fingerprints of their words and have ``similarity``. Ids come first in
-    order, NULL last; rows with the same id go by a hash of the whole row, and of entirely equal rows one
-    stays.
+    Texts are near if they are equal, if neither has a word, or if the sets of their ``shingle``-word shingles
+    have a Jaccard similarity of ``similarity`` or more; groups are the components of all such pairs. Ids come
+    first in order, NULL last; rows with the same id go by a hash of the whole row, and of entirely equal
+    rows one stays.
     """
-    rows = with_fingerprints(docs, shingle, tables)
-    names = ["fp", *(f"f{i}" for i in range(tables))]
-    texts = materialise(rows.groupBy("node").agg(*[F.first(n).alias(n) for n in names]), "texts")
-    rooted = texts.join(classes(texts), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("node").alias("head"))
-    edges = rooted.join(first, "root").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    if tables:
-        # Texts that the shingle fingerprints link already need no second proof.
-        root = materialise(rooted.join(first, "root").select("node", "head"), "roots")
-        pairs = candidates(texts, names[1:])
-        for end in ("a", "b"):
-            pairs = pairs.join(root.select(F.col("node").alias(end), F.col("head").alias(f"{end}_head")), end)
-        pairs = materialise(pairs.where("a_head <> b_head").select("a", "b"), "candidates")
-        edges = edges.unionByName(verified(docs.select("text"), pairs, similarity))
+    rows = overlap.with_prefixes(shingled(docs, shingle), similarity)
+    near = overlap.suspects(rows)
+    texts = docs.select(text_key(F.col("text")).alias("node"), "text")
+    texts = texts.join(broadcast_below(near, F.lit(64)), "node").dropDuplicates(["id"])
+    sets = materialise(texts.select("id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("set")), "sets")
+    edges = overlap.near_pairs(sets, similarity)
+    for end in ("a", "b"):
+        edges = edges.join(near.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end)
+    edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     group = components(edges)
     placed = rows.select("doc_id", "whole", "node").join(group, "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import xxhash
 
+from riskloom.llm import overlap
 from riskloom.llm import simhash as S
 from riskloom.llm.graph import components
 from tests.llm import odd
@@ -144,6 +145,42 @@ def test_near_copies_beyond_three_bits(spark):
     assert len(kept) <= 36  # nearly every copy is found, and no group is lost
 
 
+def kept_as_brute_force(spark, texts):
+    """Whether the rows that stay are the first of each component of all pairs with a five-word Jaccard of 0.8."""
+    sets = [set(shingles(t, 5)) for t in texts]
+    at = groups(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == sorted(set(at)), len(set(at))
+
+
+def test_copies_with_a_passage_more_or_less(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"n{rng.getrandbits(40)}" for _ in range(n)]
+    texts = []
+    for g in range(40):
+        base = [f"w{g}x{i}" for i in range((30, 100, 300, 1000)[g % 4])]
+        # Five-word Jaccard of about 0.83 to 0.95; the last is below 0.8.
+        more = len(base) // (20, 10, 7, 6)[g // 4 % 4]
+        texts += [" ".join(w) for w in (base, base + fresh(more), fresh(more) + base, base[:-more], base + fresh(len(base) // 3))]
+    same, n = kept_as_brute_force(spark, texts)
+    assert same and n < 110
+
+
+def test_blocks_in_tiles_and_common_shingles(spark, monkeypatch):
+    """A group of near copies above a tile, and a line that all texts hold."""
+    monkeypatch.setattr(overlap, "TILE", 2000)
+    monkeypatch.setattr(overlap, "SAMPLE", 50)
+    rng = random.Random(7)
+    line, base, texts = [f"line{i}" for i in range(30)], [f"w{i}" for i in range(150)], []
+    for c in range(120):
+        copy = list(base)
+        for at in rng.sample(range(150), c % 6):
+            copy[at] = f"n{rng.getrandbits(40)}"
+        texts.append(" ".join(copy + line))
+        texts.append(" ".join([f"o{c // 2}x{i}" for i in range(60 - c % 2)] + line))
+    assert kept_as_brute_force(spark, texts)[0]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
