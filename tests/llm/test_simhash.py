@@ -166,6 +166,22 @@ def test_copies_with_a_passage_more_or_less(spark):
     assert same and n < 110
 
 
+def test_copies_whose_head_is_not_near(spark):
+    """Texts of one vocabulary: all have one fingerprint of distinct words, and few pairs of them are near."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{i}" for i in range(100)]
+        for _ in range(5):
+            rng.shuffle(words)
+            copy = list(words)
+            at = rng.randrange(99)
+            copy[at], copy[at + 1] = copy[at + 1], copy[at]
+            texts += [" ".join(words), " ".join(copy)]
+    same, n = kept_as_brute_force(spark, texts)
+    assert same and n == 60
+
+
 def test_blocks_in_tiles_and_common_shingles(spark, monkeypatch):
     """A group of near copies above a tile, and a line that all texts hold."""
     monkeypatch.setattr(overlap, "TILE", 2000)
