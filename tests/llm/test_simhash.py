@@ -182,6 +182,14 @@ def test_copies_whose_head_is_not_near(spark):
     assert same and n == 60
 
 
+def test_texts_of_one_repeated_line_are_not_copies(spark):
+    texts = []
+    for g in range(6):
+        line = [f"line{g}w{i}" for i in range(5)] * 28
+        texts += [" ".join(line + [f"own{g}x{c}x{i}" for i in range(60)]) for c in range(3)]
+    assert kept_as_brute_force(spark, texts) == (True, 18)
+
+
 def test_blocks_in_tiles_and_common_shingles(spark, monkeypatch):
     """A group of near copies above a tile, and a line that all texts hold."""
     monkeypatch.setattr(overlap, "TILE", 2000)
