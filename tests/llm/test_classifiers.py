@@ -203,6 +203,19 @@ def test_licences(spark):
     assert licences.fit(odd.documents(spark, [])).threshold == 0.5
 
 
+def test_licence_lines_with_two_notices(spark):
+    every = [(f, ts[0]) for f, ts in licences.TEMPLATES.items()]
+    rows = [(1000 + i, f"{odd.PROSE}\n{t}") for i, (_, t) in enumerate(every)] + [(2000 + i, odd.PROSE + f" number {i}") for i in range(40)]
+    scanner = licences.fit(odd.documents(spark, rows))
+    both = [(f, g, f"{t} {u}") for f, t in every for g, u in every if f < g]
+    got = {r.doc_id: r for r in licences.scanned(odd.documents(spark, [(i, t) for i, (_, _, t) in enumerate(both)]), scanner).collect()}
+    for i, (f, g, _) in enumerate(both):
+        assert list(got[i].families) == [f, g] and got[i].n_licensed == got[i].n_paragraphs == 1
+    text = " ".join(t for _, t in every)
+    [r] = licences.scanned(odd.documents(spark, [(1, f"{odd.PROSE * 2}{text} {odd.PROSE * 2}")]), scanner).collect()
+    assert list(r.families) == sorted(licences.TEMPLATES)
+
+
 def licences_words(line):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))
 
