@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, licences, mixing, quality_rules, quality_trees, sharding, simhash, token_store, toxicity, url_filter
+from riskloom.llm import (
+    decontamination, fill_in_middle, hash_index, licences, mixing, quality_rules, quality_trees, runs, sharding, simhash,
+    token_store, toxicity, url_filter,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,5 +18,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_trees": quality_trees.op9_quality_trees,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_hash_index": hash_index.op13_hash_index,
 }
-ORACLES = {"op7_hash_tree": sharding.OP7_SQL, "op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}
+ORACLES = {"op7_hash_tree": sharding.OP7_SQL, "op1_quality_rules": quality_rules.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL}
