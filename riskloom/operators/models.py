@@ -198,15 +198,23 @@ def external_predict(
 
 def fit_predict(
     alg: str, parameters: Sequence[str], train: DataFrame, test: DataFrame, id: str,
-    features: str = "features", label: str = "label",
+    features: str = "features", label: str = "label", search: Callable = nearest,
 ) -> DataFrame:
-    """Train on one table and predict another, for any algorithm: id, truth, pred."""
+    """Train on one table and predict another, for any algorithm: id, truth, pred.
+
+    ``search`` finds the neighbours of ``knn``: the exact mode, or ``nearest`` of a candidate index. A row whose
+    cells hold no training row takes the commonest training label.
+    """
     if alg == "knn":
         k, weights, norm = parameters
         labelled = train.withColumn("_label", F.col(label).cast("string"))
-        near = nearest(test, labelled, int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"])
+        near = search(test, labelled, int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"])
         voted = knn_vote(near, id, "_label", weights)
-        return test.select(id, F.col(label).cast("string").alias("truth")).join(voted, id)
+        truth = test.select(id, F.col(label).cast("string").alias("truth"))
+        if search is nearest:
+            return truth.join(voted, id)
+        common = most_common(labelled, [], "_label").first()[0]
+        return truth.join(voted, id, "left").select(id, "truth", F.coalesce("pred", F.lit(common)).alias("pred"))
     if alg == "majority":
         # One row: the commonest training label.
         top = most_common(train.withColumn(label, F.col(label).cast("string")), [], label).first()[0]

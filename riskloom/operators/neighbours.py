@@ -1,15 +1,23 @@
-"""Exact nearest neighbours at scale: square blocks, matrix distances, partial top-k.
+"""Nearest neighbours at scale: exact in square blocks, or among candidates from cells around pivots.
 
-Training rows and queries of a group are dealt by hash to tiles of bounded size, and every tile of queries
+Exact mode (``nearest``). Training rows and queries of a group are dealt by hash to tiles of bounded size, and every tile of queries
 meets every tile of its group's training rows once, so a row is copied as often as the other side has
 tiles. A block compares by one matrix product, keeps what can be among the k nearest within rounding,
 measures that exactly and gives back at most k rows per query. No row is left out and nothing is collected:
 the numbers of tiles stay a table with a row per group.
+
+Candidate mode (``Cells``). A few hundred pivots, drawn from a bounded sample, cut the space into cells, once
+for each table. A training row goes to the cell of its nearest pivot in every table, a query to the cells of
+its nearest pivots; how many, the sample tells: as many as hold ``target`` of the exact neighbours there. Inside
+a cell the blocks of the exact mode measure everything. Rows and queries are shuffled a fixed number of times,
+whatever the table holds; cells of any size are cut into tiles. What is found is measured exactly; what is missed
+is the share ``recall`` measures against the exact mode.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,15 +111,21 @@ def nearest(
     the training row. ``group`` limits neighbours to rows of the same group; ``skip_same`` leaves
     out the row with the query's own id.
     """
-    norm = NORMS[metric]
-    spark = train.sparkSession
+    t, q = _sides(queries, train, id, vector, group, payload)
+    return _ranked(_near(q, materialise(t, "train"), k, NORMS[metric], payload, skip_same, block), k, id, payload)
+
+
+def _sides(queries: DataFrame, train: DataFrame, id: str, vector: str, group: str | None, payload: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Training rows (_id, _x, _group, payload) and queries (_qid, _x, _group)."""
     # NULL groups are a group of their own.
     group_col = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
     t = train.select(F.col(id).alias("_id"), F.col(vector).alias("_x"), group_col.alias("_group"), *payload)
-    t = materialise(as_array(t, "_x"), "train")
-    q = as_array(
-        queries.select(F.col(id).alias("_qid"), F.col(vector).alias("_x"), group_col.alias("_group")), "_x"
-    )
+    q = queries.select(F.col(id).alias("_qid"), F.col(vector).alias("_x"), group_col.alias("_group"))
+    return as_array(t, "_x"), as_array(q, "_x")
+
+
+def _near(q: DataFrame, t: DataFrame, k: int, norm: int, payload: Sequence[str], skip_same: bool, block: int | None) -> DataFrame:
+    """At most k rows per query and block (_qid, _id, distance, payload); ``t`` is a written table."""
     first = t.select(F.size("_x").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
@@ -144,9 +158,10 @@ def nearest(
             *[t.schema[p] for p in payload],
         ]
     )
-    near = asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
-        _top_of_block(k, norm, payload, skip_same), schema
-    )
+    return asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_top_of_block(k, norm, payload, skip_same), schema)
+
+
+def _ranked(near: DataFrame, k: int, id: str, payload: Sequence[str]) -> DataFrame:
     # Row-number limits are applied before the shuffle as well, so k rows per query and task move.
     place = F.row_number().over(W.partitionBy("_qid").orderBy("distance", "_id"))
     return (
@@ -156,6 +171,105 @@ def nearest(
     )
 
 
+# What the candidate mode learns from, at most: pivots of a table, tables, and rows of the sample.
+PIVOTS, TABLES, SAMPLE = 1024, 2, 4096
+SEED = 42
+
+
+@dataclass
+class Cells:
+    """A candidate index: pivots of each table, and in how many cells of each a query looks.
+
+    ``nearest`` of the index takes the arguments of the exact ``nearest`` and gives the same columns, so either
+    can be handed to an operator that searches.
+    """
+
+    pivots: list[np.ndarray]
+    probes: int
+    norm: int
+
+    def _column(self, most: int):
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def of(x: pd.Series) -> pd.Series:
+            return pd.Series(list(_cells(_stack(x), self.pivots, most, self.norm))) if len(x) else pd.Series([], dtype=object)
+
+        return of("_x")
+
+    def nearest(
+        self, queries: DataFrame, train: DataFrame, k: int, id: str = "id", vector: str = "x", metric: str = "l2",
+        group: str | None = None, payload: Sequence[str] = (), skip_same: bool = False, block: int | None = None,
+    ) -> DataFrame:
+        """The k nearest candidates of every query; fewer where its cells hold fewer. Ties go to the smaller id."""
+        if NORMS[metric] != self.norm:
+            raise ValueError("the index was built for another metric")
+        t, q = _sides(queries, train, id, vector, group, payload)
+        in_cell = F.concat_ws("|", F.col("_cell").cast("string"), "_group")
+        t = t.withColumn("_cell", F.explode(self._column(1))).withColumn("_group", in_cell).drop("_cell")
+        q = q.withColumn("_cell", F.explode(self._column(self.probes))).withColumn("_group", in_cell).drop("_cell")
+        near = _near(materialise(q, "probes"), materialise(t, "cells"), k, self.norm, payload, skip_same, block)
+        # A row may be found in a cell of every table.
+        return _ranked(near.dropDuplicates(["_qid", "_id"]), k, id, payload)
+
+
+def _measured(a: np.ndarray, b: np.ndarray, norm: int) -> np.ndarray:
+    """Distances (squares for l2) of all rows of ``a`` from all rows of ``b``."""
+    if norm == 1:
+        return np.stack([np.abs(b - x).sum(axis=1) for x in a])
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+
+
+def _cells(x: np.ndarray, pivots: list[np.ndarray], most: int, norm: int) -> np.ndarray:
+    """Numbers of the ``most`` nearest cells of every table, nearest first."""
+    out, first = [], 0
+    for p in pivots:
+        order = [np.argsort(_measured(x[i : i + 1024], p, norm), axis=1, kind="stable")[:, :most] for i in range(0, len(x), 1024)]
+        out.append(np.concatenate(order) + first)
+        first += len(p)
+    return np.hstack(out).astype("int32")
+
+
+def build_cells(
+    train: DataFrame, k: int, id: str = "id", vector: str = "x", metric: str = "l2", group: str | None = None,
+    target: float = 0.95, pivots: int | None = None, tables: int = TABLES, sample: int = SAMPLE,
+) -> Cells:
+    """A candidate index for ``train``, learned from at most ``sample`` rows drawn by the hash of their ids.
+
+    There are as many pivots as the root of the number of rows, PIVOTS at most, so that queries look in few
+    cells and cells hold few rows. Data in clusters need few probes; where no row is much nearer than others,
+    half of the cells may be needed, and the exact mode is the cheaper one. The number of probed cells is the least with which ``target`` of the k nearest sample rows (of the same
+    group, but the row itself) share a cell with a probe in some table.
+    """
+    t, _ = _sides(train, train, id, vector, group, ())
+    drawn = t.orderBy(F.xxhash64("_id"), "_id").limit(sample).toPandas()
+    if not len(drawn):
+        raise ValueError("no training rows")
+    x, groups, norm = _stack(drawn["_x"]), pd.factorize(drawn["_group"])[0], NORMS[metric]
+    pivots = pivots or min(PIVOTS, round(train.count() ** 0.5))
+    rng = np.random.default_rng(SEED)
+    sets = [x[rng.choice(len(x), min(max(pivots, 1), len(x)), replace=False)] for _ in range(tables)]
+    own = _cells(x, sets, 1, norm)
+    asked = rng.choice(len(x), min(512, len(x)), replace=False)
+    places = []  # how many cells a query has to look in until it meets a neighbour in some table
+    ordered = _cells(x[asked], sets, max(len(s) for s in sets), norm)
+    width = ordered.shape[1] // tables
+    for row, at in enumerate(asked):
+        far = _measured(x[at : at + 1], x, norm)[0]
+        far[(groups != groups[at]) | (np.arange(len(x)) == at)] = np.inf
+        near = [i for i in np.argsort(far, kind="stable")[:k] if np.isfinite(far[i])]
+        if near:
+            met = [(ordered[row, j * width : (j + 1) * width][:, None] == own[near, j][None, :]).argmax(axis=0) for j in range(tables)]
+            places.extend(np.min(met, axis=0) + 1)
+    probes = int(np.quantile(places, target, method="higher")) if places else 1
+    return Cells(sets, probes, norm)
+
+
+def recall(found: DataFrame, exact: DataFrame, id: str = "id") -> float:
+    """Share of the exact mode's (query, neighbour) pairs that ``found`` has; 1 if there are none."""
+    truth = materialise(exact.select(id, "neighbour"), "truth")
+    n = truth.count()
+    return truth.join(found, [id, "neighbour"], "left_semi").count() / n if n else 1.0
+
+
 def knn_vote(neighbours: DataFrame, id: str = "id", label: str = "label", weights: str = "uniform") -> DataFrame:
     """Predicted label per query. ``distance`` weighs by inverse distance, and rows at distance 0
     outvote all others; ties go to the smaller label."""

@@ -6,7 +6,7 @@ generated in blocks again, so neither a tiny class nor a huge gap lands in one t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,12 +75,14 @@ def oversample_random(df: DataFrame, label: str, id: str, seed: int = 42) -> Dat
 
 
 def oversample_smote(
-    df: DataFrame, label: str, id: str, vector: str, k: int, seed: int = 42, metric: str = "l2"
+    df: DataFrame, label: str, id: str, vector: str, k: int, seed: int = 42, metric: str = "l2", search: Callable = nearest
 ) -> DataFrame:
     """All rows (``copy`` 0) and new rows between a row and one of its k neighbours of its class.
 
     New rows fill every class up to the largest: base row, neighbour and the share of the way are
     repeatable draws. New rows keep the id of their base row; ``neighbour`` and ``copy`` tell them apart.
+    ``search`` finds the neighbours: the exact mode, or ``nearest`` of a candidate index. A draw whose rank
+    a candidate index did not find starts again from the first, and a row without neighbours found is copied.
     """
     sizes = _class_sizes(df, label)
     short = sizes.filter((F.col("_missing") > 0) & (F.col("_size") <= k)).first()
@@ -93,9 +95,13 @@ def oversample_smote(
     rows = as_array(df, vector)
     lacking = rows.join(broadcast_if_small(sizes.filter("_missing > 0").select(label)), label, "left_semi")
     train = lacking.withColumn("_nx", F.col(vector))
-    pairs = nearest(lacking, train, k, id=id, vector=vector, metric=metric, group=label, payload=["_nx"], skip_same=True)
+    pairs = search(lacking, train, k, id=id, vector=vector, metric=metric, group=label, payload=["_nx"], skip_same=True)
+    # At most k neighbours per row.
+    near = pairs.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "_nx"))).alias("_near"))
     placed = keyed_position(lacking, [id], [label], "_place")
-    drawn = placed.join(copies, [label, "_place"]).join(pairs.select(id, "rank", "neighbour", "_nx"), [id, "rank"])
+    drawn = placed.join(copies, [label, "_place"]).join(near, id, "left")
+    one = F.get("_near", ((F.col("rank") - 1) % F.size("_near")).cast("int"))
+    drawn = drawn.withColumns({"neighbour": F.coalesce(one["neighbour"], id), "_nx": F.coalesce(one["_nx"], vector)})
     made = _repeat(drawn, "_n", [id, "rank"], "copy")
     u = draw_unit(label, "_slot", "copy", seed=seed)
     mixed = F.zip_with(vector, "_nx", lambda a, b: a + F.col("_u") * (b - a))

@@ -11,7 +11,7 @@ from riskloom.operators.embeddings import w2v_fit, w2v_mean
 from riskloom.operators.folds import expanding_split, time_folds, time_order
 from riskloom.operators.metrics import score, score_tasks
 from riskloom.operators.models import batch_predict, external_predict, fit, fit_predict, majority_kmeans, multitask_fit, uniform_baseline
-from riskloom.operators.neighbours import knn_vote, nearest
+from riskloom.operators.neighbours import build_cells, knn_vote, nearest, recall
 from riskloom.operators.resample import oversample_random, oversample_smote, smote_ladder
 from riskloom.plans.experiments import evaluate_one_task, metric_record, select_then_test, validate_grid
 from riskloom.plans.forecast import rounded
@@ -74,6 +74,22 @@ def _knn_vote(spark, sf):
     return knn_vote(near).join(knn_vote(near, weights="distance").withColumnRenamed("pred", "weighted"), "id")
 
 
+@query(
+    "nearest_cells",
+    """SELECT metric, count(*) AS rows, 11 * count(*) AS wanted, true AS ranked, true AS reached FROM embeddings, (VALUES ('l1'), ('l2')) m(metric) GROUP BY metric""",
+)
+def _nearest_cells(spark, sf):
+    """The candidate mode next to the exact one: every row gets its neighbours, and at least 0.9 of the exact ones."""
+    v = vectors(spark, sf)
+    out = []
+    for metric in ("l1", "l2"):
+        found = materialise(build_cells(v, 11, metric=metric).nearest(v, v, 11, metric=metric, skip_same=True), "found")
+        exact = nearest(v, v, 11, metric=metric, skip_same=True)
+        got = found.agg(F.countDistinct("id"), F.count("*"), F.max("rank")).first()
+        out.append((metric, got[0], got[1], got[2] == 11, recall(found, exact) >= 0.9))
+    return spark.createDataFrame(out, "metric string, rows bigint, wanted bigint, ranked boolean, reached boolean")
+
+
 @query(
     "smote_ladder",
     """WITH c AS (SELECT o_custkey % 50 AS grp, min(n) AS smallest FROM (SELECT o_custkey, o_orderpriority, o_orderstatus, count(*) OVER (PARTITION BY o_custkey % 50, o_custkey) AS n FROM orders) GROUP BY 1)
