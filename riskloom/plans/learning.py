@@ -6,11 +6,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import code_tokens
+from riskloom.operators.aggregates import most_common
 from riskloom.operators.bags import assemble, zero_fill
 from riskloom.operators.embeddings import w2v_fit, w2v_mean
 from riskloom.operators.folds import expanding_split, time_folds, time_order
 from riskloom.operators.metrics import score, score_tasks
 from riskloom.operators.models import batch_predict, external_predict, fit, fit_predict, majority_kmeans, multitask_fit, uniform_baseline
+from riskloom.operators.multitask import shared_fit, shared_predict
 from riskloom.operators.neighbours import build_cells, knn_vote, nearest, recall
 from riskloom.operators.resample import oversample_random, oversample_smote, smote_ladder
 from riskloom.plans.experiments import evaluate_one_task, metric_record, select_then_test, validate_grid
@@ -234,6 +236,41 @@ def _multitask_mlp(spark, sf):
     return rounded(score_tasks(multitask_fit(train, test, tasks, "id", "x", alg="mlp", parameters=("8",)), tasks))
 
 
+SEVEN = ["quality", "toxic", "lang", "source", "size", "digits", "lines"]
+
+
+def seven_tasks(spark, sf):
+    """Labelled documents with seven labels, and with measures of the text as features."""
+    d = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
+    share = lambda letters: (F.length(text) - F.length(F.translate(text, letters, ""))) / n
+    groups = ["e", "a", "i", "n", "s", "t", "r", "u", "d", "z", "w", "q", "äöüß", "éèàçñ", ".,;", "!?", "0123456789", "#*$%&|<>", "\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    tokens = code_tokens("text")
+    x = [F.log1p(F.length(text)), F.size(F.array_distinct(tokens)) / F.greatest(F.size(tokens), F.lit(1)), *[share(g) for g in groups]]
+    return d.select(
+        F.col("doc_id").alias("id"), F.array(*[c.cast("double") for c in x]).alias("x"), "quality", "toxic", "lang", "source",
+        F.when(F.length(text) < 1000, "short").when(F.length(text) < 3000, "middle").otherwise("long").alias("size"),
+        F.when(share("0123456789") > 0.01, "many").otherwise("few").alias("digits"),
+        F.when(text.contains("\n"), "several").otherwise("one").alias("lines"),
+    )
+
+
+@query("multitask_shared")
+def _multitask_shared(spark, sf):
+    """Seven heads from one fit: scores of each task on a third of the documents, and the accuracy of its majority."""
+    rows = materialise(seven_tasks(spark, sf), "seven")
+    third = F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0
+    train, test = rows.where(~third), rows.where(third)
+    scores = score_tasks(shared_predict(shared_fit(train, SEVEN, "x"), test, "id", "x"), SEVEN)
+    cells = F.inline(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).cast("string").alias("label")) for t in SEVEN]))
+    most = most_common(train.select(cells), ["task"], "label")
+    # A row per task.
+    hits = test.select(cells).withColumnRenamed("label", "truth").join(F.broadcast(most), "task")
+    share = hits.groupBy("task").agg(F.avg((F.col("truth").eqNullSafe(F.col("label"))).cast("double")).alias("majority"))
+    return rounded(scores.join(share, "task"))
+
+
 @query(
     "uniform_baseline",
     """WITH c AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS c FROM orders)
