@@ -46,8 +46,8 @@ def bow_counts(df: DataFrame, vocab: DataFrame, column: str, key: Sequence[str])
         .groupBy(*key, "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # with_ids bounds the vocabulary; the size is checked before the hint.
-    return counts.join(broadcast_if_small(vocab.select("token", "id")), "token").select(*key, "id", "n")
+    # with_ids bounds the vocabulary; it is written once, and its size is measured before the hint.
+    return counts.join(broadcast_if_small(materialise(vocab.select("token", "id"), "bag")), "token").select(*key, "id", "n")
 
 
 def zero_fill(col: Column | str, width: int) -> Column:

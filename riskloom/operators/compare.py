@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions.draws import draw_key
+from riskloom.functions.tails import normal_tail, rank_sum_tail, signed_rank_p
 from riskloom.operators.ranks import average_ranks, keyed_position
 from riskloom.session import materialise
 
@@ -20,70 +17,11 @@ EXACT_RANK_SUM = 8
 EXACT_SIGNED = 50
 
 
-def _tail(z):
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
-
-
-def _rank_sum_tail(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) for untied samples."""
-    ways = np.zeros(n1 * n2 + 1)
-    ways[0] = 1.0
-    # Generating function: product of (1 - x^(n2 + i)) / (1 - x^i) for i in 1..n1.
-    for i in range(1, n1 + 1):
-        step = n2 + i
-        if step <= n1 * n2:
-            ways[step:] -= ways[:-step].copy()
-        # Dividing by 1 - x^i adds up every i-th coefficient.
-        lanes = np.concatenate([ways, np.zeros(-len(ways) % i)]).reshape(-1, i)
-        ways = lanes.cumsum(axis=0).ravel()[: n1 * n2 + 1]
-    return float(ways[math.ceil(u - 1e-9) :].sum() / ways.sum())
-
-
-def _signed_p(w: float, n: int) -> float:
-    """Two-sided probability of a signed-rank sum at most ``w`` away from the nearer end."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1.0
-    for i in range(1, n + 1):
-        ways[i:] += ways[:-i].copy()
-    return float(min(1.0, 2.0 * ways[: int(w) + 1].sum() / 2.0**n))
-
-
-def _exact(method: str, fits, untied):
-    """Whether the exact distribution is used: ``auto`` where it is usual, else as told."""
+def _exact(method: str, usual: Column) -> Column:
+    """Whether the exact distribution is used: ``auto`` where that is usual, else as told."""
     if method not in ("auto", "exact", "asymptotic"):
         raise ValueError(f"unknown method: {method}")
-    return method == "exact" or (method == "auto" and fits and untied)
-
-
-# The two functions below see one row per group.
-def _mann_whitney_p(method: str):
-    @F.pandas_udf(T.DoubleType())
-    def of(u: pd.Series, z: pd.Series, na: pd.Series, nb: pd.Series, ties: pd.Series, alt: pd.Series) -> pd.Series:
-        out = []
-        for ui, zi, a, b, t, side in zip(u, z, na, nb, ties, alt):
-            if not min(a, b):
-                out.append(None)
-                continue
-            exact = _exact(method, min(a, b) <= EXACT_RANK_SUM, t == 0)
-            p = _rank_sum_tail(ui, *sorted((int(a), int(b)))) if exact else (_tail(zi) if zi == zi else float("nan"))
-            out.append(min(1.0, 2 * p) if side == "two-sided" else p)
-        return pd.Series(out, dtype="float64")
-
-    return of
-
-
-def _wilcoxon_p(method: str):
-    @F.pandas_udf(T.DoubleType())
-    def of(w: pd.Series, z: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
-        out = []
-        for wi, zi, m, zero, t in zip(w, z, n, zeros, ties):
-            if m and _exact(method, m <= EXACT_SIGNED, zero == 0 and t == 0):
-                out.append(_signed_p(wi, int(m)))
-            else:
-                out.append(min(1.0, 2 * _tail(abs(zi))) if zi is not None and zi == zi else float("nan"))
-        return pd.Series(out, dtype="float64")
-
-    return of
+    return usual if method == "auto" else F.lit(method == "exact")
 
 
 def mann_whitney(
@@ -144,7 +82,12 @@ def mann_whitney(
     sums = sums.withColumn("_used", used).withColumn(
         "z", F.when(F.col("_s") > 0, (F.col("_used") - half - 0.5) / F.col("_s"))
     )
-    p = _mann_whitney_p(method)("_used", "z", "n_a", "n_b", "tie_sum", "alternative")
+    fewer = F.least("n_a", "n_b")
+    exact = _exact(method, (fewer <= EXACT_RANK_SUM) & (F.col("tie_sum") == 0))
+    # A spread of 0 leaves z undefined.
+    tail = F.when(exact, rank_sum_tail(F.col("_used"), F.col("n_a"), F.col("n_b"))).otherwise(F.coalesce(normal_tail(F.col("z")), F.lit(float("nan"))))
+    p = F.when(F.col("alternative") == "two-sided", F.least(F.lit(1.0), 2.0 * tail)).otherwise(tail)
+    p = F.when(fewer > 0, p)
     return sums.select(*keys, "n_a", "n_b", "mean_a", "mean_b", "alternative", "u", "z", p.alias("p"))
 
 
@@ -212,7 +155,9 @@ def wilcoxon(
         F.try_divide(w - n * (n + 1) / 4, spread).alias("z"),
         "tie_sum",
     )
-    p = _wilcoxon_p(method)("w", "z", "n", "zeros", "tie_sum")
+    exact = _exact(method, (n <= EXACT_SIGNED) & (F.col("zeros") == 0) & (F.col("tie_sum") == 0)) & (n > 0)
+    two_sided = F.least(F.lit(1.0), 2.0 * normal_tail(F.abs("z")))
+    p = F.when(exact, signed_rank_p(F.col("w"), F.col("n"))).otherwise(F.coalesce(two_sided, F.lit(float("nan"))))
     return out.select(*keys, "n", "zeros", "w", "z", p.alias("p"))
 
 

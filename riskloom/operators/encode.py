@@ -18,7 +18,7 @@ from riskloom.functions.text import (
     token_lookup,
     word_grams,
 )
-from riskloom.session import materialise
+from riskloom.session import broadcast_if_small, materialise
 
 # Sequence lengths of word and character ids.
 WORD_LENGTH = 512
@@ -80,6 +80,36 @@ def _joined_ids(out, work, name, vocab, unknown) -> DataFrame:
     return out.join(rows, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
 
 
+def fold_ids(
+    df: DataFrame, grams: dict[str, Column], vocab: DataFrame, folds: Sequence[int], key: Sequence[str]
+) -> DataFrame:
+    """Id arrays of every row under the vocabulary of every fold: fold, ``key``, one column per entry of ``grams``.
+
+    ``vocab`` is (fold, token, id). It becomes one row per token with the token's id in each fold, which the
+    tokens of all columns, exploded with their place, meet in one join; each row is put together again by its own
+    number and read once per fold. Tokens unknown to a fold are dropped there.
+    """
+    folds = [int(f) for f in folds]
+    ids = vocab.groupBy("token").agg(F.array(*[F.max(F.when(F.col("fold") == f, F.col("id"))) for f in folds]).alias("_ids"))
+    ids = broadcast_if_small(materialise(ids, "foldids"))
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), g.alias("_tokens")) for i, g in enumerate(grams.values())])
+    work = df.select(*key, sides.alias("_s"))
+    work = materialise(work.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = work.select("_row", F.inline("_s")).select("_row", "_side", F.posexplode("_tokens").alias("_pos", "token"))
+    found = placed.join(ids, "token")
+    one = lambda i: F.when(F.col("_side") == i, F.struct("_pos", "_ids"))
+    # The tokens of a row never exceed its own text.
+    lists = found.groupBy("_row").agg(*[F.array_sort(F.collect_list(one(i))).alias(f"_l{i}") for i in range(len(grams))])
+    rows = work.select("_row", *key).join(lists, "_row", "left")
+
+    def of(i: int, at: int) -> Column:
+        known = F.filter(f"_l{i}", lambda s: F.get(s["_ids"], F.lit(at)).isNotNull())
+        return F.coalesce(F.transform(known, lambda s: F.get(s["_ids"], F.lit(at))), F.array().cast("array<int>"))
+
+    cells = [F.struct(F.lit(f).alias("fold"), *[of(i, at).alias(n) for i, n in enumerate(grams)]) for at, f in enumerate(folds)]
+    return rows.select(*key, F.inline(F.array(*cells))).select("fold", *key, *grams)
+
+
 def encode_words(
     df: DataFrame,
     vocab: DataFrame,

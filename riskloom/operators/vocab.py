@@ -19,7 +19,7 @@ from riskloom.functions.text import (
     word_grams,
     words,
 )
-from riskloom.operators.ranks import global_position, keyed_position
+from riskloom.operators.ranks import global_position
 from riskloom.session import materialise
 
 
@@ -150,15 +150,46 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return out.groupBy("token").agg(F.sum("doc_freq").alias("doc_freq"))
 
 
-def _count_by_fold(
-    docs: DataFrame, tokens: Column, part: str, folds: Sequence[int]
-) -> DataFrame:
-    """One row per token with a count column per fold: rows of its training parts (<= fold).
+# The ways of choosing a fold's training rows, and the column that holds a row's part.
+SPLITS = {"time": "time_partition", "random": "partition", "holdout": "set"}
+
+
+def trains(split: str, part: Column, fold: int) -> Column:
+    """Whether a row of the given part trains in the fold.
+
+    ``time``: parts up to the fold. ``random``: all parts but the fold. ``holdout``: the rows marked ``train``,
+    the same in every fold. A NULL part trains nowhere.
+    """
+    if split == "time":
+        return part <= fold
+    if split == "random":
+        return part != fold
+    if split == "holdout":
+        return part == "train"
+    raise ValueError(f"unknown split: {split}")
+
+
+def _count_by_fold(docs: DataFrame, tokens: Column, split: str, part: str | None, folds: Sequence[int]) -> DataFrame:
+    """One row per token with a count column per fold: rows of its training parts.
 
-    Text is tokenised once and counted in one shuffle; folds are columns and multiply no rows.
+    Text is tokenised once and counted once by (token, part). A token has as many of these counts as there are
+    parts; a fold's count is a running sum over them (time), or all but one (random).
     """
-    counts = [F.count(F.when(F.col(part) <= f, 1)).alias(f"f{f}") for f in folds]
-    return explode_tokens(docs, tokens, [part]).groupBy("token").agg(*counts)
+    part = part or SPLITS[split]
+    counts = explode_tokens(docs, tokens, [part]).groupBy("token", part).agg(F.count(F.lit(1)).alias("_n"))
+    p, n = F.col(part), F.col("_n")
+    zero = F.lit(0).cast("bigint")
+    held = lambda condition: F.coalesce(F.sum(F.when(condition, n)), zero)
+    if split == "time":
+        last = max(folds, default=-1)
+        cells = counts.groupBy("token").agg(*[held(p <= 0 if i == 0 else p == i).alias(f"_p{i}") for i in range(last + 1)])
+        for i in range(1, last + 1):
+            cells = cells.withColumn(f"_p{i}", F.col(f"_p{i - 1}") + F.col(f"_p{i}"))
+        return cells.select("token", *[F.col(f"_p{f}").alias(f"f{f}") for f in folds])
+    if split == "random":
+        cells = counts.groupBy("token").agg(held(p.isNotNull()).alias("_all"), *[held(p == f).alias(f"_p{f}") for f in folds])
+        return cells.select("token", *[(F.col("_all") - F.col(f"_p{f}")).alias(f"f{f}") for f in folds])
+    return counts.groupBy("token").agg(*[held(trains(split, p, f)).alias(f"f{f}") for f in folds])
 
 
 def _by_fold(wide: DataFrame, folds: Sequence[int], name: str) -> DataFrame:
@@ -167,47 +198,50 @@ def _by_fold(wide: DataFrame, folds: Sequence[int], name: str) -> DataFrame:
 
 
 def fold_counts(
-    docs: DataFrame, grams: Column, part: str = "time_partition", folds: Sequence[int] = tuple(range(10))
+    docs: DataFrame, grams: Column, part: str | None = None, folds: Sequence[int] = tuple(range(10)), split: str = "time"
 ) -> DataFrame:
-    """Document frequency of every token in the training text (parts <= fold) of every fold."""
-    return _by_fold(_count_by_fold(docs, F.array_distinct(grams), part, folds), folds, "doc_freq")
+    """Document frequency of every token in the training text of every fold."""
+    return _by_fold(_count_by_fold(docs, F.array_distinct(grams), split, part, folds), folds, "doc_freq")
 
 
 def fold_term_counts(
-    docs: DataFrame, grams: Column, part: str = "time_partition", folds: Sequence[int] = tuple(range(10))
+    docs: DataFrame, grams: Column, part: str | None = None, folds: Sequence[int] = tuple(range(10)), split: str = "time"
 ) -> DataFrame:
     """Occurrences of every token in the training text of every fold."""
-    return _by_fold(_count_by_fold(docs, grams, part, folds), folds, "term_freq")
+    return _by_fold(_count_by_fold(docs, grams, split, part, folds), folds, "term_freq")
 
 
 def fold_vocab(
     docs: DataFrame,
     grams: Column,
-    part: str = "time_partition",
+    part: str | None = None,
     folds: Sequence[int] = tuple(range(10)),
     max_vocab: int = 10_000,
+    split: str = "time",
+    count: str = "doc_freq",
 ) -> DataFrame:
-    """The ``max_vocab`` commonest tokens per fold with ids from 1: (fold, token, id, doc_freq).
+    """The ``max_vocab`` commonest tokens per fold with ids from 1: (fold, token, id, ``count``).
 
-    A histogram of the counts gives, per fold, the count below which no token can make it. Only
-    tokens from that count on are put in order.
+    ``count`` is ``doc_freq`` or ``term_freq``; ties go by token. A histogram of the counts gives, per fold, the
+    count below which no token can make it, so only tokens from that count on are put in order.
     """
-    wide = materialise(_count_by_fold(docs, F.array_distinct(grams), part, folds), "foldcounts")
-    counts = _by_fold(wide, folds, "doc_freq")
-    histogram = counts.groupBy("fold", "doc_freq").agg(F.count(F.lit(1)).alias("_n"))
+    counted = {"doc_freq": F.array_distinct(grams), "term_freq": grams}[count]
+    wide = materialise(_count_by_fold(docs, counted, split, part, folds), "foldcounts")
+    counts = _by_fold(wide, folds, count)
+    histogram = counts.groupBy("fold", count).agg(F.count(F.lit(1)).alias("_n"))
     # One row per fold and distinct count.
-    above = F.sum("_n").over(W.partitionBy("fold").orderBy(F.desc("doc_freq")).rowsBetween(W.unboundedPreceding, -1))
+    above = F.sum("_n").over(W.partitionBy("fold").orderBy(F.desc(count)).rowsBetween(W.unboundedPreceding, -1))
     least = (
         histogram.withColumn("_above", F.coalesce(above, F.lit(0)))
         .filter(F.col("_above") < max_vocab)
         .groupBy("fold")
-        .agg(F.min("doc_freq").alias("_least"))
+        .agg(F.min(count).alias("_least"))
     )
     # One row per fold, as many as the list of folds.
-    likely = counts.join(F.broadcast(least), "fold").filter(F.col("doc_freq") >= F.col("_least")).drop("_least")
-    ranked = keyed_position(likely.withColumn("_neg", -F.col("doc_freq")), ["_neg", "token"], ["fold"], "_p")
-    kept = ranked.filter(F.col("_p") < max_vocab)
-    return kept.select("fold", "token", (F.col("_p") + 1).cast("int").alias("id"), "doc_freq")
+    likely = counts.join(F.broadcast(least), "fold").filter(F.col(count) >= F.col("_least")).drop("_least")
+    # Spark keeps max_vocab rows per fold and task before the shuffle.
+    place = F.row_number().over(W.partitionBy("fold").orderBy(F.desc(count), "token"))
+    return likely.withColumn("id", place).filter(F.col("id") <= max_vocab).select("fold", "token", "id", count)
 
 
 def vocab_report(vocab: DataFrame, count: str = "doc_freq", with_count: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.tails import erfc_sql, normal_tail_sql
 from riskloom.functions.cvss import TASKS, base_score, cvss_error, severity_band, vector_parts
 from riskloom.operators.aggregates import spread, worst_per_group
 from riskloom.operators.compare import cohen_d, compare_runs, mann_whitney, wilcoxon
@@ -582,10 +583,30 @@ mw AS (SELECT {keys}, CAST(a AS BIGINT) AS n_a, CAST(b AS BIGINT) AS n_b, mean_a
 @query(
     "mann_whitney",
     f"""WITH {RUNS_SQL}, {_mw_sql('runs', 'scenario')}
-    SELECT scenario, n_a, n_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, alternative, round(u, 8) AS u, round(z, 8) AS z FROM mw""",
+    SELECT scenario, n_a, n_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, alternative, round(u, 8) AS u, round(z, 8) AS z, round({normal_tail_sql('z')}, 8) AS p FROM mw""",
 )
 def _mw(spark, sf):
-    return rounded(mann_whitney(runs(spark, sf), ["scenario"]).drop("p"))
+    return rounded(mann_whitney(runs(spark, sf), ["scenario"]))
+
+
+@query(
+    "rank_sum_exact",
+    """WITH RECURSIVE s AS (SELECT s_nationkey AS nation, s_acctbal AS value, s_suppkey % 2 = 0 AS a FROM supplier),
+    r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY value) AS rk FROM s),
+    g AS (SELECT nation, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, coalesce(sum(rk) FILTER (a), 0) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2 AS u FROM r GROUP BY 1),
+    ways(n_a, n_b, i, k, total, n) AS (
+      SELECT DISTINCT n_a, n_b, 0, 0, 0, CAST(1 AS DOUBLE) FROM g WHERE least(n_a, n_b) > 0
+      UNION ALL SELECT n_a, n_b, i + 1, k + x, total + x * (i + 1), sum(n) FROM ways, (VALUES (0), (1)) t(x) WHERE i < n_a + n_b AND k + x <= n_a GROUP BY ALL),
+    u_ways AS (SELECT n_a, n_b, total - n_a * (n_a + 1) / 2 AS v, n FROM ways WHERE i = n_a + n_b AND k = n_a)
+    SELECT nation, n_a, n_b, u, CASE WHEN least(n_a, n_b) > 0 THEN round(least(1, 2 * (SELECT sum(n) FILTER (v >= greatest(g.u, g.n_a * g.n_b - g.u)) / sum(n) FROM u_ways w WHERE w.n_a = g.n_a AND w.n_b = g.n_b)), 8) END AS p FROM g""",
+)
+def _rank_sum_exact(spark, sf):
+    """Balances of suppliers with even and odd keys per nation, by the exact distribution."""
+    s = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("value"), F.when(F.col("s_suppkey") % 2 == 0, "A").otherwise("B").alias("side")
+    )
+    out = mann_whitney(s, ["nation"], alternative="two-sided", method="exact")
+    return rounded(out.select("nation", "n_a", "n_b", "u", "p"))
 
 
 def _wilcoxon_sql(source: str, keys: str, order: str) -> str:
@@ -607,10 +628,33 @@ wx AS (SELECT {k}, CAST(n AS BIGINT) AS n, zeros, least(up, down) AS w,
 
 @query(
     "wilcoxon",
-    f"WITH {RUNS_SQL}, {_wilcoxon_sql('runs', 'scenario', 'event_id')} SELECT scenario, n, zeros, round(w, 8) AS w, round(z, 8) AS z FROM wx",
+    f"WITH {RUNS_SQL}, {_wilcoxon_sql('runs', 'scenario', 'event_id')} SELECT scenario, n, zeros, round(w, 8) AS w, round(z, 8) AS z, round({erfc_sql(f'(abs(z) / {2**0.5!r})')}, 8) AS p FROM wx",
 )
 def _wilcoxon(spark, sf):
-    return rounded(wilcoxon(runs(spark, sf), ["scenario"], ["event_id"]).drop("p"))
+    return rounded(wilcoxon(runs(spark, sf), ["scenario"], ["event_id"]))
+
+
+@query(
+    "signed_rank_exact",
+    """WITH RECURSIVE c AS (SELECT c_nationkey AS nation, c_acctbal AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+    d AS (SELECT x.nation, x.value - y.value AS d FROM c x JOIN c y ON y.nation = x.nation AND y.k = x.k + 1 WHERE x.k % 2 = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY abs(d)) AS rk FROM d),
+    g AS (SELECT nation, count(*) AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w FROM r GROUP BY 1),
+    ways(n, i, total, m) AS (
+      SELECT DISTINCT n, 0, 0, CAST(1 AS DOUBLE) FROM g
+      UNION ALL SELECT n, i + 1, total + x * (i + 1), sum(m) FROM ways, (VALUES (0), (1)) t(x) WHERE i < n GROUP BY ALL)
+    SELECT nation, n, CAST(w AS DOUBLE) AS w, round(least(1, 2 * (SELECT sum(m) FILTER (total <= g.w) / sum(m) FROM ways x WHERE x.n = g.n AND x.i = g.n)), 8) AS p FROM g""",
+)
+def _signed_rank_exact(spark, sf):
+    """Balances of neighbouring customers per nation, by the exact distribution."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("value"), "c_custkey")
+    placed = keyed_position(c, ["c_custkey"], ["nation"], "k")
+    # A nation's last customer has no partner if their number is odd.
+    sizes = placed.groupBy("nation").agg((F.count("*") - F.count("*") % 2).alias("_n"))
+    whole = placed.join(sizes, "nation").filter("k < _n")
+    paired = whole.withColumns({"pair": F.expr("k div 2"), "side": F.when(F.col("k") % 2 == 0, "A").otherwise("B")})
+    out = wilcoxon(paired.select("nation", "pair", "side", "value"), ["nation"], ["pair"], method="exact")
+    return rounded(out.select("nation", "n", "w", "p"))
 
 
 def _d_sql(source: str, keys: str) -> str:
@@ -636,7 +680,8 @@ def _cohen(spark, sf):
     runs AS (SELECT scenario, scenario AS own, event_id, side, metric, value FROM both_m UNION ALL SELECT 'overall', scenario, event_id, side, metric, value FROM both_m),
     {_mw_sql('runs', 'scenario, metric')}, {_wilcoxon_sql('runs', 'scenario, metric', 'own, event_id')}, d AS ({_d_sql('runs', 'scenario, metric')})
     SELECT scenario, metric, d.n_a, d.n_b, round(d.mean_a, 8) AS mean_a, round(d.mean_b, 8) AS mean_b, round(cohen_d, 8) AS cohen_d, alternative,
-      round(u, 8) AS u, round(mw.z, 8) AS mw_z, round(w, 8) AS w, round(wx.z, 8) AS wilcoxon_z, 'A' AS a, 'B' AS b
+      round(u, 8) AS u, round(mw.z, 8) AS mw_z, round(w, 8) AS w, round(wx.z, 8) AS wilcoxon_z, 'A' AS a, 'B' AS b,
+      round({normal_tail_sql('mw.z')}, 8) AS mw_p, round({erfc_sql(f'(abs(wx.z) / {2**0.5!r})')}, 8) AS wilcoxon_p
     FROM d JOIN mw USING (scenario, metric) JOIN wx USING (scenario, metric)""",
 )
 def _compare(spark, sf):
@@ -645,7 +690,7 @@ def _compare(spark, sf):
         F.round("value").alias("mcc"), (F.col("event_id") % 13).cast("double").alias("f1"),
     )
     a, b = base.filter(F.col("user_id") % 5 < 2), base.filter(F.col("user_id") % 5 >= 2)
-    return rounded(compare_runs(a, b, ["event_id"]).drop("mw_p", "wilcoxon_p"))
+    return rounded(compare_runs(a, b, ["event_id"]))
 
 
 @query(

@@ -38,7 +38,7 @@ from riskloom.operators.vocab import (
 from riskloom.plans.forecast import rounded
 from riskloom.plans.registry import query, table
 from riskloom.plans.views import part_sql
-from riskloom.session import spread
+from riskloom.session import broadcast_if_small, materialise, spread
 
 
 def q(text: str) -> str:
@@ -327,7 +327,8 @@ def docs_with_parts(spark, sf):
     """Documents in id order, cut into 12 parts."""
     d = documents(spark, sf).select("doc_id", "text")
     parts = time_folds(time_order(d.withColumn("date", F.col("doc_id")), "doc_id", "date"))
-    return d.join(parts.select("doc_id", "time_partition"), "doc_id")
+    # Texts stay where they are while the parts are few.
+    return d.join(broadcast_if_small(materialise(parts.select("doc_id", "time_partition"), "parts")), "doc_id")
 
 
 DOC_PARTS_SQL = f"""doc_pos AS (

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -56,14 +57,31 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for ``df`` only after counting that it holds at most ``max_rows`` rows.
+#: Size up to which a measured table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and binaries by their length, nested columns by their JSON form."""
+
+    def of(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(col) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(col))) + 16
+        return F.lit(16)
+
+    return sum((F.coalesce(of(f), F.lit(16)) for f in df.schema.fields), F.lit(0)).cast("bigint")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for ``df`` only after measuring that it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     Beyond that the join is left to Spark (shuffle join, skewed partitions split by AQE).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as tx
 from riskloom.operators import encode
 from riskloom.operators.encode import encode_both, encode_pairs, encode_words, length_stats
-from riskloom.operators.vocab import doc_frequency, fold_counts, fold_vocab, merge_counts, stack_texts, vocab_chars, vocab_words
+from riskloom.operators.encode import fold_ids
+from riskloom.operators.vocab import (
+    SPLITS, doc_frequency, fold_counts, fold_term_counts, fold_vocab, merge_counts, stack_texts, term_frequency, trains, vocab_chars, vocab_words,
+)
 
 
 def one(spark, text, col):
@@ -184,6 +187,32 @@ def test_fold_counts_equal_direct_counts(spark):
     assert [r["id"] for r in top] == [1, 2] and top[0]["token"] == "all"
 
 
+def test_fold_counts_of_every_split(spark):
+    rows = [(p, p % 5 if p else None, "train" if p < 8 else "test", f"t{p} all t{p // 2} all") for p in range(12) for _ in range(p + 1)]
+    d = spark.createDataFrame(rows, "time_partition int, partition int, set string, text string").withColumn("t", F.split("text", " "))
+    for split, folds in (("time", (0, 3, 9)), ("random", (0, 4)), ("holdout", (0,))):
+        for counted, name in ((fold_counts, "doc_freq"), (fold_term_counts, "term_freq")):
+            got = {(r["fold"], r["token"]): r[name] for r in counted(d, F.col("t"), folds=folds, split=split).collect()}
+            for fold in folds:
+                rows_in = d.filter(trains(split, F.col(SPLITS[split]), fold))
+                direct = (doc_frequency if name == "doc_freq" else term_frequency)(rows_in, F.col("t")).collect()
+                assert {r["token"]: r[name] for r in direct} == {t: n for (f, t), n in got.items() if f == fold}, (split, fold)
+    assert trains("random", F.lit(1), 2) is not None
+    with pytest.raises(ValueError, match="unknown split"):
+        trains("other", F.lit(1), 2)
+
+
+def test_fold_ids_are_those_of_each_folds_vocabulary(spark):
+    vocab = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (3, "b", 1), (3, "c", 2)], "fold int, token string, id int")
+    rows = [("x", "a b c a", "c"), ("x", None, "q"), (None, "b", None)]
+    df = spark.createDataFrame(rows, "k string, p string, q string")
+    cut = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), " "), lambda t: t != "")
+    got = sorted(map(repr, ((r.fold, r.k, r.p, r.q) for r in fold_ids(df, {"p": cut("p"), "q": cut("q")}, vocab, [0, 3], ["k"]).collect())))
+    ids = {0: {"a": 1, "b": 2}, 3: {"b": 1, "c": 2}}
+    of = lambda f, t: [ids[f][w] for w in (t or "").split() if w in ids[f]]
+    assert got == sorted(repr((f, k, of(f, p), of(f, q))) for f in (0, 3) for k, p, q in rows)
+
+
 def test_keyword_counts(spark):
     df = spark.createDataFrame([(1, ["if", "for", "if", "x"])], "id int, t array<string>")
     r = tx.keyword_counts(df, F.col("t"), ["id"]).first()
