@@ -216,6 +216,33 @@ def test_licence_lines_with_two_notices(spark):
     assert list(r.families) == sorted(licences.TEMPLATES)
 
 
+def test_notices_in_lines_of_any_length(spark):
+    fit_on = [(i, odd.PROSE * 2 + f"line {i}") for i in range(40)]
+    scanner = licences.fit(odd.documents(spark, fit_on))
+    rng = random.Random(4)
+    rows, want = [], {}
+    for n in (0, 20, 60, 200, 800, 3000, 20_000):
+        for f, ts in licences.TEMPLATES.items():
+            for t in ts:
+                before = rng.randrange(n + 1)
+                words = [rng.choice(["river", "under", "the", "general", "walks", "of", "home", "this", "terms"]) for _ in range(n)]
+                rows.append((len(rows), " ".join([*words[:before], t, *words[before:]])))
+                want[rows[-1][0]] = [f]
+    got = licences.scanned(odd.documents(spark, rows), scanner).collect()
+    assert {r.doc_id: list(r.families) for r in got} == want
+    assert all((r.n_paragraphs, r.n_licensed, r.n_unconfirmed) == (1, 1, 0) for r in got)
+
+
+def test_every_confirmed_text_has_an_anchor():
+    anchors = licences.anchors_of({"the": 900, "license": 50, "of": 800, "under": 300})
+    assert "the" not in anchors and "of" not in anchors
+    for template in (t for ts in licences.TEMPLATES.values() for t in ts):
+        words = licences_words(template)
+        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+        left = {g for g in grams if not set(g) & set(anchors)}
+        assert len(left) < licences.CONTAINED * len(grams)
+
+
 def licences_words(line):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))
 

@@ -58,7 +58,7 @@ def brute(votes, rounds=Q.ROUNDS):
 
 
 def test_joint_verdict(spark):
-    rows = odd.TEXTS + JUNK + [(100 + i, f"Sentence {i} is like many others. " * 8 + " ".join(f"w{i}x{j}" for j in range(40)) + ".") for i in range(40)]
+    rows = odd.TEXTS + JUNK + [(100 + i, " ".join(f"A w{i}x{j} day was v{i}y{j}." for j in range(12))) for i in range(40)]
     found, _ = Q.judged(odd.documents(spark, rows))
     got = found.collect()
     q = brute([[r[f"v_{n}"] for n in Q.RULES] for r in got])
