@@ -1,14 +1,16 @@
 """Quality rules that vote: weak supervision without labels, in DataFrame operations only.
 
-Each rule votes for a document (1), against it (0) or abstains (NULL). Expectation-maximisation estimates
-the share of good documents and each rule's accuracy: how often its votes are right. The posterior
-probability that a document is good replaces an all-must-pass filter: it is kept from 0.5 on.
+Each rule votes for a document (1), against it (0) or abstains (NULL). Expectation-maximisation estimates the
+share of good documents and, for each rule, how often it votes for, votes against and abstains on good documents
+and on bad ones; abstaining is evidence too, so a rule that only ever votes against counts for what it is worth. The
+posterior probability that a document is good replaces an all-must-pass filter: it is kept from 0.5 on.
+``accuracies`` gives how often each rule's votes are right.
 
 Documents with equal votes have equal posteriors, so the iterations run over the table of vote patterns (at
 most 3 to the number of rules, whatever the corpus holds) with their counts, which come from all documents.
-An iteration is one aggregation to a few sums. Share and accuracies have a prior that weighs as much as the
-data, since without labels a rule that mostly votes alone could not be told from a wrong one; accuracies
-stay above one half, so no rule turns into its opposite. Without documents they stay where they began.
+An iteration is one aggregation to a few sums; they end when no estimate moves by ``SETTLED``, or after ``ROUNDS``.
+The estimates begin with votes of one accuracy and have a prior of ``PSEUDO`` documents of that kind in each class,
+which the data of any corpus outweigh. Without documents they stay where they began.
 
 A text without words (NULL and empty ones too) fails the base rules and is not kept. Repeated rows count
 each.
@@ -44,12 +46,15 @@ RULES = {
         "AND 100 * n_upper <= 15 * word_chars AND 20 * n_repeat_words <= n_words",
     ),
 }
-ROUNDS = 20
-#: Where share and accuracies begin. The prior counts as many rows or votes as there are, and SURE more.
-START_SHARE, START_RIGHT, SURE = 0.85, 0.9, 10.0
-LOWEST, HIGHEST = 0.55, 0.999
+ROUNDS, SETTLED = 30, 1e-6
+#: Where share and accuracies begin, and how many documents of each class the prior counts for.
+START_SHARE, START_RIGHT, PSEUDO = 0.85, 0.9, 1.0
 
+#: share, and for each rule how often good (g) and bad (b) documents get its vote for (1) and against (0).
 Estimate = dict[str, float]
+CELLS = ("g1", "g0", "b1", "b0")
+#: The prior: half of the documents get a vote, which is right as often as at the start.
+PRIOR = {"g1": START_RIGHT / 2, "g0": (1 - START_RIGHT) / 2, "b1": (1 - START_RIGHT) / 2, "b0": START_RIGHT / 2}
 
 
 def votes(counts: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
@@ -59,15 +64,23 @@ def votes(counts: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataF
 
 
 def start(names: Sequence[str]) -> Estimate:
-    return {"share": START_SHARE, **{f"right_{n}": START_RIGHT for n in names}}
+    return {"share": START_SHARE, **{f"{c}_{n}": p for n in names for c, p in PRIOR.items()}}
+
+
+def accuracies(names: Sequence[str], e: Estimate) -> dict[str, float]:
+    """Share of each rule's votes that are right, by an estimate."""
+    good, bad = e["share"], 1 - e["share"]
+    right = {n: good * e[f"g1_{n}"] + bad * e[f"b0_{n}"] for n in names}
+    return {n: r / (r + good * e[f"g0_{n}"] + bad * e[f"b1_{n}"]) for n, r in right.items()}
 
 
 def posterior(names: Sequence[str], e: Estimate) -> Column:
     """Probability of being good, given the votes and an estimate."""
     z = F.lit(math.log(e["share"] / (1 - e["share"])))
     for n in names:
-        weight = math.log(e[f"right_{n}"] / (1 - e[f"right_{n}"]))
-        z = z + F.when(F.col(f"v_{n}") == 1, weight).when(F.col(f"v_{n}") == 0, -weight).otherwise(0.0)
+        g1, g0, b1, b0 = (e[f"{c}_{n}"] for c in CELLS)
+        v = F.col(f"v_{n}")
+        z = z + F.when(v == 1, math.log(g1 / b1)).when(v == 0, math.log(g0 / b0)).otherwise(math.log((1 - g1 - g0) / (1 - b1 - b0)))
     return 1.0 / (1.0 + F.exp(-z))
 
 
@@ -75,21 +88,19 @@ def estimate(voted: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> Es
     """Expectation-maximisation over the vote patterns of ``voted``."""
     patterns = materialise(voted.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").alias("n")), "patterns")
     e = start(names)
-    q = F.col("q")
+    weight = {"g": F.col("n") * F.col("q"), "b": F.col("n") * (1.0 - F.col("q"))}
     for _ in range(rounds):
-        sums = [F.sum(F.col("n") * q).alias("good"), F.sum("n").alias("n")]
-        for n in names:
-            v = F.col(f"v_{n}")
-            agreed = F.when(v == 1, F.col("n") * q).when(v == 0, F.col("n") * (1.0 - q))
-            sums += [F.sum(agreed).alias(f"right_{n}"), F.sum(F.when(v.isNotNull(), F.col("n"))).alias(f"cast_{n}")]
+        sums = [F.sum(w).alias(c) for c, w in weight.items()]
+        sums += [F.sum(F.when(F.col(f"v_{n}") == int(c[1]), weight[c[0]])).alias(f"{c}_{n}") for n in names for c in CELLS]
         got = patterns.withColumn("q", posterior(names, e)).agg(*sums).first()
-
-        def blend(hits: float | None, count: int | None, prior: float) -> float:
-            return ((hits or 0.0) + ((count or 0) + SURE) * prior) / (2 * (count or 0) + SURE)
-
-        e = {"share": min(max(blend(got.good, got.n, START_SHARE), 0.01), 0.99)}
+        size = {c: got[c] or 0.0 for c in weight}
+        new = {"share": (size["g"] + PSEUDO * START_SHARE) / (size["g"] + size["b"] + PSEUDO)}
         for n in names:
-            e[f"right_{n}"] = min(max(blend(got[f"right_{n}"], got[f"cast_{n}"], START_RIGHT), LOWEST), HIGHEST)
+            for c in CELLS:
+                new[f"{c}_{n}"] = ((got[f"{c}_{n}"] or 0.0) + 2 * PSEUDO * PRIOR[c]) / (size[c[0]] + 2 * PSEUDO)
+        moved, e = max(abs(new[k] - e[k]) for k in e), new
+        if moved < SETTLED:
+            break
     return e
 
 
@@ -111,22 +122,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _score_sql(names: Sequence[str]) -> str:
     """Log-odds of being good, given the votes and an estimate."""
-    weights = [f"CASE v_{n} WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END * ln(right_{n} / (1 - right_{n}))" for n in names]
+    weights = [
+        f"CASE v_{n} WHEN 1 THEN ln(g1_{n} / b1_{n}) WHEN 0 THEN ln(g0_{n} / b0_{n}) ELSE ln((1 - g1_{n} - g0_{n}) / (1 - b1_{n} - b0_{n})) END"
+        for n in names
+    ]
     return " + ".join(["ln(share / (1 - share))", *weights])
 
 
 def _round_sql(i: int, names: Sequence[str]) -> str:
     """One iteration: posteriors from the estimate e{i}, then e{i + 1}."""
-
-    def blend(hits: str, count: str, prior: float, low: float, high: float) -> str:
-        value = f"(coalesce({hits}, 0) + (coalesce({count}, 0) + {SURE}) * {prior}) / (2 * coalesce({count}, 0) + {SURE})"
-        return f"least(greatest({value}, {low}), {high})"
-
-    cols = [blend("sum(n * q)", "sum(n)", START_SHARE, 0.01, 0.99) + " AS share"]
+    weight = {"g": "n * q", "b": "n * (1 - q)"}
+    cols = [f"(coalesce(sum(n * q), 0) + {PSEUDO * START_SHARE}) / (coalesce(sum(n), 0) + {PSEUDO}) AS share"]
     for n in names:
-        agreed = f"sum(n * CASE v_{n} WHEN 1 THEN q WHEN 0 THEN 1 - q END)"
-        cast = f"sum(n) FILTER (v_{n} IS NOT NULL)"
-        cols.append(blend(agreed, cast, START_RIGHT, LOWEST, HIGHEST) + f" AS right_{n}")
+        for c in CELLS:
+            hits = f"coalesce(sum({weight[c[0]]}) FILTER (v_{n} = {c[1]}), 0)"
+            cols.append(f"({hits} + {2 * PSEUDO * PRIOR[c]}) / (coalesce(sum({weight[c[0]]}), 0) + {2 * PSEUDO}) AS {c}_{n}")
     votes_ = ", ".join(f"v_{n}" for n in names)
     return f"""q{i} AS MATERIALIZED (SELECT {votes_}, n, 1 / (1 + exp(-({_score_sql(names)}))) AS q FROM patterns, e{i}),
 e{i + 1} AS MATERIALIZED (SELECT {", ".join(cols)} FROM q{i})"""
@@ -135,7 +145,7 @@ e{i + 1} AS MATERIALIZED (SELECT {", ".join(cols)} FROM q{i})"""
 def _op1_sql() -> str:
     names = list(RULES)
     votes_ = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 END AS v_{n}" for n, (bad, good) in RULES.items())
-    begin = ", ".join([f"{START_SHARE} :: DOUBLE AS share"] + [f"{START_RIGHT} :: DOUBLE AS right_{n}" for n in names])
+    begin = ", ".join(f"{v} :: DOUBLE AS {k}" for k, v in start(names).items())
     rounds = ",\n".join(_round_sql(i, names) for i in range(ROUNDS))
     z = _score_sql(names)
     lost = lambda chars: f"length(t) - length(regexp_replace(t, '{chars}', '', 'g'))"

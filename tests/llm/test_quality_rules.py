@@ -1,6 +1,7 @@
 """Counts against plain Python, and the joint verdict against EM over single documents."""
 
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -41,28 +42,53 @@ def test_counts(spark):
 
 
 def brute(votes, rounds=Q.ROUNDS):
-    """Expectation-maximisation, one document after the other."""
-    share, right = Q.START_SHARE, [Q.START_RIGHT] * len(votes[0])
-    for _ in range(rounds + 1):
+    """Expectation-maximisation, one document after the other: posteriors and accuracies of the rules."""
+    share, tables = Q.START_SHARE, [[{1: 0.05, 0: 0.45, None: 0.5}, {1: 0.45, 0: 0.05, None: 0.5}] for _ in votes[0]]
+    for at in range(rounds + 1):
         q = []
         for v in votes:
-            z = math.log(share / (1 - share))
-            z += sum((1 if x else -1) * math.log(r / (1 - r)) for x, r in zip(v, right, strict=True) if x is not None)
-            q.append(1 / (1 + math.exp(-z)))
-        blend = lambda hits, n, prior: (hits + (n + Q.SURE) * prior) / (2 * n + Q.SURE)
-        share = min(max(blend(sum(q), len(q), Q.START_SHARE), 0.01), 0.99)
-        for j in range(len(right)):
-            agreed = [p if v[j] else 1 - p for v, p in zip(votes, q, strict=True) if v[j] is not None]
-            right[j] = min(max(blend(sum(agreed), len(agreed), Q.START_RIGHT), Q.LOWEST), Q.HIGHEST)
-    return q
+            odds = share / (1 - share) * math.prod(t[1][x] / t[0][x] for x, t in zip(v, tables, strict=True))
+            q.append(odds / (1 + odds))
+        if at == rounds:
+            break
+        share = (sum(q) + Q.START_SHARE) / (len(q) + 1)
+        for j, t in enumerate(tables):
+            for y in (0, 1):
+                p = [x if y else 1 - x for x in q]
+                for o, prior in ((1, 0.9 if y else 0.1), (0, 0.1 if y else 0.9), (None, 1.0)):
+                    t[y][o] = (sum(w for w, v in zip(p, votes, strict=True) if v[j] is o) + prior) / (sum(p) + 2)
+    right = [share * t[1][1] + (1 - share) * t[0][0] for t in tables]
+    wrong = [share * t[1][0] + (1 - share) * t[0][1] for t in tables]
+    return q, [r / (r + w) for r, w in zip(right, wrong, strict=True)]
+
+
+def test_planted_accuracies_are_recovered_and_decide(spark):
+    rng = random.Random(5)
+    names, planted = list("abcdef"), [0.6, 0.6, 0.75, 0.75, 0.95, 0.95]
+    rows = []
+    for i in range(12_000):
+        good = int(rng.random() < 0.6)
+        cast = [None if rng.random() < 0.2 else good if rng.random() < a else 1 - good for a in planted]
+        rows.append((i, good, *cast))
+    voted = spark.createDataFrame(rows, "doc_id bigint, good int, " + ", ".join(f"v_{n} int" for n in names))
+    e = Q.estimate(voted, names, 200)
+    for n, a in zip(names, planted, strict=True):
+        assert abs(Q.accuracies(names, e)[n] - a) < 0.03
+    got = voted.withColumn("p", Q.posterior(names, e)).collect()
+    count = lambda r: sum(1 if r[f"v_{n}"] else -1 for n in names if r[f"v_{n}"] is not None)
+    # One good rule outvotes poor ones: the verdict differs from the count of votes, and is right more often.
+    differ = [r for r in got if (r.p >= 0.5) != (count(r) >= 0)]
+    assert len(differ) > 300 and sum((r.p >= 0.5) == bool(r.good) for r in differ) > 0.8 * len(differ)
 
 
 def test_joint_verdict(spark):
     rows = odd.TEXTS + JUNK + [(100 + i, " ".join(f"A w{i}x{j} day was v{i}y{j}." for j in range(12))) for i in range(40)]
-    found, _ = Q.judged(odd.documents(spark, rows))
+    found, e = Q.judged(odd.documents(spark, rows))
     got = found.collect()
-    q = brute([[r[f"v_{n}"] for n in Q.RULES] for r in got])
-    assert max(abs(r.posterior - p) for r, p in zip(got, q, strict=True)) < 1e-9
+    q, right = brute([[r[f"v_{n}"] for n in Q.RULES] for r in got])
+    assert max(abs(r.posterior - p) for r, p in zip(got, q, strict=True)) < 1e-4
+    found = Q.accuracies(list(Q.RULES), e)
+    assert all(abs(found[n] - r) < 1e-3 for n, r in zip(Q.RULES, right, strict=True))
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
