@@ -7,8 +7,9 @@ subtree change, only rows on their way through its changed nodes can move; rows
 in a new region takes rows from everywhere, but only into itself.
 
 ``tree_of`` builds the tree for a number of shards: regions of ``RACKS`` racks of ``SHARDS`` shards, filled in
-order; a node weighs as much as the shards below it. One more than a multiple of a region's size opens a new
-region.
+order; a node weighs as much as the shards below it. ``grown`` adds one shard to any tree in a region of its own, so
+that whatever the number of shards, rows move only into the new one; a shard put into a standing region would draw
+rows into its neighbours too.
 
 The key is doc_id as text; a NULL id is the empty text. Equal ids go to the same shard. Slots count a
 shard's rows from 0 in order of id (NULL first), size and checksum; entirely equal rows take neighbouring
@@ -41,6 +42,13 @@ def tree_of(shards: int) -> Tree:
     return out
 
 
+def grown(tree: Tree, weight: float = 1.0) -> Tree:
+    """``tree`` and one more shard, the next number, in a new region; everything else keeps its draws."""
+    shards = [s for racks in tree.values() for rack in racks.values() for s in rack]
+    region = next(name for i in range(len(tree) + 1) if (name := f"r{len(tree) + i}") not in tree)
+    return {**tree, region: {"k0": {max(shards, default=-1) + 1: weight}}}
+
+
 def _total(node) -> float:
     return sum(_total(v) if isinstance(v, dict) else float(v) for v in node.values())
 
@@ -85,7 +93,7 @@ def sharded(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame
 
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7, and where each goes with one more."""
-    found = sharded(table(spark, sf_dir, "documents"), tree_of(8), tree_of(9))
+    found = sharded(table(spark, sf_dir, "documents"), tree_of(8), grown(tree_of(8)))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -124,7 +132,7 @@ summed AS (
   SELECT doc_id, k, size,
          xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
   FROM docs, crc_table),
-placed AS (SELECT *, {_place_sql(tree_of(8))} AS shard, {_place_sql(tree_of(9))} AS grown_shard FROM summed)
+placed AS (SELECT *, {_place_sql(tree_of(8))} AS shard, {_place_sql(grown(tree_of(8)))} AS grown_shard FROM summed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
 FROM placed

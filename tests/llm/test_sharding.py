@@ -19,6 +19,20 @@ def test_one_more_shard_takes_rows_only_into_itself(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(size[s]))
 
 
+def test_growth_of_any_tree_moves_rows_only_into_the_new_shard(spark):
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    assert H.grown(H.tree_of(8)) == H.tree_of(9)
+    twice = H.grown(H.grown(H.tree_of(6)))
+    assert sorted(s for racks in twice.values() for rack in racks.values() for s in rack) == list(range(8))
+    trees = [H.tree_of(n) for n in range(1, 21)] + [H.grown(H.tree_of(6))]
+    sizes = [sum(len(rack) for racks in t.values() for rack in racks.values()) for t in trees]
+    both = [F.struct(H.place(F.col("k"), t).alias("a"), H.place(F.col("k"), H.grown(t)).alias("b")) for t in trees]
+    for at, n in enumerate(sizes):
+        got = keys.select(both[at].alias("s")).select("s.*").collect()
+        moved = [r for r in got if r.a != r.b]
+        assert all(r.b == n for r in moved) and 0.6 / (n + 1) < len(moved) / len(got) < 1.5 / (n + 1)
+
+
 def test_changed_weights_move_rows_in_their_subtree_only(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     before, after = H.tree_of(8), H.tree_of(8)
