@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -196,35 +197,105 @@ def external_predict(
     return df.withColumn(output, udf(F.col(column).cast("array<float>")))
 
 
-def fit_predict(
-    alg: str, parameters: Sequence[str], train: DataFrame, test: DataFrame, id: str,
-    features: str = "features", label: str = "label", search: Callable = nearest,
-) -> DataFrame:
-    """Train on one table and predict another, for any algorithm: id, truth, pred.
+@dataclass
+class Fitted:
+    """A fitted job of any algorithm.
+
+    ``predict`` takes test rows and gives two tables from one pass over them: predictions (id, truth, pred) and class
+    scores (id, class, positive, score) for every training class. ``model`` is what can be saved, if anything.
+    """
+
+    predict: Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+    model: PipelineModel | None = None
+
+
+def _long_scores(rows: DataFrame, id: str, names: Sequence[str]) -> DataFrame:
+    """``rows`` (id, truth, scores: an array in the order of ``names``) with a row for each class."""
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_at"))
+    out = rows.select(id, "truth", F.posexplode("scores").alias("_at", "score")).withColumn("class", name)
+    return out.select(id, "class", F.col("truth").eqNullSafe(F.col("class")).cast("int").alias("positive"), "score")
+
+
+def knn_scores(neighbours: DataFrame, id: str, label: str, names: Sequence[str], weights: str = "uniform") -> DataFrame:
+    """Share of the votes of each class: id, scores (an array in the order of ``names``); rules as in ``knn_vote``."""
+    zero, weight = F.lit(0.0), F.lit(1.0)
+    if weights == "distance":
+        zero = F.when(F.col("distance") == 0, 1.0).otherwise(0.0)
+        weight = F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(0.0)
+    # As many sums as there are classes.
+    of = lambda v, n: F.coalesce(F.sum(F.when(F.col(label) == n, v)), F.lit(0.0))
+    sums = neighbours.groupBy(id).agg(
+        F.sum(zero).alias("_z"), F.sum(weight).alias("_w"), F.array(*[F.struct(of(zero, n).alias("z"), of(weight, n).alias("w")) for n in names]).alias("_c")
+    )
+    return sums.select(id, F.transform("_c", lambda c: F.when(F.col("_z") > 0, c["z"] / F.col("_z")).otherwise(c["w"] / F.col("_w"))).alias("scores"))
+
+
+def fit_job(
+    alg: str, parameters: Sequence[str], train: DataFrame, id: str, features: str = "features", label: str = "label",
+    search: Callable = nearest,
+) -> Fitted:
+    """Fit any algorithm; what it learns is computed before this returns, so that it can be timed apart.
 
     ``search`` finds the neighbours of ``knn``: the exact mode, or ``nearest`` of a candidate index. A row whose
     cells hold no training row takes the commonest training label.
     """
+    rows = train.withColumn(label, F.col(label).cast("string"))
+    # A row per class.
+    names = [r[0] for r in rows.select(label).dropna().distinct().orderBy(label).collect()]
+    truth = lambda test: test.select(id, F.col(label).cast("string").alias("truth"))
+
+    def certain(predict: Callable[[DataFrame], DataFrame]) -> Fitted:
+        """Score 1 for the predicted class, 0 for the others."""
+
+        def both(test: DataFrame) -> tuple[DataFrame, DataFrame]:
+            pred = materialise(predict(test), "predicted")
+            hit = F.array(*[(F.col("pred") == n).cast("double") for n in names])
+            return pred, _long_scores(pred.select(id, "truth", hit.alias("scores")), id, names)
+
+        return Fitted(both)
+
     if alg == "knn":
         k, weights, norm = parameters
-        labelled = train.withColumn("_label", F.col(label).cast("string"))
-        near = search(test, labelled, int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"])
-        voted = knn_vote(near, id, "_label", weights)
-        truth = test.select(id, F.col(label).cast("string").alias("truth"))
-        if search is nearest:
-            return truth.join(voted, id)
-        common = most_common(labelled, [], "_label").first()[0]
-        return truth.join(voted, id, "left").select(id, "truth", F.coalesce("pred", F.lit(common)).alias("pred"))
+        held = materialise(rows.select(id, features, F.col(label).alias("_label")), "knn")
+        common = most_common(held, [], "_label").first()
+
+        def voted(test: DataFrame) -> tuple[DataFrame, DataFrame]:
+            near = materialise(search(test, held, int(k), id=id, vector=features, metric=f"l{norm}", payload=["_label"]), "near")
+            out = truth(test).join(knn_vote(near, id, "_label", weights), id, "left").join(knn_scores(near, id, "_label", names, weights), id, "left")
+            none = F.array(*[F.lit(0.0) for _ in names])
+            out = out.select(id, "truth", F.coalesce("pred", F.lit(common[0])).alias("pred"), F.coalesce("scores", none).alias("scores"))
+            return out.drop("scores"), _long_scores(out, id, names)
+
+        return Fitted(voted)
     if alg == "majority":
         # One row: the commonest training label.
-        top = most_common(train.withColumn(label, F.col(label).cast("string")), [], label).first()[0]
-        return test.select(id, F.col(label).cast("string").alias("truth"), F.lit(top).alias("pred"))
+        top = most_common(rows, [], label).first()[0]
+        return certain(lambda test: truth(test).withColumn("pred", F.lit(top)))
     if alg == "kmeans":
-        return majority_kmeans(train, test, int(parameters[0]), id, features, label)
+        predict = fit_kmeans(train, int(parameters[0]), id, features, label)
+        return certain(predict)
     if alg == "uniform":
         run = int(parameters[0])
-        return uniform_baseline(train, test, label, id, run + 1).filter(F.col("run") == run).drop("run")
-    return batch_predict(fit(alg, parameters, train, features, label), test, id, features, label)
+        return certain(lambda test: uniform_baseline(train, test, label, id, run + 1).filter(F.col("run") == run).drop("run"))
+    model = fit(alg, parameters, train, features, label)
+    labels = model.stages[-1].getLabels()
+
+    def scored(test: DataFrame) -> tuple[DataFrame, DataFrame]:
+        data = as_vector(test.select(id, features, F.col(label).cast("string").alias("truth")), features)
+        out = model.transform(data)
+        values = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")
+        out = materialise(out.select(id, "truth", "pred", values.alias("scores")), "predicted")
+        return out.drop("scores"), _long_scores(out, id, labels)
+
+    return Fitted(scored, model)
+
+
+def fit_predict(
+    alg: str, parameters: Sequence[str], train: DataFrame, test: DataFrame, id: str,
+    features: str = "features", label: str = "label", search: Callable = nearest,
+) -> DataFrame:
+    """Train on one table and predict another, for any algorithm: id, truth, pred."""
+    return fit_job(alg, parameters, train, id, features, label, search).predict(test)[0]
 
 
 def uniform_baseline(
@@ -243,22 +314,35 @@ def uniform_baseline(
     return joined.select(*keys, id, "run", "truth", F.get("_c", pick).alias("pred"))
 
 
-def majority_kmeans(
-    train: DataFrame, test: DataFrame, clusters: int, id: str, features: str = "features", label: str = "label",
-    iterations: int = KMEANS_ITERATIONS,
-) -> DataFrame:
-    """Cluster the training rows; predict the commonest training label of the nearest cluster.
+def fit_kmeans(
+    train: DataFrame, clusters: int, id: str, features: str = "features", label: str = "label",
+    iterations: int = KMEANS_ITERATIONS, starts: int = 1,
+) -> Callable[[DataFrame], DataFrame]:
+    """Cluster the training rows, from the best of ``starts`` starts; predict the commonest label of the nearest cluster.
 
-    A cluster without training rows falls back to the commonest label of all.
+    A cluster without training rows falls back to the commonest label of all. The result takes test rows.
     """
-    data = as_vector(train.withColumn(label, F.col(label).cast("string")), features)
-    model = KMeans(k=clusters, seed=0, maxIter=iterations, featuresCol=features, predictionCol="_cluster").fit(data)
+    data = materialise(as_vector(train.select(features, F.col(label).cast("string").alias(label)), features), "kmeans")
+    fitted = [KMeans(k=clusters, seed=s, maxIter=iterations, featuresCol=features, predictionCol="_cluster").fit(data) for s in range(starts)]
+    model = min(fitted, key=lambda m: m.summary.trainingCost)
     # One row per cluster, so bounded by the argument.
-    named = F.broadcast(most_common(model.transform(data), ["_cluster"], label).withColumnRenamed(label, "pred"))
+    named = F.broadcast(materialise(most_common(model.transform(data), ["_cluster"], label).withColumnRenamed(label, "pred"), "clusters"))
     everywhere = most_common(data, [], label).first()[0]
-    held = as_vector(test.select(id, features, F.col(label).cast("string").alias("truth")), features)
-    found = model.transform(held).join(named, "_cluster", "left")
-    return found.select(id, "truth", F.coalesce("pred", F.lit(everywhere)).alias("pred"))
+
+    def predict(test: DataFrame) -> DataFrame:
+        held = as_vector(test.select(id, features, F.col(label).cast("string").alias("truth")), features)
+        found = model.transform(held).join(named, "_cluster", "left")
+        return found.select(id, "truth", F.coalesce("pred", F.lit(everywhere)).alias("pred"))
+
+    return predict
+
+
+def majority_kmeans(
+    train: DataFrame, test: DataFrame, clusters: int, id: str, features: str = "features", label: str = "label",
+    iterations: int = KMEANS_ITERATIONS, starts: int = 1,
+) -> DataFrame:
+    """``fit_kmeans`` on one table and its predictions for another: id, truth, pred."""
+    return fit_kmeans(train, clusters, id, features, label, iterations, starts)(test)
 
 
 def multitask_fit(

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.functions.labels import binarise
-from riskloom.operators.metrics import METRICS, score
-from riskloom.operators.models import PARAMETERS, fit_predict
+from riskloom.operators.metrics import METRICS, auc_macro, auc_ovr, score
+from riskloom.operators.models import PARAMETERS, fit_job, fit_predict
 from riskloom.operators.resample import LADDER, LADDER_ALL, oversample_random, oversample_smote
 from riskloom.operators.aggregates import best_per_group, smallest_class
 from riskloom.operators.results import fold_means
 from riskloom.session import materialise, scratch_path
+from riskloom.sources.models import save_model
+from riskloom.sources.schemas import RESULTS
 
 SETTINGS = ["problem", "fold", "classifier", "parameters", "resampling"]
 
@@ -39,48 +43,105 @@ def samplings(train: DataFrame, label: str, asked: Sequence[str]) -> list[str]:
     return out
 
 
+def job_key(job: dict, role: str) -> str:
+    """Name of a job in a store: the same settings give the same name."""
+    return "j" + hashlib.md5("|".join([role, *[str(job[s]) for s in SETTINGS]]).encode()).hexdigest()
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of a store with its jobs' folders; empty if there are none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{schema}, job string")
+    return spark.read.schema(f"{schema}, job string").parquet(path)
+
+
+MANIFEST = "role string, problem string, fold int, classifier string, parameters string, resampling string, train_time double, pred_time double"
+
+
+def finished(spark: SparkSession, store: str) -> DataFrame:
+    """Manifest of a store: one row per finished job, with its settings and times."""
+    return _read(spark, f"{store}/manifest", MANIFEST)
+
+
+def results(spark: SparkSession, store: str, role: str, jobs: Sequence[str] | None = None) -> DataFrame:
+    """Metrics of the finished jobs of a role, AUC included, with settings and times; one job over the stored tables.
+
+    Predictions and class scores are read from the store, so nothing is fitted again.
+    """
+    done = finished(spark, store).filter(F.col("role") == role)
+    if jobs is not None:
+        # As many names as the grid has jobs.
+        done = done.join(F.broadcast(spark.createDataFrame([(j,) for j in jobs], "job string")), "job", "left_semi")
+    done = materialise(done, "manifest")
+    kept = lambda df: df.join(F.broadcast(done.select("job")), "job", "left_semi")  # noqa: E731  a row per job
+    metrics = score(kept(_read(spark, f"{store}/predictions", "truth string, pred string")), ["job"])
+    scores = kept(_read(spark, f"{store}/scores", "class string, positive int, score double"))
+    areas = auc_macro(auc_ovr(scores, ["job"], "class", "positive", "score"), ["job"])
+    rows = done.join(metrics, "job").join(areas, "job", "left")
+    return rows.select(*SETTINGS, *METRICS, F.coalesce("auc", F.lit(0.0)).alias("auc"), "train_time", "pred_time")
+
+
+def result_rows(scores: DataFrame, feature_type: str = "-", feature_scope: str = "-", token: str = "-") -> DataFrame:
+    """Scores of a grid in the columns of the results table."""
+    dims = {"partition": F.col("fold").cast("string"), "feature_type": F.lit(feature_type), "feature_scope": F.lit(feature_scope), "token": F.lit(token)}
+    return scores.withColumns(dims).select(*StructType.fromDDL(RESULTS).names)
+
+
 def _run(
-    jobs: list[dict], data: DataFrame, label: str, id: str, features: str, role: str, threads: int
+    jobs: list[dict], data: DataFrame, store: str, id: str, features: str, role: str, threads: int, keep_models: bool
 ) -> DataFrame:
-    """Fit every job, keep its predictions as a folder of one table, and score them all at once.
+    """Fit every job that the store has not finished, keep what it predicts, and score all of them at once.
 
-    Each fit is a Spark job of its own; a few run at the same time so that the cluster stays busy.
+    A job leaves predictions and class scores in folders of its own, its model if it is a saved one, and last its line
+    in the manifest: a run that was killed starts again at the jobs without one, whose folders are overwritten.
+    Each fit is a Spark job of its own; a few run at the same time so that the cluster stays busy. Fitting and
+    predicting are timed apart.
     """
     spark = data.sparkSession
-    path = scratch_path(spark, label)
+    # One row per job of the grid.
+    done = {r["job"] for r in finished(spark, store).select("job").collect()}
+    names = [job_key(j, role) for j in jobs]
+    pending = [(n, j) for n, j in zip(names, jobs, strict=True) if n not in done]
     trains: dict[tuple, DataFrame] = {}
-    for j in jobs:
+    for _, j in pending:
         key = (j["problem"], j["fold"], j["resampling"])
         if key not in trains:
             rows = data.filter((F.col("fold") == j["fold"]) & (F.col("role") == "train")).drop("fold", "role")
             trains[key] = materialise(resample(rows, j["resampling"], j["problem"], id, features), "resampled")
 
-    def one(numbered: tuple[int, dict]) -> tuple:
-        at, j = numbered
+    def one(named: tuple[str, dict]) -> None:
+        name, j = named
         held = data.filter((F.col("fold") == j["fold"]) & (F.col("role") == role))
         train = trains[(j["problem"], j["fold"], j["resampling"])]
         started = time.time()
-        pred = fit_predict(j["classifier"], j["parameters"].split("-"), train, held, id, features, j["problem"])
-        fitted = time.time()
-        pred.withColumns({s: F.lit(j[s]) for s in SETTINGS}).write.parquet(f"{path}/job={at}")
-        return (*[j[s] for s in SETTINGS], fitted - started, time.time() - fitted)
+        fitted = fit_job(j["classifier"], j["parameters"].split("-"), train, id, features, j["problem"])
+        ready = time.time()
+        pred, scores = fitted.predict(held)
+        pred.write.mode("overwrite").parquet(f"{store}/predictions/job={name}")
+        predicted = time.time()
+        scores.write.mode("overwrite").parquet(f"{store}/scores/job={name}")
+        if keep_models and fitted.model is not None:
+            save_model(fitted.model, f"{store}/models/{name}")
+        line = (role, *[j[s] for s in SETTINGS], ready - started, predicted - ready)
+        spark.createDataFrame([line], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest/job={name}")
 
     with ThreadPoolExecutor(threads) as pool:
-        times = list(pool.map(one, enumerate(jobs)))
-    schema = "problem string, fold int, classifier string, parameters string, resampling string, train_time double, pred_time double"
-    # One short row per fitted model.
-    return score(spark.read.parquet(path), SETTINGS).join(F.broadcast(spark.createDataFrame(times, schema)), SETTINGS)
+        list(pool.map(one, pending))
+    return results(spark, store, role, names)
 
 
 def validate_grid(
     data: DataFrame, problems: Sequence[str], id: str, features: str = "features",
     grid: dict[str, Sequence[Sequence[str]]] | None = None, resampling: Sequence[str] = ("none", "over", "over+"),
-    threads: int = 4, role: str = "val",
+    threads: int = 4, role: str = "val", store: str | None = None, keep_models: bool = True,
 ) -> DataFrame:
     """Score every parameter set, algorithm and sampling on one role of every fold.
 
-    ``data`` holds id, features, one label column per problem, ``fold`` and ``role``. Predictions
-    are the durable result; one metrics job over them scores the whole grid.
+    ``data`` holds id, features, one label column per problem, ``fold`` and ``role``. Predictions, class scores,
+    models and a manifest are kept under ``store`` (a folder all executors can reach; a scratch folder if none is
+    given), and one metrics job over them scores the whole grid. Called again with the same store, only jobs
+    that it has not finished are run.
     """
     data = materialise(data, "experiment")
     folds = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]
@@ -94,18 +155,20 @@ def validate_grid(
                         {"problem": problem, "fold": fold, "classifier": alg, "parameters": "-".join(p), "resampling": method}
                         for p in sets
                     ]
-    return _run(jobs, data, "validated", id, features, role, threads)
+    return _run(jobs, data, store or scratch_path(data.sparkSession, "store"), id, features, role, threads, keep_models)
 
 
 def select_then_test(
-    data: DataFrame, validated: DataFrame, id: str, features: str = "features", threads: int = 4
+    data: DataFrame, validated: DataFrame, id: str, features: str = "features", threads: int = 4,
+    store: str | None = None, keep_models: bool = True,
 ) -> DataFrame:
     """Refit the best validated parameters of every configuration on train only; score on test."""
     data = materialise(data, "experiment")
     by = ["problem", "fold", "classifier", "resampling"]
     # One row per configuration, as many as the grid has.
     best = best_per_group(validated, by, ["parameters"]).select(*SETTINGS).collect()
-    return _run([r.asDict() for r in best], data, "tested", id, features, "test", threads)
+    folder = store or scratch_path(data.sparkSession, "store")
+    return _run([r.asDict() for r in best], data, folder, id, features, "test", threads, keep_models)
 
 
 def evaluate_one_task(
@@ -156,7 +219,7 @@ def evaluate_one_task(
     return fold_means(joined, ["comparison", "classifier"], ["f1", "f1_diff", "mcc", "mcc_diff"])
 
 
-def metric_record(scores: DataFrame, columns: Sequence[str] = (*METRICS, "train_time", "pred_time")) -> DataFrame:
+def metric_record(scores: DataFrame, columns: Sequence[str] = (*METRICS, "auc", "train_time", "pred_time")) -> DataFrame:
     """Scores as one JSON text per row, for export."""
     kept = [c for c in columns if c in scores.columns]
     return scores.withColumn("results", F.to_json(F.struct(*kept))).drop(*kept)

@@ -15,9 +15,10 @@ from riskloom.operators.models import batch_predict, external_predict, fit, fit_
 from riskloom.operators.multitask import shared_fit, shared_predict
 from riskloom.operators.neighbours import build_cells, knn_vote, nearest, recall
 from riskloom.operators.resample import oversample_random, oversample_smote, smote_ladder
-from riskloom.plans.experiments import evaluate_one_task, metric_record, select_then_test, validate_grid
-from riskloom.plans.forecast import rounded
+from riskloom.plans.experiments import evaluate_one_task, metric_record, result_rows, select_then_test, validate_grid
+from riskloom.plans.forecast import metrics_sql, rounded
 from riskloom.plans.registry import query, table
+from riskloom.plans.views import part_sql
 from riskloom.session import materialise, scratch_path, spread
 from riskloom.sources.models import load_pipeline, save_model
 
@@ -286,6 +287,51 @@ def _uniform(spark, sf):
 GRID = {"lr": [("0.1",), ("10",)], "knn": [("11", "uniform", "2"), ("31", "distance", "1")]}
 
 
+STORE_GRID = {
+    "knn": [("11", "uniform", "2"), ("11", "distance", "2")], "uniform": [("0",), ("3",)], "majority": [()],
+}
+
+STORE_SQL = f"""WITH {VECTORS_SQL},
+placed AS (SELECT v.*, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM v),
+parts AS (SELECT id, x, label, {part_sql(12)} AS part FROM placed),
+folds AS (SELECT CAST(f.i AS INTEGER) AS fold FROM range(10) f(i)),
+near AS (SELECT fold, q.id, t.label, {L2} AS distance FROM folds JOIN parts q ON q.part = fold + 1 JOIN parts t ON t.part <= fold
+  QUALIFY row_number() OVER (PARTITION BY fold, q.id ORDER BY distance, t.id) <= 11),
+classes AS (SELECT fold, list(DISTINCT label ORDER BY label) AS c FROM folds JOIN parts ON part <= fold GROUP BY fold),
+votes AS (SELECT fold, id, label, count(*) AS n, count(*) FILTER (distance = 0) AS z, sum(CASE WHEN distance > 0 THEN 1 / distance ELSE 0 END) AS w FROM near GROUP BY ALL),
+top AS (SELECT fold, label, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, label) AS rk FROM folds JOIN parts ON part <= fold GROUP BY fold, label),
+chosen AS (
+  SELECT fold, id, label AS pred, 'knn' AS classifier, '11-uniform-2' AS parameters FROM votes QUALIFY row_number() OVER (PARTITION BY fold, id ORDER BY n DESC, label) = 1
+  UNION ALL SELECT fold, id, label, 'knn', '11-distance-2' FROM votes QUALIFY row_number() OVER (PARTITION BY fold, id ORDER BY z DESC, w DESC, label) = 1
+  UNION ALL SELECT fold, id, c[CAST('0x' || substring(md5(id || '|' || r || '|42'), 1, 15) AS BIGINT) % len(c) + 1], 'uniform', CAST(r AS VARCHAR)
+    FROM folds JOIN parts ON part = fold + 1 JOIN classes USING (fold), (VALUES (0), (3)) t(r)
+  UNION ALL SELECT fold, id, top.label, 'majority', '' FROM folds JOIN parts ON part = fold + 1 JOIN top USING (fold) WHERE rk = 1),
+predictions AS (SELECT chosen.*, label AS truth FROM chosen JOIN parts USING (id)),
+{{metrics}},
+cells AS (
+  SELECT p.fold, p.id, p.classifier, p.parameters, p.truth, p.pred, k.label AS class, p.truth = k.label AS positive,
+    CASE parameters WHEN '11-uniform-2' THEN coalesce(v.n, 0) / CAST(11 AS DOUBLE)
+      WHEN '11-distance-2' THEN coalesce(v.w, 0) / sum(coalesce(v.w, 0)) OVER (PARTITION BY p.fold, p.id, p.classifier, p.parameters)
+      ELSE CASE WHEN p.pred = k.label THEN 1 ELSE 0 END END AS score
+  FROM predictions p JOIN (SELECT fold, unnest(c) AS label FROM classes) k USING (fold) LEFT JOIN votes v ON v.fold = p.fold AND v.id = p.id AND v.label = k.label),
+areas AS (
+  SELECT fold, classifier, parameters, class, avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
+  FROM cells a JOIN cells b USING (fold, classifier, parameters, class) WHERE a.positive AND NOT b.positive GROUP BY ALL),
+macro AS (SELECT fold, classifier, parameters, CASE WHEN count(*) = any_value(len(c)) THEN avg(auc) ELSE 0 END AS auc FROM areas JOIN classes USING (fold) GROUP BY fold, classifier, parameters)
+SELECT 'label' AS problem, CAST(fold AS VARCHAR) AS "partition", 'code' AS feature_type, 'hunk' AS feature_scope, 'w2v' AS token, classifier, parameters, 'none' AS resampling,
+  round(accuracy, 8) AS accuracy, round("precision", 8) AS "precision", round(recall, 8) AS recall, round(sqrt("precision" * recall), 8) AS gmean, round(coalesce(auc, 0), 8) AS auc,
+  round(f1, 8) AS f1, round(mcc, 8) AS mcc
+FROM scored LEFT JOIN macro USING (fold, classifier, parameters)"""
+
+
+@query("experiment_store", STORE_SQL.replace("{metrics}", metrics_sql("predictions", "fold, classifier, parameters").strip()))
+def _store(spark, sf):
+    """A grid on all folds, kept in a store, in the columns of the results table without its times."""
+    rows = experiment_rows(spark, sf, tuple(range(10)))
+    out = validate_grid(rows, ["label"], "id", "x", STORE_GRID, ("none",))
+    return rounded(result_rows(out, "code", "hunk", "w2v").drop("train_time", "pred_time"))
+
+
 @query("validate_grid")
 def _validate(spark, sf):
     rows = experiment_rows(spark, sf, (8, 9))
