@@ -18,8 +18,8 @@ VECTOR_SIZE = 300
 MAX_WORDS = 10_000
 WINDOW = 5
 SEED = 42
-#: Sentences that one part of the training holds.
-SENTENCES = 50_000
+#: Sentences that one part of the training should hold, and parts at most.
+SENTENCES, MAX_PARTS = 50_000, 8
 
 
 def _known(df: DataFrame, columns: Sequence[str], vocab: DataFrame) -> DataFrame:
@@ -50,13 +50,13 @@ def w2v_fit(
     """Skip-gram vectors of the ``max_words`` commonest tokens of all text columns.
 
     The sentences are trained on ``partitions`` parts side by side, by default one for each
-    ``SENTENCES`` of them. The parts' vectors are averaged after every iteration, so there are at least
-    as many iterations as parts.
+    ``SENTENCES`` of them but ``MAX_PARTS`` at most. The parts' vectors are averaged after every iteration, so
+    there are at least as many iterations as parts, and never more passes over a corpus for its size alone.
     """
     corpus = materialise(stack_texts(df, columns).select(change_tokens("text").alias("_t")), "sentences")
     vocab = materialise(with_ids(term_frequency(corpus, F.col("_t")), "term_freq", max_words), "vocabulary")
     sentences = _known(corpus, ["_t"], vocab).select(F.col("_t").alias("_s")).filter(F.size("_s") > 0)
-    parts = partitions or max(1, -(-corpus.count() // SENTENCES))
+    parts = partitions or min(MAX_PARTS, max(1, -(-corpus.count() // SENTENCES)))
     return Word2Vec(
         vectorSize=size, windowSize=WINDOW, minCount=0, seed=SEED, maxIter=max(iterations, parts), numPartitions=parts,
         inputCol="_s", outputCol="_v",

@@ -144,8 +144,11 @@ def classifier(
     return one
 
 
-def fit(alg: str, parameters: Sequence[str], train: DataFrame, features: str = "features", label: str = "label") -> PipelineModel:
-    """Fit label index, classifier and label names as one pipeline. Classes are the training labels."""
+def fit(alg: str | Estimator, parameters: Sequence[str], train: DataFrame, features: str = "features", label: str = "label") -> PipelineModel:
+    """Fit label index, classifier and label names as one pipeline. Classes are the training labels.
+
+    ``alg`` is a name, or any Spark ML classifier with its settings made; ``parameters`` are then unused.
+    """
     data = as_vector(train.withColumn(label, F.col(label).cast("string")), features)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(data)
     if len(index.labels) < 2:
@@ -158,7 +161,10 @@ def fit(alg: str, parameters: Sequence[str], train: DataFrame, features: str = "
         # Projected once; the solver reads the table in every iteration.
         indexed = materialise(stages[0].transform(indexed), "projected")
         features = "_rff"
-    one = classifier(alg, parameters, rows, len(index.labels), width, features)
+    if isinstance(alg, Estimator):
+        one = alg.copy({alg.getParam("featuresCol"): features, alg.getParam("labelCol"): "_y"})
+    else:
+        one = classifier(alg, parameters, rows, len(index.labels), width, features)
     names = IndexToString(inputCol="prediction", outputCol="pred", labels=index.labels)
     return PipelineModel(stages=[*stages, one.fit(indexed.select(features, "_y")), names])
 

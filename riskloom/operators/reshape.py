@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import JAVA_KEYWORDS
+
 # Metrics a wide result column may end in, and the overall columns' new names.
 WIDE_METRICS = ["acc", "rec", "prec", "f1", "gmean", "mcc", "auc"]
 OVERALL_NAMES = {
@@ -77,8 +79,13 @@ def settings_key(*columns: str, sep: str = ",") -> Column:
     return F.concat_ws(sep, *[F.col(c).cast("string") for c in columns])
 
 
-def manual_features(df: DataFrame, columns: Sequence[str], key: str = "commit") -> DataFrame:
-    """Named metric columns as DOUBLE, with the key."""
+# The change metrics among the manual features, before the Java keywords.
+CHANGE_METRICS = ["STARS", "COMMITS", "NS", "LA", "LD", "LT", "NDEV", "AGE", "NUC", "EXP", "NRF"]
+MANUAL_FEATURES = (*CHANGE_METRICS, *JAVA_KEYWORDS)
+
+
+def manual_features(df: DataFrame, columns: Sequence[str] = MANUAL_FEATURES, key: str = "commit") -> DataFrame:
+    """Named metric columns as DOUBLE, with the key; by default all 68 of them."""
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,15 +135,16 @@ def validate_grid(
     data: DataFrame, problems: Sequence[str], id: str, features: str = "features",
     grid: dict[str, Sequence[Sequence[str]]] | None = None, resampling: Sequence[str] = ("none", "over", "over+"),
     threads: int = 4, role: str = "val", store: str | None = None, keep_models: bool = True,
+    extract: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Score every parameter set, algorithm and sampling on one role of every fold.
 
     ``data`` holds id, features, one label column per problem, ``fold`` and ``role``. Predictions, class scores,
     models and a manifest are kept under ``store`` (a folder all executors can reach; a scratch folder if none is
     given), and one metrics job over them scores the whole grid. Called again with the same store, only jobs
-    that it has not finished are run.
+    that it has not finished are run. ``extract`` makes the feature column from the rows first, once for all jobs.
     """
-    data = materialise(data, "experiment")
+    data = materialise(extract(data) if extract else data, "experiment")
     folds = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]
     jobs = []
     for problem in problems:

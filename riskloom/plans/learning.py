@@ -79,15 +79,18 @@ def _knn_vote(spark, sf):
 
 @query(
     "nearest_cells",
-    """SELECT metric, count(*) AS rows, 11 * count(*) AS wanted, true AS ranked, true AS reached FROM embeddings, (VALUES ('l1'), ('l2')) m(metric) GROUP BY metric""",
+    """SELECT metric, count(*) AS rows, 11 * count(*) AS wanted, true AS ranked, true AS reached
+    FROM embeddings, (VALUES ('l1'), ('l2')) m(metric) WHERE vec_id % 20 = 0 GROUP BY metric""",
 )
 def _nearest_cells(spark, sf):
-    """The candidate mode next to the exact one: every row gets its neighbours, and at least 0.9 of the exact ones."""
+    """The candidate mode next to the exact one, for every twentieth id: all get their neighbours, and at least 0.9 of
+    the exact ones."""
     v = vectors(spark, sf)
+    asked = v.where("id % 20 = 0")
     out = []
     for metric in ("l1", "l2"):
-        found = materialise(build_cells(v, 11, metric=metric).nearest(v, v, 11, metric=metric, skip_same=True), "found")
-        exact = nearest(v, v, 11, metric=metric, skip_same=True)
+        found = materialise(build_cells(v, 11, metric=metric).nearest(asked, v, 11, metric=metric, skip_same=True), "found")
+        exact = nearest(asked, v, 11, metric=metric, skip_same=True)
         got = found.agg(F.countDistinct("id"), F.count("*"), F.max("rank")).first()
         out.append((metric, got[0], got[1], got[2] == 11, recall(found, exact) >= 0.9))
     return spark.createDataFrame(out, "metric string, rows bigint, wanted bigint, ranked boolean, reached boolean")

@@ -250,7 +250,7 @@ def _encode_chars(spark, sf):
 
 @query(
     "encode_both",
-    f"""WITH {word_vocab_sql('v', DOC_TEXTS, CODE, 2000)}, {CHAR_VOCAB_SQL}, {CHAR_IDS_SQL},
+    f"""WITH {word_vocab_sql('v', DOC_TEXTS, CODE, 10000)}, {CHAR_VOCAB_SQL}, {CHAR_IDS_SQL},
     word_ids AS (
       SELECT doc_id, list(coalesce(id, (SELECT max(id) + 1 FROM v)) ORDER BY pos) AS ids
       FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
@@ -258,17 +258,17 @@ def _encode_chars(spark, sf):
       GROUP BY doc_id),
     a AS (SELECT doc_id, coalesce(w.ids, []) AS wi, coalesce(c.ids, []) AS ci
           FROM documents LEFT JOIN word_ids w USING (doc_id) LEFT JOIN char_ids c USING (doc_id))
-    SELECT doc_id, list_concat({_pad_sql('wi', 100, 'pre')}, {_pad_sql('ci', 200, 'pre')}) AS text_ids,
+    SELECT doc_id, list_concat({_pad_sql('wi', 512, 'pre')}, {_pad_sql('ci', 1024, 'pre')}) AS text_ids,
            CAST(len(wi) AS INTEGER) AS text_word_len, CAST(len(ci) AS INTEGER) AS text_char_len FROM a""",
 )
 def _encode_both(spark, sf):
     d = documents(spark, sf).select("doc_id", "text")
-    w = vocab_words(d, tokenizer=code_tokens, max_vocab=2000, oov="<oov>")
+    w = vocab_words(d, tokenizer=code_tokens, max_vocab=10_000, oov="<oov>")
     c = vocab_chars(d, min_n=1, max_n=1, word_bound=True, max_vocab=10_000)
     return encode_both(
         d, w, c, "text", ["doc_id"],
-        {"maxlen": 100, "oov": "<oov>"},
-        {"maxlen": 200, "min_n": 1, "max_n": 1, "word_bound": True},
+        {"maxlen": 512, "oov": "<oov>"},
+        {"maxlen": 1024, "min_n": 1, "max_n": 1, "word_bound": True},
     ).drop("text")
 
 
@@ -297,6 +297,60 @@ def _encode_pairs(spark, sf):
     return encode_pairs(pairs, vocab)
 
 
+def change_contexts(spark, sf):
+    """Change pairs with the turn before the pair and the turn after it as contexts."""
+    c = table(spark, sf, "conversations")
+    users = c.filter(F.col("role") == "user").select("conv_id", "turn")
+    out = users
+    for name, step in (("prev_data", 0), ("cur_data", 1), ("prev_context", -1), ("cur_context", 2)):
+        out = out.join(c.select("conv_id", (F.col("turn") - step).alias("turn"), F.col("text").alias(name)), ["conv_id", "turn"], "left")
+    return out.withColumn("commit", F.concat_ws("-", "conv_id", "turn")).drop("conv_id", "turn")
+
+
+def _context_sql() -> str:
+    names = {"prev_data": 0, "cur_data": 1, "prev_context": -1, "cur_context": 2}
+    joins = " ".join(f"LEFT JOIN conversations {n} ON {n}.conv_id = p.conv_id AND {n}.turn = p.turn + {step}" for n, step in names.items())
+    texts = " UNION ALL ".join(f"SELECT coalesce({n}, '') AS x FROM four" for n in names)
+    ids = ", ".join(
+        f"""{n}_ids AS (SELECT commit, list(id ORDER BY pos) AS {n}_i FROM (SELECT commit, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+        FROM (SELECT commit, regexp_extract_all(coalesce({n}, ''), {CODE}) AS t FROM four)) JOIN v USING (token) GROUP BY commit)""" for n in names
+    )
+    cells = ", ".join(
+        f"{_pad_sql(f'coalesce({n}_i, [])', 512, 'pre')} AS {n.replace('_data', '_features')}, CAST(len(coalesce({n}_i, [])) AS INTEGER) AS {n}_len" for n in names
+    )
+    return f"""WITH four AS (SELECT p.conv_id || '-' || p.turn AS commit, {", ".join(f"{n}.text AS {n}" for n in names)}
+      FROM conversations p {joins} WHERE p.role = 'user'), {word_vocab_sql('v', texts, CODE, 10000)}, {ids}
+    SELECT commit, {cells} FROM four {" ".join(f"LEFT JOIN {n}_ids USING (commit)" for n in names)}"""
+
+
+@query("encode_contexts", _context_sql())
+def _encode_contexts(spark, sf):
+    changes = change_contexts(spark, sf)
+    names = ["prev_data", "cur_data", "prev_context", "cur_context"]
+    vocab = vocab_words(stack_texts(changes, names), tokenizer=code_tokens, max_vocab=10_000)
+    return encode_pairs(changes, vocab)
+
+
+def _pair_chars_sql() -> str:
+    def side(n: str) -> str:
+        return f"""{n}_ids AS (SELECT commit, list(id ORDER BY pos) AS {n}_i FROM (SELECT commit, unnest(c) AS token, generate_subscripts(c, 1) AS pos
+        FROM (SELECT commit, string_split(array_to_string(regexp_extract_all(coalesce({n}_data, ''), {WORDS}), ''), '') AS c FROM pairs)) JOIN v USING (token) GROUP BY commit)"""
+
+    cells = ", ".join(f"{_pad_sql(f'coalesce({n}_i, [])', 1024, 'pre')} AS {n}_features, CAST(len(coalesce({n}_i, [])) AS INTEGER) AS {n}_data_len" for n in ("prev", "cur"))
+    return f"""WITH {PAIRS_SQL}, texts AS (SELECT row_number() OVER () AS r, x FROM ({PAIR_TEXTS})),
+    v AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) AS INTEGER) AS id FROM (
+      SELECT DISTINCT r, unnest(string_split(w, '')) AS token FROM (SELECT DISTINCT r, unnest(regexp_extract_all(x, {WORDS})) AS w FROM texts))
+      GROUP BY token ORDER BY count(*) DESC, token LIMIT 10000), {side('prev')}, {side('cur')}
+    SELECT commit, {cells} FROM pairs LEFT JOIN prev_ids USING (commit) LEFT JOIN cur_ids USING (commit)"""
+
+
+@query("encode_pair_chars", _pair_chars_sql())
+def _encode_pair_chars(spark, sf):
+    pairs = change_pairs(spark, sf)
+    vocab = vocab_chars(stack_texts(pairs, ["prev_data", "cur_data"]), min_n=1, max_n=1, word_bound=True, max_vocab=10_000)
+    return encode_pairs(pairs, vocab, token="char")
+
+
 @query(
     "length_stats",
     f"""SELECT lang, count(*) AS n, CAST(min(l) AS INTEGER) AS shortest, round(avg(l), 8) AS mean, CAST(max(l) AS INTEGER) AS longest

@@ -105,3 +105,25 @@ def test_a_grid_in_a_store(spark, data, monkeypatch):
     columns = result_rows(tested, "code", "hunk", "bow").columns
     assert len(columns) == 17 and columns[:8] == ["problem", "partition", "feature_type", "feature_scope", "token", "classifier", "parameters", "resampling"]
     assert tested.where(F.col("train_time") <= 0).count() == 0
+
+
+def test_own_estimator_and_own_extractor(spark, data):
+    """Any Spark ML classifier, and any function that makes the features."""
+    from pyspark.ml.classification import NaiveBayes
+
+    train, test = data.where("role = 'train'"), data.where("role = 'test'")
+    own = fit_predict(NaiveBayes(modelType="gaussian"), (), train, test, "id", "x")
+    assert own.where("truth = pred").count() > 0.6 * test.count()
+    grid = {"knn": [("5", "uniform", "2")]}
+    make = lambda df: df.withColumn("made", F.transform("x", lambda v: v * 2))
+    made = validate_grid(data, ["label"], "id", "made", grid, ("none",), extract=make).drop("train_time", "pred_time")
+    plain = validate_grid(data, ["label"], "id", "x", grid, ("none",)).drop("train_time", "pred_time")
+    assert made.collect() == plain.collect()
+
+
+def test_all_manual_features(spark):
+    from riskloom.operators.reshape import CHANGE_METRICS, MANUAL_FEATURES, manual_features
+
+    row = spark.range(1).select(F.lit("c").alias("commit"), *[F.lit(i).alias(n) for i, n in enumerate(MANUAL_FEATURES)])
+    out = manual_features(row)
+    assert len(CHANGE_METRICS) == 11 and len(out.columns) == 69 and out.first()["while"] == 67.0
