@@ -331,7 +331,7 @@ FROM scored LEFT JOIN macro USING (fold, classifier, parameters)"""
 def _store(spark, sf):
     """A grid on all folds, kept in a store, in the columns of the results table without its times."""
     rows = experiment_rows(spark, sf, tuple(range(10)))
-    out = validate_grid(rows, ["label"], "id", "x", STORE_GRID, ("none",))
+    out = validate_grid(rows, ["label"], "id", "x", STORE_GRID, ("none",), threads=8)
     return rounded(result_rows(out, "code", "hunk", "w2v").drop("train_time", "pred_time"))
 
 
