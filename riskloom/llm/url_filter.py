@@ -3,8 +3,9 @@
 A rule is a host and a path beginning with a verdict; it fits its host and all subdomains if the path starts
 with the rule's, and of several the longest wins (of equally long ones that with the longer host, then
 block). URLs that no rule fits are judged by gradient-boosted trees, trained on labelled URLs, over lengths,
-depth, digit and letter shares, entropy, parameter counts, and statistics of the host's last labels: how
-often they occur and how often they are blocked among the labelled.
+depth, digit and letter shares, entropy, parameter counts, and statistics of the host's last one and two labels:
+how often they occur among all pages, and how often they are blocked among the labelled. A URL that teaches the trees
+gets the blocked shares of the other folds of labelled URLs, so its own label is not among its features.
 
 A NULL URL and one without ``://`` have an empty host and path; no rule fits, and the trees judge the text
 (NULL as empty). Repeated URLs are judged each. Without labelled URLs, or with allowed ones only, all URLs
@@ -39,7 +40,10 @@ RULES = (
     Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
 )
 
-FEATURES = 18
+FEATURES = 20
+#: Folds of the labelled URLs, and the statistics of host endings among the features.
+FOLDS = 5
+STATISTICS = ("rate1", "rate2", "count1", "count2")
 
 
 def host_of(url: Column) -> Column:
@@ -83,21 +87,33 @@ def features_of(url: str, host: str, path: str) -> list[float]:
     ]
 
 
-def with_suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``urls`` (with host) and, for the last one and two labels, the blocked share among ``labelled`` (host,
-    blocked), smoothed to one half. The statistics are aggregated before they are joined."""
-    out = urls
-    for k in (1, 2):
-        stat = labelled.groupBy(suffix(F.col("host"), k).alias(f"s{k}")).agg(
-            ((F.sum("blocked") + 1.0) / (F.count("*") + 2.0)).alias(f"rate{k}")
-        )
-        out = out.withColumn(f"s{k}", suffix(F.col("host"), k)).join(stat, f"s{k}", "left").drop(f"s{k}")
-    return out.fillna(0.5, ["rate1", "rate2"])
-
+def with_suffix_statistics(urls: DataFrame, labelled: DataFrame, pages: DataFrame, teach: bool = False) -> DataFrame:
+    """``urls`` (url, host) with ``STATISTICS`` of the host's last one and two labels.
 
-def _matrix(url: pd.Series, host: pd.Series, path: pd.Series, rate1: pd.Series, rate2: pd.Series) -> np.ndarray:
+    ``rate`` is the blocked share among ``labelled`` (url, host, blocked), smoothed to one half; with ``teach`` that of
+    the folds that the URL is not in. ``count`` is the logarithm of their number among ``pages`` (host). All are
+    aggregated before they are joined.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    out = urls.withColumn("_fold", fold) if teach else urls
+    for k in (1, 2):
+        s = suffix(F.col("host"), k).alias(f"s{k}")
+        out = out.withColumn(f"s{k}", suffix(F.col("host"), k))
+        stat = labelled.groupBy(s).agg(F.sum("blocked").alias("_b"), F.count("*").alias("_n"))
+        out = out.join(stat, f"s{k}", "left").fillna(0, ["_b", "_n"])
+        if teach:
+            own = labelled.groupBy(s, fold.alias("_fold")).agg(F.sum("blocked").alias("_fb"), F.count("*").alias("_fn"))
+            out = out.join(own, [f"s{k}", "_fold"], "left").fillna(0, ["_fb", "_fn"])
+            out = out.withColumns({"_b": F.col("_b") - F.col("_fb"), "_n": F.col("_n") - F.col("_fn")}).drop("_fb", "_fn")
+        number = pages.groupBy(s).agg(F.log1p(F.count("*")).alias(f"count{k}"))
+        out = out.join(number, f"s{k}", "left").fillna(0.0, [f"count{k}"])
+        out = out.withColumn(f"rate{k}", (F.col("_b") + 1.0) / (F.col("_n") + 2.0)).drop("_b", "_n", f"s{k}")
+    return out.drop("_fold")
+
+
+def _matrix(url: pd.Series, host: pd.Series, path: pd.Series, *statistics: pd.Series) -> np.ndarray:
     lexical = np.array([features_of(u or "", h, p) for u, h, p in zip(url, host, path, strict=True)], dtype=float)
-    return np.column_stack([lexical.reshape(-1, FEATURES - 2), rate1.to_numpy(float), rate2.to_numpy(float)])
+    return np.column_stack([lexical.reshape(-1, FEATURES - len(STATISTICS)), *[s.to_numpy(float) for s in statistics]])
 
 
 def _blocked_score(model: boosting.Trees) -> Column:
@@ -106,19 +122,20 @@ def _blocked_score(model: boosting.Trees) -> Column:
         for cols in batches:
             yield pd.Series(model.scores(_matrix(*cols)))
 
-    return of("url", "host", "path", "rate1", "rate2")
+    return of("url", "host", "path", *STATISTICS)
 
 
 def fit(labelled: DataFrame, per_class: int = 10_000) -> boosting.Trees:
-    """Trees from at most ``per_class`` URLs of each class of ``labelled`` (url, host, path, rate1, rate2, blocked)."""
+    """Trees from at most ``per_class`` URLs of each class of ``labelled`` (url, host, path, STATISTICS, blocked)."""
     size = dict(labelled.groupBy("blocked").count().collect())
     order = [F.xxhash64("url"), "url"]
     parts = [labelled.where(F.col("blocked") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    got = pd.concat([pd.DataFrame([tuple(r) for r in p.select("url", "host", "path", "rate1", "rate2", "blocked").collect()], columns=["url", "host", "path", "rate1", "rate2", "blocked"]) for p in parts])
+    names = ["url", "host", "path", *STATISTICS, "blocked"]
+    got = pd.concat([pd.DataFrame([tuple(r) for r in p.select(*names).collect()], columns=names) for p in parts])
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n1:
         return boosting.fit(np.zeros((0, FEATURES)), np.zeros(0), prior=1e-6)
-    x = _matrix(*(got[c] for c in ("url", "host", "path", "rate1", "rate2")))
+    x = _matrix(*(got[c] for c in names[:-1]))
     return boosting.fit(x, got["blocked"].to_numpy(np.int64), prior=n1 / (n0 + n1))
 
 
@@ -135,9 +152,9 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: DataFrame
         known = parsed.where("listed IS NOT NULL").select("url", "host", "path", (F.col("listed") == "block").cast("int").alias("blocked"))
     else:
         known = labelled.select("url", host_of(url).alias("host"), path_of(url).alias("path"), F.col("blocked").cast("int").alias("blocked"))
-    stats = known.select("host", "blocked")
-    model = fit(with_suffix_statistics(known, stats))
-    scored = with_suffix_statistics(parsed, stats).withColumn("score", _blocked_score(model))
+    stats, hosts = known.select("url", "host", "blocked"), parsed.select("host")
+    model = fit(materialise(with_suffix_statistics(known, stats, hosts, teach=True), "taught"))
+    scored = with_suffix_statistics(parsed, stats, hosts).withColumn("score", _blocked_score(model))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), "score")
 

@@ -182,6 +182,26 @@ def test_url_trees_learn_labels(spark):
     assert url_filter.judged(none).count() == 0
 
 
+def test_suffix_statistics_count_pages_and_leave_out_the_own_fold(spark):
+    hosts = ["a.net", "b.net", "a.net", "c.org", ""]
+    rows = [(f"http://{h}/{i}", h, i % 2) for i in range(60) for h in hosts[:4]]
+    labelled = spark.createDataFrame(rows, "url string, host string, blocked int")
+    pages = spark.createDataFrame([(h,) for h in hosts], "host string")
+    known = labelled.withColumn("_f", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)))
+    folds = {r.url: r._f for r in known.collect()}
+    asked = labelled.select("url", "host").distinct()
+    for teach in (False, True):
+        for r in url_filter.with_suffix_statistics(asked, labelled, pages, teach).collect():
+            for k, ends in ((1, r.host.rpartition(".")[2]), (2, r.host)):
+                among = [b for u, h, b in rows if (h.rpartition(".")[2] if k == 1 else h) == ends and not (teach and folds[u] == folds[r.url])]
+                assert abs(r[f"rate{k}"] - (sum(among) + 1) / (len(among) + 2)) < 1e-12
+                n = sum((h.rpartition(".")[2] if k == 1 else h) == ends for h in hosts)
+                assert abs(r[f"count{k}"] - np.log1p(n)) < 1e-12
+    new = spark.createDataFrame([("http://x.zz/", "x.zz")], "url string, host string")
+    [r] = url_filter.with_suffix_statistics(new, labelled, pages).collect()
+    assert (r.rate1, r.rate2, r.count1, r.count2) == (0.5, 0.5, 0.0, 0.0)
+
+
 def test_licences(spark):
     every = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
     rows = [(i, f"{odd.PROSE}\n{t}\n{odd.PROSE}") for i, (_, t) in enumerate(every)]
