@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# No broadcast hints here: both sides may be large. Spark broadcasts a side when its measured size
-# is below the threshold, and AQE splits skewed partitions of a sort-merge join.
+from riskloom.session import BROADCAST_BYTES, broadcast_if_small, materialise
+
+# No broadcast hints in the plain joins: both sides may be large. Spark broadcasts a side when its measured
+# size is below the threshold, and AQE splits skewed partitions of a sort-merge join. ``split_join`` does it on
+# purpose for keys that are known to be hot, NULL among them.
 
 
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -71,3 +75,62 @@ def pair_tasks(df: DataFrame, task: str, on: Sequence[str], values: Sequence[str
     )
     other = single.filter("_ok").drop("_ok")
     return df.join(other, list(on)).filter(F.col(task) != F.col("_task")).drop("_task")
+
+
+#: A key with more than one row in ``SHARE`` is hot, so there are fewer than that many; a hot key is dealt to so many tasks.
+SHARE, SALTS = 64, 32
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = SHARE) -> DataFrame:
+    """The keys that hold more than one of ``share`` rows; NULL is a key like others. Counted before the shuffle."""
+    counts = materialise(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "keycounts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.filter(F.col("_n") * share > total).select(*on)
+
+
+def split_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False,
+    share: int = SHARE, salts: int = SALTS, max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """A left or inner join whose hot left keys are split on purpose; the rest is an ordinary join.
+
+    Rows of hot keys stay where they are while the right rows of these keys are small by measure. Beyond that they
+    are dealt to ``salts`` tasks a key by a written row number, and their right rows are copied to each. Rows with a NULL
+    key match each other with ``null_safe``; else they match nothing and take no part in the shuffle. The columns
+    are those of ``left`` and the others of ``right``; the result is that of the plain join.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown join: {how}")
+    on = list(on)
+    more = [c for c in right.columns if c not in on]
+    names = {c: f"_r_{c}" for c in on}
+    right = right.withColumnsRenamed(names)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+
+    def same(salted: bool = False):
+        match = (lambda c: F.col(c).eqNullSafe(F.col(names[c]))) if null_safe else (lambda c: F.col(c) == F.col(names[c]))
+        out = reduce(lambda a, b: a & b, [match(c) for c in on])
+        return out & (F.col("_salt") == F.col("_r_salt")) if salted else out
+
+    def joined(a: DataFrame, b: DataFrame, salted: bool = False) -> DataFrame:
+        return a.join(b, same(salted), how).select(*left.columns, *more)
+
+    work = left if null_safe else left.filter(known)
+    # Fewer keys than ``share``, whatever the table holds.
+    hot = F.broadcast(materialise(hot_keys(work, on, share).select(*[F.col(c).alias(f"_h_{c}") for c in on]), "hot"))
+    is_hot = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in on])
+    is_hot_right = reduce(lambda a, b: a & b, [F.col(names[c]).eqNullSafe(F.col(f"_h_{c}")) for c in on])
+    few = materialise(right.join(hot, is_hot_right, "left_semi"), "hotright")
+    many = work.join(hot, is_hot, "left_semi")
+    copy = broadcast_if_small(few, max_bytes=max_bytes)
+    if copy is not few:
+        split = joined(many, copy)
+    else:
+        numbered = materialise(many.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int")), "salted")
+        copies = few.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        split = joined(numbered, copies, salted=True)
+    out = joined(work.join(hot, is_hot, "left_anti"), right.join(hot, is_hot_right, "left_anti")).unionByName(split)
+    if null_safe or how == "inner":
+        return out
+    none = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in more]
+    return out.unionByName(left.filter(~known).select(*left.columns, *none))

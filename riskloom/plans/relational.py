@@ -15,6 +15,7 @@ from riskloom.operators.aggregates import (
     value_counts,
 )
 from riskloom.operators.joins import (
+    split_join,
     inner_join,
     keep_known,
     left_join,
@@ -300,6 +301,22 @@ def _manual(spark, sf):
     return manual_features(table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey")
 
 
+@query(
+    "split_join",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 1 ELSE l_suppkey END AS k FROM lineitem),
+    r AS (SELECT s_suppkey AS k, s_name FROM supplier UNION ALL SELECT NULL, 'unknown')
+    SELECT l_orderkey, l_linenumber, l.k, s_name FROM l LEFT JOIN r ON l.k IS NOT DISTINCT FROM r.k""",
+)
+def _split_join(spark, sf):
+    """Lines whose supplier is NULL or the first for two thirds of the orders, with the supplier's name."""
+    part = F.col("l_orderkey") % 3
+    key = F.when(part == 0, None).when(part == 1, F.lit(1)).otherwise(F.col("l_suppkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", key.cast("bigint").alias("k"))
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), "s_name")
+    none = spark.range(1).select(F.lit(None).cast("bigint").alias("k"), F.lit("unknown").alias("s_name"))
+    return split_join(lines, names.unionByName(none), ["k"], null_safe=True)
+
+
 @query(
     "left_join",
     f"WITH {CHANGES_SQL} SELECT commit, priority, s_name FROM changes LEFT JOIN supplier ON s_suppkey = id",
