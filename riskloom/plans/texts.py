@@ -38,7 +38,7 @@ from riskloom.operators.vocab import (
 from riskloom.plans.forecast import rounded
 from riskloom.plans.registry import query, table
 from riskloom.plans.views import part_sql
-from riskloom.session import broadcast_if_small, materialise, spread
+from riskloom.session import spread
 
 
 def q(text: str) -> str:
@@ -378,11 +378,16 @@ def _keywords(spark, sf):
 
 
 def docs_with_parts(spark, sf):
-    """Documents in id order, cut into 12 parts."""
-    d = documents(spark, sf).select("doc_id", "text")
-    parts = time_folds(time_order(d.withColumn("date", F.col("doc_id")), "doc_id", "date"))
-    # Texts stay where they are while the parts are few.
-    return d.join(broadcast_if_small(materialise(parts.select("doc_id", "time_partition"), "parts")), "doc_id")
+    """Documents in id order, cut into 12 parts.
+
+    The order is that of the ids, so a part is a range of ids: texts meet the first id of each part, not a table.
+    """
+    d = documents(spark, sf).select("doc_id", "text").where("doc_id IS NOT NULL")
+    parts = time_folds(time_order(d.select("doc_id", F.col("doc_id").alias("date")), "doc_id", "date"))
+    # One row per part.
+    first = parts.groupBy("time_partition").agg(F.min("doc_id").alias("first")).collect()
+    part = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col("doc_id") >= r["first"], r["time_partition"]).otherwise(0) for r in first])
+    return d.withColumn("time_partition", part.cast("int"))
 
 
 DOC_PARTS_SQL = f"""doc_pos AS (
