@@ -17,8 +17,8 @@ other, those with two flips within 3 of the first. Links are verified by their b
 Copies cost nothing: equal fingerprints are merged before the search, so a variant is shared by at most
 2,081 of them, whatever a group of copies holds.
 
-``drop_near_duplicates`` does not go by fingerprints but by ``riskloom.llm.overlap``, which finds all pairs
-of texts whose five-word shingles have a similarity (Jaccard) of 0.8 or more.
+``drop_near_duplicates`` keeps one row of each component. Two texts that a repeated line fills for the greater
+part have that line's fingerprint and so count as copies, whatever else they say.
 
 NULL and empty texts have no words and the fingerprint zero, linked like any other. The documents of a
 component whose ids are all NULL have a NULL component id. Further columns are carried by the dropping
@@ -36,7 +36,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.binding import bind
-from riskloom.llm import overlap
 from riskloom.llm.common import ascii_lower, broadcast_below, split_words, table
 from riskloom.llm.graph import components
 from riskloom.session import materialise
@@ -91,7 +90,7 @@ def majority_bits(lists: pa.Array) -> np.ndarray:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = {n: batch.column(n) for n in ("doc_id", "whole", "node")}
+        cols = {n: batch.column(n) for n in ("doc_id", "whole")}
         cols["fp"] = pa.array(majority_bits(batch.column("hashes")), pa.int64())
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -208,58 +207,39 @@ def whole_row(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c, _ in docs.dtypes])
 
 
-def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-
-
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, whole, node, hashes) of each row of ``docs``."""
-    return docs.select(
-        "doc_id", whole_row(docs).alias("whole"), text_key(F.col("text")).alias("node"),
-        shingle_hashes(F.col("text"), shingle).alias("hashes"),
-    )
-
-
 def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """Pinned table (doc_id, whole, node, fp): whole is a hash of the row, node one of the text, fp the
-    fingerprint of its shingles."""
-    found = shingled(docs, shingle)
-    spec = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole bigint, node string, fp bigint"
+    """Pinned table (doc_id, whole, fp): whole is a hash of the row, fp the fingerprint of its shingles."""
+    found = docs.select("doc_id", whole_row(docs).alias("whole"), shingle_hashes(F.col("text"), shingle).alias("hashes"))
+    spec = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole bigint, fp bigint"
     return materialise(found.mapInArrow(_fingerprint_batches, spec), "simhash")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def _rooted(rows: DataFrame, *least: Column) -> DataFrame:
+    """(fp, root, least ...) of each fingerprint of ``rows``. Aggregates of a fingerprint's rows come first:
+    whatever a group of copies holds, it is one row from here."""
+    heads = rows.groupBy("fp").agg(*least)
+    return heads.join(classes(rows), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, whole, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable."""
     rows = with_fingerprints(docs, shingle)
-    # The smallest id of every fingerprint first: whatever a group of copies holds, it is one row from here.
-    heads = rows.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    rooted = heads.join(classes(rows), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(rows, F.min("doc_id").alias("head"))
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "whole", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near copies in ``docs``, unchanged: that with the smallest id.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each component of ``docs``, unchanged: that with the smallest id.
 
-    Texts are near if they are equal, if neither has a word, or if the sets of their ``shingle``-word shingles
-    have a Jaccard similarity of ``similarity`` or more; groups are the components of all such pairs. Ids come
-    first in order, NULL last; rows with the same id go by a hash of the whole row, and of entirely equal
-    rows one stays.
+    Components are those of ``near_duplicates``: texts whose fingerprints of ``shingle``-word shingles differ
+    in at most ``RADIUS`` bits link. Ids come first in order, NULL last; rows with the same id go by a hash of
+    the whole row, and of entirely equal rows one stays.
     """
-    rows = overlap.with_prefixes(shingled(docs, shingle), similarity)
-    near = overlap.suspects(rows)
-    texts = docs.select(text_key(F.col("text")).alias("node"), "text")
-    texts = texts.join(broadcast_below(near, F.lit(64)), "node").dropDuplicates(["id"])
-    sets = materialise(texts.select("id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("set")), "sets")
-    edges = overlap.near_pairs(sets, similarity)
-    for end in ("a", "b"):
-        edges = edges.join(near.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end)
-    edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    group = components(edges)
-    placed = rows.select("doc_id", "whole", "node").join(group, "node", "left")
+    rows = with_fingerprints(docs, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")
-    kept = placed.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(order).alias("o"))
+    kept = _rooted(rows, F.min(order).alias("o")).groupBy("root").agg(F.min("o").alias("o"))
     kept = kept.select("o.doc_id", "o.whole", F.lit(True).alias("kept"))
     times = rows.groupBy("doc_id", "whole").agg(F.count("*").alias("times"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["whole"] == b["whole"])

@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from riskloom.llm import mixing, simhash, toxicity
+from riskloom.llm import mixing, toxicity
 from riskloom.llm.common import fold_of, table
 from riskloom.session import materialise
 from tests.llm import odd
 from tests.llm.test_decontamination import brute as contaminated
-from tests.llm.test_simhash import fingerprint, groups, shingles
+from tests.llm.test_simhash import fingerprint, groups
 from tests.llm.test_token_store import expected
 
 SF = "/root/testdata/sf0.01"
@@ -46,11 +46,10 @@ def test_toxicity(spark, stages):
 
 def test_near_copies(stages):
     before = sorted(rows(stages[1]))
-    sets = [set(shingles(r[1], 5)) for r in before]
-    near = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    at = groups(list(range(len(before))), lambda a, b: before[a][1] == before[b][1] or near(a, b))
+    fps = [fingerprint(r[1], 3) for r in before]
+    at = groups(fps, lambda a, b: (a ^ b).bit_count() <= 3)
     # Exactly the first document of each group stays.
-    assert {r[0] for r in rows(stages[2])} == {before[a][0] for a in at}
+    assert {r[0] for r in rows(stages[2])} == {before[a][0] for a in at} and len(set(at)) < len(before)
 
 
 def test_decontamination(spark, stages):
@@ -95,8 +94,3 @@ def test_odd_and_empty_documents(spark, tmp_path):
             docs = out
         out = P.STAGES[-1][1](spark, docs, str(tmp_path))
         assert out.count() == docs.count() and (docs.count() > 5 or not texts)
-
-
-def test_keys_tell_texts_apart(spark):
-    df = odd.documents(spark).select(simhash.text_key(F.col("text")).alias("k"), "text").distinct()
-    assert df.select("k").distinct().count() == len({t or "" for _, t in odd.TEXTS})

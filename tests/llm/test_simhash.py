@@ -6,7 +6,6 @@ import re
 import numpy as np
 import xxhash
 
-from riskloom.llm import overlap
 from riskloom.llm import simhash as S
 from riskloom.llm.graph import components
 from tests.llm import odd
@@ -118,91 +117,49 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id, r.fp, r.component_id) for r in found), key=repr) == sorted(want, key=repr)
 
 
+def kept_by_brute_force(rows):
+    """Ids of the first row of each component of all pairs of fingerprints, NULL last."""
+    fps = [fingerprint(t, 3) for _, t in rows]
+    first = {}
+    for (k, _), r in zip(rows, groups(fps, lambda a, b: (a ^ b).bit_count() <= 3), strict=True):
+        first.setdefault(r, []).append(k)
+    return sorted((min(ks, key=lambda k: (k is None, k or 0)) for ks in first.values()), key=repr)
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = odd.documents(spark)
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     got = [(r.doc_id, r.text) for r in kept.collect()]
-    assert len(got) == len(set(got))
-    # NULL, empty and blank texts are one group (no words); ids 6, 7, 8 are copies and near copies.
-    assert sorted((k for k, _ in got), key=repr) == sorted([1, 2, None, 5, 6, 9, 9, 10, 11, 12], key=repr)
+    assert len(got) == len(set(got)) and set(got) <= set(odd.TEXTS)
+    assert sorted((k for k, _ in got), key=repr) == kept_by_brute_force(odd.TEXTS)
     assert S.drop_near_duplicates(odd.documents(spark, [])).count() == 0
 
 
-def test_near_copies_beyond_three_bits(spark):
+def test_groups_of_near_copies_keep_their_first(spark):
+    """Copies with a few words changed, whole groups of equal texts, and texts that only a shared line joins."""
     rng = random.Random(3)
-    rows, group = [], {}
+    rows = []
     for g in range(30):
-        base = [f"w{rng.randint(0, 400)}" for _ in range(300)]
-        for c in range(4):
+        base = [f"w{rng.randint(0, 400)}" for _ in range((40, 300, 2000)[g % 3])]
+        for c in range(6):
             w = list(base)
-            for at in rng.sample(range(300), 5 * bool(c)):
+            for at in rng.sample(range(len(base)), c // 2):
                 w[at] = f"new{rng.randint(0, 10**6)}"
             rows.append((10 * g + c, " ".join(w)))
-            group[10 * g + c] = g
-    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {group[r.doc_id] for r in kept} == set(range(30))
-    assert len(kept) <= 36  # nearly every copy is found, and no group is lost
-
-
-def kept_as_brute_force(spark, texts):
-    """Whether the rows that stay are the first of each component of all pairs with a five-word Jaccard of 0.8."""
-    sets = [set(shingles(t, 5)) for t in texts]
-    at = groups(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    return sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == sorted(set(at)), len(set(at))
-
-
-def test_copies_with_a_passage_more_or_less(spark):
-    rng = random.Random(5)
-    fresh = lambda n: [f"n{rng.getrandbits(40)}" for _ in range(n)]
-    texts = []
-    for g in range(40):
-        base = [f"w{g}x{i}" for i in range((30, 100, 300, 1000)[g % 4])]
-        # Five-word Jaccard of about 0.83 to 0.95; the last is below 0.8.
-        more = len(base) // (20, 10, 7, 6)[g // 4 % 4]
-        texts += [" ".join(w) for w in (base, base + fresh(more), fresh(more) + base, base[:-more], base + fresh(len(base) // 3))]
-    same, n = kept_as_brute_force(spark, texts)
-    assert same and n < 110
-
-
-def test_copies_whose_head_is_not_near(spark):
-    """Texts of one vocabulary: all have one fingerprint of distinct words, and few pairs of them are near."""
-    rng = random.Random(6)
-    texts = []
-    for _ in range(12):
-        words = [f"w{i}" for i in range(100)]
-        for _ in range(5):
-            rng.shuffle(words)
-            copy = list(words)
-            at = rng.randrange(99)
-            copy[at], copy[at + 1] = copy[at + 1], copy[at]
-            texts += [" ".join(words), " ".join(copy)]
-    same, n = kept_as_brute_force(spark, texts)
-    assert same and n == 60
-
-
-def test_texts_of_one_repeated_line_are_not_copies(spark):
-    texts = []
-    for g in range(6):
-        line = [f"line{g}w{i}" for i in range(5)] * 28
-        texts += [" ".join(line + [f"own{g}x{c}x{i}" for i in range(60)]) for c in range(3)]
-    assert kept_as_brute_force(spark, texts) == (True, 18)
-
-
-def test_blocks_in_tiles_and_common_shingles(spark, monkeypatch):
-    """A group of near copies above a tile, and a line that all texts hold."""
-    monkeypatch.setattr(overlap, "TILE", 2000)
-    monkeypatch.setattr(overlap, "SAMPLE", 50)
-    rng = random.Random(7)
-    line, base, texts = [f"line{i}" for i in range(30)], [f"w{i}" for i in range(150)], []
-    for c in range(120):
-        copy = list(base)
-        for at in rng.sample(range(150), c % 6):
-            copy[at] = f"n{rng.getrandbits(40)}"
-        texts.append(" ".join(copy + line))
-        texts.append(" ".join([f"o{c // 2}x{i}" for i in range(60 - c % 2)] + line))
-    assert kept_as_brute_force(spark, texts)[0]
+    line = [f"line{i}" for i in range(5)] * 28
+    rows += [(1000 + c, " ".join(line + [f"own{c}x{i}" for i in range(20)])) for c in range(5)]
+    rows += [(2000 + c, rows[0][1]) for c in range(300)]
+    rng.shuffle(rows)
+    got = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == kept_by_brute_force(rows)
+    assert all((r.doc_id, r.text) in set(rows) for r in got) and len(got) < len(rows) / 4
+
+
+def test_the_same_row_twice_stays_once(spark):
+    rows = [(1, "one text of some words"), (1, "one text of some words"), (2, "another text"), (2, "yet quite another")]
+    got = [tuple(r) for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(set(rows))
 
 
 def test_components(spark):
