@@ -23,8 +23,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: that with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each SimHash component: 3-word shingles, fingerprints within 3 bits; that with the smallest id."""
+    return simhash.drop_near_duplicates(docs, shingle=3)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
