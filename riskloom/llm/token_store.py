@@ -2,10 +2,10 @@
 
 Documents are sorted by id over range partitions and encoded in place; each partition cuts its documents
 into shards of about ``SHARD_IDS`` ids and compresses each by Re-Pair: the most frequent pairs of ids that
-stand side by side are replaced by new ids (nonterminals), and again, until no pair is frequent or
-``MAX_ROUNDS`` rounds are done. A round replaces many pairs at once, chosen by frequency so that no id is a
-left end of one and a right end of another; their occurrences then cannot overlap. Pairs never contain the
-end id, so documents end where symbols end.
+stand side by side are replaced by new ids (nonterminals), and again, until no pair occurs ``LEAST`` times. A
+round replaces many pairs at once, chosen by frequency so that no id is a left end of one and a right end of
+another; their occurrences then cannot overlap. Of a run of one id every two are a pair. Pairs never contain
+the end id, so documents end where symbols end.
 
 Store: Parquet with one row a shard: ``part`` and ``shard`` (its place in the order of documents), ``docs``
 (the ids of its documents), ``n_ids``, and ``payload``, little-endian:
@@ -30,7 +30,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +47,10 @@ from riskloom.session import scratch_path
 
 END_ID = 1
 SHARD_IDS = 1 << 19
-MAX_ROUNDS = 8
 #: A pair is frequent if it occurs at least so often in its shard.
 LEAST = 16
 #: Bytes of text that are encoded at a time, and words whose ids a worker remembers.
-BATCH_CHARS, REMEMBERED = 1 << 20, 800_000
+BATCH_CHARS, REMEMBERED = 1 << 21, 800_000
 
 _MAGIC, _HEAD = b"RPS1", struct.Struct("<4s6I")
 # A-Z to a-z and line feeds to spaces; the bytes of other characters stay.
@@ -59,24 +58,12 @@ _FOLD = bytes(0x20 if b == 0x0A else b + 32 if 0x41 <= b <= 0x5A else b for b in
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
-class _Numbers(dict):
-    """Word -> number; an unknown word gets the next number and is noted in ``new``."""
-
-    def __init__(self):
-        super().__init__({"": 0})
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 class Encoder:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, word by word.
 
     Such a tokenizer cuts texts at white space before anything else, so the ids of a text are those of its
-    space-separated words one after the other, and a word needs encoding once. ``same_by_words`` tells
+    space-separated words one after the other, and a word needs encoding once. Arrow cuts the words and numbers
+    the distinct ones of a batch; only those are looked up one by one. ``same_by_words`` tells
     whether the file's rules allow that; with others, and for texts that spell out a special token, whole
     texts are encoded.
     """
@@ -94,7 +81,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the memory: words by number, and where each number's ids lie in the pool."""
-        self.at = _Numbers()
+        self.at = {"": 0}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -108,65 +95,92 @@ class Encoder:
         self.length[numbers] = length
         self.used += len(ids)
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and how many each has."""
-        plain = [p for p in pieces if p.isalpha()]
-        if len(plain) == len(pieces):
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Numbers of distinct words, and those words that had none before."""
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        gone = np.flatnonzero(out < 0)
+        out[gone] = len(self.at) + np.arange(len(gone))
+        new = [words[i] for i in gone.tolist()]
+        self.at.update(zip(new, out[gone].tolist(), strict=True))
+        return out, new
+
+    def _pieces(self, pieces: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has; ``letters`` if they have nothing else."""
+        if letters:
             # Words of letters in one text: each ends with an id that closes a word.
-            ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(pieces):
                 return ids, np.diff(ends, prepend=0)
-        got = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         length = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length
 
-    def _learn(self) -> None:
-        """Encode the new words. A word's closing punctuation is a piece of its own: letters and other signs
-        never share one."""
-        words, at = self.at.new, self.at
-        at.new = []
-        stems = [w.rstrip(_MARKS) for w in words]
-        split = [(w, s) for w, s in zip(words, stems, strict=True) if len(s) < len(w) and s and s[-1].isalpha()]
-        parts = np.array([(at[w], at[s], at[w[len(s) :]]) for w, s in split], np.int64).reshape(-1, 3)
-        divided = {w for w, _ in split}
-        alone = [w for w in words + at.new if w not in divided]
-        at.new = []
-        for kind in (True, False):
-            some = [w for w in alone if w.isalpha() is kind]
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words. A word's closing punctuation is a piece of its own: letters and other signs never
+        share one."""
+        column = pa.array(words, pa.string())
+        stems = pc.utf8_rtrim(column, characters=_MARKS)
+        cut = pc.less(pc.binary_length(stems), pc.binary_length(column))
+        cut = pc.and_(cut, pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)))
+        divided, stem = column.filter(cut).to_pylist(), stems.filter(cut).to_pylist()
+        tail = [w[len(s) :] for w, s in zip(divided, stem, strict=True)]
+        fresh = self._numbers(list(dict.fromkeys(chain(stem, tail))))[1]
+        alone = pa.array(column.filter(pc.invert(cut)).to_pylist() + fresh, pa.string())
+        letters = pc.utf8_is_alpha(alone)
+        for kind, chosen in ((True, letters), (False, pc.invert(letters))):
+            some = alone.filter(chosen).to_pylist()
             for i in range(0, len(some), 4096):
                 block = some[i : i + 4096]
-                self._put(np.fromiter(map(at.__getitem__, block), np.int64, len(block)), *self._pieces(block))
-        if len(parts):
-            ends = parts[:, 1:]
+                self._put(self._numbers(block)[0], *self._pieces(block, kind))
+        if divided:
+            ends = np.stack([np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in (stem, tail)], axis=1)
             ids = self.pool[ragged(self.start[ends].ravel(), self.length[ends].ravel())]
-            self._put(parts[:, 0], ids, self.length[ends].sum(axis=1))
+            self._put(self._numbers(divided)[0], ids, self.length[ends].sum(axis=1))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by the end id, and the number of each text's ids."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (NULL: none), each closed by the end id, and the number of each text's ids."""
         if len(self.at) > REMEMBERED:
             self.forget()
-        folded = [t.encode().translate(_FOLD).decode() for t in texts]
-        whole = [not self.by_words or any(s in t for s in self.special) for t in folded]
-        words = [[] if odd else t.split(" ") for t, odd in zip(folded, whole, strict=True)]
-        flat = [w for ws in words for w in ws]
-        index = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        if self.at.new:
-            self._learn()
+        folded = _folded(texts)
+        odd = pa.array(np.full(len(folded), not self.by_words))
+        for mark in self.special:
+            odd = pc.or_(odd, pc.match_substring(folded, mark))
+        words = pc.split_pattern(pc.if_else(odd, "", folded), " ")
+        coded = words.flatten().dictionary_encode()
+        number, new = self._numbers(coded.dictionary.to_pylist())
+        if new:
+            self._learn(new)
+        index = number[coded.indices.to_numpy()]
         length, start = self.length[index], self.start[index]
         ids = self.pool[ragged(start, length)]
-        owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        sizes = np.bincount(owner, length, minlength=len(texts)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        if any(whole):
-            odd = [i for i, w in enumerate(whole) if w]
-            got = self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False)
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(pc.list_value_length(words).to_numpy())]
+        sizes = np.diff(ends, prepend=0)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            got = self.library.encode_batch_fast([t or "" for t in texts.take(pa.array(whole)).to_pylist()], add_special_tokens=False)
             pieces = np.split(ids, ends[:-1])
-            for i, g in zip(odd, got, strict=True):
+            for i, g in zip(whole.tolist(), got, strict=True):
                 pieces[i] = np.array(g.ids, np.uint32)
                 sizes[i] = len(pieces[i])
             ids, ends = np.concatenate(pieces), np.cumsum(sizes)
-        return np.insert(ids, ends, END_ID), sizes + 1
+        # Every id moves on by the end ids before it.
+        out = np.full(len(ids) + len(sizes), END_ID, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[ends + np.arange(len(sizes))] = False
+        out[inner] = ids
+        return out, sizes + 1
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """A-Z to a-z, line feeds to spaces, NULL to the empty text."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw.translate(_FOLD)))
 
 
 def same_by_words(library) -> bool:
@@ -191,47 +205,70 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def repair(symbols: np.ndarray, first: int, rounds: int = MAX_ROUNDS, least: int = LEAST):
-    """(symbols, rules): nonterminals from ``first`` on for pairs that occur at least ``least`` times."""
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        base = first + len(rules)
+def repair(symbols: np.ndarray, first: int, least: int = LEAST):
+    """(symbols, rules): nonterminals from ``first`` on, until no pair occurs ``least`` times.
+
+    A pair that is rare stays rare, so a round counts only places whose pair was frequent before or has a new id.
+    """
+    rules = [np.zeros((0, 2), np.uint32)]
+    base = first
+    active = np.ones(max(len(symbols) - 1, 0), bool)
+    active &= (symbols[:-1] != END_ID) & (symbols[1:] != END_ID)
+    while True:
+        place = np.flatnonzero(active)
+        left, right = symbols[place], symbols[place + 1]
+        # In a run of one id only every second place can be replaced.
+        same = np.flatnonzero(left == right)
+        starts = np.diff(place[same], prepend=-2) != 1
+        offset = np.arange(len(same)) - np.flatnonzero(starts)[np.cumsum(starts) - 1] if len(same) else same
+        free = np.ones(len(place), bool)
+        free[same[offset % 2 == 1]] = False
         # Two ids side by side as one number; of 32 bits as long as ids have 16.
         bits, kind = (16, np.uint32) if base <= 1 << 16 else (32, np.uint64)
-        wide = symbols.astype(kind)
-        pair = (wide[:-1] << kind(bits)) | wide[1:]
-        open_ = (symbols[:-1] != END_ID) & (symbols[1:] != END_ID) & (symbols[:-1] != symbols[1:])
+        pair = (left.astype(kind) << kind(bits)) | right
         # A count per hash bucket bounds the count of each pair in it, which spares sorting most pairs.
         bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        open_ &= np.bincount(bucket[open_], minlength=1 << 20)[bucket] >= least
-        values, counts = np.unique(pair[open_], return_counts=True)
-        often = counts >= least
-        values, counts = values[often], counts[often]
-        left, right = values >> kind(bits), values & kind((1 << bits) - 1)
+        often = np.bincount(bucket[free], minlength=1 << 20)[bucket] >= least
+        active[place[~often]] = False
+        place, pair = place[often & free], pair[often & free]
+        values, counts = np.unique(pair, return_counts=True)
+        values, counts = values[counts >= least], counts[counts >= least]
+        lefts, rights = values >> kind(bits), values & kind((1 << bits) - 1)
+        # 0: left end, 1: right end, 2: both, of equal pairs.
         side: dict[int, int] = {}
         chosen = []
         order = np.lexsort((values, -counts))
-        for i, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
-            if side.get(a, 0) == 0 and side.get(b, 1) == 1:
-                side[a], side[b] = 0, 1
+        for i, x, y in zip(order.tolist(), lefts[order].tolist(), rights[order].tolist(), strict=True):
+            if x == y:
+                if x not in side:
+                    side[x] = 2
+                    chosen.append(i)
+            elif side.get(x, 0) == 0 and side.get(y, 1) == 1:
+                side[x], side[y] = 0, 1
                 chosen.append(i)
         if not chosen:
             break
         chosen = np.sort(np.array(chosen))
         keys = values[chosen]
         begins, closes = np.zeros(base, bool), np.zeros(base, bool)
-        begins[left[chosen]], closes[right[chosen]] = True, True
-        may = np.flatnonzero(open_ & begins[symbols[:-1]] & closes[symbols[1:]])
+        begins[lefts[chosen]], closes[rights[chosen]] = True, True
+        may = np.flatnonzero(begins[pair >> kind(bits)] & closes[pair & kind((1 << bits) - 1)])
         at = np.minimum(np.searchsorted(keys, pair[may]), len(keys) - 1)
-        same = keys[at] == pair[may]
-        hit = may[same]
-        out = symbols.copy()
-        out[hit] = base + at[same]
+        known = keys[at] == pair[may]
+        hit = place[may][known]
+        symbols = symbols.copy()
+        symbols[hit] = base + at[known]
+        # The pairs on both sides of a new id are new, unless a document ends there.
+        active = np.append(active, False)
+        active[hit[hit > 0] - 1] = True
+        active[hit] = True
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols = out[keep]
-        rules = np.concatenate([rules, np.stack([left[chosen], right[chosen]], axis=1).astype(np.uint32)])
-    return symbols, rules
+        symbols, active = symbols[keep], active[keep][:-1]
+        active &= (symbols[:-1] != END_ID) & (symbols[1:] != END_ID)
+        base += len(keys)
+        rules.append(np.stack([lefts[chosen], rights[chosen]], axis=1).astype(np.uint32))
+    return symbols, np.concatenate(rules)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -315,12 +352,11 @@ def _encode_partition(path: str, shard_ids: int, schema: pa.Schema):
             at = 0
             while at < batch.num_rows:
                 to = int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BATCH_CHARS)) + 1
-                piece = texts[at:to].to_pylist()
-                got, n = encoder.encode([t or "" for t in piece])
+                got, n = encoder.encode(texts[at:to])
                 ids.append(got)
                 sizes.append(n)
                 docs.extend(keys[at:to].to_pylist())
-                held, at = held + len(got), at + len(piece)
+                held, at = held + len(got), at + len(n)
                 if held >= shard_ids:
                     yield shard()
                     number, docs, ids, sizes, held = number + 1, [], [], [], 0

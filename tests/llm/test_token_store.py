@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -37,7 +38,7 @@ def encoder():
 def test_words_encode_like_whole_texts(encoder):
     assert encoder.by_words
     library = Tokenizer.from_file(PATH)
-    ids, sizes = encoder.encode(ODD)
+    ids, sizes = encoder.encode(pa.array([*ODD, None])[:-1])
     for text, got in zip(ODD, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids + [S.END_ID], text
 
@@ -47,7 +48,7 @@ def test_words_encode_like_whole_texts(encoder):
 def test_any_text_encodes_like_the_library(texts):
     library = Tokenizer.from_file(PATH) if not hasattr(test_any_text_encodes_like_the_library, "lib") else test_any_text_encodes_like_the_library.lib
     test_any_text_encodes_like_the_library.lib = library
-    ids, sizes = S._encoders.setdefault(PATH, S.Encoder(PATH) if PATH not in S._encoders else S._encoders[PATH]).encode(texts)
+    ids, sizes = S._encoders.setdefault(PATH, S.Encoder(PATH) if PATH not in S._encoders else S._encoders[PATH]).encode(pa.array(texts, pa.string()))
     want = [library.encode(t, add_special_tokens=False).ids + [S.END_ID] for t in texts]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
@@ -70,6 +71,20 @@ def test_frequent_pairs_shrink():
         assert len(S.expand(np.array([100 + i]), rules, 100)) == n
 
 
+@pytest.mark.parametrize("ids", [[5] * 1001, [5, 5, 6] * 500, [5] * 40 + [S.END_ID] + [5] * 41, [S.END_ID] * 90, list(range(5, 90)) * 40, []])
+def test_no_frequent_pair_is_left(ids):
+    """Runs of one id, long repeats and documents of the end id alone: all pairs are replaced that occur often."""
+    ids = np.array([*ids, S.END_ID], np.uint32)
+    symbols, rules = S.repair(ids, 100)
+    assert S.expand(symbols, rules, 100).tolist() == ids.tolist()
+    left, places = {}, {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        # Places of a pair that do not overlap.
+        if S.END_ID not in pair and places.get(pair, -2) + 1 < i + (pair[0] != pair[1]):
+            left[pair], places[pair] = left.get(pair, 0) + 1, i
+    assert max(left.values(), default=0) < S.LEAST
+
+
 def test_store(spark, tmp_path):
     rows = [(7, "b"), (3, None), (5, ""), (None, "none"), (5, "again"), (5, "again")]
     rows += [(100 + i, t) for i, t in enumerate(ODD)] + [(1000 + i, f"the cat {i} sat on the mat " * (i % 40)) for i in range(300)]
