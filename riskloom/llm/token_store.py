@@ -30,7 +30,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +80,28 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the memory: words by number, and where each number's ids lie in the pool."""
+        """Empty the memory: words by number, how often each was met, and where each number's ids lie in the pool."""
         self.at = {"": 0}
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def trim(self) -> None:
+        """Forget the words met least, at least half of them."""
+        n, bar = len(self.at), 2
+        while (keep := self.met[:n] >= bar).sum() > REMEMBERED // 2:
+            bar *= 2
+        keep[0] = True
+        words, kept = list(compress(self.at, keep.tolist())), np.flatnonzero(keep)
+        start, length, met = self.start[kept], self.length[kept], self.met[kept] // 2
+        ids = self.pool[ragged(start, length)]
+        self.forget()
+        self.at = dict(zip(words, range(len(words)), strict=True))
+        self._put(np.arange(len(words)), ids, length)
+        self.met[: len(words)] = met
+
     def _put(self, numbers: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         while len(self.at) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -104,44 +118,52 @@ class Encoder:
         self.at.update(zip(new, out[gone].tolist(), strict=True))
         return out, new
 
-    def _pieces(self, pieces: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: pa.StringArray, letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and how many each has; ``letters`` if they have nothing else."""
         if letters:
             # Words of letters in one text: each ends with an id that closes a word.
-            ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(pieces):
                 return ids, np.diff(ends, prepend=0)
-        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
         length = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words. A word's closing punctuation is a piece of its own: letters and other signs never
-        share one."""
+        """Encode the words that got the last numbers. A word's closing punctuation is a piece of its own: letters
+        and other signs never share one."""
+        first = len(self.at) - len(words)
         column = pa.array(words, pa.string())
         stems = pc.utf8_rtrim(column, characters=_MARKS)
-        cut = pc.less(pc.binary_length(stems), pc.binary_length(column))
-        cut = pc.and_(cut, pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)))
-        divided, stem = column.filter(cut).to_pylist(), stems.filter(cut).to_pylist()
-        tail = [w[len(s) :] for w, s in zip(divided, stem, strict=True)]
-        fresh = self._numbers(list(dict.fromkeys(chain(stem, tail))))[1]
-        alone = pa.array(column.filter(pc.invert(cut)).to_pylist() + fresh, pa.string())
-        letters = pc.utf8_is_alpha(alone)
+        cut = pc.and_(pc.not_equal(stems, column), pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)))
+        divided, alone = (np.flatnonzero(c.to_numpy(zero_copy_only=False)) for c in (cut, pc.invert(cut)))
+        stems, tails = stems.filter(cut), column.filter(cut)
+        tails = _after(tails, pc.binary_length(stems).to_numpy())
+        ends, fresh = [], []
+        for part in (stems, tails):
+            coded = part.dictionary_encode()
+            number, new = self._numbers(coded.dictionary.to_pylist())
+            ends.append(number[coded.indices.to_numpy()])
+            fresh += new
+        alone = np.concatenate([first + alone, len(self.at) - len(fresh) + np.arange(len(fresh))])
+        column = pa.concat_arrays([column.filter(pc.invert(cut)), pa.array(fresh, pa.string())])
+        letters = pc.utf8_is_alpha(column)
         for kind, chosen in ((True, letters), (False, pc.invert(letters))):
-            some = alone.filter(chosen).to_pylist()
+            some, numbers = column.filter(chosen), alone[chosen.to_numpy(zero_copy_only=False)]
             for i in range(0, len(some), 4096):
-                block = some[i : i + 4096]
-                self._put(self._numbers(block)[0], *self._pieces(block, kind))
-        if divided:
-            ends = np.stack([np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in (stem, tail)], axis=1)
+                self._put(numbers[i : i + 4096], *self._pieces(some[i : i + 4096], kind))
+        if len(divided):
+            ends = np.stack(ends, axis=1)
+            self.met[ends] += 1
             ids = self.pool[ragged(self.start[ends].ravel(), self.length[ends].ravel())]
-            self._put(self._numbers(divided)[0], ids, self.length[ends].sum(axis=1))
+            self._put(first + divided, ids, self.length[ends].sum(axis=1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (NULL: none), each closed by the end id, and the number of each text's ids."""
         if len(self.at) > REMEMBERED:
-            self.forget()
+            self.trim()
         folded = _folded(texts)
         odd = pa.array(np.full(len(folded), not self.by_words))
         for mark in self.special:
@@ -152,6 +174,7 @@ class Encoder:
         if new:
             self._learn(new)
         index = number[coded.indices.to_numpy()]
+        self.met[number] += np.bincount(coded.indices.to_numpy(), minlength=len(number))
         length, start = self.length[index], self.start[index]
         ids = self.pool[ragged(start, length)]
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(pc.list_value_length(words).to_numpy())]
@@ -172,15 +195,28 @@ class Encoder:
         return out, sizes + 1
 
 
-def _folded(texts: pa.Array) -> pa.Array:
-    """A-Z to a-z, line feeds to spaces, NULL to the empty text."""
-    texts = pc.fill_null(texts, "").cast(pa.string())
-    if not len(texts):
-        return texts
+def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, and where each text begins, with the end."""
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None else b""
-    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw.translate(_FOLD)))
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at - at[0]
+
+
+def _texts(raw: bytes, starts: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _folded(texts: pa.Array) -> pa.StringArray:
+    """A-Z to a-z, line feeds to spaces, NULL to the empty text."""
+    raw, at = _bytes(pc.fill_null(texts, "").cast(pa.string()))
+    return _texts(raw.tobytes().translate(_FOLD), at)
+
+
+def _after(texts: pa.StringArray, skip: np.ndarray) -> pa.StringArray:
+    """Each text without its first ``skip`` bytes."""
+    raw, at = _bytes(texts)
+    length = np.diff(at) - skip
+    return _texts(raw[ragged(at[:-1] + skip, length)].tobytes(), np.concatenate([[0], np.cumsum(length)]))
 
 
 def same_by_words(library) -> bool:

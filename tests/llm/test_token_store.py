@@ -43,6 +43,18 @@ def test_words_encode_like_whole_texts(encoder):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids + [S.END_ID], text
 
 
+def test_a_small_memory_keeps_the_words_met_most(monkeypatch):
+    monkeypatch.setattr(S, "REMEMBERED", 40)
+    encoder, library = S.Encoder(PATH), Tokenizer.from_file(PATH)
+    for round_ in range(6):
+        texts = [f"the cat, the dog! word{round_}x{i}; caf\u00e9 " * (i % 3) for i in range(20)]
+        ids, sizes = encoder.encode(pa.array(texts))
+        for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids + [S.END_ID]
+    encoder.trim()
+    assert len(encoder.at) <= 21 and {"the", "cat,"} <= set(encoder.at)
+
+
 @given(st.lists(st.text(max_size=60), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_any_text_encodes_like_the_library(texts):
