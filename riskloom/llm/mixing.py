@@ -3,14 +3,14 @@
 A classifier trained on labelled documents gives each document a posterior over domains: a document may
 belong partly to several. A document's rate is how often it is taken on average. Rates r minimise the
 squared distance between the expected domain totals, sum of tokens * rate * posterior, and the targets,
-with r >= ``at_least`` (0 or more), by projected gradient steps from r = 1. The projection is lazy: steps
-add up in one vector of K numbers, and a rate is the projection of 1 minus the vector's product with the
-document's posterior. A step is scaled by the second moments of the rows whose rate is not at the bound, so
-without an active bound the first step is exact and otherwise a few suffice. A domain that cannot shrink
-any further stays at the bound.
+with r >= ``at_least`` (0 or more), by accelerated projected gradient steps from r = 1. A document's step
+is its gradient over its tokens and over the domain totals that its posterior sees, so short and long
+documents, small and large domains move alike; a common factor keeps the scaled steps below the curvature.
+The projection is that of each rate on its bound. Where targets cannot be reached, steps end at the
+least-squares optimum: no rate above the bound has a gradient, and none at the bound wants to rise.
 
-A step sums K and K * K numbers over the table of (tokens, posterior), which is pinned without the texts. A
-rate follows from the posterior and the vector, so no rate has to be stored between steps or joined.
+A step sums K + 2 numbers over the table of (tokens, posterior), which is pinned without the texts. A rate
+follows from the posterior and the steps so far, K numbers each, so no rate has to be stored or joined.
 
 With ``budget`` None the targets are set to the smallest total at which no domain has to shrink.
 Documents without words have no tokens; they get the rate of their posterior, which then is the share of
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +83,34 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str, per_domain: int
 
 @dataclass
 class Rates:
-    """How a posterior becomes a rate: the summed steps, the bound, and the totals reached."""
+    """How a posterior becomes a rate: the gaps to the targets at each step, the momentum after it, the domain
+    totals that scale a row's step, the bound, and the totals reached."""
 
-    steps: np.ndarray
+    gaps: np.ndarray
+    momentum: np.ndarray
+    scale: np.ndarray
     at_least: float
     totals: np.ndarray
     targets: np.ndarray
 
+    def walk(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rates, rates a step before, where the last step began) for rows of posteriors."""
+        unit = 1.0 / np.maximum(posterior @ self.scale, 1e-300)
+        now = before = at = np.full(len(posterior), max(1.0, self.at_least))
+        ahead = at
+        for gap, push in zip(self.gaps, self.momentum, strict=True):
+            at, before = ahead, now
+            now = np.maximum(self.at_least, at - unit * (posterior @ gap))
+            ahead = now + push * (now - before)
+        return now, before, at
+
     def of(self, posterior: Column) -> Column:
-        change = sum((posterior[k] * float(v) for k, v in enumerate(self.steps)), F.lit(0.0))
-        return F.greatest(F.lit(float(self.at_least)), 1.0 - change)
+        @F.pandas_udf("double")
+        def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for p in batches:
+                yield pd.Series(self.walk(np.stack(p))[0] if len(p) else np.zeros(0))
+
+        return rate(posterior)
 
 
 def shares_of(names: list[str], weights: dict[str, float], totals: np.ndarray) -> np.ndarray:
@@ -110,39 +129,67 @@ def fit_rates(
     weights: dict[str, float],
     budget: float | None = None,
     at_least: float = 0.0,
-    rounds: int = 25,
+    rounds: int = 200,
     tolerance: float = 1e-6,
 ) -> Rates:
-    """Rates for the rows of ``mass`` (n_tokens, posterior). Each round is one aggregation to K + K * K numbers."""
+    """Rates for the rows of ``mass`` (n_tokens, posterior). Each round is one aggregation to K + 2 numbers.
+
+    Steps end when rows move by less than ``tolerance`` of the budget, or after ``rounds`` of them.
+    """
+    k = len(names)
+
+    def sums(of_batch) -> np.ndarray:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    tokens = batch.column("t").to_numpy(zero_copy_only=False)
+                    p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                    yield pa.RecordBatch.from_pydict({f"s{i}": [float(x)] for i, x in enumerate(of_batch(tokens, p))})
+
+        rows = mass.select(F.col("n_tokens").cast("double").alias("t"), F.col("posterior").alias("p"))
+        out = rows.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k + 2)))
+        return np.array([x or 0.0 for x in out.agg(*[F.sum(f"s{i}") for i in range(k + 2)]).first()])
+
+    return descend(sums, names, weights, budget, at_least, rounds, tolerance)
+
+
+def descend(sums, names: list[str], weights: dict[str, float], budget: float | None, at_least: float, rounds: int, tolerance: float) -> Rates:
+    """The steps of ``fit_rates``; ``sums(f)`` adds up the K + 2 numbers that ``f`` (tokens, posteriors) gives for
+    blocks of rows."""
     k = len(names)
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def sums(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
-        """Domain totals at ``rates``, and second moments of the rows above the bound."""
-        p, t, r = F.col("p"), F.col("t"), F.col("r")
-        rows = mass.select(F.col("n_tokens").cast("double").alias("t"), F.col("posterior").alias("p"), rates.of(F.col("posterior")).alias("r"))
-        free = F.when(r > rates.at_least, t).otherwise(0.0)
-        wanted = [F.sum(t * r * p[i]) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i, j in cells]
-        got = [x or 0.0 for x in rows.agg(*[w.alias(f"s{n}") for n, w in enumerate(wanted)]).first()]
-        second = np.zeros((k, k))
-        for (i, j), v in zip(cells, got[k:], strict=True):
-            second[i, j] = second[j, i] = v
-        return np.array(got[:k]), second
-
-    rates = Rates(np.zeros(k), min(at_least, 1.0) - 1e-12, np.zeros(k), np.zeros(k))
-    totals, second = sums(rates)
+    totals = sums(lambda t, p: [*(t @ p), 0.0, 0.0])[:k]
     share = shares_of(names, weights, totals)
     if budget is None:
         there = (share > 0) & (totals > 0)
         budget = float((totals[there] / share[there]).max()) if there.any() else float(totals.sum())
-    rates = Rates(np.zeros(k), at_least, totals, share * budget)
+    targets = share * budget
+    # A domain without tokens asks for nothing: it must not lift the rates of empty documents.
+    scale = np.where(totals > 1e-9 * totals.sum(), totals, max(float(totals.sum()), 1.0))
+    # Row sums bound the largest curvature of the scaled problem.
+    curve = float(sums(lambda t, p: [*((t / np.maximum(p @ scale, 1e-300)) @ p), 0.0, 0.0])[:k].max(initial=0.0))
+    reached = totals * max(1.0, at_least)
+    rates = Rates(np.zeros((0, k)), np.zeros(0), scale, at_least, reached, targets)
+    if not curve:
+        return rates
+    ahead, age = reached, 1.0
     for _ in range(rounds):
-        gap = rates.totals - rates.targets
-        step = np.linalg.pinv(second, rcond=1e-9, hermitian=True) @ gap
-        if np.abs(gap).max(initial=0.0) <= tolerance * max(budget, 1.0) or np.abs(step).max(initial=0.0) <= tolerance:
+        gap = (ahead - targets) / curve
+        rates = Rates(np.vstack([rates.gaps, gap]), np.append(rates.momentum, 0.0), scale, at_least, rates.totals, targets)
+
+        def step(t: np.ndarray, p: np.ndarray, rates: Rates = rates) -> list[float]:
+            now, before, at = rates.walk(p)
+            uphill = (t * (p @ scale) * (at - now) * (now - before)).sum()
+            return [*((t * now) @ p), uphill, (t * np.abs(now - at)).sum()]
+
+        *new, uphill, moved = sums(step)
+        new = np.array(new)
+        older = 1.0 if uphill > 0 else age
+        age = (1.0 + np.sqrt(1.0 + 4.0 * older * older)) / 2.0
+        rates.momentum[-1] = push = (older - 1.0) / age
+        ahead = new + push * (new - rates.totals)
+        rates.totals = new
+        if moved <= tolerance * max(budget, 1.0):
             break
-        rates.steps = rates.steps + step
-        rates.totals, second = sums(rates)
     return rates
 
 

@@ -1,6 +1,7 @@
 """Rates against a plain projected gradient, and the mixture's totals."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import mixing as M
@@ -8,14 +9,26 @@ from riskloom.llm.common import table
 from tests.llm import odd
 
 
-def plain(t, p, targets, at_least):
-    """Small lazily projected steps until they rest."""
-    steps = np.zeros(p.shape[1])
-    scale = 0.5 / np.linalg.eigvalsh((p * t[:, None]).T @ p).max()
-    for _ in range(60_000):
-        r = np.maximum(at_least, 1 - p @ steps)
-        steps += scale * ((t * r) @ p - targets)
-    return r
+def optimum(t, p, targets, at_least):
+    """The least residual of rates from ``at_least`` on, exactly, by an active set."""
+    a = (p * t[:, None]).T
+    want = targets - a.sum(axis=1) * at_least
+    x, free = np.zeros(len(t)), []
+    while True:
+        slope = a.T @ (want - a @ x)
+        slope[free] = -np.inf
+        if slope.max() <= 1e-7 * np.abs(a).max() * np.abs(want).max():
+            return np.linalg.norm(a @ x - want)
+        free.append(int(slope.argmax()))
+        while True:
+            s = np.zeros(len(t))
+            s[free] = np.linalg.lstsq(a[:, free], want, rcond=None)[0]
+            low = [i for i in free if s[i] <= 0]
+            if not low:
+                break
+            x += min(x[i] / (x[i] - s[i]) for i in low) * (s - x)
+            free = [i for i in free if x[i] > 1e-12]
+        x = s
 
 
 def mass(spark, t, p):
@@ -33,13 +46,33 @@ def test_rates_reach_the_targets(spark):
     assert np.allclose(total, rates.targets, rtol=1e-4) and min(x.r for x in got) >= 0
 
 
-def test_bounded_rates_equal_small_steps(spark):
+@pytest.mark.parametrize("at_least,budget,want", [
+    (0.0, 2000.0, [0.8, 0.2, 0.0]), (0.5, 5000.0, [0.8, 0.1, 0.1]), (0.0, 20000.0, [0.98, 0.01, 0.01]),
+    (1.0, 3000.0, [0.2, 0.2, 0.6]), (0.9, 4500.0, [1.0, 0.0, 0.0]),
+])
+def test_steps_end_at_the_least_squares_optimum(at_least, budget, want):
+    """None of these targets can be reached."""
     rng = np.random.default_rng(2)
-    t, p = rng.integers(1, 100, 80).astype(float), rng.dirichlet([0.4, 0.4], 80)
-    for at_least, budget in ((0.0, 2000.0), (0.5, 5000.0)):
-        rates = M.fit_rates(mass(spark, t, p), ["a", "b"], {"a": 0.8, "b": 0.2}, budget, at_least)
-        got = np.array([x.r for x in mass(spark, t, p).select(rates.of(F.col("posterior")).alias("r")).collect()])
-        assert np.allclose(got, plain(t, p, rates.targets, at_least), atol=1e-3) and got.min() >= at_least
+    t, p = rng.integers(1, 100, 80).astype(float), rng.dirichlet([0.9, 0.9, 0.9], 80)
+    sums = lambda f: np.array(f(t, p))
+    best = optimum(t, p, np.array(want) * budget, at_least)
+    off = []
+    for rounds in (200, 800):
+        rates = M.descend(sums, ["a", "b", "c"], dict(zip("abc", want, strict=True)), budget, at_least, rounds, 1e-9)
+        r = rates.walk(p)[0]
+        assert r.min() >= at_least and np.allclose((t * r) @ p, rates.totals)
+        off.append(np.linalg.norm(rates.totals - rates.targets) - best)
+    assert -1e-6 * budget < off[1] < 0.025 * budget and off[1] <= off[0] < 0.05 * budget
+
+
+def test_an_unreachable_target_on_spark(spark):
+    rng = np.random.default_rng(2)
+    t, p = rng.integers(1, 100, 80).astype(float), rng.dirichlet([0.9, 0.9, 0.9], 80)
+    rates = M.fit_rates(mass(spark, t, p), ["a", "b", "c"], {"a": 0.2, "b": 0.2, "c": 0.6}, 3000.0, 1.0)
+    r = np.array([x.r for x in mass(spark, t, p).select(rates.of(F.col("posterior")).alias("r")).collect()])
+    slope = p @ ((t * r) @ p - rates.targets) / (p @ rates.scale)
+    # No rate at the bound wants to rise, and none above it has a gradient.
+    assert r.min() >= 1.0 and slope.min() > -1e-3 and np.abs(slope[r > 1.001]).max(initial=0.0) < 1e-3
 
 
 def test_nothing_is_lost_above_one(spark):
