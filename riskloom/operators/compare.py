@@ -85,7 +85,8 @@ def mann_whitney(
     fewer = F.least("n_a", "n_b")
     exact = _exact(method, (fewer <= EXACT_RANK_SUM) & (F.col("tie_sum") == 0))
     # A spread of 0 leaves z undefined.
-    tail = F.when(exact, rank_sum_tail(F.col("_used"), F.col("n_a"), F.col("n_b"))).otherwise(F.coalesce(normal_tail(F.col("z")), F.lit(float("nan"))))
+    # Rows that take the other way are NULL to the exact one, which does no work for them.
+    tail = F.when(exact, rank_sum_tail(F.when(exact, F.col("_used")), F.col("n_a"), F.col("n_b"))).otherwise(F.coalesce(normal_tail(F.col("z")), F.lit(float("nan"))))
     p = F.when(F.col("alternative") == "two-sided", F.least(F.lit(1.0), 2.0 * tail)).otherwise(tail)
     p = F.when(fewer > 0, p)
     return sums.select(*keys, "n_a", "n_b", "mean_a", "mean_b", "alternative", "u", "z", p.alias("p"))
@@ -157,7 +158,7 @@ def wilcoxon(
     )
     exact = _exact(method, (n <= EXACT_SIGNED) & (F.col("zeros") == 0) & (F.col("tie_sum") == 0)) & (n > 0)
     two_sided = F.least(F.lit(1.0), 2.0 * normal_tail(F.abs("z")))
-    p = F.when(exact, signed_rank_p(F.col("w"), F.col("n"))).otherwise(F.coalesce(two_sided, F.lit(float("nan"))))
+    p = F.when(exact, signed_rank_p(F.when(exact, F.col("w")), F.col("n"))).otherwise(F.coalesce(two_sided, F.lit(float("nan"))))
     return out.select(*keys, "n", "zeros", "w", "z", p.alias("p"))
 
 

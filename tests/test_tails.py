@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -49,3 +50,28 @@ def test_signed_rank_p_counts_signs(spark):
         rows += [(n, float(w), min(1.0, 2 * sum(s <= w for s in sums) / len(sums))) for w in range(n * (n + 1) // 2 + 1)]
     got = spark.createDataFrame(rows, "n long, w double, truth double").select("truth", tails.signed_rank_p(F.col("w"), F.col("n")).alias("p"))
     assert all(abs(r.p - r.truth) < 1e-12 for r in got.collect())
+
+
+def test_large_laws_agree_with_counted_ones():
+    for n, share in ((400, 0.5), (800, 0.3), (1200, 0.499), (1200, 0.2)):
+        c = int(n * (n + 1) / 2 * share)
+        counted = tails._signed_rank_counted(c, n)
+        assert abs(tails._signed_rank_inverted(c, n) / counted - 1) < 1e-11
+    for a, b, share in ((30, 40, 0.45), (20, 1000, 0.3), (200, 300, 0.2), (300, 300, 0.48), (12, 20_000, 0.1)):
+        c = int(a * b * share)
+        counted = tails._rank_sum_counted(c, a, b)
+        assert abs(tails._rank_sum_inverted(c, a, b) / counted - 1) < 1e-10
+
+
+def test_sides_of_many_thousands_end_in_seconds(spark):
+    n, a, b = 100_000, 7_000, 8_000
+    s, r = math.sqrt(n * (n + 1) * (2 * n + 1) / 24), math.sqrt(a * b * (a + b + 1) / 12)
+    w, u = math.floor(n * (n + 1) / 4 - 2 * s), math.ceil(a * b / 2 + 2 * r)
+    df = spark.createDataFrame([(n, float(w), a, b, float(u))], "n long, w double, a long, b long, u double")
+    start = time.time()
+    row = df.select(tails.signed_rank_p(F.col("w"), F.col("n")), tails.rank_sum_tail(F.col("u"), F.col("a"), F.col("b"))).first()
+    assert time.time() - start < 30
+    assert abs(row[0] - math.erfc(2 / math.sqrt(2))) < 1e-5 and abs(row[1] - 0.5 * math.erfc(2 / math.sqrt(2))) < 1e-5
+    # Far out, doubles end.
+    far = spark.createDataFrame([(n, 0.0), (None, 0.0), (3, None)], "n long, w double").select(tails.signed_rank_p(F.col("w"), F.col("n")).alias("p"))
+    assert [x.p for x in far.collect()] == [0.0, None, None]
