@@ -10,9 +10,10 @@ reach, and one half at least; it is compared with the sum over all families, so
 is believed. Every family of a believed window is confirmed if it contains ``CONTAINED`` of the word 3-grams of one
 of the family's templates.
 
-Only windows near an anchor are scored. Anchors are words of the templates, the rarest in the sample, and so many
-that a text without any of them lacks too many 3-grams of every template to be confirmed: no notice is lost by
-leaving those out, and a corpus is scored where licences may be.
+Windows lie side by side over every line, so that each word is scored, and more of them around each anchor. Anchors
+are words of the templates, the rarest in the sample, and so many that a text without any of them lacks too many
+3-grams of every template to be confirmed: around them a notice lies whole in a window, and only windows with one
+are compared with the templates.
 
 Lines of every text are looked at, whole. NULL and empty texts have no paragraphs. Rows that repeat an id or
 a text each get their row. Further columns are ignored. On an empty table the templates alone teach.
@@ -70,24 +71,23 @@ def words_of(text: Column) -> Column:
     return split_words(ascii_lower(text), GAPS)
 
 
-def paragraphs(docs: DataFrame, pattern: str | None = None) -> DataFrame:
-    """(doc_id, digest, at, words): each line with a word, and with a match of ``pattern``; digest is a hash of the text."""
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, at, words): each line with a word; digest is a hash of the text."""
     lines = F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")
-    cut = F.transform(lines, lambda x: split_words(x, GAPS) if pattern is None else F.when(x.rlike(pattern), split_words(x, GAPS)))
+    cut = F.transform(lines, lambda x: split_words(x, GAPS))
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(cut).alias("at", "words"))
     return rows.where(F.size("words") > 0)
 
 
-def windows(rows: DataFrame, anchors: Sequence[str], every: bool = False) -> DataFrame:
-    """``rows`` (with words) for each block of ``STEP`` words with an anchor: words are the block and its neighbours.
-
-    With ``every``, every third block counts too, so that all words are in a window.
+def windows(rows: DataFrame, anchors: Sequence[str]) -> DataFrame:
+    """``rows`` (with words) for every third block of ``STEP`` words and each with an anchor: words are the block and
+    its neighbours. All words are in a window: the last third block may begin behind the last word.
     """
     w = F.col("words")
+    held = F.array_intersect(w, F.array(*[F.lit(a) for a in anchors]))
     near = F.transform(w, lambda x, i: F.when(x.isin(*anchors), F.floor(i / STEP).cast("int")))
-    blocks = F.array_distinct(F.array_compact(near))
-    if every:
-        blocks = F.array_union(blocks, F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STEP).cast("int"), F.lit(3)))
+    near = F.when(F.size(held) > 0, F.array_distinct(F.array_compact(near))).otherwise(F.array().cast("array<int>"))
+    blocks = F.array_union(near, F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STEP).cast("int") + 1, F.lit(3)))
     start = F.greatest((F.col("_b") - 1) * STEP, F.lit(0))
     held = F.slice("words", start + 1, (F.col("_b") + 2) * STEP - start)
     keep = [c for c in rows.columns if c != "words"]
@@ -162,13 +162,15 @@ class Scanner:
         self.names = [UNKNOWN, *TEMPLATES]
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, digest, at, probability, confirmed) of each window of ``docs`` near an anchor."""
-        rows = windows(paragraphs(docs, "|".join(self.anchors)), self.anchors)
+        """(doc_id, digest, at, probability, confirmed) of each window of ``docs``."""
+        rows = windows(paragraphs(docs), self.anchors)
         # Exploding the one array keeps later filters from evaluating the model again.
         p = F.explode(F.array(vector_to_array("probability"))).alias("_p")
         keep = [c for c in rows.columns if c != "words"]
         out = self.model.transform(_with_terms(rows)).select(*rows.columns, p)
-        return out.select(*keep, (1.0 - F.col("_p")[0]).alias("probability"), confirmed(F.col("words")).alias("confirmed"))
+        may = F.arrays_overlap("words", F.array(*[F.lit(a) for a in self.anchors]))
+        held = F.when(may, confirmed(F.col("words"))).otherwise(F.array().cast("array<string>"))
+        return out.select(*keep, (1.0 - F.col("_p")[0]).alias("probability"), held.alias("confirmed"))
 
     def calibrate(self, scored: DataFrame) -> None:
         """Set the threshold from all scored windows without a notice, of documents the model has not seen."""
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
             out = F.when(_held(grams, n) >= CONTAINED, F.lit(float(names.index(n)))).otherwise(out)
         return out
 
-    rows = windows(drawn, anchors, every=True)
+    rows = windows(drawn, anchors)
     rows = rows.select("words", bind(_grams(F.col("words")), taught_by).alias("label"))
     # Lines repeat a lot; equal windows count once with their number as weight.
     seen = rows.groupBy("words", "label").agg(F.count("*").cast("double").alias("weight"))

@@ -253,6 +253,26 @@ def test_notices_in_lines_of_any_length(spark):
     assert all((r.n_paragraphs, r.n_licensed, r.n_unconfirmed) == (1, 1, 0) for r in got)
 
 
+def test_every_word_of_a_line_is_in_a_window(spark):
+    lines = [(n, [f"w{i}" for i in range(n)]) for n in (1, 31, 32, 33, 64, 65, 95, 96, 97, 128, 129, 160, 161, 500)]
+    rows = spark.createDataFrame(lines, "n int, words array<string>")
+    seen = {}
+    for r in licences.windows(rows, ["license"]).collect():
+        assert len(r["words"]) <= 3 * licences.STEP
+        seen.setdefault(r.n, set()).update(r["words"])
+    assert seen == {n: set(words) for n, words in lines}
+
+
+def test_lines_without_an_anchor_are_scored(spark):
+    scanner = licences.fit(odd.documents(spark, [(i, odd.PROSE * 2 + f"line {i}") for i in range(40)]))
+    assert not set(scanner.anchors) & set(licences_words(odd.PROSE))
+    docs = odd.documents(spark, [(1, odd.PROSE * 10 + "\n" + odd.PROSE), (2, None), (3, "")])
+    got = scanner.scored(docs).collect()
+    words = 10 * len(licences_words(odd.PROSE))
+    assert {(r.doc_id, r["at"]) for r in got} == {(1, 0), (1, 1)} and len(got) > words // (3 * licences.STEP)
+    assert all(list(r.confirmed) == [] for r in got)
+
+
 def test_every_confirmed_text_has_an_anchor():
     anchors = licences.anchors_of({"the": 900, "license": 50, "of": 800, "under": 300})
     assert "the" not in anchors and "of" not in anchors
