@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from riskloom.operators import ranks
 from riskloom.operators.ranks import average_ranks, global_position, keyed_position, running_totals
 
 
@@ -46,3 +48,25 @@ def test_average_ranks_share_tied_places(frame):
     want = pdf.assign(r=pdf.groupby("k", dropna=False)["v"].rank(method="average"))
     for k, v, r in zip(want["k"], want["v"], want["r"]):
         assert got[(k, v)] == r
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
+    n = 3000
+    df = spark.range(n).select(F.col("id"), (F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % n).alias("v")).withColumn("one", F.lit(1).cast("bigint"))
+    assert ranks._ranges(df) == 60 and ranks._ranges(df.limit(50)) is None
+    held, write = [], ranks.materialise
+
+    def watched(frame, label):
+        out = write(frame, label)
+        held.append([r["count"] for r in out.groupBy(F.input_file_name()).count().collect()])
+        return out
+
+    monkeypatch.setattr(ranks, "materialise", watched)
+    placed = ranks.global_position(df, ["v"])
+    assert all(r.position == r.v for r in placed.collect())
+    totals = {(r.k, r.v): r.total for r in ranks.running_totals(df, {"total": "one"}, ["v"], ["k"]).collect()}
+    for k in range(3):
+        own = sorted(v for kk, v in totals if kk == k)
+        assert [totals[(k, v)] for v in own] == list(range(1, len(own) + 1))
+    assert len(held) == 2 and all(len(h) > 40 and max(h) <= 150 and sum(h) == n for h in held)
