@@ -1,6 +1,9 @@
 """The candidate index: recall against the exact mode, few probes on clusters, hot cells, and its users."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,14 @@ def test_votes_and_new_rows_by_candidates(spark):
     same = oversample_smote(few, "label", "id", "x", 5).where("copy > 0")
     mixed = made.where("copy > 0").join(same, ["id", "copy", "neighbour"]).count()
     assert mixed >= 0.8 * same.count()
+
+
+def test_a_block_holds_few_distances_at_a_time():
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"_id": np.arange(N.ROWS), "_x": list(rng.normal(size=(N.ROWS, 64)))})
+    asked = rows.head(512).rename(columns={"_id": "_qid"})
+    tracemalloc.start()
+    got = N._top_of_block(11, 2, (), True)(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 512 * 11 and peak < 64 << 20
