@@ -12,10 +12,9 @@ from riskloom.functions.text import (
     Tokenizer,
     char_grams,
     code_tokens,
-    map_tokens,
     pad_ids,
     text_or_empty,
-    token_lookup,
+    token_ids,
     word_grams,
 )
 from riskloom.session import broadcast_if_small, materialise
@@ -45,18 +44,16 @@ def add_ids(
 ) -> DataFrame:
     """Add one id-array column per entry of ``grams`` (name -> token array column).
 
-    A small vocabulary becomes a literal in the plan: no shuffle, no Python. A larger one is
+    A small vocabulary goes with the tasks and is looked up batch by batch, without a shuffle. A larger one is
     joined: tokens are exploded with their place and put together again by the row's own number, so
     rows that share a key, or have none, keep their own ids. Both ways give the same.
     """
     unknown = _unknown_id(vocab, oov)
     ids = small_vocab(vocab)
     if ids is not None:
-        find = token_lookup(ids)
+        find = token_ids(ids, unknown)
         work = df.select("*", *[g.alias(f"_g_{n}") for n, g in grams.items()])
-        return work.select(
-            *df.columns, *[map_tokens(F.col(f"_g_{n}"), find, unknown).alias(n) for n in grams]
-        )
+        return work.select(*df.columns, *[find(F.col(f"_g_{n}")).alias(n) for n in grams])
     work = df.select("*", *[g.alias(f"_g_{n}") for n, g in grams.items()])
     work = materialise(work.withColumn("_row", F.monotonically_increasing_id()), "rows")
     out = work

@@ -240,3 +240,42 @@ def test_joined_vocabulary_equals_the_literal_one(spark, monkeypatch):
     literal = sorted(map(repr, embeddings._known(tokens, ["t"], vocab).collect()))
     monkeypatch.setattr(encode, "LOOKUP_LIMIT", 1)
     assert sorted(map(repr, embeddings._known(tokens, ["t"], vocab).collect())) == literal
+
+
+def test_fast_patterns_find_what_the_plain_ones_do(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    alphabet = list("abzA09<>=!&|+-*/%$:?.,_  \t\n") + ["\x1c", "\x85", "\xa0", "　", "​", "é", "😀", "K"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["9" * 3000 + "a", "😀a😀 1a é9b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    term = re.compile(r"\S*[A-Za-z]\S+")
+    for r in df.select("t", tx.code_tokens("t").alias("c"), tx.words("t").alias("w"), tx.terms("t").alias("m"), F.lower("t").alias("l")).collect():
+        assert r["c"] == re.findall(tx.code_pattern(), r["t"])
+        assert r["w"] == r["t"].split()
+        assert r["m"] == [w for w in r["l"].split() if term.fullmatch(w)]
+
+
+def test_batched_lookups_equal_the_interpreted_ones(spark):
+    ids = {"a": 1, "é😀": 2, "": 3}
+    df = spark.createDataFrame([(["a", "x", "é😀", None],), ([],), (["x"],), (["", "a"],)], "t array<string>").coalesce(1)
+    for unknown in (None, 9):
+        got = df.select(tx.token_ids(ids, unknown)(F.col("t")).alias("a"), tx.map_tokens(F.col("t"), tx.token_lookup(ids), unknown).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got]
+    kept = df.select(tx.known_tokens(["a", "é😀"])(F.col("t")).alias("k")).collect()
+    assert [r["k"] for r in kept] == [["a", "é😀"], [], [], ["a"]]
+
+
+def test_grams_of_words_are_counted_as_they_are_cut(spark, monkeypatch):
+    from riskloom.operators import vocab as module
+
+    monkeypatch.setattr(module, "GRAMS", 20)  # many spans a batch
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 5 + [None, "abcdefghijk " * 9])], "id int, text string").coalesce(1)
+    for lo, hi, whole in ((3, 6, True), (1, 1, False), (1, 3, True), (2, 2, False)):
+        want = {}
+        for r in d.collect():
+            for g in set(brute_char_grams(r["text"] or "", lo, hi, True, whole)):
+                want[g] = want.get(g, 0) + 1
+        got = vocab_chars(d, min_n=lo, max_n=hi, word_bound=True, whole_word=whole, max_vocab=10_000)
+        assert {r["token"]: r["doc_freq"] for r in got.collect()} == want
