@@ -305,3 +305,21 @@ def test_word_vectors_average_known_words(spark, tmp_path):
     assert np.allclose(rows[99], vec["a"], atol=1e-6) and not rows[100].any()
     save_model(model, str(tmp_path / "w"))
     assert load_word_vectors(str(tmp_path / "w")).getVectors().count() == 3
+
+
+@pytest.mark.parametrize("variant", [1, 2, 6])
+def test_tfidf_in_place_equals_the_joined_form_and_merges_texts_of_a_key(spark, monkeypatch, variant):
+    rows = [(1, "AB ab cd aka ef"), (2, "cd ef"), (2, "cd gh ab"), (None, "ab"), (None, "ab cd"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    once = df.where("id IN (1, 4)")
+    got = [sorted(map(str, tfidf(d, "text", "id", variant, 1, 2).selectExpr("id", "token", "round(weight, 9) w").collect())) for d in (df, once)]
+    monkeypatch.setattr("riskloom.operators.bags.TERMS", 0)
+    joined = [sorted(map(str, tfidf(d, "text", "id", variant, 1, 2).selectExpr("id", "token", "round(weight, 9) w").collect())) for d in (df, once)]
+    assert got == joined and len(got[0]) > len(got[1]) > 0
+
+
+def test_tfidf_shuffles_counts_of_terms_and_no_terms_of_documents(spark):
+    df = spark.createDataFrame([(i, "ab cd ef") for i in range(40)], "id int, text string")
+    plan = tfidf(df, "text", "id", 6, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert tfidf(df, "text", "id", 6, 1, 2).count() == 200
