@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.text import char_grams, code_tokens, pad_ids, text_or_empty
 from riskloom.operators.aggregates import first_per_group
 from riskloom.operators.bags import BAG_SIZE
-from riskloom.operators.embeddings import VECTOR_SIZE, w2v_fit, w2v_mean
+from riskloom.operators.embeddings import VECTOR_SIZE, mean_of_known, w2v_train
 from riskloom.operators.encode import CHAR_LENGTH, WORD_LENGTH, fold_ids
 from riskloom.operators.folds import holdout_split, random_folds, time_folds, time_order
 from riskloom.operators.joins import left_join
@@ -23,6 +25,8 @@ from riskloom.plans.texts import CODE, PAIRS_SQL, _pad_sql, change_pairs
 from riskloom.plans.views import ORDERED_SQL, change_stream, part_sql
 from riskloom.session import broadcast_if_small, materialise, spread
 
+# Folds whose word vectors are trained at a time.
+FITS = 3
 
 def commit_map(commits: DataFrame, advisories: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Commits with advisory labels, holdout set, random fold and time part.
@@ -99,16 +103,23 @@ def fold_embeddings(
     columns: Sequence[str] = ("prev_data", "cur_data"), file_columns: Sequence[str] = ("prev_file", "cur_file"),
     size: int = VECTOR_SIZE, split: str = "time",
 ) -> DataFrame:
-    """Mean word vectors of every change for every fold; one model per fold's training files."""
-    labelled = materialise(files.join(parts.select("commit", SPLITS[split]), "commit"), "files")
-    out = None
-    for fold in folds:
-        model = w2v_fit(labelled.filter(trains(split, F.col(SPLITS[split]), fold)), file_columns, size)
-        rows = w2v_mean(changes.select("commit", *columns), model, columns).select(
-            F.lit(int(fold)).alias("fold"), "commit", *[F.col(f"{c}_w2v").alias(c.replace("_data", "_features")) for c in columns]
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Mean word vectors of every change for every fold; one model per fold's training files.
+
+    Files and changes are cut into tokens once for all folds, and ``FITS`` folds are trained at a time, so that the
+    few parts of an early fold do not leave the cluster idle.
+    """
+    labelled = files.join(broadcast_if_small(materialise(parts.select("commit", SPLITS[split]), "parts")), "commit")
+    texts = stack_texts(labelled, file_columns, keep=[SPLITS[split]])
+    corpus = materialise(texts.select(SPLITS[split], change_tokens("text").alias("_t")), "sentences")
+    cut = materialise(changes.select("commit", *[change_tokens(c).alias(c) for c in columns]), "changes")
+
+    def of_fold(fold: int) -> DataFrame:
+        model = w2v_train(corpus.filter(trains(split, F.col(SPLITS[split]), fold)).select("_t"), size)
+        names = {c: c.replace("_data", "_features") for c in columns}
+        return mean_of_known(cut, model, names).select(F.lit(int(fold)).alias("fold"), "commit", *names.values())
+
+    with ThreadPoolExecutor(FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(of_fold, folds))
 
 
 # --- queries ------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.labels import binarise, decode_scores, encode_label
 from riskloom.operators import resample
 from riskloom.operators.bags import assemble, bow_counts, bow_fit, bow_transform, tfidf, zero_fill
+from riskloom.operators import embeddings
 from riskloom.operators.embeddings import w2v_fit, w2v_mean
 from riskloom.operators.metrics import auc_ovr, score
 from riskloom.operators.models import (
@@ -323,3 +324,18 @@ def test_tfidf_shuffles_counts_of_terms_and_no_terms_of_documents(spark):
     plan = tfidf(df, "text", "id", 6, 1, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert tfidf(df, "text", "id", 6, 1, 2).count() == 200
+
+
+@pytest.mark.parametrize("rows, parts", [(1, 1), (50_000, 1), (50_001, 2), (10_000_000, 200)])
+def test_word_vector_parts_grow_with_the_corpus(rows, parts):
+    assert embeddings.parts_for(rows) == parts
+
+
+def test_word_vectors_take_one_pass_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SENTENCES", 10)
+    seen = {}
+    kind = embeddings.Word2Vec
+    monkeypatch.setattr(embeddings, "Word2Vec", lambda **args: seen.update(args) or kind(**args))
+    df = spark.createDataFrame([("a b c a b",)] * 95, "t string")
+    assert w2v_fit(df, ["t"], size=4).getVectors().count() == 3
+    assert (seen["numPartitions"], seen["maxIter"]) == (10, 1)
