@@ -96,3 +96,75 @@ def test_a_block_holds_few_distances_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 512 * 11 and peak < 64 << 20
+
+
+def odd_rows(kind, n=4000, width=7):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, width))
+    if kind == "ties":
+        return np.round(x)
+    if kind == "outlier":
+        x[5] = 1e9
+    if kind == "far from zero":
+        x += 1e12
+    if kind == "one column":
+        x[:, 1:] = 3.0
+    if kind == "all equal":
+        x[:] = 0.1
+    if kind == "tiny":
+        x *= 1e-300
+    if kind == "huge":
+        x *= 1e100
+    return x
+
+
+@pytest.mark.parametrize("norm", [1, 2])
+@pytest.mark.parametrize("kind", ["plain", "ties", "outlier", "far from zero", "one column", "all equal", "tiny", "huge"])
+def test_candidates_hold_all_nearest_rows(kind, norm):
+    """Small numbers only sort out what cannot be among the nearest, whatever the scale; ties go to the smaller id."""
+    x = odd_rows(kind)
+    queries = np.concatenate([x[::400], 50 * x[:3], x[:2] - 7])
+    rows = pd.DataFrame({"_id": np.arange(len(x)), "_x": list(x)})
+    got = N._top_of_block(9, norm, (), False)(pd.DataFrame({"_qid": np.arange(len(queries)), "_x": list(queries)}), rows)
+    assert len(got) == 9 * len(queries)
+    for i, q in enumerate(queries):
+        far = N._distances(x, q, norm)
+        want = np.lexsort((np.arange(len(x)), far))[:9]
+        mine = got[got["_qid"] == i]
+        assert mine["_id"].tolist() == want.tolist() and mine["distance"].tolist() == far[want].tolist()
+
+
+@pytest.mark.parametrize("norm", [1, 2])
+def test_few_rows_of_a_tile_are_measured(monkeypatch, norm):
+    """Only rows that can be among the nearest are measured in double precision."""
+    x = np.random.default_rng(5).normal(size=(12_000, 64))
+    measured, plain = [], N._distances
+
+    def counted(rows, point, norm):
+        measured.append(len(rows))
+        return plain(rows, point, norm)
+
+    monkeypatch.setattr(N, "_distances", counted)
+    rows = pd.DataFrame({"_id": np.arange(len(x)), "_x": list(x)})
+    N._top_of_block(31, norm, (), True)(rows.head(64).rename(columns={"_id": "_qid"}), rows)
+    assert sum(measured) < 64 * len(x) / 10
+
+
+def test_small_tables_make_blocks_for_all_cores(spark, monkeypatch):
+    """A table that fits one tile is still searched by several tasks."""
+    rows = clusters(spark, 2000)
+    used = spark.sparkContext.accumulator(0)
+    plain = N._top_of_block
+
+    def counted(*args):
+        run = plain(*args)
+
+        def both(q, t):
+            used.add(1)
+            return run(q, t)
+
+        return both
+
+    monkeypatch.setattr(N, "_top_of_block", counted)
+    assert N.nearest(rows, rows, 3, metric="l1").count() == 6000
+    assert used.value >= 8
