@@ -127,7 +127,7 @@ class Encoder:
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(pieces):
                 return ids, np.diff(ends, prepend=0)
-        got = [e.ids for e in self.library.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast(_strings(pieces), add_special_tokens=False)]
         length = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length
 
@@ -144,7 +144,7 @@ class Encoder:
         ends, fresh = [], []
         for part in (stems, tails):
             coded = part.dictionary_encode()
-            number, new = self._numbers(coded.dictionary.to_pylist())
+            number, new = self._numbers(_strings(coded.dictionary))
             ends.append(number[coded.indices.to_numpy()])
             fresh += new
         alone = np.concatenate([first + alone, len(self.at) - len(fresh) + np.arange(len(fresh))])
@@ -170,7 +170,7 @@ class Encoder:
             odd = pc.or_(odd, pc.match_substring(folded, mark))
         words = pc.split_pattern(pc.if_else(odd, "", folded), " ")
         coded = words.flatten().dictionary_encode()
-        number, new = self._numbers(coded.dictionary.to_pylist())
+        number, new = self._numbers(_strings(coded.dictionary))
         if new:
             self._learn(new)
         index = number[coded.indices.to_numpy()]
@@ -195,6 +195,11 @@ class Encoder:
         return out, sizes + 1
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """The strings of a column without NULLs; by way of numpy, which makes no Arrow scalar of each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, and where each text begins, with the end."""
     _, offsets, data = texts.buffers()
