@@ -339,3 +339,14 @@ def test_word_vectors_take_one_pass_whatever_the_size(spark, monkeypatch):
     df = spark.createDataFrame([("a b c a b",)] * 95, "t string")
     assert w2v_fit(df, ["t"], size=4).getVectors().count() == 3
     assert (seen["numPartitions"], seen["maxIter"]) == (10, 1)
+
+
+def test_model_storage_measures_documents_once(spark):
+    """Fit and predictions read the written measures, not the documents again."""
+    from riskloom.plans.learning import _storage
+
+    sf = "/root/testdata/sf0.001"
+    got = _storage(spark, sf)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").count()
+    assert got.count() == labelled and got.where("same").count() == labelled
