@@ -262,7 +262,7 @@ def fit_job(
 
     if alg == "knn":
         k, weights, norm = parameters
-        held = materialise(rows.select(id, features, F.col(label).alias("_label")), "knn")
+        held = rows.select(id, features, F.col(label).alias("_label"))
         common = most_common(held, [], "_label").first()
 
         def voted(test: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 from riskloom.functions.labels import binarise
 from riskloom.operators.metrics import METRICS, auc_macro, auc_ovr, score
 from riskloom.operators.models import PARAMETERS, fit_job, fit_predict
+from riskloom.operators.neighbours import nearest
 from riskloom.operators.resample import LADDER, LADDER_ALL, oversample_random, oversample_smote
 from riskloom.operators.aggregates import best_per_group, smallest_class
 from riskloom.operators.results import fold_means
@@ -88,6 +90,34 @@ def result_rows(scores: DataFrame, feature_type: str = "-", feature_scope: str =
     return scores.withColumns(dims).select(*StructType.fromDDL(RESULTS).names)
 
 
+class _Search:
+    """Neighbours for all ``knn`` jobs on the same rows: each metric is searched once, for the most that a job asks.
+
+    The first job that comes starts the search, and the others wait for it.
+    """
+
+    def __init__(self, most: dict[str, int]):
+        self.most, self.found = most, {}
+        self.locks = {metric: threading.Lock() for metric in most}
+
+    def __call__(self, queries: DataFrame, train: DataFrame, k: int, *, metric: str, **names) -> DataFrame:
+        with self.locks[metric]:
+            if metric not in self.found:
+                self.found[metric] = materialise(nearest(queries, train, self.most[metric], metric=metric, **names), "neighbours")
+        return self.found[metric].filter(F.col("rank") <= k)
+
+
+def _searches(jobs: Sequence[dict]) -> dict[tuple, _Search]:
+    """A search for the ``knn`` jobs of each problem, fold and sampling."""
+    most: dict[tuple, dict[str, int]] = {}
+    for j in jobs:
+        if j["classifier"] == "knn":
+            k, _, norm = j["parameters"].split("-")
+            ks = most.setdefault((j["problem"], j["fold"], j["resampling"]), {})
+            ks[f"l{norm}"] = max(int(k), ks.get(f"l{norm}", 0))
+    return {key: _Search(ks) for key, ks in most.items()}
+
+
 def _run(
     jobs: list[dict], data: DataFrame, store: str, id: str, features: str, role: str, threads: int, keep_models: bool
 ) -> DataFrame:
@@ -96,7 +126,7 @@ def _run(
     A job leaves predictions and class scores in folders of its own, its model if it is a saved one, and last its line
     in the manifest: a run that was killed starts again at the jobs without one, whose folders are overwritten.
     Each fit is a Spark job of its own; a few run at the same time so that the cluster stays busy. Fitting and
-    predicting are timed apart.
+    predicting are timed apart; jobs that share a search of neighbours each count the time until it is there.
     """
     spark = data.sparkSession
     # One row per job of the grid.
@@ -110,12 +140,14 @@ def _run(
             rows = data.filter((F.col("fold") == j["fold"]) & (F.col("role") == "train")).drop("fold", "role")
             trains[key] = materialise(resample(rows, j["resampling"], j["problem"], id, features), "resampled")
 
+    searches = _searches([j for _, j in pending])
+
     def one(named: tuple[str, dict]) -> None:
         name, j = named
         held = data.filter((F.col("fold") == j["fold"]) & (F.col("role") == role))
-        train = trains[(j["problem"], j["fold"], j["resampling"])]
+        key = (j["problem"], j["fold"], j["resampling"])
         started = time.time()
-        fitted = fit_job(j["classifier"], j["parameters"].split("-"), train, id, features, j["problem"])
+        fitted = fit_job(j["classifier"], j["parameters"].split("-"), trains[key], id, features, j["problem"], searches.get(key, nearest))
         ready = time.time()
         pred, scores = fitted.predict(held)
         pred.write.mode("overwrite").parquet(f"{store}/predictions/job={name}")
@@ -124,7 +156,8 @@ def _run(
         if keep_models and fitted.model is not None:
             save_model(fitted.model, f"{store}/models/{name}")
         line = (role, *[j[s] for s in SETTINGS], ready - started, predicted - ready)
-        spark.createDataFrame([line], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest/job={name}")
+        cells = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(line, StructType.fromDDL(MANIFEST), strict=True)]
+        spark.range(1).coalesce(1).select(*cells).write.mode("overwrite").parquet(f"{store}/manifest/job={name}")
 
     with ThreadPoolExecutor(threads) as pool:
         list(pool.map(one, pending))

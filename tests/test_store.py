@@ -107,6 +107,26 @@ def test_a_grid_in_a_store(spark, data, monkeypatch):
     assert tested.where(F.col("train_time") <= 0).count() == 0
 
 
+def test_neighbours_are_searched_once_for_all_jobs_of_a_fold(spark, data, monkeypatch):
+    both = data.union(data.withColumn("fold", F.lit(1)))
+    grid = {"knn": [("5", "uniform", "2"), ("9", "distance", "2"), ("9", "uniform", "2"), ("3", "distance", "1")]}
+    asked, real = [], E.nearest
+
+    def counted(queries, train, k, *rest, metric, **names):
+        asked.append((k, metric))
+        return real(queries, train, k, *rest, metric=metric, **names)
+
+    monkeypatch.setattr(E, "nearest", counted)
+    store = scratch_path(spark, "store")
+    validate_grid(both, ["label"], "id", "x", grid, ("none",), store=store).collect()
+    assert sorted(asked) == [(3, "l1"), (3, "l1"), (9, "l2"), (9, "l2")]  # before: once a job
+    train, test = data.where("role = 'train'"), data.where("role = 'val'")
+    for line in finished(spark, store).collect():
+        kept = spark.read.parquet(f"{store}/scores/job={line.job}").collect()
+        own = fit_job("knn", line.parameters.split("-"), train, "id", "x").predict(test)[1].collect()
+        assert {(r.id, r["class"]): r.score for r in kept} == pytest.approx({(r.id, r["class"]): r.score for r in own})
+
+
 def test_own_estimator_and_own_extractor(spark, data):
     """Any Spark ML classifier, and any function that makes the features."""
     from pyspark.ml.classification import NaiveBayes
