@@ -279,3 +279,27 @@ def test_grams_of_words_are_counted_as_they_are_cut(spark, monkeypatch):
                 want[g] = want.get(g, 0) + 1
         got = vocab_chars(d, min_n=lo, max_n=hi, word_bound=True, whole_word=whole, max_vocab=10_000)
         assert {r["token"]: r["doc_freq"] for r in got.collect()} == want
+
+
+def test_letters_are_counted_as_translate_removes_them(spark):
+    """Letters of one to four bytes, texts of none, and a batch that does not begin with its buffer."""
+    import numpy as np
+
+    from riskloom.functions.text import letter_counts
+
+    groups = ["e", "äöüß", "0123456789", "\n", "€x", "😀", "#*$%&|<>"]
+    rng = np.random.default_rng(5)
+    letters = list("eaäöüßéè019\n€x😀#|日")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 300)] + ["", None, "ä", "😀" * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    left = [F.length("text") - F.length(F.translate("text", g, "")) for g in groups]
+    got = rows.select("text", letter_counts(F.col("text"), groups).alias("n"), F.array(*left).alias("expected")).collect()
+    for r in got:
+        assert r.n == (list(r.expected) if r.text is not None else [0] * len(groups))
+
+
+def test_measures_of_seven_tasks_read_a_text_once(spark):
+    from riskloom.plans.learning import seven_tasks
+
+    plan = seven_tasks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "translate(" not in plan and plan.count("ArrowEvalPython") == 1  # before: twenty translations of every text
