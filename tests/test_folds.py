@@ -92,3 +92,20 @@ def test_kfold_split_tests_each_commit_once(commits):
     split = kfold_split(random_folds(commits))
     assert split.filter("role = 'test'").groupBy("commit").count().filter("count <> 1").count() == 0
     assert split.count() == 3000
+
+
+def test_totals_of_parts_sort_no_rows(spark, commits):
+    from riskloom.operators.folds import part_totals
+    from riskloom.plans.forecast import _expanding, _kfold, _time_folds
+
+    parts = time_folds(time_order(commits))
+    got = {tuple(r) for r in part_totals(parts, "time_partition", 12, first=(F.min, "commit"), last=(F.max, "position")).collect()}
+    by = parts.groupBy("time_partition").agg(F.count("*"), F.min("commit"), F.max("position"))
+    assert got == {tuple(r) for r in by.collect()}
+    few = part_totals(parts.where("time_partition IN (0, 3)"), "time_partition", 12)
+    assert [r["time_partition"] for r in few.collect()] == [0, 3]  # a part without rows gives none
+    for query in (_expanding, _kfold, _time_folds):
+        plan = query(spark, "/root/testdata/sf0.001")
+        read = plan._jdf.queryExecution().optimizedPlan().toString()
+        # Before: rows went through the folds, and grouping sorted them; now one aggregate without keys reads them.
+        assert "Aggregate [array(" in read
