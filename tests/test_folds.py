@@ -109,3 +109,15 @@ def test_totals_of_parts_sort_no_rows(spark, commits):
         read = plan._jdf.queryExecution().optimizedPlan().toString()
         # Before: rows went through the folds, and grouping sorted them; now one aggregate without keys reads them.
         assert "Aggregate [array(" in read
+
+
+def test_commits_are_dealt_out_before_they_are_merged(spark, monkeypatch):
+    from riskloom.operators import ranks
+
+    rows = spark.range(4000).select((F.col("id") % 3000).cast("string").alias("commit"), (F.col("id") % 7).alias("date"))
+    expected = [sorted(map(tuple, f(rows).collect())) for f in (time_order, random_folds)]
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100)
+    for dealt, columns in ((ranks.dealt(rows, "commit"), 1), (ranks.dealt(rows, "commit", "date"), 2)):
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(dealt.columns) == columns and sum(sizes) == 4000 and max(sizes) < 300  # before: as many as the scan's task
+    assert [sorted(map(tuple, f(rows).collect())) for f in (time_order, random_folds)] == expected
