@@ -240,4 +240,6 @@ for _split in FOLDS:
 def _fold_embeddings(spark, sf):
     pairs, parts = pair_parts(spark, sf)
     out = fold_embeddings(spread(pairs), _files(pairs), parts, size=20)
-    return out.select("fold", "commit", F.size(vector_to_array("cur_features")).alias("width"))
+    vectors = {c: vector_to_array(f"{c}_features") for c in ("prev", "cur")}
+    rounded = [F.transform(v, lambda x: F.round(x, 4)).alias(f"{c}_vector") for c, v in vectors.items()]
+    return out.select("fold", "commit", *rounded, F.size(vectors["cur"]).alias("width"))

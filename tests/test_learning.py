@@ -350,3 +350,21 @@ def test_model_storage_measures_documents_once(spark):
     assert not any("documents.parquet" in f for f in got.inputFiles())
     labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").count()
     assert got.count() == labelled and got.where("same").count() == labelled
+
+
+def test_fold_embeddings_returns_the_vectors_it_trains(spark, tmp_path, monkeypatch):
+    """The query used to return the length of a vector only, which no training changes."""
+    from functools import partial
+
+    from riskloom.plans import preparation
+
+    turns = [(i, t, role, text) for i in range(24) for t, role, text in ((0, "user", f"a b w{i % 3}"), (1, "assistant", "c d a" if i else None))]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(preparation, "fold_embeddings", partial(preparation.fold_embeddings, folds=(0, 9)))
+    rows = preparation._fold_embeddings(spark, str(tmp_path)).collect()
+    assert sorted({r["fold"] for r in rows}) == [0, 9] and len(rows) == 48 and {r["width"] for r in rows} == {20}
+    of = {(r["fold"], r["commit"]): r for r in rows}
+    assert all(any(r["prev_vector"]) and len(r["prev_vector"]) == len(r["cur_vector"]) == 20 for r in rows)
+    assert all(any(r["cur_vector"]) != (r["commit"] == "0-0") for r in rows)
+    assert of[9, "1-0"]["prev_vector"] != of[9, "1-0"]["cur_vector"] and of[9, "1-0"]["prev_vector"] != of[9, "2-0"]["prev_vector"]
+    assert of[0, "1-0"]["cur_vector"] != of[9, "1-0"]["cur_vector"]
