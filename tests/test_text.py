@@ -303,3 +303,48 @@ def test_measures_of_seven_tasks_read_a_text_once(spark):
 
     plan = seven_tasks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "translate(" not in plan and plan.count("ArrowEvalPython") == 1  # before: twenty translations of every text
+
+
+BLANKS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+
+def test_words_are_found_in_bytes_as_in_text(spark):
+    import pyarrow as pa
+
+    from riskloom.operators.vocab import _words_of
+
+    texts = ["", "a", " a", "a ", *[f"é{b}日b{b}{b}" for b in BLANKS], "​ x᠎y 😀", "à　 ", " ", "c"]
+    many, found = _words_of(pa.array(["x y", *texts], pa.large_string()).slice(1))
+    assert many.tolist() == [len(t.split()) for t in texts]
+    assert found.to_pylist() == [w for t in texts for w in t.split()]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.words(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in rows] == [t.split() for t in texts]
+
+
+@pytest.mark.parametrize("lo, hi, whole", [(3, 6, True), (1, 1, False), (1, 3, True), (6, 7, True), (5, 5, True), (20, 20, False)])
+def test_grams_cut_by_batch_equal_grams_cut_word_by_word(spark, monkeypatch, lo, hi, whole):
+    """Marked words that are spelt like grams or short words, several alphabets, long runs, slices of a batch."""
+    import random
+
+    from riskloom.operators import vocab as module
+
+    monkeypatch.setattr(module, "GRAMS", 50)
+    monkeypatch.setattr(module, "CUT_BYTES", 100)
+    rng = random.Random(hi)
+    texts = ["".join(rng.choice("ab<>é日😀x \t\xa0 ") for _ in range(rng.choice([0, 3, 20, 60]))) for _ in range(40)]
+    texts += ["<ab> x<ab> ab <<ab>>", "<abcd> abcd", "abcd", None, "aaaaaaaaaa aaa", "".join(map(chr, range(0x4E00, 0x4F00)))]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = {}
+    for t in texts:
+        for g in set(brute_char_grams(t or "", lo, hi, True, whole)):
+            want[g] = want.get(g, 0) + 1
+    got = vocab_chars(d, min_n=lo, max_n=hi, word_bound=True, whole_word=whole, max_vocab=10_000)
+    assert {r["token"]: r["doc_freq"] for r in got.collect()} == want
+
+
+def test_words_for_grams_are_not_cut_in_the_plan(spark):
+    """Before, each word became a string in Spark and each gram a Python object; texts that are no valid UTF-8 are still read."""
+    d = spark.sql("SELECT CAST(unhex('6162FF2063') AS STRING) AS text UNION ALL SELECT 'c'")
+    got = vocab_chars(d, min_n=1, max_n=2, word_bound=True, max_vocab=9)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["token"], r["doc_freq"]) for r in got.collect()} == {("c", 2), ("a", 1), ("b", 1), ("�", 1), ("ab", 1), ("b�", 1)}
